@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but these six characters.
-WHITE = " \t\n\x0b\f\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 
@@ -42,13 +41,9 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def lower_ascii(col: Column) -> Column:
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def words_of(col: Column) -> Column:
     """array<string> of the words of a text."""
-    return F.filter(F.split(F.translate(col, WHITE[1:], " " * 5), " "), lambda w: w != "")
+    return F.array_remove(F.split(col, WHITE_CLASS + "+"), "")
 
 
 def partitions(spark: SparkSession) -> int:
