@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, quality, simhash
+from . import brown, exact, mixing, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_dedup, op4_exact_dedup, op5_source_mixing, op7_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_class_lm, op3_simhash_dedup, op4_exact_dedup, op5_source_mixing, op7_quality_rules, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
