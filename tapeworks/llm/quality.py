@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .calibration import platt
 from .textbatch import Texts, chunks, mixed
 
 BITS = 15
@@ -161,18 +162,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, roun
         weights -= 1.0 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         bias -= 2.0 * g.sum()
     slots, shares, row = stacked(hold)
-    z, yc = np.bincount(row, weights[slots] * shares, minlength=int(hold.sum())) + bias, y[hold]
-    slope, shift, target = 1.0, 0.0, np.where(yc == 1, (yc.sum() + 1) / (yc.sum() + 2), 1 / ((1 - yc).sum() + 2))
-    for _ in range(50):  # Platt scaling by Newton's method, on smoothed targets
-        p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        hess = np.array([[(w * z * z).sum() + 1e-6, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
-        d = np.linalg.solve(hess, [((p - target) * z).sum(), (p - target).sum()])
-        d *= min(1.0, 2.0 / max(1e-12, np.abs(d).max()))
-        slope, shift = slope - d[0], shift - d[1]
-    if slope <= 0:  # the held-out fifth contradicts the fit; the uncalibrated score is the better guess
-        slope, shift = 1.0, 0.0
-    return QualityModel(weights.reshape(_KINDS, -1), float(slope), float(shift + slope * bias))
+    slope, shift = platt(np.bincount(row, weights[slots] * shares, minlength=int(hold.sum())) + bias, y[hold])
+    return QualityModel(weights.reshape(_KINDS, -1), slope, shift + slope * float(bias))
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, exact, mixing, packing, quality, simhash
+from . import brown, exact, mixing, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def tokenizer_path(name: str = packing.TOKENIZER) -> str:
     import public_tokenizers
 
@@ -46,7 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_class_lm, op3_simhash_dedup, op4_exact_dedup, op5_source_mixing, op7_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_class_lm, op3_simhash_dedup, op4_exact_dedup, op5_source_mixing, op7_quality_rules, op8_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
