@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, exact, mixing, packing, quality, simhash, toxicity
+from . import brown, exact, lines, mixing, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicate_lines(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_class_lm, op3_simhash_dedup, op4_exact_dedup, op5_source_mixing, op7_quality_rules, op8_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_class_lm, op2_line_dedup, op3_simhash_dedup, op4_exact_dedup, op5_source_mixing, op7_quality_rules, op8_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
