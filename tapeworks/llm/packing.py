@@ -15,7 +15,10 @@ an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,55 +32,72 @@ from .textbatch import chunks
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
+#: Fixed value: how such tokenizers split a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of one length are ranked in so many parts, each by a task of its own.
 PARTS = 64
 #: A task's memory of word encodings starts anew beyond so many.
-CACHE = 400_000
+CACHE = 800_000
 
 
-class WordEncoder:
-    """Encodes texts by a byte-level BPE file of the tokenizers library, remembering the ids of words.
+class _Irregular(Exception):
+    pass
 
-    Its pattern never lets a token run over the border before a space that a non-space character follows, so a text is the
+
+class WordEncoder(dict):
+    """Encodes texts as the tokenizers library does with a byte-level BPE file, remembering the ids of words.
+
+    The pattern never lets a token run over the border before a space that a non-space character follows, so a text is the
     sum of its words, each with the space before it. A text with a space before white space or at its end is encoded whole.
+    The merging itself is tiktoken's, on the vocabulary of the same file; the tests hold its ids against the library's.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {"": None}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        new = list({w for words in split for w in words[1:]}.difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": None}
-            new = list({w for words in split for w in words[1:] if w})
-        plain = [w for w in new if not w[0].isspace()]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(plain, self._encode([" " + w for w in plain]), strict=True))
-        out, get = [], self.known.__getitem__
-        for text, words, head in zip(texts, split, self._encode([w[0] for w in split]), strict=True):
-            parts = list(map(get, words[1:]))
-            out.append(self._encode([text])[0] if None in parts else head + b"".join(parts))
-        return out
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # the file spells bytes as characters: printable ones stand for themselves, the others for 256 and up in order
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        special = {x["content"] for x in spec["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
+        self.plain = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise _Irregular
+        if len(self) >= CACHE:
+            self.clear()
+        ids = self[word] = array("I", self.plain(" " + word)).tobytes()
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        head, *words = text.split(" ")
+        try:
+            return array("I", self.plain(head)).tobytes() + b"".join(map(self.__getitem__, words))
+        except _Irregular:
+            return array("I", self.plain(text)).tobytes()
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which runs one task after another; tasks share what it remembers."""
+    held = sys.__dict__.setdefault("_tapeworks_encoders", {})
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): a row for each piece."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = encoder(path)
         for batch in batches:
             for part in chunks(batch, most=1 << 20):
                 rows: list[tuple] = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode([x or "" for x in part.column("text").to_pylist()]), strict=True):
-                    ids += np.uint32(END_ID).tobytes()
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    ids = encode(text or "") + np.uint32(END_ID).tobytes()
                     total = len(ids) // 4
                     cuts = [0, *range((total - 1) % capacity + 1, total + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
