@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, exact, lines, mixing, packing, quality, simhash, toxicity
+from . import brown, exact, licenses, lines, mixing, packing, quality, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.template_table(spark))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
@@ -44,6 +48,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = warc.records(_table(spark, sf_dir, "pages"))
+    return warc.audit(own, warc.damaged(own))
+
+
 def tokenizer_path(name: str = packing.TOKENIZER) -> str:
     import public_tokenizers
 
@@ -55,8 +64,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_class_lm, op2_line_dedup, op3_simhash_dedup, op4_exact_dedup, op5_source_mixing, op7_quality_rules, op8_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_class_lm, op2_line_dedup, op3_simhash_dedup, op4_exact_dedup, op5_source_mixing, op6_license_scan, op7_quality_rules, op8_toxicity, op9_warc_audit, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact.SQL, "op5_source_mixing": mixing.SQL}
+    return {"op4_exact_dedup": exact.SQL, "op5_source_mixing": mixing.SQL, "op9_warc_audit": warc.SQL}
