@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing to target weights, best-fit packing."""
+"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing to target weights, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir), where docs is a scan of what the stage before has written, and returns a DataFrame;
+all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +10,58 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeworks.llm import quality
+from tapeworks.llm import lines, mixing, packing, quality, simhash
 from tapeworks.llm.common import shared_dir
+from tapeworks.llm.queries import tokenizer_path
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars as its text has it now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality rules reject. The model is fitted on the labelled rows of the corpus itself."""
+    """Documents that the quality rules reject go. The model is fitted on the labelled rows among docs."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.filter_quality(docs, model)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line comes near go, and documents of which nothing is left."""
+    return _counted(lines.without_duplicates(docs))
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest doc_id stays."""
+    return simhash.keep_first(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.take(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the packed sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", keep_quality),
+    ("line dedup", dedup_lines),
+    ("simhash near-dedup", dedup_documents),
+    ("mixing to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
 
-#: Trained models, hashing and tokenizers have no SQL form.
+#: Trained models, hash functions and a tokenizer have no SQL form; tests hold run() against a plain version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet in the shared folder and read again as the next one's input."""
+    """All stages over documents; each is written as Parquet in the shared folder and read again as the next one's docs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/tapeworks/{spark.sparkContext.applicationId}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
