@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import rounded
 from tapeworks.operators import candles as cd
-from tapeworks.operators import matching, resample, risk, rules, structure, trades
+from tapeworks.operators import matching, nulls, resample, risk, rules, structure, trades
 from tapeworks.operators import simulate as sim
 from tapeworks.sources import views
 
@@ -214,7 +214,7 @@ def frontier(spark, d):
 
 @query
 def constant_exposure(spark, d):
-    return rounded(trades.constant_exposure(views.daily(spark, d), RUN, 0.05, FEE, INITIAL), 3)
+    return rounded(trades.constant_exposure(views.daily(spark, d), RUN, 0.05, FEE, INITIAL), 1)
 
 
 @query
@@ -379,6 +379,44 @@ def redact(spark, d):
     return views.table(spark, d, "documents").select("doc_id", F.sha2(rules.redacted(F.col("text")), 256).alias("redacted_sha"))
 
 
+SEED = 20260924
+
+
+def _outcomes(spark: SparkSession, d: str, models: tuple[str, ...], trials: int) -> DataFrame:
+    return nulls.trial_outcomes(views.bars(spark, d), models, trials, SEED, sim.Rules(), FEE)
+
+
+@query
+def null_shares(spark, d):
+    t, b = _simulated(spark, d), views.bars(spark, d)
+    actual = sim.summary(t, sim.mark_to_market(t, b, PAIR, INITIAL, FEE), PAIR, INITIAL)
+    return rounded(nulls.null_shares(_outcomes(spark, d, nulls.MODELS, 25), actual))
+
+
+@query
+def calibration(spark, d):
+    return rounded(nulls.calibration(_outcomes(spark, d, ("gbm", "garch_t", "mrw"), 25), 10.0, 5))
+
+
+@query
+def random_timing(spark, d):
+    return rounded(nulls.random_timing(views.daily(spark, d), [5, 10, 20, 40], 50, SEED, FEE), 4)
+
+
+@query
+def first_passage(spark, d):
+    return rounded(nulls.first_passage(spark, 0.6, [7, 14, 30, 60], 2000, SEED))
+
+
+@query
+def deflated_sharpe(spark, d):
+    r = risk_returns(spark, d)
+    m = risk.moments(r, RUN, 365).select("run", "n", (F.col("mean") / F.col("sd")).alias("sharpe"), "skewness", "excess_kurtosis")
+    best = m.agg(F.var_samp("sharpe").alias("v"), F.count("*").cast("double").alias("k")).select(nulls.expected_max_sharpe(F.col("v"), F.col("k")).alias("benchmark"))
+    b = m.withColumn("one", F.lit(1)).join(F.broadcast(best.withColumn("one", F.lit(1))), "one").drop("one")  # one row
+    return rounded(b.select("run", "sharpe", "benchmark", nulls.deflated_sharpe(F.col("sharpe"), F.col("benchmark"), F.col("n"), F.col("skewness"), F.col("excess_kurtosis")).alias("probability")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks to candles, channels, signals, trades, equity, and one summary row a pair."""
     return backtest_summary(spark, sf_dir)

@@ -139,7 +139,7 @@ ALL: dict[str, str] = {
         "w AS (SELECT *, exp(sum(ln(1 + f * step)) OVER (PARTITION BY run, f ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM s)", "p AS (SELECT *, greatest(1, max(wealth) OVER (PARTITION BY run, f ORDER BY date ROWS UNBOUNDED PRECEDING)) AS peak FROM w)")
     + "SELECT run, f, round(arg_max(wealth, date), 4) AS terminal, round(max(100 * (peak - wealth) / peak), 4) AS max_drawdown_pct, round(ln(arg_max(wealth, date)) / count(*) * 365, 4) AS growth_a_year FROM p GROUP BY ALL",
     "constant_exposure": ctes(DAILY, "s AS (SELECT run, date, coalesce(buy_hold / lag(buy_hold) OVER w - 1, 0) AS r, lead(date) OVER w IS NULL AS last FROM daily WINDOW w AS (PARTITION BY run ORDER BY date))")
-    + "SELECT run, date, round(1000 * (1 - 0.00005::DOUBLE) * exp(sum(ln(1 + 0.05::DOUBLE * r)) OVER (PARTITION BY run ORDER BY date ROWS UNBOUNDED PRECEDING)) * CASE WHEN last THEN 1 - 0.00005::DOUBLE ELSE 1 END, 3) AS worth FROM s",
+    + "SELECT run, date, round(1000 * (1 - 0.00005::DOUBLE) * exp(sum(ln(1 + 0.05::DOUBLE * r)) OVER (PARTITION BY run ORDER BY date ROWS UNBOUNDED PRECEDING)) * CASE WHEN last THEN 1 - 0.00005::DOUBLE ELSE 1 END, 1) AS worth FROM s",
     "power": ctes(TRADES, "s AS (SELECT run, count(*) AS n, avg(return_pct) AS m, stddev_samp(return_pct) AS sd FROM trades GROUP BY run)", "q AS (SELECT *, CASE WHEN m > 0 AND sd > 0 THEN CAST(ceil(pow(2 * sd / m, 2)) AS BIGINT) END AS need FROM s)")
     + "SELECT run, need AS trades_needed, n / 2.0::DOUBLE AS trades_per_year, round(need / (n / 2.0::DOUBLE), 4) AS years_needed FROM q",
     "sleeves": ctes(DAILY, "v AS (SELECT run, date, f, 150000 + f * (strategy - 150000) AS w FROM daily, (SELECT CAST(unnest([0.25, 0.5, 1.0]) AS DOUBLE) AS f))", "d AS (SELECT *, greatest(150000, max(w) OVER o) AS peak, min(date) OVER (PARTITION BY run, f) AS day0 FROM v WINDOW o AS (PARTITION BY run, f ORDER BY date ROWS UNBOUNDED PRECEDING))",
