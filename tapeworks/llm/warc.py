@@ -5,7 +5,7 @@ SHA-256 and the range of offsets it takes. Above it is a node for each page id (
 order-free sum), then one for each FANOUT neighbours, up to a single root. Two replicas are compared from their roots down; only
 the children of differing nodes are joined on the next level, so an audit of sound replicas reads one row.
 
-Defined results: null html and url are empty; a null page id is -1; repeated rows are records of their own; empty tables are equal
+Defined results: null html and url are empty; a null page id is -1 (nodes are numbered from it); repeated rows are records of their own; empty tables are equal
 trees without nodes, and against an empty replica every record is missing; further columns are ignored.
 """
 
@@ -73,12 +73,12 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
     """Levels (node, hash) from the page ids up to one root."""
     end = F.col("record_offset") + F.col("length")
     mark = F.xxhash64("k", "sha256", "record_offset", end)
-    sums = leaf.groupBy(F.col("page_id").alias("node")).agg(F.count("*").alias("n"), F.bit_xor(mark).alias("a"), F.sum(mark.cast("decimal(20,0)")).alias("b"), F.min("record_offset").alias("start"), F.max(end).alias("end"))
+    sums = leaf.groupBy((F.col("page_id") + 1).alias("node")).agg(F.count("*").alias("n"), F.bit_xor(mark).alias("a"), F.sum(mark.cast("decimal(20,0)")).alias("b"), F.min("record_offset").alias("start"), F.max(end).alias("end"))
     level = materialise(sums.select("node", F.sha2(F.concat_ws(":", "n", "a", "b", "start", "end"), 256).alias("hash"), "start", "end"), "merkle")
     levels = [level]
     while level.limit(2).count() > 1:
         child = F.struct("node", "hash", "start", "end")
-        up = level.groupBy(F.shiftright("node", FANOUT_BITS).alias("node")).agg(F.sort_array(F.collect_list(child)).alias("children"), F.min("start").alias("start"), F.max("end").alias("end"))
+        up = level.groupBy(F.shiftrightunsigned("node", FANOUT_BITS).alias("node")).agg(F.sort_array(F.collect_list(child)).alias("children"), F.min("start").alias("start"), F.max("end").alias("end"))
         parts = F.transform("children", lambda c: F.concat_ws(":", c["node"], c["hash"], c["start"], c["end"]))
         level = materialise(up.select("node", F.sha2(F.array_join(parts, "|"), 256).alias("hash"), "start", "end"), "merkle")
         levels.append(level)
@@ -94,14 +94,14 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     for k in range(depth - 1, -1, -1):
         x, y = (t[min(k, len(t) - 1)].select("node", "hash") if k < len(t) else t[-1].select("node", "hash").limit(0) for t in (a, b))
         if bad is not None:
-            parent = F.shiftright("node", FANOUT_BITS)
+            parent = F.shiftrightunsigned("node", FANOUT_BITS)
             x, y = (t.withColumn("parent", parent).join(bad, "parent", "left_semi").drop("parent") for t in (x, y))
         if len(a) > k and len(b) > k:
             differ = x.join(y.withColumnRenamed("hash", "other"), "node", "full_outer").where(~F.col("hash").eqNullSafe(F.col("other")))
         else:  # one tree has fewer levels: everything below is compared
             differ = x.unionByName(y)
         bad = materialise(differ.select(F.col("node").alias("parent")).distinct(), "merkle-bad")
-    bad = bad.withColumnRenamed("parent", "page_id")
+    bad = bad.select((F.col("parent") - 1).alias("page_id"))
     x, y = (t.join(bad, "page_id", "left_semi") for t in (mine, theirs))
     y = y.select("page_id", "k", *[F.col(c).alias(f"their_{c}") for c in ("archive", "record_offset", "length", "sha256")])
     both = x.join(y, ["page_id", "k"], "full_outer")
