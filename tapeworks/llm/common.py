@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,21 +23,39 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tapeworks/{spark.sparkContext.applicationId}"
+
+
+def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tapeworks/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or _own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; call it when no result that reads them is needed any more."""
+def _delete(spark: SparkSession, folder: str) -> None:
     sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tapeworks/{sc.applicationId}")
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for tables that nothing reads after the block; they are deleted at its end."""
+    folder = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        _delete(spark, folder)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; call it when no result that reads them is needed any more."""
+    _delete(spark, _own_dir(spark))
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
