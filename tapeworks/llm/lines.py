@@ -1,10 +1,11 @@
 """Line dedup as an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its words. A line is removed if an earlier line (by doc_id, then line number) has the same text or a
-Jaccard similarity of THRESHOLD or more with it. Lines of under MIN_WORDS different words are never removed.
+Jaccard similarity of THRESHOLD or more with it. Lines without a word have no set and stay.
 
 1. Word rarity: counts in 2^16 slots of the word hash, a table of fixed size, order the words of every line (ties by hash).
-2. Equal lines become one class. A pair of classes within the threshold shares a word among the first n - ceil(t n) + 1 of
+2. Equal lines become one class, and so do lines of under LEAST_JOINED different words with equal sets: such sets come within
+   the threshold of no other set (three of four words are 0.75, but four of five are 0.8, so lines of four words go on). A pair of classes within the threshold shares a word among the first n - ceil(t n) + 1 of
    each, so classes meet on those prefix words, and only pairs that pass the length, the positional and a parity bitmap
    filter (128 bits; differing ones never exceed differing words) go on. The prefix words that a pair has in common are
    counted, and it goes on only if they and the words after its prefixes suffice. None of these filters loses a pair.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch, text_of, words_of
 
 THRESHOLD = 0.8
-MIN_WORDS = 5
+MIN_WORDS = 1
+#: Sets of fewer words are within THRESHOLD of equal sets only.
+LEAST_JOINED = 4
 SLOTS = 16
 LEAD = 4
 MOST = 65535
@@ -85,10 +88,10 @@ def _least_common(n: Column) -> Column:
 
 
 def coded_lines(docs: DataFrame, rare: DataFrame, folder: str | None = None) -> DataFrame:
-    """id, key1, key2 (of the text), bits, wide, n, prefix of each line of MIN_WORDS different words or more.
+    """id, key1, key2 (of the text, or of the set if that is under LEAST_JOINED words), bits, wide, n, prefix of each line with a word.
 
     bits and wide are parities: bit k is set if an odd number of the line's words hash to k. n is the number of words (MOST for
-    as many or more), prefix the prefix words as 32 bits of their hashes.
+    as many or more), prefix the prefix words as 32 bits of their hashes, none for sets under LEAST_JOINED words.
     Sets are made before lines are dealt to rows, as every row that a join with the rarity table makes carries the table.
     """
     texts = docs.select(_doc().alias("doc"), F.split(text_of(), "\n").alias("lines"), F.lit(1).alias("one")).join(F.broadcast(rare), "one")
@@ -97,7 +100,12 @@ def coded_lines(docs: DataFrame, rare: DataFrame, folder: str | None = None) ->
     lines = lines.select(_id(F.col("no")).alias("id"), "x.line", "x.set", F.size("x.set").alias("n"))
     prefix = F.slice("set", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(THRESHOLD) - F.lit(1e-9)) + 1).cast("int"))
     prefix = F.transform(prefix, lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int"))
-    return materialise(lines.select("id", F.xxhash64("line").alias("key1"), F.xxhash64(F.lit(1), "line").alias("key2"), _parity(0).alias("bits"), _parity(1).alias("wide"), F.least("n", F.lit(MOST)).alias("n"), prefix.alias("prefix")), "lines", folder)
+    short = F.col("n") < LEAST_JOINED
+    prefix = F.when(short, F.array().cast("array<int>")).otherwise(prefix)
+    # a set as text: its words never hold a space, and no text of more words has the same set
+    text = F.when(short, F.array_join(F.array_sort(F.array_distinct(words_of(F.col("line")))), " ")).otherwise(F.col("line"))
+    lines = lines.withColumn("text", text)
+    return materialise(lines.select("id", F.xxhash64("text").alias("key1"), F.xxhash64(F.lit(1), "text").alias("key2"), _parity(0).alias("bits"), _parity(1).alias("wide"), F.least("n", F.lit(MOST)).alias("n"), prefix.alias("prefix")), "lines", folder)
 
 
 def _parity(half: int) -> Column:

@@ -141,6 +141,13 @@ def test_line_dedup_lead_is_only_a_shortcut(docs, monkeypatch):
     assert whole == sorted((str(r[0]), r[2], tuple(r[3])) for r in lines.duplicate_lines(docs).collect())
 
 
+def test_line_dedup_short_lines(spark):
+    texts = ["Les.", "Les.\nLes.  Les.", "a b c", "c  a b a\na b d", "p q r s t", "q p s r\np q r u", "p q x", "\n \n", "\n \nv w"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["removed_lines"] for r in lines.duplicate_lines(frame).collect()}
+    assert got == {0: [], 1: [0, 1], 2: [], 3: [0], 4: [], 5: [0], 6: [], 7: [], 8: []}
+
+
 def plain_fingerprint(text):
     w = words(lower(text))
     runs = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
