@@ -1,6 +1,6 @@
 """Line dedup as an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words. A line is removed if an earlier line (by doc_id, then line number) has the same text or a
+A line is the set of its words. A line is removed if an earlier line (by doc_id, then row, then line number) has the same text or a
 Jaccard similarity of THRESHOLD or more with it. Lines without a word have no set and stay.
 
 1. Word rarity: counts in 2^16 slots of the word hash, a table of fixed size, order the words of every line (ties by hash).
@@ -15,13 +15,17 @@ Step 2 runs twice. First each line only meets the earliest class on each of its
 copies nearly all are settled by m comparisons. Then the classes not yet settled meet all others. What is settled needs no
 second reason for removal, so no result changes and no cluster emits its pairs.
 
-Defined results: null text counts as empty; rows that repeat a doc_id are one document, null ids another; lines after the
-2^20th of a document stay; an empty table gives no rows; further columns are ignored by duplicate_lines() and returned by
-without_duplicates(); ids beyond +-2^41 raise an error.
+Each row is a document of its own: it gets a number by its doc_id (nulls last), and rows of one doc_id by their place in the
+files. A table that is no plain scan of Parquet files is written first, so that every reading of it finds the same places.
+
+Defined results: null text counts as empty; rows that repeat a doc_id, or have none, are compared as any others; an empty
+table gives no rows; further columns are ignored by duplicate_lines() and returned by without_duplicates(); more than 2^32
+rows raise an error. A line's number takes 31 bits, as many as an array can have.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,27 +38,64 @@ LEAST_JOINED = 4
 SLOTS = 16
 LEAD = 4
 MOST = 65535
-#: Line numbers within a document, in bits of a line's id.
-LINE_BITS = 20
-NO_ID = 1 << 41
+#: Line numbers within a row, in bits of a line's id.
+LINE_BITS = 31
+MOST_ROWS = 1 << 32
+#: Places within a file, in bits of a row's place.
+AT_BITS = 40
 #: A table of at most so many ids (16 MB) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def _doc() -> Column:
-    known = F.when(F.abs("doc_id") >= NO_ID, F.raise_error(F.lit("doc_id beyond 2^41")).cast("long")).otherwise(F.col("doc_id").cast("long"))
-    return F.coalesce(known, F.lit(NO_ID))
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs and __place, a number of each row's place in the files, the same at every reading."""
+    spark, plan = docs.sparkSession, docs._jdf.queryExecution().analyzed()
+    found = False
+    while plan.deterministic() and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName().startswith("Relation") or plan.getClass().getSimpleName() == "LogicalRelation":
+        try:
+            docs.select(*_place_parts(docs))
+            found = True
+        except AnalysisException:  # no Parquet files
+            pass
+    if not found:
+        docs = materialise(docs, "docs")
+    paths = [r[0] for r in docs.select(_place_parts(docs)[0]).distinct().collect()]  # one row a file
+    files = spark.createDataFrame([(x, k) for k, x in enumerate(sorted(paths))], "__path string, __file long")
+    place = F.shiftleft("__file", AT_BITS).bitwiseOR(F.col("__at"))
+    return docs.select("*", *_place_parts(docs)).join(F.broadcast(files), "__path").withColumn("__place", place).drop("__path", "__file", "__at")
+
+
+def _place_parts(docs: DataFrame) -> list[Column]:
+    return [docs.metadataColumn("_metadata")[x].alias(y) for x, y in (("file_path", "__path"), ("row_index", "__at"))]
+
+
+def _ranks(placed: DataFrame, folder: str) -> DataFrame:
+    """__place, doc: the rows' numbers from 0, by doc_id and place, nulls last."""
+    order = placed.select(F.col("doc_id").cast("long").alias("key"), "__place").orderBy(F.col("key").asc_nulls_last(), "__place")
+    dealt = materialise(order.select("__place", F.monotonically_increasing_id().alias("at")), "row-order", folder)
+    task = F.shiftright("at", 33)
+    sizes = sorted(dealt.groupBy(task.alias("task")).count().collect())  # one row a task
+    starts, total = [], 0
+    for k, n in sizes:
+        starts.append((k, total))
+        total += n
+    if total > MOST_ROWS:
+        raise ValueError("more than 2^32 rows")
+    starts = placed.sparkSession.createDataFrame(starts, "task long, start long")
+    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return materialise(dealt.withColumn("task", task).join(F.broadcast(starts), "task").select("__place", (F.col("start") + within).alias("doc")), "row-ranks", folder)
 
 
 def _id(no: Column) -> Column:
     """A line's id, never negative: ids of later documents, and of later lines in one, are larger."""
-    return (F.col("doc") + NO_ID) * (1 << LINE_BITS) + no
+    return F.shiftleft("doc", LINE_BITS).bitwiseOR(no.cast("long"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """id, line."""
-    lines = docs.select(_doc().alias("doc"), F.posexplode(F.split(text_of(), "\n")).alias("no", "line")).where(F.col("no") < (1 << LINE_BITS))
-    return lines.select(_id(F.col("no")).alias("id"), "line")
+    return docs.select("doc", F.posexplode(F.split(text_of(), "\n")).alias("no", "line")).select(_id(F.col("no")).alias("id"), "line")
 
 
 def rarity(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -94,9 +135,9 @@ def coded_lines(docs: DataFrame, rare: DataFrame, folder: str | None = None) ->
     as many or more), prefix the prefix words as 32 bits of their hashes, none for sets under LEAST_JOINED words.
     Sets are made before lines are dealt to rows, as every row that a join with the rarity table makes carries the table.
     """
-    texts = docs.select(_doc().alias("doc"), F.split(text_of(), "\n").alias("lines"), F.lit(1).alias("one")).join(F.broadcast(rare), "one")
+    texts = docs.select("doc", F.split(text_of(), "\n").alias("lines"), F.lit(1).alias("one")).join(F.broadcast(rare), "one")
     each = F.transform("lines", lambda x: F.struct(x.alias("line"), _ranked(words_of(x)).alias("set")))
-    lines = texts.select("doc", F.posexplode(each).alias("no", "x")).where((F.col("no") < (1 << LINE_BITS)) & (F.size("x.set") >= MIN_WORDS))
+    lines = texts.select("doc", F.posexplode(each).alias("no", "x")).where(F.size("x.set") >= MIN_WORDS)
     lines = lines.select(_id(F.col("no")).alias("id"), "x.line", "x.set", F.size("x.set").alias("n"))
     prefix = F.slice("set", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(THRESHOLD) - F.lit(1e-9)) + 1).cast("int"))
     prefix = F.transform(prefix, lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int"))
@@ -203,30 +244,33 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     return every, settled.unionByName(_verified(_enough(met), docs, "lines-others", folder)).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, NO_ID for null) and removed, the numbers of its lines to remove, ascending. A table in the shared folder."""
-    with scratch(docs.sparkSession) as folder:
-        lines = coded_lines(docs, rarity(docs, folder), folder)
+def removed_lines(placed: DataFrame) -> DataFrame:
+    """Of a table with __place: __place and removed, the numbers of its lines to remove, ascending. A table in the shared folder."""
+    with scratch(placed.sparkSession) as folder:
+        ranks = _ranks(placed, folder)
+        docs = placed.select("__place", "text").join(_small(ranks), "__place").select("doc", "text")
+        lines = coded_lines(docs, rarity(placed, folder), folder)
         every, near = duplicate_classes(docs, lines, folder)
         gone = every.join(near.withColumn("gone", F.lit(True)), "id", "left").where(F.col("gone") | (F.col("copies") > 1))
         gone = gone.select("key1", "key2", F.when(F.col("gone"), F.lit(None)).otherwise(F.col("id")).alias("keep"))
         out = lines.select("id", "key1", "key2").join(gone, ["key1", "key2"]).where(F.col("keep").isNull() | (F.col("id") != F.col("keep")))
-        doc, no = F.shiftright("id", LINE_BITS) - NO_ID, F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
-        return materialise(out.groupBy(doc.alias("doc")).agg(F.sort_array(F.collect_set(no)).alias("removed")), "lines-removed")
+        no = F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
+        by_row = out.groupBy(F.shiftright("id", LINE_BITS).alias("doc")).agg(F.sort_array(F.collect_list(no)).alias("removed"))
+        return materialise(by_row.join(ranks, "doc").select("__place", "removed"), "lines-removed")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (numbers from 0): one row for each row of docs."""
-    docs = docs.select("doc_id", "text")
-    counted = docs.select(F.col("doc_id").cast("long"), _doc().alias("doc"), F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines"))
+    placed = _placed(docs)
+    counted = placed.select(F.col("doc_id").cast("long"), "__place", F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return counted.join(removed_lines(docs), "doc", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    return counted.join(removed_lines(placed), "__place", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs with the lines removed from their text; a document of which no word is left goes. All columns are returned."""
-    gone = removed_lines(docs.select("doc_id", "text"))
-    gone = _small(gone).withColumnsRenamed({"doc": "__doc", "removed": "__removed"})
+    placed = _placed(docs)
+    gone = _small(removed_lines(placed)).withColumnsRenamed({"removed": "__removed"})
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.coalesce(F.array_contains("__removed", k), F.lit(False))), "\n")
-    left = docs.withColumn("__doc", _doc()).join(gone, "__doc", "left").withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept))
+    left = placed.join(gone, "__place", "left").withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept))
     return left.where(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -148,6 +148,21 @@ def test_line_dedup_short_lines(spark):
     assert got == {0: [], 1: [0, 1], 2: [], 3: [0], 4: [], 5: [0], 6: [], 7: [], 8: []}
 
 
+def test_line_dedup_rows_without_own_id(spark, tmp_path):
+    """Every row is compared for itself: in order of doc_id, then of its place in the file."""
+    line = [made(12, 500 + k) for k in range(5)]
+    rows = [(7, line[0]), (None, line[0]), (None, line[1] + "\n" + line[2]), (None, line[3] + "\n" + line[2]), (9, line[4]), (9, "\n" + line[4]), (9, line[3] + " x y z"), (1 << 50, line[4])]
+    rows += [(11, "\n" * (1 << 20) + line[1])]
+    want = [[], [0], [0], [1], [], [1], [], [0], []]
+    want = sorted((str(i), tuple(w)) for (i, _), w in zip(rows, want, strict=True))
+    path = str(tmp_path / "rows.parquet")
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    frame.write.parquet(path)
+    assert sorted((str(r[0]), tuple(r[3])) for r in lines.duplicate_lines(spark.read.parquet(path)).collect()) == want
+    kept = [r["text"] for r in lines.without_duplicates(frame).collect() if r["doc_id"] is None]  # no scan of files
+    assert sorted(kept) == sorted([line[2], line[3]])
+
+
 def plain_fingerprint(text):
     w = words(lower(text))
     runs = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
