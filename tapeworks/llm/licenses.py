@@ -1,6 +1,7 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies, in DataFrame functions.
 
-Texts and templates are shingled by SHINGLE words, lower-cased and without punctuation. For a template of m shingles, a text's
+Texts and templates are shingled by SHINGLE words, lower-cased and without punctuation. A template of fewer words is one shingle
+of all its words, and texts are shingled by runs of that length too, for such templates alone. For a template of m shingles, a text's
 windows are 2m shingles long and start every m, so any run of m shingles lies whole inside one. A window that holds a share
 CONTAINED of the template has a Jaccard similarity of at least CONTAINED * m / (2m + m - CONTAINED * m) = 0.36, and HASHES
 bands of one row miss it with probability (1 - 0.36)^32 < 1e-6.
@@ -9,7 +10,8 @@ A window can only agree with a template in a band if it holds that template's le
 joined with the templates' least shingles first (HASHES rows a template), and band values are computed for the windows around
 those hits alone: the same candidates as from banding every window, at the cost of one pass over the text.
 
-Defined results: null, empty and short texts match nothing; repeated rows are reported each; null ids pass through; an empty
+Defined results: null and empty texts, and texts shorter than a template's shingle, match nothing; a template without a word
+raises an error; repeated rows are reported each; null ids pass through; an empty
 table, or no templates, gives no rows; further columns are ignored.
 """
 
@@ -37,20 +39,27 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+#: The same of fewer than SHINGLE words.
+SHORT_TEMPLATES = [("All-rights-reserved", "All rights reserved.")]
+
 
 def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license string, text string")
+    return spark.createDataFrame(TEMPLATES + SHORT_TEMPLATES, "license string, text string")
+
+
+def _words(text: Column) -> Column:
+    """array<long>: a hash of each word."""
+    return F.transform(F.array_remove(F.split(F.regexp_replace(F.lower(text), r"""[.,;:()"']""", ""), WHITE_CLASS + "+"), ""), lambda w: F.xxhash64(w))
 
 
-def _shingles(text: Column) -> Column:
-    """array<long>: a hash of each run of SHINGLE words."""
-    hashes = F.transform(F.array_remove(F.split(F.regexp_replace(F.lower(text), r"""[.,;:()"']""", ""), WHITE_CLASS + "+"), ""), lambda w: F.xxhash64(w))
+def _shingles(words: Column, lengths: list[int]) -> Column:
+    """array<struct<run, shingles>>: for each run length a hash of each run of so many words."""
 
-    def runs(h: Column) -> Column:
-        each = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, SHINGLE)]))
-        return F.slice(each, F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0)))
+    def runs(h: Column, length: int) -> Column:
+        each = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, length)]))
+        return F.struct(F.lit(length).alias("run"), F.slice(each, F.lit(1), F.greatest(F.size(h) - (length - 1), F.lit(0))).alias("shingles"))
 
-    return F.element_at(F.transform(F.array(hashes), runs), 1)
+    return F.element_at(F.transform(F.array(words), lambda h: F.array(*[runs(h, n) for n in lengths])), 1)
 
 
 def _bands(shingles: Column) -> Column:
@@ -64,13 +73,21 @@ def _bands(shingles: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """doc_id, license, containment, n_windows, first_word: for each text and the templates that it holds."""
-    own = templates.select("license", _shingles(text_of()).alias("shingles")).where(F.size("shingles") > 0)
-    own = own.select("license", F.array_distinct("shingles").alias("template"), F.size("shingles").alias("m"), _bands(F.col("shingles")).alias("bands"))
+    own = templates.select("license", _words(text_of()).alias("words"))
+    own = own.withColumn("length", F.least(F.size("words"), F.lit(SHINGLE)))
+    lengths = sorted(r[0] for r in own.select("length").distinct().collect())  # at most SHINGLE + 1
+    if 0 in lengths:
+        raise ValueError("a template without a word")
+    if not lengths:
+        lengths = [SHINGLE]
+    own = own.select("license", "length", F.explode(_shingles(F.col("words"), lengths)).alias("x")).where("x.run = length").select("license", "x.run", "x.shingles")
+    own = own.select("license", "run", F.array_distinct("shingles").alias("template"), F.size("shingles").alias("m"), _bands(F.col("shingles")).alias("bands"))
     # for each band the shingle that has the least value
-    least = own.select("*", F.posexplode("template").alias("i", "s")).groupBy("license", "m").agg(F.first("template").alias("template"), F.first("bands").alias("bands"), *[F.min_by("s", F.xxhash64("s", F.lit(k))).alias(f"s{k}") for k in range(HASHES)])
-    least = least.select("license", "m", "template", "bands", F.explode(F.array_distinct(F.array(*[f"s{k}" for k in range(HASHES)]))).alias("s"))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), _shingles(text_of()).alias("shingles"))
-    hits = texts.select("*", F.posexplode("shingles").alias("at", "s")).join(_small(least), "s")
+    least = own.select("*", F.posexplode("template").alias("i", "s")).groupBy("license", "m", "run").agg(F.first("template").alias("template"), F.first("bands").alias("bands"), *[F.min_by("s", F.xxhash64("s", F.lit(k))).alias(f"s{k}") for k in range(HASHES)])
+    least = least.select("license", "m", "run", "template", "bands", F.explode(F.array_distinct(F.array(*[f"s{k}" for k in range(HASHES)]))).alias("s"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), _shingles(_words(text_of()), lengths).alias("x"))
+    texts = texts.select("row", "doc_id", F.inline("x"))
+    hits = texts.select("*", F.posexplode("shingles").alias("at", "s")).join(_small(least), ["s", "run"])
     start = F.explode(F.array_distinct(F.transform(F.array(F.lit(0), F.lit(1)), lambda back: F.greatest(F.floor(F.col("at") / F.col("m")) - back, F.lit(0)) * F.col("m")))).alias("start")
     windows = hits.select("row", "doc_id", "license", "m", "template", "bands", start, "shingles")
     windows = windows.withColumn("window", F.slice("shingles", (F.col("start") + 1).cast("int"), 2 * F.col("m"))).drop("shingles")

@@ -292,6 +292,17 @@ def test_licenses_against_every_window(spark, docs, table):
     assert {(r["doc_id"], r["license"]) for r in got.collect()} == want == {(91, "GPL-3.0")}
 
 
+def test_short_license_templates(spark):
+    own = spark.createDataFrame([("two", "Keep out"), ("three", "All rights reserved."), ("six", "one two three four five six")], "license string, text string")
+    texts = ["x y\nAll rights\nreserved", "all rights", "keep (out) all Rights reserved. one two three four five six", "rights reserved all keep in", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["license"], r["first_word"]) for r in licenses.scan_licenses(frame, own).collect()}
+    assert got == {(0, "three", 2), (2, "two", 0), (2, "three", 2), (2, "six", 5)}
+    assert {r["license"] for r in licenses.scan_licenses(frame, licenses.template_table(spark)).collect()} == {"All-rights-reserved"}
+    with pytest.raises(ValueError, match="without a word"):
+        licenses.scan_licenses(frame, spark.createDataFrame([("none", " . ")], "license string, text string"))
+
+
 def plain_features(text):
     w = words(text)
     seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
