@@ -50,10 +50,12 @@ class WordEncoder(dict):
     The pattern never lets a token run over the border before a space that a non-space character follows, so a text is the
     sum of its words, each with the space before it. A text with a space before white space or at its end is encoded whole.
     The merging itself is tiktoken's, on the vocabulary of the same file; the tests hold its ids against the library's.
+    A text that holds one of the file's added tokens is encoded by the library itself, as only that knows them.
     """
 
     def __init__(self, path: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -61,6 +63,7 @@ class WordEncoder(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         special = {x["content"] for x in spec["added_tokens"]}
+        self.added, self.library = sorted(special), Tokenizer.from_file(path)
         ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
         self.plain = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -73,6 +76,8 @@ class WordEncoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         head, *words = text.split(" ")
         try:
             return array("I", self.plain(head)).tobytes() + b"".join(map(self.__getitem__, words))

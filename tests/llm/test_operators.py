@@ -427,6 +427,17 @@ def test_word_encoder_equals_the_library():
         assert encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_word_encoder_knows_added_tokens():
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    path = public.path(packing.TOKENIZER)
+    encode, library = packing.WordEncoder(path), Tokenizer.from_file(path)
+    for t in ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  ", "a <|endoftext | > b", "c\n<|endoftext|> "]:
+        assert encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    assert 50256 in np.frombuffer(encode("a <|endoftext|> b"), "<u4")
+
+
 def test_plan_never_overfills():
     rng = np.random.default_rng(2)
     for cap in (7, 64):
