@@ -1,10 +1,12 @@
 """Class-based n-gram scoring (Brown): exchange clustering, class transitions and word emissions.
 
-Training: word counts over all training texts; a bounded head of frequent words gets small codes; the rest of a text's words
-(its tail) find their exact count by a join on the word. A text is then a row of integers, and everything after works on
-those. Exchange clustering moves one head word at a time to the class that raises the likelihood of class bigrams most; its
+Training: word counts over all training texts; a bounded head of frequent words gets small codes; the other words of a text are
+its tail, and codes point into it. A text is then a row of integers, and what follows works on those. Exchange clustering moves
+one of the CLUSTER_WORDS most frequent words at a time to the class that raises the likelihood of class bigrams most; its
 statistics (how often each word stands before and after each class) are gathered over all training texts in every round and
-have a fixed size. Words too rare for the exchange to judge share a class with those of a like count (powers of two).
+have a fixed size. Then every other word seen twice or more goes to the class that its neighbours over all training texts make
+likeliest: a Spark job by word, whose result, like the counts, grows with the corpus and is joined by word. Words seen once
+share a class.
 
 Scoring: P(w | h) = WEIGHT * P(class of w | class before) * P(w | its class) + (1 - WEIGHT) * add-0.1 unigram. Both parts sum to
 one over the vocabulary and one unknown word, so the score is a proper log-probability of the text and its end.
@@ -17,10 +19,11 @@ training texts scores by the unigram part alone; further columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,20 +38,18 @@ from .textbatch import chunks
 #: Words with a code of their own: the most frequent of at most HEAD_BYTES bytes. Bounds what the tasks are sent.
 HEAD = 65_536
 HEAD_BYTES = 64
-#: Head words that the exchange moves, classes it has, and rounds over the training texts.
+#: Words that the exchange moves, classes it has, and rounds over the training texts.
 CLUSTER_WORDS = 8192
 CLASSES = 64
 ROUNDS = 3
 WEIGHT = 0.6
 ADD = 0.1
-#: Classes by count: 1, 2-3, 4-7, ...
-BANDS = 40
-END_CLASS = CLASSES
-ALL = CLASSES + 1 + BANDS + 1
-UNKNOWN = ALL - 1
+END_CLASS, ONCE, UNKNOWN = CLASSES, CLASSES + 1, CLASSES + 2
+ALL = CLASSES + 3
 #: Stands for the end of a text in the table of counts; no word holds it.
 END = "\n"
-#: Code 0 is the end; head words follow by frequency; a word of the tail with count n is -1 - n.
+#: A task sends its counts of words after so many different ones.
+SEEN = 100_000
 _WORDS_A_BLOCK = 512
 
 
@@ -65,11 +66,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def sent() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            seen[END.encode()] += batch.num_rows
-            for text in pc.cast(batch.column("text"), pa.binary()).to_pylist():
+        for part in itertools.chain.from_iterable(map(chunks, batches)):
+            seen[END.encode()] += part.num_rows
+            for text in pc.cast(part.column("text"), pa.binary()).to_pylist():
                 seen.update((text or b"").lower().split())
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     yield sent()
                     seen.clear()
         yield sent()
@@ -77,110 +78,183 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _encoded(docs: DataFrame, counts: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """row, doc_id, held_out, codes."""
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch):
-                codes, tails = [], []
-                for text in pc.cast(part.column("text"), pa.binary()).to_pylist():
-                    words = (text or b"").lower().split()
-                    code = np.fromiter(map(head.get, words, itertools.repeat(-1)), np.int32, len(words))
-                    miss = np.flatnonzero(code < 0)
-                    own: dict[bytes, int] = {}
-                    code[miss] = [-1 - own.setdefault(words[i], len(own)) for i in miss]
-                    codes.append(code)
-                    tails.append(list(own))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(codes, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], ["row", "doc_id", "held_out", "codes", "tail"]
-                )
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, own = b.column("codes"), pc.fill_null(b.column("counts"), [])
-            flat, n = np.array(codes.flatten()), np.asarray(own.flatten())
-            if len(n) and n.max() >= 2**31 - 2:
-                raise OverflowError("a word of the tail is too frequent; raise HEAD")
-            start = np.repeat(np.concatenate([[0], np.cumsum(pc.list_value_length(own))[:-1]]).astype(np.int64), pc.list_value_length(codes))
-            miss = flat < 0
-            flat[miss] = -1 - n[start[miss] - 1 - flat[miss]]
-            size = np.concatenate([[0], np.cumsum(pc.list_value_length(codes))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.ListArray.from_arrays(pa.array(size), pa.array(flat))], ["doc_id", "held_out", "codes"])
+def _encoded(docs: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """row, doc_id, held_out, codes, tail: 0 is the end, head words follow by frequency, -1 - k is the k-th word of the row's tail."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in itertools.chain.from_iterable(map(chunks, batches)):
+            codes, tails = [], []
+            for text in pc.cast(part.column("text"), pa.binary()).to_pylist():
+                words = (text or b"").lower().split()
+                code = np.fromiter(map(head.get, words, itertools.repeat(-1)), np.int32, len(words))
+                miss = np.flatnonzero(code < 0)
+                own: dict[bytes, int] = {}
+                code[miss] = [-1 - own.setdefault(words[i], len(own)) for i in miss]
+                codes.append(code)
+                tails.append(list(own))
+            out = [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(codes, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(out, ["row", "doc_id", "held_out", "codes", "tail"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
-    coded = materialise(rows.mapInArrow(first, "row long, doc_id long, held_out boolean, codes array<int>, tail array<string>"), "codes")
-    tails = coded.select("row", F.posexplode("tail").alias("at", "word")).join(counts, "word", "left")
-    tails = tails.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("found"))
-    tails = tails.select("row", F.transform("found", lambda x: x["n"]).alias("counts"))
-    return materialise(coded.drop("tail").join(tails, "row", "left").mapInArrow(second, "doc_id long, held_out boolean, codes array<int>"), "resolved")
+    return materialise(rows.mapInArrow(coded, "row long, doc_id long, held_out boolean, codes array<int>, tail array<string>"), "codes")
 
 
-def band_class(n: np.ndarray) -> np.ndarray:
-    """The class of words that the exchange doesn't move, by their count."""
-    return np.where(n > 0, END_CLASS + 1 + np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), BANDS - 1), UNKNOWN)
+def _resolved(coded: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """doc_id, held_out, codes, and of each word of the tail its count and class."""
+    tails = coded.select("row", F.posexplode("tail").alias("at", "word")).join(lexicon, "word", "left")
+    found = F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(UNKNOWN)).alias("cls"))))
+    tails = tails.groupBy("row").agg(found.alias("found")).select("row", F.transform("found", lambda x: x["n"]).alias("tail_n"), F.transform("found", lambda x: x["cls"]).alias("tail_class"))
+    return materialise(coded.drop("tail").join(tails, "row", "left").drop("row"), "resolved")
 
 
 @dataclass(frozen=True)
 class ClassModel:
     """head_counts and head_class by code; pairs[a, b]: how often class b follows class a; tokens and types in training."""
 
-    head: dict[bytes, int]
     head_counts: np.ndarray
     head_class: np.ndarray
     pairs: np.ndarray
     tokens: int
     types: int
 
-    def looked_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and class of each code."""
-        tail, at = codes < 0, np.maximum(codes, 0)
-        n = np.where(tail, -1 - codes.astype(np.int64), self.head_counts[at])
-        return n, np.where(tail, band_class(n), self.head_class[at])
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` tokens."""
+    for b in batches:
+        part = np.cumsum(np.asarray(pc.list_value_length(b.column("codes")), np.int64) + 1) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), b.num_rows]
+        yield from (b.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
 
-def _strung(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of a batch's texts, each with its end, behind one more end; and how many tokens each text has."""
+
+def _strung(b: pa.RecordBatch, tail: str) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a batch's texts, each with its end, behind one more end, where -1 - k is word k of all tails; and each text's tokens."""
     codes = b.column("codes")
-    size = np.asarray(pc.list_value_length(codes)).astype(np.int64)
-    out = np.zeros(size.sum() + len(size) + 1, np.int32)
-    at = np.repeat(np.arange(len(size)), size) + np.arange(size.sum()) + 1
-    out[at] = np.asarray(codes.flatten())
+    size, tails = (np.asarray(pc.fill_null(pc.list_value_length(x), 0)).astype(np.int64) for x in (codes, b.column(tail)))
+    out, flat = np.zeros(size.sum() + len(size) + 1, np.int64), np.asarray(codes.flatten()).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row + np.arange(size.sum()) + 1] = np.where(flat < 0, flat - (np.cumsum(tails) - tails)[row], flat)
     return out, size + 1
 
 
+def _classes(b: pa.RecordBatch, model: ClassModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of codes or resolved ones: _strung(), and each token's count and class."""
+    known = "tail_n" in b.schema.names
+    seq, size = _strung(b, "tail_n" if known else "tail")
+    tail, at = seq < 0, np.maximum(seq, 0)
+    n, cls = model.head_counts[at], model.head_class[at]
+    if known:
+        n[tail], cls[tail] = (np.asarray(b.column(c).flatten())[-1 - seq[tail]] for c in ("tail_n", "tail_class"))
+    else:
+        n[tail], cls[tail] = 0, ONCE
+    return seq, size, n, cls
+
+
+def _summed(tables: DataFrame) -> DataFrame:
+    """block, data: compressed tables of a block added up, first in about as many groups as make each sum as short as the last."""
+    ways = 1 + math.isqrt(tables.rdd.getNumPartitions())
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(zlib.decompress(group["data"].iloc[0]), np.int64).copy()
+        for data in group["data"].iloc[1:]:
+            total += np.frombuffer(zlib.decompress(data), np.int64)
+        return pd.DataFrame({"block": group["block"].head(1), "data": [zlib.compress(total.tobytes(), 1)]})
+
+    first = tables.withColumn("way", F.spark_partition_id() % ways).groupBy("block", "way").applyInPandas(added, "block int, data binary")
+    return first.groupBy("block").applyInPandas(added, "block int, data binary")
+
+
 def _gathered(coded: DataFrame, model: ClassModel, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Over all training texts: class pairs, and for each code below `words` its followers' and leaders' classes and self-pairs."""
     blocks = -(-words // _WORDS_A_BLOCK)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, own = np.zeros(ALL * ALL, np.int64), np.zeros((blocks * _WORDS_A_BLOCK, 2 * ALL + 1), np.int64)
-        for b in batches:
-            seq, _ = _strung(b)
-            _, cls = model.looked_up(seq)
+        for b in _parts(batches):
+            seq, _, _, cls = _classes(b, model)
             pairs += np.bincount(cls[:-1] * ALL + cls[1:], minlength=ALL * ALL)
             for word, other, to in ((seq[:-1], cls[1:], 0), (seq[1:], cls[:-1], ALL)):
                 live = (word >= 0) & (word < words)
-                own[:, to : to + ALL] += np.bincount(word[live] * np.int64(ALL) + other[live], minlength=len(own) * ALL).reshape(-1, ALL)
+                own[:, to : to + ALL] += np.bincount(word[live] * ALL + other[live], minlength=len(own) * ALL).reshape(-1, ALL)
             same = seq[:-1][(seq[:-1] == seq[1:]) & (seq[:-1] >= 0) & (seq[:-1] < words)]
             own[:, -1] += np.bincount(same, minlength=len(own))
         data = [zlib.compress(pairs.tobytes(), 1)] + [zlib.compress(x.tobytes(), 1) for x in (own.reshape(blocks, -1) if blocks else [])]
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, blocks), pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
-    def added(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(zlib.decompress(group["data"].iloc[0]), np.int64).copy()
-        for data in group["data"].iloc[1:]:
-            total += np.frombuffer(zlib.decompress(data), np.int64)
-        return pd.DataFrame({"block": group["block"].head(1), "data": [zlib.compress(total.tobytes(), 1)]})
-
-    schema = "block int, data binary"
-    got = {r[0]: np.frombuffer(zlib.decompress(r[1]), np.int64) for r in coded.where("not held_out").select("codes").mapInArrow(counted, schema).groupBy("block").applyInPandas(added, schema).collect()}
+    tables = coded.where("not held_out").drop("row", "doc_id", "held_out").mapInArrow(counted, "block int, data binary")
+    got = {r[0]: np.frombuffer(zlib.decompress(r[1]), np.int64) for r in _summed(tables).collect()}  # of a fixed size
     if not got:
         return np.zeros((ALL, ALL), np.int64), np.zeros((words, 2 * ALL + 1), np.int64)
     rows = [got[k].reshape(-1, 2 * ALL + 1) for k in range(blocks)]
     return got[-1].reshape(ALL, ALL), np.concatenate(rows)[:words] if rows else np.zeros((0, 2 * ALL + 1), np.int64)
 
 
+def _transitions(pairs: np.ndarray) -> np.ndarray:
+    """P(class b | class a), smoothed by the classes' shares."""
+    n = pairs.sum(axis=0)
+    return (pairs + n / max(1.0, n.sum())) / (pairs.sum(axis=1, keepdims=True) + 1)
+
+
+def assigned_words(coded: DataFrame, names: list[bytes], model: ClassModel, moved: int) -> DataFrame:
+    """word, cls of all training words with a code from `moved` on or none: the class that its neighbours make likeliest.
+
+    A word sends one byte for itself and for each neighbour that has a class: which class it is, and on which side. names[k] is
+    the word of code k.
+    """
+    side, own = END_CLASS + 1, 2 * (END_CLASS + 1)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            seq, _, _, cls = _classes(b, model)
+            tail = b.column("tail").flatten().dictionary_encode()
+            at = np.flatnonzero((seq < 0) | (seq >= moved))
+            word = np.where(seq[at] < 0, np.append(np.asarray(tail.indices), 0)[np.where(seq[at] < 0, -1 - seq[at], -1)], len(tail.dictionary) + seq[at])
+            left, right = cls[at - 1], cls[np.minimum(at + 1, len(seq) - 1)]
+            who = np.concatenate([word, word[left < side], word[right < side]])
+            what = np.concatenate([np.full(len(at), own), left[left < side], side + right[right < side]]).astype(np.uint8)
+            order = np.argsort(who, kind="stable")
+            first = np.flatnonzero(np.diff(who[order], prepend=-1))
+            text = [tail.dictionary[int(k)].as_py() if k < len(tail.dictionary) else names[k - len(tail.dictionary)].decode() for k in who[order[first]]]
+            off = pa.array(np.append(first, len(order)).astype(np.int32))
+            told = pa.Array.from_buffers(pa.binary(), len(first), [None, off.buffers()[1], pa.py_buffer(what[order].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), told], ["word", "told"])
+
+    with np.errstate(divide="ignore"):
+        after = np.log(_transitions(model.pairs.astype(float)))
+        table = np.zeros((own + 1, CLASSES))
+        table[:side] = after[:side, :CLASSES]
+        table[side:own] = after[:CLASSES, :side].T
+        table[own] = -np.log(np.maximum(model.pairs.sum(axis=0)[:CLASSES], 1))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, score, count = None, np.zeros(CLASSES), 0  # of the word that the batch before ended in
+        for b in batches:
+            if not b.num_rows:
+                continue
+            word, told = b.column("word").dictionary_encode(), b.column("told")
+            size = np.asarray(pc.binary_length(told)).astype(np.int64)
+            what = np.frombuffer(b"".join(told.to_pylist()), np.uint8)
+            # how often a word is told each thing, then one product with the table
+            cell = np.bincount(np.repeat(np.asarray(word.indices), size) * np.int64(own + 1) + what, minlength=len(word.dictionary) * (own + 1)).reshape(-1, own + 1)
+            scores, counts, names_here = cell @ table, cell[:, own], word.dictionary.to_pylist()
+            if name == names_here[0]:
+                scores[0] += score
+                counts[0] += count
+            elif name is not None:
+                yield _chosen([name], score[None], np.array([count]))
+            name, score, count = names_here[-1], scores[-1], int(counts[-1])
+            yield _chosen(names_here[:-1], scores[:-1], counts[:-1])
+        if name is not None:
+            yield _chosen([name], score[None], np.array([count]))
+
+    told = coded.where("not held_out").select("codes", "tail").mapInArrow(seen, "word string, told binary")
+    return told.repartition("word").sortWithinPartitions("word").mapInArrow(chosen, "word string, cls int")
+
+
+def _chosen(names: list[str], scores: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    cls = np.where(counts > 1, scores.argmax(axis=1) if len(scores) else 0, ONCE).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cls[: len(names)])], ["word", "cls"])
+
+
 def exchanged(head_class: np.ndarray, pairs: np.ndarray, own: np.ndarray) -> np.ndarray:
     """One round of exchange: each word of `own` in turn moves to the class that gives class bigrams the highest likelihood."""
 
@@ -223,20 +297,27 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
     counts = materialise(word_counts(docs.where(~held_out())), "word-counts")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     ends = sum(r[0] for r in counts.where(F.col("word") == END).select("n").collect())
-    words = counts.where((F.col("word") != END) & (F.octet_length("word") <= HEAD_BYTES))
-    top = words.orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    head = {r[0].encode(): k for k, r in enumerate(top, 1)}
-    coded = _encoded(docs, counts, head)
-    n = np.array([ends, *(r[1] for r in top)], np.int64)
-    movable = min(len(n), CLUSTER_WORDS + 1)
-    cls = band_class(n)
-    cls[1:movable] = np.arange(movable - 1) % CLASSES
-    cls[0] = END_CLASS
-    model = ClassModel(head, n, cls, np.zeros((ALL, ALL), np.int64), int(tokens), int(types))
+
+    def frequent(words: DataFrame) -> DataFrame:
+        return words.where((F.col("word") != END) & (F.octet_length("word") <= HEAD_BYTES)).orderBy(F.desc("n"), "word").limit(HEAD)
+
+    top = frequent(counts).collect()
+    names = [b"", *(r[0].encode() for r in top)]
+    coded = _encoded(docs, {x: k for k, x in enumerate(names) if k})
+    moved = min(len(names), CLUSTER_WORDS + 1)
+    cls = np.full(len(names), ONCE)
+    cls[1:moved], cls[0] = np.arange(moved - 1) % CLASSES, END_CLASS
+    model = ClassModel(np.array([ends, *(r[1] for r in top)], np.int64), cls, np.zeros((ALL, ALL), np.int64), int(tokens), int(types))
     for _ in range(rounds):
-        pairs, own = _gathered(coded, model, movable)
-        model = ClassModel(head, n, exchanged(model.head_class, pairs, own), pairs, int(tokens), int(types))
-    return ClassModel(head, n, model.head_class, _gathered(coded, model, 0)[0], int(tokens), int(types)), coded
+        pairs, own = _gathered(coded, model, moved)
+        model = replace(model, head_class=exchanged(model.head_class, pairs, own), pairs=pairs)
+    model = replace(model, pairs=_gathered(coded, model, 0)[0])
+    classes = assigned_words(coded, names, model, moved)
+    lexicon = materialise(counts.join(classes, "word", "left").select("word", "n", F.coalesce("cls", F.lit(ONCE)).alias("cls")), "lexicon")
+    others = [r["cls"] for r in frequent(lexicon).select("cls").collect()][moved - 1 :]
+    model = replace(model, head_class=np.concatenate([model.head_class[:moved], np.array(others, np.int64)]))
+    resolved = _resolved(coded, lexicon)
+    return replace(model, pairs=_gathered(resolved, model, 0)[0]), resolved
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -244,18 +325,14 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def scored(coded: DataFrame, model: ClassModel, weight: float = WEIGHT) -> DataFrame:
     """The columns of SCORES for each text of coded."""
-    pairs, tokens, types = model.pairs.astype(float), model.tokens, model.types
-    n_class = pairs.sum(axis=0)
-    unigram = n_class / max(1.0, n_class.sum())
-    after = (pairs + unigram) / (pairs.sum(axis=1, keepdims=True) + 1)
+    tokens, types, n_class = model.tokens, model.types, model.pairs.astype(float).sum(axis=0)
+    after = _transitions(model.pairs.astype(float))
     weight = weight if n_class.sum() else 0.0
     per_class = np.divide(1.0, n_class, out=np.zeros(ALL), where=n_class > 0)
-    small = ClassModel({}, model.head_counts, model.head_class, model.pairs, tokens, types)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seq, size = _strung(b)
-            n, cls = small.looked_up(seq)
+        for b in _parts(batches):
+            _, size, n, cls = _classes(b, model)
             base = (n[1:] + ADD) / (tokens + ADD * (types + 1))
             p = weight * after[cls[:-1], cls[1:]] * n[1:] * per_class[cls[1:]] + (1 - weight) * base
             starts = np.concatenate([[0], np.cumsum(size)[:-1]])
