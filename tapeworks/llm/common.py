@@ -15,9 +15,11 @@ WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where none is set and Spark is one local process."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = f"file://{tempfile.mkdtemp(prefix='tapeworks-')}"
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -51,6 +53,27 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         _delete(spark, folder)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df only reads files, picks columns and filters, so that each reading deals the same rows to the same tasks."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.deterministic() and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("Relation") or plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df, or a copy in the shared folder if df is no plain scan of files: monotonically_increasing_id() is the same at every reading."""
+    return df if is_scan(df) else materialise(df, "pinned")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it when no result that reads them is needed any more."""
     _delete(spark, _own_dir(spark))

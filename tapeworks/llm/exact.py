@@ -6,8 +6,8 @@
 3. The bitmaps go back, in row order, to the partitions. Only rows whose bit is set (suspects) have their text shuffled and
    compared byte by byte; the others are known to be alone.
 
-The second reading of the input must deal the rows to the same partitions as the first. That holds for a scan of files and for
-a checkpoint; give anything else with pinned=False and it is written to the shared folder first.
+The second reading of the input must deal the rows to the same partitions as the first. That holds for a scan of files;
+anything else is written to the shared folder first.
 
 Defined results: null text counts as empty; empty texts equal each other; of repeated rows (same id, same text) one stays; a
 null doc_id is the smallest; an empty table gives no rows; further columns are ignored.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, text_of
+from .common import materialise, partitions, pinned, text_of
 
 BITS = 48
 #: Rows of a partition that are coded together, and answered by one bitmap.
@@ -121,10 +121,9 @@ def suspects(docs: DataFrame) -> DataFrame:
     return rows.withColumn("block", block).join(bitmaps, ["part", "block"], "left").select("doc_id", "body", "row", bit.alias("suspect"))
 
 
-def exact_duplicates(docs: DataFrame, pinned: bool = True) -> DataFrame:
+def exact_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
-    docs = docs.select("doc_id", "text")
-    flagged = suspects(docs if pinned else materialise(docs, "exact-input"))
+    flagged = suspects(pinned(docs.select("doc_id", "text")))
     sha = F.sha2("body", 256).alias("text_sha256")
     alone = flagged.where(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     pairs = flagged.where("suspect")

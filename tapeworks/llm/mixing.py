@@ -1,8 +1,8 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-A source's documents are shuffled by a hash of their id and laid end to end, for as many epochs as its target needs. A
-document's virtual finish time is its source's cumulative size divided by the source's target, so all sources reach 1
-together. All (document, epoch) items are then range-sorted by that time and cut where the total budget is reached.
+A source's documents are shuffled by a hash of their id (of the row's number where an id is null or repeated) and laid end to
+end, for as many epochs as its target needs. A document's virtual finish time is its source's cumulative size divided by the
+source's target, so all sources reach 1 together. All (document, epoch) items are then range-sorted by that time and cut where the total budget is reached.
 
 Running sums are taken in two levels: sums by slice of the shuffle (or of the time), running over the few slices, then inside
 each slice. So no window holds a whole source, however large.
@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of, words_of
+from .common import fresh, materialise, pinned, text_of, words_of
 
 EPOCHS = 3
-SLICES = 4096
+#: Slices of a running sum over all rows, the least, and the rows that a slice of a larger table holds on average.
+SLICES, SLICE_ROWS = 4096, 50_000
 #: A source table of more rows than this is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -58,12 +59,18 @@ def _taken(sized: DataFrame, seed: str) -> DataFrame:
     targets = materialise(source_targets(sized), "mix-targets")
     few = F.broadcast(targets) if targets.count() <= BROADCAST_ROWS else targets
     docs = sized.join(few.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    live = docs.where("size > 0 and target > 0").withColumn("shuffle", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    live = _running(live, ["no"], F.conv(F.substring("shuffle", 1, 3), 16, 10).cast("int"), ["shuffle", "row"], "size", "through")
+    slices = max(SLICES, sized.count() // SLICE_ROWS)
+    repeated = sized.groupBy(F.col("doc_id").alias("other")).count().where("count > 1").select("other", F.lit(True).alias("again"))
+    live = docs.where("size > 0 and target > 0").join(repeated, F.col("doc_id").eqNullSafe(F.col("other")), "left").drop("other")
+    # an id of one row only decides its place; rows without such an id are spread by their number
+    own = F.when(F.col("again"), F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("row"), F.col("row").cast("string"))).otherwise(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    live = live.withColumn("shuffle", F.md5(F.concat_ws(":", F.lit(seed), own))).drop("again")
+    eighth = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long")
+    live = _running(live, ["no"], F.shiftright(eighth * F.lit(slices), 32).cast("int"), ["shuffle", "row"], "size", "through")
     items = live.select("row", "size", "doc_id", "shuffle", "source_size", "through", "target", F.explode(F.sequence(F.lit(0), F.ceil(F.col("target") / F.col("source_size")).cast("int") - 1)).alias("epoch"))
     time = (F.col("epoch") * F.col("source_size") + F.col("through")) / F.col("target")
     items = items.select(F.lit(0).alias("all"), "row", "size", "shuffle", "epoch", time.alias("time"))
-    items = _running(items, ["all"], F.floor(F.col("time") / (1 + F.col("time")) * SLICES).cast("int"), ["time", "shuffle", "row", "epoch"], "size", "total")
+    items = _running(items, ["all"], F.floor(F.col("time") / (1 + F.col("time")) * slices).cast("int"), ["time", "shuffle", "row", "epoch"], "size", "total")
     budget = targets.agg(F.coalesce(F.round(F.sum("target"), 3), F.lit(0.0))).first()[0]
     took = items.where(F.col("total") <= F.lit(budget)).groupBy("row").agg(F.sum("size").alias("taken"))
     return docs.join(took, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -76,12 +83,13 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def take(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mix itself: every document as many times as the mix takes it, with all its columns. docs must be a scan of files."""
-    row = F.monotonically_increasing_id().alias("__row")
-    sized = docs.select(row, F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(words_of(text_of())).cast("long").alias("size"))
-    took = _taken(sized.withColumnRenamed("__row", "row"), seed).where("taken > 0").select(F.col("row").alias("__row"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    times = docs.select(row, "*").join(took, "__row")
-    return times.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    """The mix itself: every document as many times as the mix takes it, with all its columns. What is no scan of files is written first."""
+    docs = pinned(docs)
+    own, times = fresh(docs, "row"), fresh(docs, "times")
+    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(words_of(text_of())).cast("long").alias("size"))
+    took = _taken(sized, seed).where("taken > 0").select(F.col("row").alias(own), F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")).alias(times))
+    rows = docs.select(F.monotonically_increasing_id().alias(own), "*").join(took, own)
+    return rows.withColumn(times, F.explode(times)).drop(own, times)
 
 
 #: The same in DuckDB: running sums as plain windows.

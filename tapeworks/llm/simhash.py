@@ -6,7 +6,7 @@ A fingerprint has a bit set where over half the XXH64 hashes (seed 42) of a text
 Search: the 64 bits are cut into BLOCKS blocks. A pair within `radius` leaves at least BLOCKS - radius blocks untouched, so it
 agrees on all bits of one of the masks that join as many blocks. For each mask there is a tree of vantage points over the
 distance between masked fingerprints. A pair that agrees on the mask is equally far from every vantage point, so these trees
-have no borders to overlap. Where a shard stays too large though its masked bits are alike, the tree goes on with vantage
+have no borders to overlap; beyond the depth that the sample allows, a hash of the masked bits splits shards on. Where a shard stays too large though its masked bits are alike, the tree goes on with vantage
 points over all 64 bits, and a fingerprint beyond a border but within `radius` of it is queried in both shards. Inside a
 shard, points at a masked distance above zero are pruned; runs of equal masked bits go down a local tree over all 64 bits,
 whose triangle bound prunes again, and its leaves are compared directly.
@@ -32,9 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise, pinned
 from .graph import components
-from .textbatch import chunks
+from .textbatch import chunks, mixed
 
 RADIUS = 4
 WORDS = 4
@@ -178,17 +178,30 @@ def _tree_pairs(fp: np.ndarray, radius: int, leaf: int) -> Iterator[tuple[np.nda
                 yield at[i + k][keep], at[j][keep]
 
 
-def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n positions the smallest one that pairs reach."""
-    label = np.arange(n)
+def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> np.ndarray:
+    """For each of n positions the smallest one that pairs reach. About `most` pairs are held at a time, none that says nothing new."""
+    label, held, size = np.arange(n), [], 0
+    for a, b in pairs:
+        a, b = label[a], label[b]
+        new = a != b
+        if new.any():
+            held.append((a[new], b[new]))
+            size += int(new.sum())
+        if size > most:
+            label, held, size = _joined(label, held), [], 0
+    return _joined(label, held)
+
+
+def _joined(label: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """label, where each position has its smallest one, after pairs of such labels are linked too."""
+    if not pairs:
+        return label
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
     while True:
         old = label.copy()
-        for a, b in pairs:
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            np.minimum.at(label, old[a], low)
-            np.minimum.at(label, old[b], low)
+        low = np.minimum(label[a], label[b])
+        for x in (a, b, old[a], old[b]):
+            np.minimum.at(label, x, low)
         label = label[label]
         if (label == old).all():
             return label
@@ -200,22 +213,24 @@ def similar_links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     scale = max(1.0, points.count() / max(1, len(sample)))
     rng = np.random.default_rng(1)
     forest = [_tree(sample, np.uint64(m), scale, radius, shard, rng) for m in masks(blocks, radius)]
+    parts = max(1, int(16 * scale / shard))  # a sample splits no shard of fewer than 16 of its points
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column("fp").to_numpy()
-            for k, tree in enumerate(forest):
+            for k, (mask, tree) in enumerate(zip(masks(blocks, radius), forest, strict=True)):
+                part = (mixed(fp.view(np.uint64) & np.uint64(mask)) % np.uint64(parts)).astype(np.int32)  # pairs agree on the mask
                 for shard_no, at in _routed(tree, fp.view(np.uint64)):
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), shard_no, np.int32)), pa.array(fp[at])], ["tree", "shard", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), shard_no, np.int32)), pa.array(part[at]), pa.array(fp[at])], ["tree", "shard", "part", "fp"])
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         fp, mask = np.sort(group["fp"].to_numpy()), np.uint64(masks(blocks, radius)[group["tree"].iloc[0]])
-        root = _forest(len(fp), list(_pairs(fp.view(np.uint64), mask, radius, LEAF)))
+        root = _forest(len(fp), _pairs(fp.view(np.uint64), mask, radius, LEAF))
         own = root != np.arange(len(fp))
         return pd.DataFrame({"a": fp[root[own]], "b": fp[own]})
 
-    return points.select("fp").mapInArrow(routed, "tree int, shard int, fp long").groupBy("tree", "shard").applyInPandas(linked, "a long, b long")
+    return points.select("fp").mapInArrow(routed, "tree int, shard int, part int, fp long").groupBy("tree", "shard", "part").applyInPandas(linked, "a long, b long")
 
 
 def _classified(docs: DataFrame, radius: int, words: int) -> DataFrame:
@@ -235,7 +250,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """One document of each class, one with the smallest doc_id, with all columns. docs must be a scan of files."""
-    rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    first = _classified(docs, radius, words).groupBy("component").agg(F.min_by("row", rank).alias("__row")).select("__row")
-    return docs.select(F.monotonically_increasing_id().alias("__row"), "*").join(first, "__row", "left_semi").drop("__row")
+    """One document of each class, one with the smallest doc_id, with all columns. What is no scan of files is written first."""
+    docs = pinned(docs)
+    rank, own = F.coalesce("doc_id", F.lit((1 << 63) - 1)), fresh(docs, "row")
+    first = _classified(docs, radius, words).groupBy("component").agg(F.min_by("row", rank).alias(own)).select(own)
+    return docs.select(F.monotonically_increasing_id().alias(own), "*").join(first, own, "left_semi").drop(own)
