@@ -16,9 +16,8 @@ from __future__ import annotations
 
 import bisect
 import json
-import sys
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .textbatch import chunks
+from .textbatch import chunks, laid_out, ragged, span_hashes
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,26 +35,26 @@ END_ID = 0
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of one length are ranked in so many parts, each by a task of its own.
 PARTS = 64
-#: A task's memory of word encodings starts anew beyond so many.
-CACHE = 800_000
+#: A task remembers so many words with their ids, one in each slot, of at most LONGEST ids.
+SLOTS, LONGEST = 1 << 18, 8
+#: White space after which a space is no word's: of one, two and three bytes.
+_SPACE1 = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_SPACE2, _SPACE3 = (np.array([int.from_bytes(chr(k).encode()) for k in (133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288) if len(chr(k).encode()) == n]) for n in (2, 3))
 
 
-class _Irregular(Exception):
-    pass
-
-
-class WordEncoder(dict):
-    """Encodes texts as the tokenizers library does with a byte-level BPE file, remembering the ids of words.
+class TextEncoder:
+    """Encodes texts as the tokenizers library does with a byte-level BPE file, each different word of a chunk once.
 
     The pattern never lets a token run over the border before a space that a non-space character follows, so a text is the
-    sum of its words, each with the space before it. A text with a space before white space or at its end is encoded whole.
-    The merging itself is tiktoken's, on the vocabulary of the same file; the tests hold its ids against the library's.
-    A text that holds one of the file's added tokens is encoded by the library itself, as only that knows them.
+    sum of its head (up to its first space) and its words, each with the space before it. New words are encoded end to end and
+    their ids cut where a word's bytes end; words are known by 64 bits of hash and their length. A text with a space before
+    white space or at its end is encoded whole. The merging itself is tiktoken's, on the vocabulary of the same file; the
+    tests hold its ids against the library's. A text that holds one of the file's added tokens is encoded by the library
+    itself, as only that knows them.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -63,46 +62,78 @@ class WordEncoder(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         special = {x["content"] for x in spec["added_tokens"]}
-        self.added, self.library = sorted(special), Tokenizer.from_file(path)
+        self.path, self.added, self.library = path, [x.encode() for x in sorted(special)], None
         ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(x) for x in ranks]
         self.plain = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.key, self.bytes_of, self.n_ids = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.ids = np.zeros((SLOTS, LONGEST), np.uint32)
 
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace():
-            raise _Irregular
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[word] = array("I", self.plain(" " + word)).tobytes()
-        return ids
-
-    def __call__(self, text: str) -> bytes:
+    def whole(self, text: bytes) -> np.ndarray:
         if any(x in text for x in self.added):
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        head, *words = text.split(" ")
-        try:
-            return array("I", self.plain(head)).tobytes() + b"".join(map(self.__getitem__, words))
-        except _Irregular:
-            return array("I", self.plain(text)).tobytes()
-
-
-def encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker, which runs one task after another; tasks share what it remembers."""
-    held = sys.__dict__.setdefault("_tapeworks_encoders", {})
-    if path not in held:
-        held[path] = WordEncoder(path)
-    return held[path]
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        return np.array(self.plain(text.decode()), np.uint32)
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids end to end, then where those of each word begin, and how many there are."""
+        h, first, at = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        slot, size = (h >> np.uint64(40)).astype(np.int64) % SLOTS, (ends - starts)[first]
+        there = (self.key[slot] == h) & (self.bytes_of[slot] == size)
+        old = self.n_ids[slot[there]]
+        pool = self.ids[slot[there]][np.arange(LONGEST) < old[:, None]]
+        new = np.flatnonzero(~there)
+        ids = np.array(self.plain(data[ragged(starts[first[new]], size[new])].tobytes().decode()) if len(new) else [], np.uint32)
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(size[new]), "right")
+        own = np.diff(cuts, prepend=0)
+        n, begin = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        n[there], n[new] = old, own
+        begin[there], begin[new] = np.cumsum(old) - old, len(pool) + cuts - own
+        _, place = np.unique(slot[new], return_index=True)  # one word a slot
+        place = place[own[place] <= LONGEST]
+        to = slot[new[place]]
+        self.key[to], self.bytes_of[to], self.n_ids[to] = h[new[place]], size[new[place]], own[place]
+        if len(place):
+            self.ids[to] = ids[np.minimum((cuts - own)[place][:, None] + np.arange(LONGEST), len(ids) - 1)]
+        return np.concatenate([pool, ids]), begin[at], n[at]
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        data, off = laid_out(column)
+        every, padded = data.tobytes(), np.concatenate([data, np.full(3, 32, np.uint8)])
+        space = np.flatnonzero(data == 32)
+        text = np.searchsorted(off, space, "right") - 1
+        b, c, d = (padded[space + k].astype(np.int64) for k in (1, 2, 3))
+        odd = _SPACE1[b] | np.isin((b << 8) | c, _SPACE2) | np.isin((b << 16) | (c << 8) | d, _SPACE3) | (space + 1 == off[text + 1])
+        irregular = np.zeros(len(off) - 1, bool)
+        irregular[text[odd]] = True
+        irregular[np.searchsorted(off, [m.start() for x in self.added for m in re.finditer(re.escape(x), every)], "right") - 1] = True
+        live = ~irregular[text]
+        starts, text = space[live], text[live]
+        first, last = np.diff(text, prepend=-1) > 0, np.diff(text, append=len(off)) > 0
+        ends = np.where(last, off[text + 1], np.append(starts[1:], 0)[: len(starts)])
+        pool, begin, n = self.words(data, starts, ends)
+        of_words = pool[ragged(begin, n)]
+        edge = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(text, np.arange(len(off)))]
+        head = off[1:].copy()
+        head[text[first]] = starts[first]
+        return [np.concatenate([self.whole(every[off[k] : head[k]]), of_words[edge[k] : edge[k + 1]]]) for k in range(len(off) - 1)]
 
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): a row for each piece."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = TextEncoder(path)
         for batch in batches:
             for part in chunks(batch, most=1 << 20):
                 rows: list[tuple] = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = encode(text or "") + np.uint32(END_ID).tobytes()
+                for doc_id, own in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True):
+                    ids = own.astype("<u4").tobytes() + np.uint32(END_ID).tobytes()
                     total = len(ids) // 4
                     cuts = [0, *range((total - 1) % capacity + 1, total + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,32 +138,44 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, roun
                     values.append(np.concatenate([(c / max(1, c.sum())).astype(np.float32) for _, c in own]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["doc_id", "quality", "slots", "shares"])
 
-    got = docs.select("doc_id", "text").join(some, "doc_id").mapInArrow(counted, "doc_id long, quality int, slots array<int>, shares array<float>").toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")[:rows]
-    y = got["quality"].to_numpy()[order].astype(float)
+    # one row an id, so that a repeated one comes to the driver once
+    own = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = own.mapInArrow(counted, "doc_id long, quality int, slots array<int>, shares array<float>").orderBy("doc_id").toArrow()
+    y = got["quality"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros((_KINDS, 1 << BITS), np.float32), 1.0, 60.0)
-    rows_of = [(np.asarray(got["slots"][int(i)].values), np.asarray(got["shares"][int(i)].values)) for i in order]
-    weights = np.zeros(_KINDS << BITS, np.float32)
+    size = pc.list_value_length(got["slots"]).to_numpy().astype(np.int64)
+    slots, shares = (pc.list_flatten(got[c]).to_numpy() for c in ("slots", "shares"))
+    del got
+    edge, weights = np.concatenate([[0], np.cumsum(size)]), np.zeros(_KINDS << BITS, np.float32)
     hold = np.arange(len(y)) % 5 == 0
+    parts = [slice(a, min(a + 50, len(y))) for a in range(0, len(y), 50)]  # so many rows at a time, or driver memory grows
+
+    def raw() -> np.ndarray:
+        out = np.zeros(len(y))
+        for p in parts:
+            cells = slice(edge[p.start], edge[p.stop])
+            row = np.repeat(np.arange(p.stop - p.start), size[p])
+            out[p] = np.bincount(row, weights[slots[cells]] * shares[cells], minlength=p.stop - p.start)
+        return out + bias
+
+    def gradient(g: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(weights))
+        for p in parts:
+            cells = slice(edge[p.start], edge[p.stop])
+            out += np.bincount(slots[cells], np.repeat(g[p], size[p]) * shares[cells], minlength=len(out))
+        return out.astype(np.float32)
 
-    def stacked(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = [rows_of[i] for i in np.flatnonzero(keep)]
-        return np.concatenate([s for s, _ in own]), np.concatenate([v for _, v in own]), np.repeat(np.arange(len(own)), [len(s) for s, _ in own])
-
-    slots, shares, row = stacked(~hold)
     yt = y[~hold]
-    importance = np.where(yt == 1, 0.5 / max(1, yt.sum()), 0.5 / max(1, (1 - yt).sum())) * len(yt)
+    importance = np.where(hold, 0, np.where(y == 1, 0.5 / max(1, yt.sum()), 0.5 / max(1, (1 - yt).sum())) * len(yt))
     bias, m, v = 0.0, np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, rounds + 1):  # Adam on the whole sample
-        z = np.bincount(row, weights[slots] * shares, minlength=len(yt)) + bias
-        g = importance * (1 / (1 + np.exp(-z)) - yt) / len(yt)
-        grad = np.bincount(slots, g[row] * shares, minlength=len(weights)).astype(np.float32) + 1e-6 * weights
+        g = importance * (1 / (1 + np.exp(-raw())) - y) / len(yt)
+        grad = gradient(g) + 1e-6 * weights
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         weights -= 1.0 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         bias -= 2.0 * g.sum()
-    slots, shares, row = stacked(hold)
-    slope, shift = platt(np.bincount(row, weights[slots] * shares, minlength=int(hold.sum())) + bias, y[hold])
+    slope, shift = platt(raw()[hold], y[hold])
     return QualityModel(weights.reshape(_KINDS, -1), slope, shift + slope * float(bias))
 
 

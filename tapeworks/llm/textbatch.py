@@ -31,16 +31,38 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) ->
         yield batch.slice(a, b - a)
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of spans, end to end."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans are in order and disjoint."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    powers = np.cumprod(np.full(max(1, size.max()), _BASE, np.uint64))
+    at = ragged(starts, size)
+    value = (data[at].astype(np.uint64) + np.uint64(1)) * powers[at - np.repeat(starts, size)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+    edge = np.concatenate([[0], np.cumsum(size)])
+    return mixed((sums[edge[1:]] - sums[edge[:-1]]) ^ size.astype(np.uint64))
+
+
+def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's texts end to end, and where each begins (and the last ends). Nulls are empty."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[off[0] : off[-1]], off - off[0]
+
+
 class Texts:
     """The texts of one column: bytes end to end, and where each row begins. Nulls are empty."""
 
     def __init__(self, column: pa.Array):
-        column = pc.fill_null(column, "").cast(pa.large_binary())
-        off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
         self.n = len(column)
-        self.data = data[off[0] : off[-1]]
-        self.off = off - off[0]
+        self.data, self.off = laid_out(column)
         self.space = _SPACE[self.data]
         first = self._first()
         prev = np.empty(len(self.data), bool)
@@ -66,16 +88,7 @@ class Texts:
         return total[self.off[1:]] - total[self.off[:-1]]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each span of bytes; spans are in order and disjoint."""
-        size = ends - starts
-        if not len(size):
-            return np.zeros(0, np.uint64)
-        powers = np.cumprod(np.full(max(1, size.max()), _BASE, np.uint64))
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        value = (self.data[at].astype(np.uint64) + np.uint64(1)) * powers[at - np.repeat(starts, size)]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
-        edge = np.concatenate([[0], np.cumsum(size)])
-        return mixed((sums[edge[1:]] - sums[edge[:-1]]) ^ size.astype(np.uint64))
+        return span_hashes(self.data, starts, ends)
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)

@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calibration import platt
-from .textbatch import Texts, chunks, mixed
+from .textbatch import Texts, chunks, ragged
 
 #: Words in a window, and from one window to the next.
 WINDOW, STRIDE = 64, 48
@@ -31,8 +31,9 @@ STEMS = (3, 4, 5, 6)
 #: Texts that must hold a slot before its share among label 1 is taken at face value.
 FAITH = 40
 INPUT, HIDDEN, ATTEND = 12, 8, 8
-#: Labelled rows trained on, the most, a third of them of label 1 if there are as many; rows of more words are only scored.
-TRAIN_ROWS, TRAIN_WORDS = 3600, 1000
+#: Labelled rows trained on, the most, a third of them of label 1 if there are as many; and the words they have together, the
+#: most, as rows are taken whole in the order of a hash.
+TRAIN_ROWS, TRAIN_WORDS = 3600, 4_000_000
 THRESHOLD = 0.7
 FOLD = 3
 
@@ -79,11 +80,6 @@ def words_in(column: pa.Array) -> Words:
     return Words((h >> np.uint64(50)).astype(np.int64), stems, gram.astype(np.int64), size, at, t.n_words)
 
 
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The positions of spans, end to end."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-
-
 def inputs(p: Params, w: Words) -> np.ndarray:
     """The input vector of each distinct word, and zeros behind them for places without a word."""
     if not len(w.slot):
@@ -180,16 +176,18 @@ def logits(p: Params, column: pa.Array) -> np.ndarray:
     return np.maximum.reduceat(out, np.flatnonzero(np.diff(row, prepend=-1))) if len(row) else out
 
 
-def _start(rng: np.random.Generator, w: Words, place: np.ndarray, row: np.ndarray, y: np.ndarray) -> Params:
-    """Random weights; one coordinate of a slot's vector is how much likelier a text of label 1 holds it."""
+def _start(rng: np.random.Generator, w: Words, y: np.ndarray, learn: np.ndarray) -> Params:
+    """Random weights; one coordinate of a slot's vector is how much likelier a text of label 1 holds it, of the texts to learn from."""
     p = {"words": rng.normal(0, 0.05, (WORD_SLOTS, INPUT)), "grams": rng.normal(0, 0.05, (GRAM_SLOTS, INPUT)), "stems": rng.normal(0, 0.02, (STEM_SLOTS, INPUT)), "wa": rng.normal(0, 0.3, (2 * HIDDEN, ATTEND)), "va": rng.normal(0, 0.3, ATTEND), "wo": rng.normal(0, 0.3, 2 * HIDDEN), "bo": np.zeros(1)}
     for d in (0, 1):
         p |= {f"w{d}": rng.normal(0, 0.4, (INPUT, 3 * HIDDEN)), f"u{d}": rng.normal(0, 0.3, (HIDDEN, 3 * HIDDEN)), f"b{d}": np.zeros(3 * HIDDEN)}
     doc = np.repeat(np.arange(len(y)), w.n_words)
+    cuts = max(1, len(doc) // 100_000)
     for name, slots, places, to in (("words", w.slot[:, None], WORD_SLOTS, 0), ("stems", w.stems, STEM_SLOTS, 1)):
-        held = np.unique(doc[:, None] * np.int64(places) + slots[w.at])
-        ones, zeros = (np.bincount(held % places, y[held // places] == k, places) for k in (1, 0))
-        odds = np.log((ones + 0.5) / (y.sum() + 1)) - np.log((zeros + 0.5) / ((1 - y).sum() + 1))
+        held = np.concatenate([np.zeros(0, np.int64), *(np.unique(part[:, None] * np.int64(places) + slots[at]) for part, at in zip(np.array_split(doc, cuts), np.array_split(w.at, cuts), strict=True))])
+        held = np.unique(held)
+        ones, zeros = (np.bincount(held % places, ((y == k) & learn)[held // places], places) for k in (1, 0))
+        odds = np.log((ones + 0.5) / ((y == 1) & learn).sum().clip(1)) - np.log((zeros + 0.5) / ((y == 0) & learn).sum().clip(1))
         p[name][:, to] = np.clip(odds, -1, 3) * np.minimum(1, (ones + zeros) / FAITH)
     p["stems"][0] = 0
     return {k: v.astype(np.float32) for k, v in p.items()}
@@ -201,7 +199,7 @@ def train(texts: pa.Array, y: np.ndarray, rounds: int = 5, seed: int = 5) -> Tox
     place, row = windows(w)
     learn = np.arange(len(y)) % 5 != 0
     first = np.cumsum(np.bincount(row, minlength=len(y))) - np.bincount(row, minlength=len(y))
-    p = _start(rng, w, place, row, np.where(learn, y, 0))
+    p = _start(rng, w, y, learn)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     edge = np.concatenate([[0], np.cumsum(w.n_grams)])
     weight = np.where(y == 1, 0.5 / max(1, y[learn].sum()), 0.5 / max(1, (1 - y[learn]).sum())) * learn.sum()
@@ -221,7 +219,7 @@ def train(texts: pa.Array, y: np.ndarray, rounds: int = 5, seed: int = 5) -> Tox
             at = at.reshape(place[part].shape)
             live = used >= 0
             words = used[live]
-            grams = w.grams[_ragged(edge[words], w.n_grams[words])]
+            grams = w.grams[ragged(edge[words], w.n_grams[words])]
             vec = inputs(p, Words(w.slot[words], w.stems[words], grams, w.n_grams[words], at, w.n_words))
             xs = np.concatenate([vec[-1:], vec[:-1]])[at] if not live.all() else vec[at]
             mask = (place[part] >= 0).astype(np.float32)
@@ -245,13 +243,15 @@ def train(texts: pa.Array, y: np.ndarray, rounds: int = 5, seed: int = 5) -> Tox
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Trained on at most `rows` labelled rows of at most TRAIN_WORDS words outside the held-out part, by hash of their id."""
+    """Trained on at most `rows` labelled rows, and TRAIN_WORDS words, outside the held-out part, by hash of their id."""
     some = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     ones = some.where("toxic = 1").orderBy(*first).limit(rows // 3)
     some = F.broadcast(ones.unionByName(some.where("toxic = 0").orderBy(*first).limit(rows - rows // 3)))
-    own = docs.select("doc_id", "text").join(some, "doc_id").where(F.size(F.split("text", r"\s+")) <= TRAIN_WORDS).toArrow()
-    own = own.sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, rows).combine_chunks()
+    # one row an id, so that a repeated one comes to the driver once; the window is over at most `rows` rows
+    own = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    own = own.withColumn("words", F.sum(F.size(F.split("text", r"\s+"))).over(Window.orderBy(*first))).where(F.col("words") <= TRAIN_WORDS)
+    own = own.drop("words").toArrow().sort_by("doc_id").combine_chunks()
     y = own["toxic"].to_numpy().astype(int)
     if len(set(y[np.arange(len(y)) % 5 != 0].tolist())) < 2:
         return ToxicityModel({}, constant=True)
