@@ -5,8 +5,10 @@ SHA-256 and the range of offsets it takes. Above it is a node for each page id (
 order-free sum), then one for each FANOUT neighbours, up to a single root. Two replicas are compared from their roots down; only
 the children of differing nodes are joined on the next level, so an audit of sound replicas reads one row.
 
-Defined results: null html and url are empty; a null page id is -1 (nodes are numbered from it); repeated rows are records of their own; empty tables are equal
-trees without nodes, and against an empty replica every record is missing; further columns are ignored.
+Defined results: null html and url are empty; line breaks in a url are percent-encoded; a null page id is -1 (nodes are numbered
+from it); repeated rows are records of their own, and an id's records are laid out by their SHA-256 in parts, so that no window
+holds all of an id; empty tables are equal trees without nodes, and against an empty replica every record is missing; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from .common import materialise
 
 ARCHIVE = 4096
 FANOUT_BITS = 4
+#: Pages carry no time of their own; all records state this one.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def as_record(page_id: Column, url: Column, html: Column) -> Column:
-    """A WARC response record."""
-    head = [F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), page_id.cast("string"), F.lit(">\r\nWARC-Target-URI: "), url]
+    """A WARC resource record: html without the head of a response."""
+    url = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    head = [F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), page_id.cast("string"), F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), url]
     return F.concat(*head, F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
 
 
@@ -62,11 +67,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def leaves(own: DataFrame) -> DataFrame:
-    """page_id, k, archive, record_offset, length, sha256 of records (page_id, record); k numbers repeated ids."""
+    """page_id, k, archive, record_offset, length, sha256 of records (page_id, record); k numbers repeated ids.
+
+    Offsets and numbers are sums over the (id, first byte of SHA-256) parts before, then over the records inside a part.
+    """
+    part = ["archive", "page_id", "part"]
     slim = own.select("page_id", F.floor(F.col("page_id") / ARCHIVE).alias("archive"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"))
-    order = Window.partitionBy("archive").orderBy("page_id", "sha256")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return slim.select("page_id", F.row_number().over(Window.partitionBy("archive", "page_id").orderBy("sha256")).alias("k"), "archive", before.alias("record_offset"), "length", "sha256")
+    slim = slim.withColumn("part", F.substring("sha256", 1, 2))
+    inside = Window.partitionBy(*part).orderBy("sha256").rowsBetween(Window.unboundedPreceding, -1)
+    slim = slim.withColumns({"inside": F.coalesce(F.sum("length").over(inside), F.lit(0)), "nth": F.row_number().over(Window.partitionBy(*part).orderBy("sha256"))})
+    sums = slim.groupBy(*part).agg(F.sum("length").alias("bytes"), F.count("*").alias("n"))
+    before = Window.partitionBy("archive").orderBy("page_id", "part").rowsBetween(Window.unboundedPreceding, -1)
+    own_id = Window.partitionBy("archive", "page_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*part, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"), F.coalesce(F.sum("n").over(own_id), F.lit(0)).alias("first"))
+    both = slim.join(sums, part)
+    return both.select("page_id", (F.col("first") + F.col("nth")).alias("k"), "archive", (F.col("start") + F.col("inside")).alias("record_offset"), "length", "sha256")
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
@@ -119,8 +134,8 @@ def damaged(own: DataFrame) -> DataFrame:
 #: The audit of damaged() in DuckDB, without trees.
 SQL = r"""
 WITH own AS (
-  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
-    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
     || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages
 ), other AS (
   SELECT page_id, CASE WHEN page_id % 50 = 7 THEN record[1:5] || '#' || record[7:] ELSE record END AS record FROM own WHERE page_id % 1000 <> 123

@@ -284,7 +284,7 @@ def test_licenses_against_every_window(spark, docs, table):
 
     want = set()
     for i, t, _ in table[0]:
-        for name, template in licenses.TEMPLATES:
+        for name, template in licenses.TEMPLATES + licenses.TEXTS:
             own, m = set(runs(template)), len(runs(template))
             r = runs(t)
             if any(len(set(r[a : a + 2 * m]) & own) >= 0.8 * len(own) for a in range(0, max(1, len(r)), m)):
@@ -293,6 +293,30 @@ def test_licenses_against_every_window(spark, docs, table):
     assert {(r["doc_id"], r["license"]) for r in got.collect()} == want == {(91, "GPL-3.0")}
 
 
+def test_license_texts_altered_and_in_part(spark):
+    rng = np.random.default_rng(4)
+    filler, texts, want = made(3000, 8).split(), [], set()
+    for k, (name, template) in enumerate(licenses.TEXTS):
+        w = template.split()
+        n = len(w) - 4
+        few = [x if i not in (len(w) // 3, 2 * len(w) // 3) else "other" for i, x in enumerate(w)]
+        parts = {"whole": w, "few": few, "most": w[: 4 + math.ceil(0.81 * n)], "half": w[: len(w) // 2], "many": [x if i % 4 else "other" for i, x in enumerate(w)]}
+        for kind, own in parts.items():
+            cut = int(rng.integers(0, 2900))
+            own = [*filler[:cut], *own, *filler[cut:]] if k % 2 else own
+            every = {tuple(w[i : i + 5]) for i in range(n)}
+            if len(every & {tuple(own[i : i + 5]) for i in range(len(own) - 4)}) >= 0.8 * len(every):
+                want.add((len(texts), name))
+            assert kind == "few" or ((len(texts), name) in want) == (kind in ("whole", "most")), (name, kind)
+            texts.append(" ".join(own).upper() if k == 2 else "\n".join(own))
+    texts += [texts[0], texts[0] + " " + made(150_000, 3) + " " + texts[0]]
+    want |= {(len(texts) - 2, licenses.TEXTS[0][0]), (len(texts) - 1, licenses.TEXTS[0][0])}
+    own = spark.createDataFrame(licenses.TEXTS, "license string, text string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan_licenses(frame, own).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == want and len(got) == len(want)
+
+
 def test_short_license_templates(spark):
     own = spark.createDataFrame([("two", "Keep out"), ("three", "All rights reserved."), ("six", "one two three four five six")], "license string, text string")
     texts = ["x y\nAll rights\nreserved", "all rights", "keep (out) all Rights reserved. one two three four five six", "rights reserved all keep in", None]
@@ -371,17 +395,25 @@ def test_windows_overlap_and_cover():
 
 
 def test_warc_round_trip_and_audit(spark, tmp_path):
-    rows = [(k, f"http://x/{k}", f"<p>é{k}</p>" * (k % 5)) for k in range(300)] + [(5000, None, None), (5000, "twice", ""), (None, "n", "x\r\n\r\ny")]
+    rows = [(k, f"http://x/{k}", f"<p>é{k}</p>" * (k % 5)) for k in range(300)] + [(5000, None, None), (5000, "twice", ""), (None, "n", "x\r\n\r\ny"), (7000, "http://x/a\nb\r\nc", "line")]
+    rows += [(9000, "hot", f"<b>{k % 40}</b>") for k in range(600)] + [(None, None, f"{k}") for k in range(50)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     warc.write_warc(pages, str(tmp_path / "w"))
     back = {(r["page_id"], r["url"], r["html"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
-    assert back == {(-1 if i is None else i, u or "", h or "") for i, u, h in rows}
+    clean = lambda u: (u or "").replace("\r", "%0D").replace("\n", "%0A")
+    assert back == {(-1 if i is None else i, clean(u), h or "") for i, u, h in rows}
+    leaf = [r for r in warc.leaves(warc.records(pages)).orderBy("archive", "page_id", "k").collect()]
+    for a, b in zip(leaf, leaf[1:], strict=False):  # end to end in an archive, numbered in an id
+        assert b["record_offset"] == (a["record_offset"] + a["length"] if a["archive"] == b["archive"] else 0)
+        assert b["k"] == (a["k"] + 1 if a["page_id"] == b["page_id"] else 1)
     own = warc.records(pages)
     assert warc.audit(own, own).count() == 0
     found = {(r["page_id"], r["status"]) for r in warc.audit(own, warc.damaged(own)).collect()}
     assert {(7, "altered"), (57, "altered"), (123, "missing"), (124, "moved")} <= found and (122, "moved") not in found
     assert {r["status"] for r in warc.audit(own.where("page_id < 3"), own.where("page_id < 5")).collect()} == {"extra"}
-    assert warc.audit(own, own.limit(0)).count() == len(rows)
+    assert warc.audit(own, own.limit(0)).count() == len(rows) == warc.audit(own.limit(0), own).where("status = 'extra'").count()
+    clash = pages.selectExpr("*", "1 as k", "2 as archive", "3 as part", "4 as sha256", "5 as record")
+    assert warc.audit(warc.records(clash), own).count() == 0 == warc.audit(own.limit(0), own.limit(0)).count()
 
 
 def test_packing(docs, table):
