@@ -84,12 +84,17 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def words_of(col: Column) -> Column:
-    """array<string> of the words of a text. Texts whose only white space are spaces are split without a pattern, which is faster."""
+def split_words(col: Column) -> Column:
+    """array<string> of the words of a text, and empty ones. Texts whose only white space are spaces are split without a pattern, which is faster."""
     other = F.lit(False)
     for c in "\t\n\x0b\f\r":
         other = other | F.contains(col, F.lit(c))
-    return F.array_remove(F.when(other, F.split(col, WHITE_CLASS + "+")).otherwise(F.split(col, " ")), "")
+    return F.when(other, F.split(col, WHITE_CLASS + "+")).otherwise(F.split(col, " "))
+
+
+def words_of(col: Column) -> Column:
+    """array<string> of the words of a text."""
+    return F.array_remove(split_words(col), "")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,15 +5,17 @@ Jaccard similarity of THRESHOLD or more with it. Lines without a word have no se
 
 1. Word rarity: counts in 2^16 slots of the word hash, a table of fixed size, order the words of every line (ties by hash).
 2. Equal lines become one class, and so do lines of under LEAST_JOINED different words with equal sets: such sets come within
-   the threshold of no other set (three of four words are 0.75, but four of five are 0.8, so lines of four words go on). A pair of classes within the threshold shares a word among the first n - ceil(t n) + 1 of
-   each, so classes meet on those prefix words, and only pairs that pass the length, the positional and a parity bitmap
-   filter (128 bits; differing ones never exceed differing words) go on. The prefix words that a pair has in common are
-   counted, and it goes on only if they and the words after its prefixes suffice. None of these filters loses a pair.
-3. Their word sets are read again and compared exactly.
-
-Step 2 runs twice. First each line only meets the earliest class on each of its LEAD rarest words: in a cluster of m near
-copies nearly all are settled by m comparisons. Then the classes not yet settled meet all others. What is settled needs no
-second reason for removal, so no result changes and no cluster emits its pairs.
+   the threshold of no other set (three of four words are 0.75, but four of five are 0.8, so lines of four words go on). A pair
+   of classes within the threshold shares a word among the first n - ceil(t n) + 1 of each, so classes meet on those prefix
+   words. In order of its id, each class is tried against the first class on each of its prefix words and the LAST ones before
+   it: pairs that pass the length, the positional and a parity bitmap filter (128 bits; differing ones never exceed differing
+   words) are candidates. Word sets are read again and compared exactly, the closest candidate of a class first.
+3. Where a prefix word has more classes before one than were tried, the classes not yet settled meet all others on it, by the
+   same filters. The prefix words that a pair has in common are counted, and it goes on to the exact comparison only if they
+   and the words after its prefixes suffice. A pair that was tried on another word may be counted short, but is settled already.
+
+None of the filters loses a pair. What is settled needs no second reason for removal, so no result changes, and in a cluster of
+m near copies nearly all are settled by the few comparisons of step 2: the cluster doesn't emit its pairs.
 
 Each row is a document of its own: it gets a number by its doc_id (nulls last), and rows of one doc_id by their place in the
 files. A table that is no plain scan of Parquet files is written first, so that every reading of it finds the same places.
@@ -25,18 +27,22 @@ rows raise an error. A line's number takes 31 bits, as many as an array can have
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, text_of, words_of
+from .common import materialise, pinned, scratch, split_words, text_of, words_of
 
 THRESHOLD = 0.8
 MIN_WORDS = 1
 #: Sets of fewer words are within THRESHOLD of equal sets only.
 LEAST_JOINED = 4
 SLOTS = 16
-LEAD = 4
+LAST = 5
 MOST = 65535
 #: Line numbers within a row, in bits of a line's id.
 LINE_BITS = 31
@@ -49,17 +55,11 @@ BROADCAST_IDS = 2_000_000
 
 def _placed(docs: DataFrame) -> DataFrame:
     """docs and __place, a number of each row's place in the files, the same at every reading."""
-    spark, plan = docs.sparkSession, docs._jdf.queryExecution().analyzed()
-    found = False
-    while plan.deterministic() and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
-        plan = plan.children().head()
-    if plan.nodeName().startswith("Relation") or plan.getClass().getSimpleName() == "LogicalRelation":
-        try:
-            docs.select(*_place_parts(docs))
-            found = True
-        except AnalysisException:  # no Parquet files
-            pass
-    if not found:
+    spark = docs.sparkSession
+    docs = pinned(docs)
+    try:
+        docs.select(*_place_parts(docs))
+    except AnalysisException:  # no Parquet files
         docs = materialise(docs, "docs")
     paths = [r[0] for r in docs.select(_place_parts(docs)[0]).distinct().collect()]  # one row a file
     files = spark.createDataFrame([(x, k) for k, x in enumerate(sorted(paths))], "__path string, __file long")
@@ -98,29 +98,26 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.posexplode(F.split(text_of(), "\n")).alias("no", "line")).select(_id(F.col("no")).alias("id"), "line")
 
 
-def rarity(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """One row: rare, an array of arrays; by the high and the low bits of a slot, a level that grows with the count of its words."""
-    words = docs.select(F.explode(F.split(text_of(), "\n")).alias("line")).select(F.explode(words_of(F.col("line"))).alias("word"))
+def rarity(docs: DataFrame) -> Column:
+    """array<array<tinyint>>, a constant: by the high and the low bits of a slot, a level that grows with the count of its words."""
+    text = F.replace(text_of(), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(split_words(text)).alias("word"))  # an empty one is counted too, which no other word minds
     counts = words.select(F.xxhash64("word").bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("slot")).groupBy("slot").count()
-    every = docs.sparkSession.range(1 << SLOTS).withColumnRenamed("id", "slot").join(counts, "slot", "left")
-    level = F.floor(F.log2(F.coalesce("count", F.lit(0)) + 1) * 3).cast("tinyint")
-    half = SLOTS // 2
-    rows = every.groupBy(F.shiftright("slot", half).alias("high")).agg(F.sort_array(F.collect_list(F.struct(F.col("slot"), level.alias("level")))).alias("levels"))
-    rows = rows.select("high", F.transform("levels", lambda x: x["level"]).alias("levels"))
-    one = rows.agg(F.sort_array(F.collect_list(F.struct("high", "levels"))).alias("rows"))
-    return materialise(one.select(F.transform("rows", lambda x: x["levels"]).alias("rare"), F.lit(1).alias("one")), "rarity", folder)
+    level, half = [0] * (1 << SLOTS), 1 << (SLOTS // 2)
+    for slot, n in counts.select("slot", F.floor(F.log2(F.col("count") + 1) * 3).cast("int")).collect():  # of a fixed size
+        level[slot] = n
+    return F.from_json(F.lit(json.dumps([level[k : k + half] for k in range(0, len(level), half)])), "array<array<tinyint>>")
 
 
-def _ranked(words: Column) -> Column:
+def _ranked(words: Column, rare: Column) -> Column:
     """The line's set as longs, rarest first: 7 bits of rarity over 56 bits of the word's hash."""
+    half = (1 << (SLOTS // 2)) - 1
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        half = (1 << (SLOTS // 2)) - 1
-        level = F.get(F.get("rare", F.shiftright(h, SLOTS // 2).bitwiseAND(F.lit(half)).cast("int")), h.bitwiseAND(F.lit(half)).cast("int"))
+    def code(h: Column) -> Column:
+        level = F.get(F.get(rare, F.shiftright(h, SLOTS // 2).bitwiseAND(F.lit(half)).cast("int")), h.bitwiseAND(F.lit(half)).cast("int"))
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(words, code)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), code)))
 
 
 def _least_common(n: Column) -> Column:
@@ -128,33 +125,30 @@ def _least_common(n: Column) -> Column:
     return F.ceil(n * F.lit(THRESHOLD / (1 + THRESHOLD)) - F.lit(1e-9))
 
 
-def coded_lines(docs: DataFrame, rare: DataFrame, folder: str | None = None) -> DataFrame:
+def coded_lines(docs: DataFrame, rare: Column, folder: str | None = None) -> DataFrame:
     """id, key1, key2 (of the text, or of the set if that is under LEAST_JOINED words), bits, wide, n, prefix of each line with a word.
 
     bits and wide are parities: bit k is set if an odd number of the line's words hash to k. n is the number of words (MOST for
     as many or more), prefix the prefix words as 32 bits of their hashes, none for sets under LEAST_JOINED words.
-    Sets are made before lines are dealt to rows, as every row that a join with the rarity table makes carries the table.
     """
-    texts = docs.select("doc", F.split(text_of(), "\n").alias("lines"), F.lit(1).alias("one")).join(F.broadcast(rare), "one")
-    each = F.transform("lines", lambda x: F.struct(x.alias("line"), _ranked(words_of(x)).alias("set")))
-    lines = texts.select("doc", F.posexplode(each).alias("no", "x")).where(F.size("x.set") >= MIN_WORDS)
-    lines = lines.select(_id(F.col("no")).alias("id"), "x.line", "x.set", F.size("x.set").alias("n"))
+    lines = _lines(docs).select("id", "line", _ranked(words_of(F.col("line")), rare).alias("set"))
+    lines = lines.where(F.size("set") >= MIN_WORDS).select("*", F.size("set").alias("n"))
     prefix = F.slice("set", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(THRESHOLD) - F.lit(1e-9)) + 1).cast("int"))
-    prefix = F.transform(prefix, lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int"))
     short = F.col("n") < LEAST_JOINED
-    prefix = F.when(short, F.array().cast("array<int>")).otherwise(prefix)
+    prefix = F.when(short, F.array().cast("array<int>")).otherwise(F.transform(prefix, lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int")))
     # a set as text: its words never hold a space, and no text of more words has the same set
     text = F.when(short, F.array_join(F.array_sort(F.array_distinct(words_of(F.col("line")))), " ")).otherwise(F.col("line"))
-    lines = lines.withColumn("text", text)
-    return materialise(lines.select("id", F.xxhash64("text").alias("key1"), F.xxhash64(F.lit(1), "text").alias("key2"), _parity(0).alias("bits"), _parity(1).alias("wide"), F.least("n", F.lit(MOST)).alias("n"), prefix.alias("prefix")), "lines", folder)
+    keys = lines.select("id", "n", "set", text.alias("text"), prefix.alias("prefix"), _parity(False).alias("all"), _parity(True).alias("wide"))
+    out = keys.select("id", F.xxhash64("text").alias("key1"), F.xxhash64(F.lit(1), "text").alias("key2"), F.col("all").bitwiseXOR(F.col("wide")).alias("bits"), "wide", F.least("n", F.lit(MOST)).alias("n"), "prefix")
+    return materialise(out, "lines", folder)
 
 
-def _parity(half: int) -> Column:
-    """Half of all words flip a bit of each of the two parities, as their hashes' seventh bit says."""
+def _parity(half: bool) -> Column:
+    """A bit for each word of the set, by its hash's low six bits, flipped again by the next one; half: of words with the seventh bit set."""
 
     def flipped(a: Column, w: Column) -> Column:
-        own = F.shiftright(w, 6).bitwiseXOR(F.lit(1 - half)).bitwiseAND(F.lit(1).cast("long"))
-        return a.bitwiseXOR(F.call_function("shiftleft", own, w.bitwiseAND(F.lit(63)).cast("int")))
+        one = F.shiftright(w, 6).bitwiseAND(F.lit(1).cast("long")) if half else F.lit(1).cast("long")
+        return a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int")))
 
     return F.aggregate("set", F.lit(0).cast("long"), flipped)
 
@@ -178,6 +172,13 @@ def _length(more: str) -> Column:
     return F.shiftright(more, 16).bitwiseAND(F.lit(MOST))
 
 
+def _differ(a: str, b: str) -> Column:
+    """At least so many words are in one of two lines only."""
+    more = F.shiftrightunsigned(F.col(f"{a}more").bitwiseXOR(F.col(f"{b}more")), 32)
+    word = F.col(f"{a}word").bitwiseXOR(F.col(f"{b}word")).bitwiseAND(F.lit((1 << 32) - 1))
+    return F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) + F.bit_count(more) + F.bit_count(word)
+
+
 def _passes(a: str, b: str) -> Column:
     """Length, positional and bitmap filter for prefix rows a and b; lines of MOST words or more always pass."""
     n, m = _length(f"{a}more"), _length(f"{b}more")
@@ -185,10 +186,7 @@ def _passes(a: str, b: str) -> Column:
     share = _least_common(n + m)
     length = F.least(n, m) >= F.greatest(n, m) * F.lit(THRESHOLD) - F.lit(1e-9)
     position = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= share
-    more = F.shiftrightunsigned(F.col(f"{a}more").bitwiseXOR(F.col(f"{b}more")), 32)
-    word = F.col(f"{a}word").bitwiseXOR(F.col(f"{b}word")).bitwiseAND(F.lit((1 << 32) - 1))
-    differ = F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) + F.bit_count(more) + F.bit_count(word)
-    return (n == MOST) | (m == MOST) | (length & position & (differ <= n + m - 2 * share))
+    return (n == MOST) | (m == MOST) | (length & (_differ(a, b) <= n + m - 2 * share) & position)
 
 
 def _enough(met: DataFrame) -> DataFrame:
@@ -210,16 +208,21 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, name: str, out: str) -> DataFrame:
+def _sets(ids: DataFrame, docs: DataFrame, name: str, folder: str) -> DataFrame:
+    """id, set: the hashes of the words of lines."""
+    words = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
+    return materialise(_lines(docs).join(_small(ids), "id").select("id", words.alias("set")), name, folder)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, name: str, folder: str) -> DataFrame:
     """The later ids of those different pairs (a, b) whose sets are within the threshold."""
-    with scratch(docs.sparkSession) as folder:
-        pairs = materialise(pairs.select("a", "b"), "line-pairs", folder)
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids", folder)
-        words = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
-        sets = materialise(_lines(docs).join(_small(ids), "id").select("id", words.alias("set")), "line-sets", folder)
-        both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return materialise(both.where(common >= _least_common(F.size("x") + F.size("y"))).select(F.greatest("a", "b").alias("id")).distinct(), name, out)
+    both = pairs.select("a", "b").join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return materialise(both.where(common >= _least_common(F.size("x") + F.size("y"))).select(F.greatest("a", "b").alias("id")).distinct(), name, folder)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
 def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -227,21 +230,31 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     every = materialise(lines.groupBy("key1", "key2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "line-classes", folder)
     repeated = every.where("copies > 1").select("key1", "key2", F.col("id").alias("first"))
     copies = materialise(lines.select("id", "key1", "key2").join(repeated, ["key1", "key2"]).where("id <> first").select("id"), "line-copies", folder)
-    single = lines.join(_small(copies), "id", "left_anti")
-    by_word = Window.partitionBy(_key("word")).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rarest = _prefix_rows(single.withColumn("prefix", F.slice("prefix", 1, LEAD)))
-    first = rarest.select("*", *[F.first(c).over(by_word).alias(f"first_{c}") for c in rarest.columns])
-    led = first.where((F.col("id") != F.col("first_id")) & _passes("", "first_")).select(F.col("first_id").alias("a"), F.col("id").alias("b"))
-    settled = _verified(led.distinct(), docs, "lines-settled", folder)
-    # settled lines have their id as -1 - id. Both sides of the join are the same rows, so they are shuffled once
-    flagged = single.join(_small(settled).withColumn("settled", F.lit(True)), "id", "left")
-    mark = F.when(F.col("settled"), -1 - F.col("id")).otherwise(F.col("id"))
-    rows = _prefix_rows(flagged.withColumn("id", mark))
-    a, b = rows.toDF(*[f"a_{c}" for c in rows.columns]), rows.toDF(*[f"b_{c}" for c in rows.columns])
-    early = F.when(F.col("a_id") < 0, -1 - F.col("a_id")).otherwise(F.col("a_id"))
-    met = a.join(b, (_key("a_word") == _key("b_word")) & (early < F.col("b_id")) & _passes("a_", "b_"))
-    met = met.select(early.alias("a"), F.col("b_id").alias("b"), _length("a_more").alias("n"), _length("b_more").alias("m"))
-    return every, settled.unionByName(_verified(_enough(met), docs, "lines-others", folder)).distinct()
+    rows = _prefix_rows(lines.join(_small(copies), "id", "left_anti"))
+
+    by_word = Window.partitionBy(_key("word")).orderBy("id")
+    before = {"first": [F.first(c).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in rows.columns]}
+    before |= {f"last{k}": [F.lag(c, k).over(by_word) for c in rows.columns] for k in range(1, LAST + 1)}
+    nth = F.nth_value("id", LAST + 2).over(by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    more = rows.select("*", F.row_number().over(by_word).alias("rank"), nth.isNotNull().alias("deep"), *[x.alias(f"{k}_{c}") for k, own in before.items() for c, x in zip(rows.columns, own, strict=True)])
+    near = {k: (F.col(f"{k}_id") < F.col("id")) & _passes("", f"{k}_") for k in before}
+    found = F.array(*[F.when(x, F.struct(F.col(f"{k}_id").alias("a"), _differ("", f"{k}_").alias("differ"))) for k, x in near.items()])
+    found = F.when(reduce(or_, (F.coalesce(x, F.lit(False)) for x in near.values())), F.array_compact(found))
+    tried = materialise(more.select(*rows.columns, "rank", "deep", found.alias("found")).where(F.col("deep") | F.col("found").isNotNull()), "lines-tried", folder)
+
+    pairs = tried.select(F.col("id").alias("b"), F.inline("found")).groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    pairs = materialise(pairs, "line-pairs", folder)
+    sets = _sets(_ends(pairs), docs, "line-sets", folder)
+    closest = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")), sets, "lines-closest", folder)
+    others = _verified(pairs.join(_small(closest), F.col("b") == closest["id"], "left_anti"), sets, "lines-others", folder)
+    settled = closest.unionByName(others)
+
+    deep = tried.where("deep").select(*rows.columns, "rank")
+    late = deep.where(F.col("rank") > LAST + 1).join(_small(settled), "id", "left_anti")
+    a, b = deep.drop("rank").toDF(*[f"a_{c}" for c in rows.columns]), late.drop("rank").toDF(*[f"b_{c}" for c in rows.columns])
+    met = a.join(b, (_key("a_word") == _key("b_word")) & (F.col("a_id") < F.col("b_id")) & _passes("a_", "b_"))
+    met = materialise(_enough(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), _length("a_more").alias("n"), _length("b_more").alias("m"))), "line-met", folder)
+    return every, settled.unionByName(_verified(met, _sets(_ends(met), docs, "line-more-sets", folder), "lines-met", folder)).distinct()
 
 
 def removed_lines(placed: DataFrame) -> DataFrame:
@@ -249,7 +262,7 @@ def removed_lines(placed: DataFrame) -> DataFrame:
     with scratch(placed.sparkSession) as folder:
         ranks = _ranks(placed, folder)
         docs = placed.select("__place", "text").join(_small(ranks), "__place").select("doc", "text")
-        lines = coded_lines(docs, rarity(placed, folder), folder)
+        lines = coded_lines(docs, rarity(placed), folder)
         every, near = duplicate_classes(docs, lines, folder)
         gone = every.join(near.withColumn("gone", F.lit(True)), "id", "left").where(F.col("gone") | (F.col("copies") > 1))
         gone = gone.select("key1", "key2", F.when(F.col("gone"), F.lit(None)).otherwise(F.col("id")).alias("keep"))
@@ -261,7 +274,7 @@ def removed_lines(placed: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (numbers from 0): one row for each row of docs."""
-    placed = _placed(docs)
+    placed = _placed(docs.select("doc_id", "text"))
     counted = placed.select(F.col("doc_id").cast("long"), "__place", F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return counted.join(removed_lines(placed), "__place", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
@@ -269,8 +282,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs with the lines removed from their text; a document of which no word is left goes. All columns are returned."""
-    placed = _placed(docs)
-    gone = _small(removed_lines(placed)).withColumnsRenamed({"removed": "__removed"})
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.coalesce(F.array_contains("__removed", k), F.lit(False))), "\n")
-    left = placed.join(gone, "__place", "left").withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept))
-    return left.where(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names, own = docs.columns, [f"c{k}" for k in range(len(docs.columns))]  # helpers and columns can't clash
+    at = {c.lower(): x for c, x in zip(names, own, strict=True)}
+    docs = pinned(docs).toDF(*own)
+    placed = _placed(docs.select("*", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")))
+    gone = removed_lines(placed.select("__place", "doc_id", "text"))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("removed", k)), "\n")
+    left = placed.join(gone, "__place", "left").withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
+    left = left.where(F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*[F.col("text" if x == at["text"] else x).alias(c) for c, x in zip(names, own, strict=True)])

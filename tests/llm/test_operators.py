@@ -136,9 +136,9 @@ def test_line_dedup_against_all_pairs(docs, table):
     assert 12 not in {r["doc_id"] for r in kept.collect()}  # all its lines were there before
 
 
-def test_line_dedup_lead_is_only_a_shortcut(docs, monkeypatch):
+def test_line_dedup_tries_are_only_a_shortcut(docs, monkeypatch):
     whole = sorted((str(r[0]), r[2], tuple(r[3])) for r in lines.duplicate_lines(docs).collect())
-    monkeypatch.setattr(lines, "LEAD", 0)
+    monkeypatch.setattr(lines, "LAST", 0)
     assert whole == sorted((str(r[0]), r[2], tuple(r[3])) for r in lines.duplicate_lines(docs).collect())
 
 
