@@ -42,7 +42,7 @@ MIN_WORDS = 1
 #: Sets of fewer words are within THRESHOLD of equal sets only.
 LEAST_JOINED = 4
 SLOTS = 16
-LAST = 5
+LAST = 4
 MOST = 65535
 #: Line numbers within a row, in bits of a line's id.
 LINE_BITS = 31
@@ -249,10 +249,13 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     others = _verified(pairs.join(_small(closest), F.col("b") == closest["id"], "left_anti"), sets, "lines-others", folder)
     settled = closest.unionByName(others)
 
-    deep = tried.where("deep").select(*rows.columns, "rank")
-    late = deep.where(F.col("rank") > LAST + 1).join(_small(settled), "id", "left_anti")
-    a, b = deep.drop("rank").toDF(*[f"a_{c}" for c in rows.columns]), late.drop("rank").toDF(*[f"b_{c}" for c in rows.columns])
-    met = a.join(b, (_key("a_word") == _key("b_word")) & (F.col("a_id") < F.col("b_id")) & _passes("a_", "b_"))
+    # rows that seek no more have their id as -1 - id. Both sides of the join are the same rows, so they are shuffled once
+    deep = tried.where("deep").join(_small(settled.withColumn("settled", F.lit(True))), "id", "left")
+    seeks = F.col("settled").isNull() & (F.col("rank") > LAST + 1)
+    deep = deep.select(F.when(seeks, F.col("id")).otherwise(-1 - F.col("id")).alias("id"), "bits", "more", "word")
+    a, b = deep.toDF(*[f"a_{c}" for c in deep.columns]), deep.toDF(*[f"b_{c}" for c in deep.columns])
+    early = F.when(F.col("a_id") < 0, -1 - F.col("a_id")).otherwise(F.col("a_id"))
+    met = a.join(b, (_key("a_word") == _key("b_word")) & (early < F.col("b_id")) & _passes("a_", "b_")).withColumn("a_id", early)
     met = materialise(_enough(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), _length("a_more").alias("n"), _length("b_more").alias("m"))), "line-met", folder)
     return every, settled.unionByName(_verified(met, _sets(_ends(met), docs, "line-more-sets", folder), "lines-met", folder)).distinct()
 
