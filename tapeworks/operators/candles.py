@@ -26,14 +26,14 @@ def candle_violations(candles: DataFrame, step: int = HOUR) -> DataFrame:
     last = F.lag(micros("date")).over(ordered(PAIR))
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
     c = candles.withColumn("gap", micros("date") - last)
-    bad_price = F.coalesce(F.least(*prices) <= 0, F.lit(True)) | F.greatest(*[F.isnan(p) for p in prices])
+    bad_price = F.coalesce(F.least(*prices) <= 0, F.lit(True)) | F.greatest(*[F.isnan(p) | (p == float("inf")) for p in prices])
     return c.groupBy("pair").agg(
         F.count("*").alias("candles"),
         F.count_if(F.col("gap") != step).alias("gaps"),
         F.count_if(F.col("gap") <= 0).alias("not_increasing"),
         F.count_if(micros("date") % step != 0).alias("off_grid"),
         F.count_if(bad_price).alias("bad_price"),
-        F.count_if(F.coalesce(F.col("volume") < 0, F.lit(True))).alias("bad_volume"),
+        F.count_if(F.coalesce((F.col("volume") < 0) | F.isnan("volume") | (F.col("volume") == float("inf")), F.lit(True))).alias("bad_volume"),
         F.count_if(F.col("high") < F.greatest("open", "close", "low")).alias("high_too_low"),
         F.count_if(F.col("low") > F.least("open", "close", "high")).alias("low_too_high"),
     )

@@ -1,6 +1,6 @@
-"""The position simulator: one position a pair, channel signals, a stop, cooldown and two kinds of locks.
+"""Trades that channel signals lead to: one position a pair, a stop, a cooldown, and a guard after repeated stops.
 
-Signals come from windows; the path-dependent part is a small kernel over one pair's (or path's) candles.
+Signals come from windows; the path-dependent part is a small kernel over one pair's candles.
 """
 
 from __future__ import annotations
@@ -27,22 +27,17 @@ class Rules:
     guard_lookback: int = 48
     guard_limit: int = 2
     guard_duration: int = 12
-    drawdown_lookback: int = 96
-    drawdown_trades: int = 1
-    drawdown_limit: float = 0.25
-    drawdown_duration: int = 48
 
 
-TRADES = "open_date timestamp_ntz, close_date timestamp_ntz, open_rate double, close_rate double, amount double, profit_ratio double, profit_abs double, exit_reason string, drawdown_locks int"
+TRADES = "open_date timestamp_ntz, close_date timestamp_ntz, open_rate double, close_rate double, amount double, profit_ratio double, profit_abs double, exit_reason string"
 
 
 def positions(at: np.ndarray, open_: np.ndarray, low: np.ndarray, close: np.ndarray, enter: np.ndarray, leave: np.ndarray, rules: Rules, fee: float, step: int) -> list[tuple]:
-    """(entry time, exit time, entry rate, exit rate, profit ratio, reason, lock) of each trade; times are integers."""
+    """(entry time, exit time, entry rate, exit rate, profit ratio, reason) of each trade; times are integers."""
     n = len(at)
     ready, leaving = np.flatnonzero(enter), np.flatnonzero(leave)
     out: list[tuple] = []
     stops: list[int] = []
-    past: list[tuple[int, float]] = []
     row = 1
     while row < n:
         k = np.searchsorted(ready, row - 1)
@@ -65,18 +60,12 @@ def positions(at: np.ndarray, open_: np.ndarray, low: np.ndarray, close: np.ndar
         def lock(candles: int, when: int = when) -> int:
             return (when + candles * step) // step * step + step
 
-        free, locked = lock(1), 0
+        free = lock(1)
         if reason == "stop_loss":
             stops = [t for t in [*stops, when] if t > when - rules.guard_lookback * step]
             if len(stops) >= rules.guard_limit:
                 free = max(free, lock(rules.guard_duration))
-        if reason != "force_exit":
-            past = [x for x in [*past, (when, profit)] if x[0] > when - rules.drawdown_lookback * step]
-            total = np.cumsum([p for _, p in past])
-            fall = (np.maximum(np.maximum.accumulate(total), 0) - total).max()
-            if len(past) >= rules.drawdown_trades and fall > rules.drawdown_limit:
-                free, locked = max(free, lock(rules.drawdown_duration)), 1
-        out.append((int(at[entry]), when, rate, price, profit, reason, locked))
+        out.append((int(at[entry]), when, rate, price, profit, reason))
         row = max(end + 1, int(np.searchsorted(at, free)))
     return out
 
@@ -90,7 +79,7 @@ def simulate(candles: DataFrame, keys: list[str], rules: Rules = Rules(), fee: f
         cols = [own[c].to_numpy() for c in ("at", "open", "low", "close", "enter", "exit")]
         rows = positions(*cols, rules, fee, step)
         head = {k: own[k].iloc[0] for k in keys}
-        made = pd.DataFrame(rows, columns=["open_date", "close_date", "open_rate", "close_rate", "profit_ratio", "exit_reason", "drawdown_locks"])
+        made = pd.DataFrame(rows, columns=["open_date", "close_date", "open_rate", "close_rate", "profit_ratio", "exit_reason"])
         made["amount"] = notional / made["open_rate"].astype(float)
         made["profit_abs"] = made["amount"] * (made["close_rate"].astype(float) * (1 - fee) - made["open_rate"].astype(float) * (1 + fee))
         for c in ("open_date", "close_date"):
@@ -119,8 +108,8 @@ def mark_to_market(trades: DataFrame, candles: DataFrame, keys: list[str], walle
 
 
 def summary(trades: DataFrame, equity: DataFrame, keys: list[str], notional: float) -> DataFrame:
-    """keys, net_return_pct, mtm_max_drawdown_pct, trades, stop_exits, drawdown_locks."""
+    """keys, net_return_pct, mtm_max_drawdown_pct, trades, stop_exits."""
     d = drawdowns(equity, keys, "equity", notional).groupBy(*keys).agg((100 * (F.max_by("equity", "date") / notional - 1)).alias("net_return_pct"), F.max("drawdown_pct").alias("mtm_max_drawdown_pct"))
-    t = trades.groupBy(*keys).agg(F.count("*").alias("trades"), F.count_if(F.col("exit_reason") == "stop_loss").alias("stop_exits"), F.sum("drawdown_locks").alias("drawdown_locks"))
-    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("trades", "stop_exits", "drawdown_locks")}
+    t = trades.groupBy(*keys).agg(F.count("*").alias("trades"), F.count_if(F.col("exit_reason") == "stop_loss").alias("stop_exits"))
+    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("trades", "stop_exits")}
     return d.join(t, keys, "left").select(*keys, "net_return_pct", "mtm_max_drawdown_pct", *zero.values())

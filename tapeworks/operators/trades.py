@@ -16,8 +16,7 @@ HOUR = 3_600_000_000.0
 def trade_statistics(trades: DataFrame) -> DataFrame:
     """One row a run: counts, means, t statistic, profit factor, payoff, the two best, losing streak, holding days, exits."""
     r = F.col("return_pct")
-    best = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("return_pct"), "trade_id"))
-    t = trades.withColumns({"hours": (micros("close") - micros("open")) / HOUR, "rank": best})
+    t = trades.withColumn("hours", (micros("close") - micros("open")) / HOUR)
     wins, losses = F.when(r > 0, r), F.when(r <= 0, r)
     stats = t.groupBy("run").agg(
         F.count("*").alias("count"),
@@ -31,13 +30,21 @@ def trade_statistics(trades: DataFrame) -> DataFrame:
         F.avg(wins).alias("mean_win_pct"),
         F.avg(losses).alias("mean_loss_pct"),
         F.when(F.avg(losses) < 0, F.avg(wins) / -F.avg(losses)).alias("payoff_ratio"),
-        F.sum(F.when(F.col("rank") <= 2, r)).alias("top2_pp"),
-        F.coalesce(F.sum(F.when(F.col("rank") > 2, r)), F.lit(0.0)).alias("rest_pp"),
         (F.percentile("hours", 0.5) / 24).alias("median_holding_days"),
         (F.avg("hours") / 24).alias("mean_holding_days"),
         *[F.count_if(F.col("exit") == e).alias(f"exit_{e}") for e in ("exit_signal", "force_exit", "stop_loss")],
     )
-    return stats.join(losing_streak(trades), "run")
+    two = two_best(trades).groupBy("run").agg(F.sum(r).alias("top2_pp"))
+    both = stats.join(two, "run").withColumn("rest_pp", F.when(F.col("count") > 2, F.col("sum_pct") - F.col("top2_pp")).otherwise(0.0))
+    return both.join(losing_streak(trades), "run")
+
+
+def two_best(trades: DataFrame) -> DataFrame:
+    """The two trades of each run with the highest returns, ties by trade_id: first of every slice of a run, then of those."""
+    order = [F.desc("return_pct"), F.col("trade_id")]
+    sliced = trades.select("run", "trade_id", "return_pct", F.pmod(F.xxhash64("trade_id"), F.lit(64)).alias("slice"))
+    first = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("run", "slice").orderBy(*order))).where("rank <= 2")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(*order))).where("rank <= 2").drop("slice", "rank")
 
 
 def losing_streak(trades: DataFrame) -> DataFrame:
@@ -57,11 +64,10 @@ def exposure(trades: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def concentration(trades: DataFrame) -> DataFrame:
     """Per run: the sum, what the two best winners add, and the rest."""
-    best = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("return_pct"), "trade_id"))
-    top = (F.col("rank") <= 2) & (F.col("return_pct") > 0)
-    t = trades.withColumn("rank", best)
-    top_sum = F.coalesce(F.sum(F.when(top, F.col("return_pct"))), F.lit(0.0))
-    return t.groupBy("run").agg(F.count("*").alias("trades"), F.count_if(top).alias("top_winners"), F.sum("return_pct").alias("sum_pp"), top_sum.alias("top_two_pp"), (F.sum("return_pct") - top_sum).alias("without_top_two_pp"))
+    two = two_best(trades).where("return_pct > 0").groupBy("run").agg(F.count("*").alias("top_winners"), F.sum("return_pct").alias("top_two_pp"))
+    t = trades.groupBy("run").agg(F.count("*").alias("trades"), F.sum("return_pct").alias("sum_pp")).join(two, "run", "left")
+    top = F.coalesce("top_two_pp", F.lit(0.0))
+    return t.select("run", "trades", F.coalesce("top_winners", F.lit(0)).alias("top_winners"), "sum_pp", top.alias("top_two_pp"), (F.col("sum_pp") - top).alias("without_top_two_pp"))
 
 
 def power(trades: DataFrame, years: float, t_target: float = 2.0) -> DataFrame:
@@ -77,7 +83,10 @@ def trade_growth(trades: DataFrame) -> DataFrame:
     r = F.col("return_pct") / 100
     ruin = F.bool_or(r <= -1)
     log = F.when(~ruin, F.avg(F.when(r > -1, F.log1p(r))))
-    return trades.groupBy("run").agg(F.avg(r).alias("mean"), log.alias("mean_log"), F.log1p(F.avg(r)).alias("log_mean"), (F.log1p(F.avg(r)) - log).alias("gap"), (F.var_pop(r) / 2).alias("volatility_drag"))
+    # returns have four decimals: summed as integers, their mean doesn't depend on the order of rows
+    mean = F.sum(F.round(F.col("return_pct") * 10000).cast("long")) / 1e6 / F.count("*")
+    g = trades.groupBy("run").agg(mean.alias("mean"), log.alias("mean_log"), (F.var_pop(r) / 2).alias("volatility_drag"))
+    return g.select("run", "mean", "mean_log", F.log1p("mean").alias("log_mean"), (F.log1p("mean") - F.col("mean_log")).alias("gap"), "volatility_drag")
 
 
 def fraction_grid(spark: SparkSession, f_max: float, points: int) -> DataFrame:

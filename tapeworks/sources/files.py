@@ -63,9 +63,13 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
 
 
 def json_document(spark: SparkSession, path: str, schema: str, most: int = 32 << 20) -> DataFrame:
-    """Whole JSON documents up to a size, with the SHA-256 of their bytes."""
-    docs = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
-    return docs.select("path", F.sha2("content", 256).alias("sha256"), F.from_json(F.decode("content", F.lit("UTF-8")), schema).alias("document"))
+    """Whole JSON documents with the SHA-256 of their bytes. One that is larger than `most` bytes or no JSON object is an error."""
+    docs = spark.read.format("binaryFile").load(path)
+    fits = F.when(F.col("length") <= most, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("document too large: "), "path")).cast("binary"))
+    text = F.decode(fits, "UTF-8")
+    whole = F.when(F.trim(text).startswith("{"), F.from_json(text, schema, {"mode": "FAILFAST"}))
+    parsed = F.coalesce(whole, F.raise_error(F.concat(F.lit("no JSON object: "), "path")).cast(schema if schema.startswith("struct") else f"struct<{', '.join(x.strip().replace(' ', ':', 1) for x in schema.split(','))}>"))
+    return docs.select("path", F.sha2("content", 256).alias("sha256"), parsed.alias("document"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -42,8 +42,8 @@ def publish(path: str, report: dict, stop: bool) -> dict:
     return own
 
 
-def update_archive(spark: SparkSession, path: str, incoming: DataFrame, now: Column) -> DataFrame:
-    """Add settled candles to a Parquet archive by pair, as a new snapshot folder; contradictions leave it as it was."""
+def update_archive(spark: SparkSession, path: str, incoming: DataFrame, now: Column, gaps_allowed: bool = False) -> DataFrame:
+    """Add settled candles to a Parquet archive by pair, as a new snapshot folder; contradictions, and gaps in the merged history, leave it as it was."""
     new = assert_candles(settled(incoming, now), gaps_allowed=True)
     current = os.path.join(path, "CURRENT")
     if os.path.exists(current):
@@ -52,6 +52,7 @@ def update_archive(spark: SparkSession, path: str, incoming: DataFrame, now: Col
         if bad is not None:
             raise ValueError(f"candle of {bad['pair']} at {bad['date']} was revised")
         new = archive_merge(old, new, ["pair", "date"]).select(*old.columns)
+    assert_candles(new, gaps_allowed=gaps_allowed)
     name = f"snapshot-{len([x for x in os.listdir(path) if x.startswith('snapshot-')]) if os.path.isdir(path) else 0:06d}"
     new.write.partitionBy("pair").parquet(os.path.join(path, name))
     with open(current + ".new", "w") as f:

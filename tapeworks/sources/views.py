@@ -148,3 +148,31 @@ BOOKS = """
 keyed AS (SELECT o_orderkey AS order_id, round(o_totalprice, 2) AS amount, o_orderkey % 20 AS k FROM orders),
 db AS (SELECT order_id, CASE WHEN k = 3 THEN amount + 1 ELSE amount END AS amount, round(amount * 0.004::DOUBLE, 6) AS fee, k IN (5, 2) AS is_open FROM keyed WHERE k <> 1),
 exchange AS (SELECT order_id, amount, CASE WHEN k = 4 THEN round(amount * 0.004::DOUBLE, 6) * 2 ELSE round(amount * 0.004::DOUBLE, 6) END AS fee, k = 6 AS is_open FROM keyed WHERE k <> 2)"""
+
+
+def paper_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paper trade at every fifth candle, closed three candles later; the last may be open. See operators/forward.py."""
+    w = Window.partitionBy("pair").orderBy("date")
+    b = bars(spark, sf_dir).select("pair", "date", "open", F.row_number().over(w).alias("seq"), F.lead("date", 3).over(w).alias("to_date"), F.lead("open", 3).over(w).alias("to_open"))
+    t = b.where("seq % 5 = 0").withColumn("j", F.expr("seq div 5"))
+    t = t.select(
+        "pair", F.col("seq").cast("long").alias("trade_id"), "j", F.lit("walk").alias("strategy"), F.lit("1h").alias("timeframe"), F.when(F.col("j") % 2 == 0, F.col("date")).alias("submitted_date"),
+        (F.col("date") + F.make_dt_interval(mins=((F.col("j") % 4) * 5).cast("int"))).alias("open_date"), (F.col("to_date") + F.expr("INTERVAL 2 MINUTE")).alias("close_date"),
+        (100.0 + F.col("j") % 3 * 50).alias("stake_amount"), F.round(F.col("open") * (1 + (F.col("j") % 7 - 3) / 10000.0), 6).alias("open_rate"), F.round(F.col("to_open") * (1 - (F.col("j") % 5 - 2) / 10000.0), 6).alias("close_rate"), F.lit(0.004).alias("fee_open"),
+        F.when(F.col("to_date").isNotNull(), 0.005).alias("fee_close"), F.when(F.col("to_date").isNotNull(), F.element_at(F.array(F.lit("exit_signal"), F.lit("exit_signal"), F.lit("stop_loss"), F.lit("roi")), (F.col("j") % 4 + 1).cast("int"))).alias("exit_reason"),
+    ).withColumn("amount", F.round(F.col("stake_amount") / F.col("open_rate"), 8))
+    paid = F.col("amount") * F.col("open_rate") * 1.004
+    t = t.withColumn("profit_abs", F.round(F.col("amount") * F.col("close_rate") * 0.995 - paid, 6))
+    return t.withColumn("profit_ratio", F.round(F.col("profit_abs") / paid, 8)).drop("j")
+
+
+PAPER = """
+paper_rows AS (SELECT pair, date, open, row_number() OVER w AS seq, lead(date, 3) OVER w AS to_date, lead(open, 3) OVER w AS to_open FROM bars WINDOW w AS (PARTITION BY pair ORDER BY date)),
+paper_kept AS (SELECT *, seq // 5 AS j FROM paper_rows WHERE seq % 5 = 0),
+paper_priced AS (
+  SELECT pair, seq AS trade_id, 'walk' AS strategy, '1h' AS timeframe, CASE WHEN j % 2 = 0 THEN date END AS submitted_date, date + to_minutes((j % 4) * 5) AS open_date, to_date + INTERVAL 2 MINUTE AS close_date,
+    100.0::DOUBLE + j % 3 * 50 AS stake_amount, round(open * (1 + (j % 7 - 3) / 10000.0::DOUBLE), 6) AS open_rate, round(to_open * (1 - (j % 5 - 2) / 10000.0::DOUBLE), 6) AS close_rate, 0.004::DOUBLE AS fee_open,
+    CASE WHEN to_date IS NOT NULL THEN 0.005::DOUBLE END AS fee_close, CASE WHEN to_date IS NOT NULL THEN ['exit_signal', 'exit_signal', 'stop_loss', 'roi'][j % 4 + 1] END AS exit_reason FROM paper_kept
+), paper_sized AS (SELECT *, round(stake_amount / open_rate, 8) AS amount FROM paper_priced),
+paper_gain AS (SELECT *, round(amount * close_rate * 0.995::DOUBLE - amount * open_rate * 1.004::DOUBLE, 6) AS profit_abs FROM paper_sized),
+paper AS (SELECT *, round(profit_abs / (amount * open_rate * 1.004::DOUBLE), 8) AS profit_ratio FROM paper_gain)"""

@@ -16,22 +16,32 @@ DECISIONS = ["approve", "reject", "abstain"]
 ASSESSMENT = "candidate_id string, decision string, error string, latency_ms long"
 
 
-def with_deadline(provider: Callable[[dict], str], candidate: dict, seconds: float) -> tuple[str, str | None]:
-    """The provider's decision, or abstain with the reason if it fails, answers otherwise or takes too long."""
-    answer: queue.Queue = queue.Queue(1)
-
-    def call() -> None:
+class Deadline:
+    """Asks a provider under a time limit. While a call that has timed out still runs, no other one is begun."""
+
+    def __init__(self, provider: Callable[[dict], str], seconds: float):
+        self.provider, self.seconds, self.last = provider, seconds, None
+
+    def __call__(self, candidate: dict) -> tuple[str, str | None]:
+        """The provider's decision, or abstain with the reason if it fails, answers otherwise, takes too long or is still busy."""
+        if self.last is not None and self.last.is_alive():
+            return "abstain", "busy"
+        answer: queue.Queue = queue.Queue(1)
+
+        def call() -> None:
+            try:
+                answer.put((self.provider(candidate), None))
+            except Exception as e:  # any failure of a provider is an abstention
+                answer.put((None, type(e).__name__))
+
+        self.last = threading.Thread(target=call, daemon=True)
+        self.last.start()
         try:
-            answer.put((provider(candidate), None))
-        except Exception as e:  # any failure of a provider is an abstention
-            answer.put((None, type(e).__name__))
-
-    threading.Thread(target=call, daemon=True).start()
-    try:
-        decision, error = answer.get(timeout=seconds)
-    except queue.Empty:
-        return "abstain", "timeout"
-    return (decision, None) if decision in DECISIONS else ("abstain", error or "unknown decision")
+            decision, error = answer.get(timeout=self.seconds)
+        except queue.Empty:
+            return "abstain", "timeout"
+        self.last = None
+        return (decision, None) if decision in DECISIONS else ("abstain", error or "unknown decision")
 
 
 def assessed(candidates: DataFrame, provider: Callable[[dict], str], seconds: float = 30.0) -> DataFrame:
@@ -40,11 +50,12 @@ def assessed(candidates: DataFrame, provider: Callable[[dict], str], seconds: fl
     def rows(batches):
         import pandas as pd
 
+        ask = Deadline(provider, seconds)
         for b in batches:
             out = []
             for x in b.to_dict("records"):
                 began = time.time()
-                decision, error = with_deadline(provider, x, seconds)
+                decision, error = ask(x)
                 out.append((x["candidate_id"], decision, error, int(1000 * (time.time() - began))))
             yield pd.DataFrame(out, columns=["candidate_id", "decision", "error", "latency_ms"])
 

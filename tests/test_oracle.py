@@ -40,10 +40,5 @@ def test_same_rows(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["null_shares", "first_passage", "random_timing", "deflated_sharpe"])
-def test_without_sql(spark, name):
-    assert registry.queries()[name](spark, SF).count() > 0
-
-
 def test_flagship(spark):
     assert registry.flagship(spark, SF).count() == 5

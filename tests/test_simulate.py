@@ -1,11 +1,13 @@
 """The simulator's kernel on hand-made candles, and properties of signals."""
 
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.operators import candles as cd
-from tapeworks.operators import nulls
+from tapeworks.operators import normal
 from tapeworks.operators.simulate import Rules, positions
 from tapeworks.sources import views
 
@@ -52,13 +54,6 @@ def test_stop_guard_lock_end():
     assert out[1][0] == 1 + 5 + 1
 
 
-def test_drawdown_lock_needs_more_than_the_limit():
-    for fall, locked in ((0.25, 0), (0.26, 1)):
-        rules = Rules(stoploss=-fall, drawdown_limit=0.25, drawdown_duration=6, guard_limit=99)
-        out = run([10] * 12, [10, 10 * (1 - fall)] + [10] * 10, [10] * 12, [0, 5, 6, 7, 8, 9], [], rules)
-        assert out[0][6] == locked or fall == 0.25 and abs(out[0][4] + 0.25) < 1e-12
-
-
 def test_signals_do_not_look_ahead(spark):
     bars = views.bars(spark, SF).where("pair = 'view'")
     cut = bars.orderBy("date").limit(150)
@@ -73,19 +68,20 @@ def test_contract_names_the_pair(spark):
         cd.assert_candles(bad, gaps_allowed=True)
 
 
-def test_surrogates_and_fits():
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal(512)
-    y = nulls.iaaft(x, rng)
-    assert np.allclose(np.sort(x), np.sort(y)) and not np.array_equal(x, y)
-    fit = {"omega": 0.05, "alpha": 0.1, "beta": 0.85, "nu": 8.0, "mean": 0.0}
-    got = nulls.fit_garch_t(nulls.draw_garch_t(fit, 6000, rng))
-    assert abs(got["alpha"] + got["beta"] - 0.95) < 0.05
-    assert nulls.stream(1, "gbm", 5).random() == nulls.stream(1, "gbm", 5).random()
-    assert nulls.draw_mrw(0.01, 0.02, 100.0, 1000, rng).std() == pytest.approx(0.01, rel=0.4)
-
-
-def test_first_passage_agrees_with_the_closed_form(spark):
-    r = nulls.first_passage(spark, 0.6, [30], 2000, 7).first()
-    assert abs(r["bridge"] - r["analytic"]) < 4 * r["bridge_error"]
-    assert r["simulated"] <= r["bridge"] + 0.03
+def test_contract_refuses_numbers_that_are_not_finite(spark):
+    bars = views.bars(spark, SF).where("pair = 'view'")
+    for column, value, rule in (("high", "inf", "bad_price"), ("open", "nan", "bad_price"), ("volume", "inf", "bad_volume"), ("volume", "nan", "bad_volume")):
+        wild = bars.withColumn(column, F.lit(float(value)))
+        assert cd.candle_violations(wild).first()[rule] == bars.count()
+
+
+def test_normal_distribution(spark):
+    exact = NormalDist()
+    x = [k / 7 for k in range(-40, 41)]
+    frame = spark.createDataFrame([(v, exact.cdf(v)) for v in x], "x double, p double")
+    for r in frame.select("*", normal.normal_cdf(F.col("x")).alias("c"), normal.normal_quantile(F.col("p")).alias("q")).collect():
+        assert abs(r["c"] - r["p"]) < 2e-7 and (abs(r["x"]) > 3 or abs(r["q"] - r["x"]) < 1e-4)
+    own = spark.createDataFrame([(0.6,), (0.0,)], "s double").select(normal.stop_hit_probability(F.col("s"), 30, 0.2, 0.3).alias("p")).collect()
+    b, t = -np.log(0.8), 30 / 365
+    want = exact.cdf((-b - 0.3 * t) / (0.6 * t**0.5)) + np.exp(-0.6 * b / 0.36) * exact.cdf((-b + 0.3 * t) / (0.6 * t**0.5))
+    assert abs(own[0]["p"] - want) < 1e-6 and own[1]["p"] == 0

@@ -51,8 +51,8 @@ def test_archive_is_immutable(spark, tmp_path):
     bars = views.bars(spark, "/root/testdata/sf0.001").where("pair = 'view'")
     first = bars.orderBy("date").limit(50)
     (tmp_path / "archive").mkdir()
-    assert sinks.update_archive(spark, path, first, now).count() == 50
-    assert sinks.update_archive(spark, path, bars, now).count() == bars.count()
+    assert sinks.update_archive(spark, path, first, now, True).count() == 50
+    assert sinks.update_archive(spark, path, bars, now, True).count() == bars.count()
     with pytest.raises(ValueError, match="revised"):
         sinks.update_archive(spark, path, first.withColumn("volume", F.lit(77.0)), now)
 
@@ -100,5 +100,28 @@ def test_stream_assesses_each_candidate_once(spark, tmp_path):
 def test_deadline():
     import time
 
-    assert assess.with_deadline(lambda c: time.sleep(2), {}, 0.05) == ("abstain", "timeout")
-    assert assess.with_deadline(lambda c: "buy", {}, 1.0)[0] == "abstain"
+    ask = assess.Deadline(lambda c: time.sleep(0.4), 0.05)
+    assert ask({}) == ("abstain", "timeout") and ask({}) == ("abstain", "busy")
+    time.sleep(0.6)
+    assert ask({}) == ("abstain", "timeout")
+    assert assess.Deadline(lambda c: "buy", 1.0)({})[0] == "abstain" and assess.Deadline(lambda c: "approve", 1.0)({}) == ("approve", None)
+
+
+def test_json_documents(spark, tmp_path):
+    for name, text in (("good", '{"a": 1}'), ("cut", '{"a": 1'), ("list", "[1]"), ("large", '{"a": 1, "b": "' + "x" * 200 + '"}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    assert files.json_document(spark, str(tmp_path / "good.json"), "a int").first()["document"]["a"] == 1
+    for name in ("cut", "list", "large"):
+        with pytest.raises(Exception, match="JSON|too large|MALFORMED|malformed"):
+            files.json_document(spark, str(tmp_path / f"{name}.json"), "a int", most=100).collect()
+
+
+def test_archive_refuses_gaps(spark, tmp_path):
+    hour = [(("p", f"2024-01-01 {h:02d}:00:00")) for h in (0, 1, 2, 4)]
+    own = spark.createDataFrame(hour, "pair string, at string").selectExpr("pair", "cast(at as timestamp_ntz) as date", "1d as open", "1d as high", "1d as low", "1d as close", "1d as volume")
+    now, path = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), str(tmp_path / "a")
+    (tmp_path / "a").mkdir()
+    assert sinks.update_archive(spark, path, own.where("hour(date) < 3"), now).count() == 3
+    with pytest.raises(ValueError, match="gaps"):
+        sinks.update_archive(spark, path, own.where("hour(date) = 4"), now)
+    assert spark.read.parquet(f"{path}/{open(f'{path}/CURRENT').read()}").count() == 3
