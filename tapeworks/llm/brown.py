@@ -203,7 +203,7 @@ def assigned_words(coded: DataFrame, names: list[bytes], model: ClassModel, move
     side, own = END_CLASS + 1, 2 * (END_CLASS + 1)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in _parts(batches, 1 << 20):  # the more tokens, the fewer rows a word sends
             seq, _, _, cls = _classes(b, model)
             tail = b.column("tail").flatten().dictionary_encode()
             at = np.flatnonzero((seq < 0) | (seq >= moved))
