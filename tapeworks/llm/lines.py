@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import materialise, pinned, scratch, split_words, text_of, words_of
 
 THRESHOLD = 0.8
-MIN_WORDS = 1
+WORD = r"[^\x20\x09-\x0D]"
 #: Sets of fewer words are within THRESHOLD of equal sets only.
 LEAST_JOINED = 4
 SLOTS = 16
@@ -131,8 +131,8 @@ def coded_lines(docs: DataFrame, rare: Column, folder: str | None = None) -> Dat
     bits and wide are parities: bit k is set if an odd number of the line's words hash to k. n is the number of words (MOST for
     as many or more), prefix the prefix words as 32 bits of their hashes, none for sets under LEAST_JOINED words.
     """
-    lines = _lines(docs).select("id", "line", _ranked(words_of(F.col("line")), rare).alias("set"))
-    lines = lines.where(F.size("set") >= MIN_WORDS).select("*", F.size("set").alias("n"))
+    lines = _lines(docs).where(F.col("line").rlike(WORD))  # a condition on the set would have it worked out twice
+    lines = lines.select("id", "line", _ranked(words_of(F.col("line")), rare).alias("set")).select("*", F.size("set").alias("n"))
     prefix = F.slice("set", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(THRESHOLD) - F.lit(1e-9)) + 1).cast("int"))
     short = F.col("n") < LEAST_JOINED
     prefix = F.when(short, F.array().cast("array<int>")).otherwise(F.transform(prefix, lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int")))
@@ -292,5 +292,5 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     gone = removed_lines(placed.select("__place", "doc_id", "text"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("removed", k)), "\n")
     left = placed.join(gone, "__place", "left").withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
-    left = left.where(F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = left.where(F.col("removed").isNull() | F.col("text").rlike(WORD))
     return left.select(*[F.col("text" if x == at["text"] else x).alias(c) for c, x in zip(names, own, strict=True)])
