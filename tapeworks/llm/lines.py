@@ -28,8 +28,6 @@ rows raise an error. A line's number takes 31 bits, as many as an array can have
 from __future__ import annotations
 
 import json
-from functools import reduce
-from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
@@ -183,10 +181,10 @@ def _passes(a: str, b: str) -> Column:
     """Length, positional and bitmap filter for prefix rows a and b; lines of MOST words or more always pass."""
     n, m = _length(f"{a}more"), _length(f"{b}more")
     i, j = (F.col(f"{x}more").bitwiseAND(F.lit(MOST)) for x in (a, b))
-    share = _least_common(n + m)
-    length = F.least(n, m) >= F.greatest(n, m) * F.lit(THRESHOLD) - F.lit(1e-9)
+    share = (n + m) * F.lit(THRESHOLD / (1 + THRESHOLD)) - F.lit(1e-9)
+    length = (n >= m * F.lit(THRESHOLD) - F.lit(1e-9)) & (m >= n * F.lit(THRESHOLD) - F.lit(1e-9))
     position = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= share
-    return (n == MOST) | (m == MOST) | (length & (_differ(a, b) <= n + m - 2 * share) & position)
+    return (n == MOST) | (m == MOST) | (length & position & (_differ(a, b) <= n + m - 2 * share))
 
 
 def _enough(met: DataFrame) -> DataFrame:
@@ -232,17 +230,19 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     copies = materialise(lines.select("id", "key1", "key2").join(repeated, ["key1", "key2"]).where("id <> first").select("id"), "line-copies", folder)
     rows = _prefix_rows(lines.join(_small(copies), "id", "left_anti"))
 
-    by_word = Window.partitionBy(_key("word")).orderBy("id")
-    before = {"first": [F.first(c).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in rows.columns]}
-    before |= {f"last{k}": [F.lag(c, k).over(by_word) for c in rows.columns] for k in range(1, LAST + 1)}
+    by_word, own = Window.partitionBy(_key("word")).orderBy("id"), F.struct(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
+    rank = F.row_number().over(by_word)
+    first = F.when(rank > LAST + 1, F.first(own).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     nth = F.nth_value("id", LAST + 2).over(by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    more = rows.select("*", F.row_number().over(by_word).alias("rank"), nth.isNotNull().alias("deep"), *[x.alias(f"{k}_{c}") for k, own in before.items() for c, x in zip(rows.columns, own, strict=True)])
-    near = {k: (F.col(f"{k}_id") < F.col("id")) & _passes("", f"{k}_") for k in before}
-    found = F.array(*[F.when(x, F.struct(F.col(f"{k}_id").alias("a"), _differ("", f"{k}_").alias("differ"))) for k, x in near.items()])
-    found = F.when(reduce(or_, (F.coalesce(x, F.lit(False)) for x in near.values())), F.array_compact(found))
-    tried = materialise(more.select(*rows.columns, "rank", "deep", found.alias("found")).where(F.col("deep") | F.col("found").isNotNull()), "lines-tried", folder)
-
-    pairs = tried.select(F.col("id").alias("b"), F.inline("found")).groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    before = F.array(own, first, *[F.lag(own, k).over(by_word) for k in range(1, LAST + 1)])
+    more = rows.select("*", rank.alias("rank"), nth.isNotNull().alias("deep"), before.alias("before")).where("deep or rank > 1")
+    # a row for each earlier line that passes, and one for the line itself where others are left to meet
+    deep = F.col("a_id") == F.col("id")
+    more = more.select(*rows.columns, "rank", "deep", F.inline("before")).where((deep & F.col("deep")) | ((F.col("a_id") < F.col("id")) & _passes("a_", "")))
+    once = [F.when(deep, F.col(c)).alias(c) for c in rows.columns if c != "id"]
+    tried = materialise(more.select("id", *once, "rank", F.col("a_id").alias("a"), F.when(~deep, _differ("a_", "")).alias("differ")), "lines-tried", folder)
+
+    pairs = tried.where("a < id").select("a", F.col("id").alias("b"), "differ").groupBy("a", "b").agg(F.min("differ").alias("differ"))
     pairs = materialise(pairs, "line-pairs", folder)
     sets = _sets(_ends(pairs), docs, "line-sets", folder)
     closest = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")), sets, "lines-closest", folder)
@@ -250,7 +250,7 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     settled = closest.unionByName(others)
 
     # rows that seek no more have their id as -1 - id. Both sides of the join are the same rows, so they are shuffled once
-    deep = tried.where("deep").join(_small(settled.withColumn("settled", F.lit(True))), "id", "left")
+    deep = tried.where("a = id").join(_small(settled.withColumn("settled", F.lit(True))), "id", "left")
     seeks = F.col("settled").isNull() & (F.col("rank") > LAST + 1)
     deep = deep.select(F.when(seeks, F.col("id")).otherwise(-1 - F.col("id")).alias("id"), "bits", "more", "word")
     a, b = deep.toDF(*[f"a_{c}" for c in deep.columns]), deep.toDF(*[f"b_{c}" for c in deep.columns])

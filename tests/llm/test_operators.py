@@ -115,7 +115,7 @@ def plain_lines(rows):
     for doc, (_, (i, t, _)) in ((r[1][0], r) for r in order):
         for k, line in enumerate((t or "").split("\n")):
             s = frozenset(words(line))
-            if len(s) < lines.MIN_WORDS:
+            if not s:
                 continue
             if any((d, j) != (i, k) and (old == line or len(s & o) >= 0.8 * len(s | o) - 1e-9) for d, j, old, o in seen):
                 out[doc].add(k)
