@@ -239,10 +239,11 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     # a row for each earlier line that passes, and one for the line itself where others are left to meet
     deep = F.col("a_id") == F.col("id")
     more = more.select(*rows.columns, "rank", "deep", F.inline("before")).where((deep & F.col("deep")) | ((F.col("a_id") < F.col("id")) & _passes("a_", "")))
-    once = [F.when(deep, F.col(c)).alias(c) for c in rows.columns if c != "id"]
-    tried = materialise(more.select("id", *once, "rank", F.col("a_id").alias("a"), F.when(~deep, _differ("a_", "")).alias("differ")), "lines-tried", folder)
+    once = [F.when(deep, x).alias(c) for c, x in {**{c: F.col(c) for c in rows.columns if c != "id"}, "late": F.col("rank") > LAST + 1}.items()]
+    pair = [F.when(~deep, x).alias(c) for c, x in {"a": F.col("a_id"), "differ": _differ("a_", "").cast("short")}.items()]
+    tried = materialise(more.select("id", *once, *pair), "lines-tried", folder)
 
-    pairs = tried.where("a < id").select("a", F.col("id").alias("b"), "differ").groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    pairs = tried.where("a is not null").select("a", F.col("id").alias("b"), "differ").groupBy("a", "b").agg(F.min("differ").alias("differ"))
     pairs = materialise(pairs, "line-pairs", folder)
     sets = _sets(_ends(pairs), docs, "line-sets", folder)
     closest = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")), sets, "lines-closest", folder)
@@ -250,8 +251,8 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     settled = closest.unionByName(others)
 
     # rows that seek no more have their id as -1 - id. Both sides of the join are the same rows, so they are shuffled once
-    deep = tried.where("a = id").join(_small(settled.withColumn("settled", F.lit(True))), "id", "left")
-    seeks = F.col("settled").isNull() & (F.col("rank") > LAST + 1)
+    deep = tried.where("a is null").join(_small(settled.withColumn("settled", F.lit(True))), "id", "left")
+    seeks = F.col("settled").isNull() & F.col("late")
     deep = deep.select(F.when(seeks, F.col("id")).otherwise(-1 - F.col("id")).alias("id"), "bits", "more", "word")
     a, b = deep.toDF(*[f"a_{c}" for c in deep.columns]), deep.toDF(*[f"b_{c}" for c in deep.columns])
     early = F.when(F.col("a_id") < 0, -1 - F.col("a_id")).otherwise(F.col("a_id"))
