@@ -37,6 +37,15 @@ def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage now: Spark then deletes the shuffle files of queries that nothing refers to any more.
+
+    Left alone it does so every half hour (spark.cleaner.periodicGC.interval), and an operator's shuffles would add up on disk.
+    Call it once the results that rest on a large shuffle are written.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)

@@ -3,7 +3,7 @@
 A line is the set of its words. A line is removed if an earlier line (by doc_id, then row, then line number) has the same text or a
 Jaccard similarity of THRESHOLD or more with it. Lines without a word have no set and stay.
 
-1. Word rarity: counts in 2^16 slots of the word hash, a table of fixed size, order the words of every line (ties by hash).
+1. Word rarity: counts in 2^18 slots of the word hash, a table of fixed size, order the words of every line (ties by hash).
 2. Equal lines become one class, and so do lines of under LEAST_JOINED different words with equal sets: such sets come within
    the threshold of no other set (three of four words are 0.75, but four of five are 0.8, so lines of four words go on). A pair
    of classes within the threshold shares a word among the first n - ceil(t n) + 1 of each, so classes meet on those prefix
@@ -33,13 +33,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pinned, scratch, split_words, text_of, words_of
+from .common import materialise, pinned, release, scratch, split_words, text_of, words_of
 
 THRESHOLD = 0.8
 WORD = r"[^\x20\x09-\x0D]"
 #: Sets of fewer words are within THRESHOLD of equal sets only.
 LEAST_JOINED = 4
-SLOTS = 16
+SLOTS = 18
 LAST = 4
 MOST = 65535
 #: Line numbers within a row, in bits of a line's id.
@@ -97,22 +97,24 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """array<array<tinyint>>, a constant: by the high and the low bits of a slot, a level that grows with the count of its words."""
+    """array<tinyint>, a constant: for each slot a level that grows with the count of its words."""
     text = F.replace(text_of(), F.lit("\n"), F.lit(" "))
     words = docs.select(F.explode(split_words(text)).alias("word"))  # an empty one is counted too, which no other word minds
     counts = words.select(F.xxhash64("word").bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("slot")).groupBy("slot").count()
-    level, half = [0] * (1 << SLOTS), 1 << (SLOTS // 2)
-    for slot, n in counts.select("slot", F.floor(F.log2(F.col("count") + 1) * 3).cast("int")).collect():  # of a fixed size
-        level[slot] = n
-    return F.from_json(F.lit(json.dumps([level[k : k + half] for k in range(0, len(level), half)])), "array<array<tinyint>>")
+    # slots of a block in one row each, its slot above the seven bits of its level
+    packed = F.shiftleft("slot", 7).bitwiseOR(F.floor(F.log2(F.col("count") + 1) * 3).cast("long"))
+    level = [0] * (1 << SLOTS)
+    for (block,) in counts.groupBy(F.shiftright("slot", SLOTS // 2).alias("block")).agg(F.collect_list(packed).alias("slots")).select("slots").collect():  # of a fixed size
+        for x in block:
+            level[x >> 7] = x & 127
+    return F.from_json(F.lit(json.dumps(level, separators=(",", ":"))), "array<tinyint>")
 
 
 def _ranked(words: Column, rare: Column) -> Column:
     """The line's set as longs, rarest first: 7 bits of rarity over 56 bits of the word's hash."""
-    half = (1 << (SLOTS // 2)) - 1
 
     def code(h: Column) -> Column:
-        level = F.get(F.get(rare, F.shiftright(h, SLOTS // 2).bitwiseAND(F.lit(half)).cast("int")), h.bitwiseAND(F.lit(half)).cast("int"))
+        level = F.coalesce(F.get(rare, h.bitwiseAND(F.lit((1 << SLOTS) - 1)).cast("int")), F.lit(0).cast("tinyint"))  # never null: longs sort faster so
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), code)))
@@ -242,6 +244,7 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     once = [F.when(deep, x).alias(c) for c, x in {**{c: F.col(c) for c in rows.columns if c != "id"}, "late": F.col("rank") > LAST + 1}.items()]
     pair = [F.when(~deep, x).alias(c) for c, x in {"a": F.col("a_id"), "differ": _differ("a_", "").cast("short")}.items()]
     tried = materialise(more.select("id", *once, *pair), "lines-tried", folder)
+    release(docs.sparkSession)
 
     pairs = tried.where("a is not null").select("a", F.col("id").alias("b"), "differ").groupBy("a", "b").agg(F.min("differ").alias("differ"))
     pairs = materialise(pairs, "line-pairs", folder)
