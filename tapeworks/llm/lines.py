@@ -10,8 +10,7 @@ Jaccard similarity of THRESHOLD or more with it. Lines without a word have no se
    words. In order of its id, each class is tried against the first class on each of its prefix words and the LAST ones before
    it: pairs that pass the length, the positional and a parity bitmap filter (128 bits; differing ones never exceed differing
    words) are candidates. Word sets are read again and compared exactly, the closest candidate of a class first.
-3. Where a prefix word has more classes before one than were tried, the classes not yet settled meet all others on it, by the
-   same filters. The prefix words that a pair has in common are counted, and it goes on to the exact comparison only if they
+3. The classes not yet settled meet all earlier ones on each prefix word, by the same filters. The prefix words that a pair has in common are counted, and it goes on to the exact comparison only if they
    and the words after its prefixes suffice. A pair that was tried on another word may be counted short, but is settled already.
 
 None of the filters loses a pair. What is settled needs no second reason for removal, so no result changes, and in a cluster of
@@ -154,35 +153,25 @@ def _parity(half: bool) -> Column:
 
 
 def _prefix_rows(lines: DataFrame) -> DataFrame:
-    """id, bits, more, word: a row for each prefix word.
-
-    more has one half of wide, then n, then the place in the prefix (16 bits each); word has the hash, then wide's other half.
-    """
-    rows = lines.select("id", "bits", "wide", "n", F.posexplode("prefix").alias("at", "word"))
-    low = F.lit((1 << 32) - 1)
-    more = F.shiftleft("wide", 32).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 16)).bitwiseOR(F.least("at", F.lit(MOST)).cast("long"))
-    return rows.select("id", "bits", more.alias("more"), F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftrightunsigned("wide", 32).bitwiseAND(low)).alias("word"))
-
-
-def _key(word: str) -> Column:
-    return F.shiftright(word, 32)
+    """id, bits, wide, at, word: a row for each prefix word; at has n, then the place in the prefix (16 bits each)."""
+    rows = lines.select("id", "bits", "wide", "n", F.posexplode("prefix").alias("place", "word"))
+    at = F.shiftleft(F.col("n").cast("int"), 16).bitwiseOR(F.least("place", F.lit(MOST)))
+    return rows.select("id", "bits", "wide", at.alias("at"), "word")
 
 
-def _length(more: str) -> Column:
-    return F.shiftright(more, 16).bitwiseAND(F.lit(MOST))
+def _length(at: str) -> Column:
+    return F.shiftrightunsigned(at, 16)
 
 
 def _differ(a: str, b: str) -> Column:
     """At least so many words are in one of two lines only."""
-    more = F.shiftrightunsigned(F.col(f"{a}more").bitwiseXOR(F.col(f"{b}more")), 32)
-    word = F.col(f"{a}word").bitwiseXOR(F.col(f"{b}word")).bitwiseAND(F.lit((1 << 32) - 1))
-    return F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) + F.bit_count(more) + F.bit_count(word)
+    return F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) + F.bit_count(F.col(f"{a}wide").bitwiseXOR(F.col(f"{b}wide")))
 
 
 def _passes(a: str, b: str) -> Column:
     """Length, positional and bitmap filter for prefix rows a and b; lines of MOST words or more always pass."""
-    n, m = _length(f"{a}more"), _length(f"{b}more")
-    i, j = (F.col(f"{x}more").bitwiseAND(F.lit(MOST)) for x in (a, b))
+    n, m = _length(f"{a}at"), _length(f"{b}at")
+    i, j = (F.col(f"{x}at").bitwiseAND(F.lit(MOST)) for x in (a, b))
     share = (n + m) * F.lit(THRESHOLD / (1 + THRESHOLD)) - F.lit(1e-9)
     length = (n >= m * F.lit(THRESHOLD) - F.lit(1e-9)) & (m >= n * F.lit(THRESHOLD) - F.lit(1e-9))
     position = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= share
@@ -230,37 +219,28 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     every = materialise(lines.groupBy("key1", "key2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "line-classes", folder)
     repeated = every.where("copies > 1").select("key1", "key2", F.col("id").alias("first"))
     copies = materialise(lines.select("id", "key1", "key2").join(repeated, ["key1", "key2"]).where("id <> first").select("id"), "line-copies", folder)
-    rows = _prefix_rows(lines.join(_small(copies), "id", "left_anti"))
+    firsts = lines.join(_small(copies), "id", "left_anti")
 
-    by_word, own = Window.partitionBy(_key("word")).orderBy("id"), F.struct(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
-    rank = F.row_number().over(by_word)
+    rows, by_word = _prefix_rows(firsts), Window.partitionBy("word").orderBy("id")
+    own, rank = F.struct(*[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "word"]), F.row_number().over(by_word)
     first = F.when(rank > LAST + 1, F.first(own).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    nth = F.nth_value("id", LAST + 2).over(by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    before = F.array(own, first, *[F.lag(own, k).over(by_word) for k in range(1, LAST + 1)])
-    more = rows.select("*", rank.alias("rank"), nth.isNotNull().alias("deep"), before.alias("before")).where("deep or rank > 1")
-    # a row for each earlier line that passes, and one for the line itself where others are left to meet
-    deep = F.col("a_id") == F.col("id")
-    more = more.select(*rows.columns, "rank", "deep", F.inline("before")).where((deep & F.col("deep")) | ((F.col("a_id") < F.col("id")) & _passes("a_", "")))
-    once = [F.when(deep, x).alias(c) for c, x in {**{c: F.col(c) for c in rows.columns if c != "id"}, "late": F.col("rank") > LAST + 1}.items()]
-    pair = [F.when(~deep, x).alias(c) for c, x in {"a": F.col("a_id"), "differ": _differ("a_", "").cast("short")}.items()]
-    tried = materialise(more.select("id", *once, *pair), "lines-tried", folder)
-    release(docs.sparkSession)
-
-    pairs = tried.where("a is not null").select("a", F.col("id").alias("b"), "differ").groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    before = rows.select("*", F.array(first, *[F.lag(own, k).over(by_word) for k in range(1, LAST + 1)]).alias("before"))
+    tried = before.select(*rows.columns, F.inline("before")).where((F.col("a_id") < F.col("id")) & _passes("a_", ""))
+    pairs = tried.select(F.col("a_id").alias("a"), F.col("id").alias("b"), _differ("a_", "").alias("differ")).groupBy("a", "b").agg(F.min("differ").alias("differ"))
     pairs = materialise(pairs, "line-pairs", folder)
+    release(docs.sparkSession)
     sets = _sets(_ends(pairs), docs, "line-sets", folder)
     closest = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")), sets, "lines-closest", folder)
     others = _verified(pairs.join(_small(closest), F.col("b") == closest["id"], "left_anti"), sets, "lines-others", folder)
     settled = closest.unionByName(others)
 
-    # rows that seek no more have their id as -1 - id. Both sides of the join are the same rows, so they are shuffled once
-    deep = tried.where("a is null").join(_small(settled.withColumn("settled", F.lit(True))), "id", "left")
-    seeks = F.col("settled").isNull() & F.col("late")
-    deep = deep.select(F.when(seeks, F.col("id")).otherwise(-1 - F.col("id")).alias("id"), "bits", "more", "word")
-    a, b = deep.toDF(*[f"a_{c}" for c in deep.columns]), deep.toDF(*[f"b_{c}" for c in deep.columns])
+    # settled lines have their id as -1 - id and seek no more. Both sides of the join are the same rows, so they are shuffled once
+    marked = firsts.join(_small(settled.withColumn("settled", F.lit(True))), "id", "left")
+    rows = _prefix_rows(marked.withColumn("id", F.when(F.col("settled"), -1 - F.col("id")).otherwise(F.col("id"))))
+    a, b = rows.toDF(*[f"a_{c}" for c in rows.columns]), rows.toDF(*[f"b_{c}" for c in rows.columns])
     early = F.when(F.col("a_id") < 0, -1 - F.col("a_id")).otherwise(F.col("a_id"))
-    met = a.join(b, (_key("a_word") == _key("b_word")) & (early < F.col("b_id")) & _passes("a_", "b_")).withColumn("a_id", early)
-    met = materialise(_enough(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), _length("a_more").alias("n"), _length("b_more").alias("m"))), "line-met", folder)
+    met = a.join(b, (F.col("a_word") == F.col("b_word")) & (early < F.col("b_id")) & _passes("a_", "b_")).withColumn("a_id", early)
+    met = materialise(_enough(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), _length("a_at").alias("n"), _length("b_at").alias("m"))), "line-met", folder)
     return every, settled.unionByName(_verified(met, _sets(_ends(met), docs, "line-more-sets", folder), "lines-met", folder)).distinct()
 
 
