@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, exact, licenses, lines, mixing, packing, quality, simhash, toxicity, warc
+from . import brown, chat, exact, licenses, lines, mixing, packing, quality, repair, simhash, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_chat(turns.unionByName(spark.createDataFrame(chat.PLANTED, "conv_id long, turn long, role string, text string"))))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repair(repair.damaged(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_class_lm, op2_line_dedup, op3_simhash_dedup, op4_exact_dedup, op5_source_mixing, op6_license_scan, op7_quality_rules, op8_toxicity, op9_warc_audit, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_class_lm, op2_line_dedup, op3_simhash_dedup, op4_exact_dedup, op5_source_mixing, op6_license_scan, op7_quality_rules, op8_toxicity, op9_warc_audit, op10_best_fit_packing, op11_chat_format, op12_structure_repair, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact.SQL, "op5_source_mixing": mixing.SQL, "op9_warc_audit": warc.SQL}
+    return {"op4_exact_dedup": exact.SQL, "op5_source_mixing": mixing.SQL, "op9_warc_audit": warc.SQL, "op11_chat_format": chat.SQL, "op13_vector_codes": vectors.SQL}
