@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
 
 
 def is_scan(df: DataFrame) -> bool:
-    """Whether df only reads files, picks columns and filters, so that each reading deals the same rows to the same tasks."""
+    """Whether df only reads files, picks columns and filters. How its rows are dealt to tasks may change from reading to reading."""
     plan = df._jdf.queryExecution().analyzed()
     while plan.deterministic() and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
@@ -71,10 +72,26 @@ def is_scan(df: DataFrame) -> bool:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """df, or a copy in the shared folder if df is no plain scan of files: monotonically_increasing_id() is the same at every reading."""
+    """df, or a copy in the shared folder if df is no plain scan of files: each reading finds the same rows in the same files."""
     return df if is_scan(df) else materialise(df, "pinned")
 
 
+def place_of(df: DataFrame) -> tuple[Column, Column]:
+    """The file of a row of a scan of Parquet files, and the row's number in it: the same at every reading, however rows are dealt to tasks."""
+    place = df.metadataColumn("_metadata")
+    return place["file_path"], place["row_index"]
+
+
+def placed(df: DataFrame, file: str = "__file", at: str = "__at") -> DataFrame:
+    """df with the place of its rows (see place_of); what is no scan of Parquet files is written first."""
+    df = pinned(df)
+    try:
+        return df.select("*", *[c.alias(n) for c, n in zip(place_of(df), (file, at), strict=True)])
+    except AnalysisException:  # files of another kind
+        df = materialise(df, "placed")
+        return df.select("*", *[c.alias(n) for c, n in zip(place_of(df), (file, at), strict=True)])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -6,8 +6,9 @@
 3. The bitmaps go back, in row order, to the partitions. Only rows whose bit is set (suspects) have their text shuffled and
    compared byte by byte; the others are known to be alone.
 
-The second reading of the input must deal the rows to the same partitions as the first. That holds for a scan of files;
-anything else is written to the shared folder first.
+Rows are known by their file and their number in it, which are the same at every reading, however Spark deals the files to tasks
+(that changes with the cores there are). A list holds rows of one block of a file. What is no scan of Parquet files is written to
+the shared folder first.
 
 Defined results: null text counts as empty; empty texts equal each other; of repeated rows (same id, same text) one stays; a
 null doc_id is the smallest; an empty table gives no rows; further columns are ignored.
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, pinned, text_of
+from .common import materialise, partitions, placed, text_of
 
 BITS = 48
-#: Rows of a partition that are coded together, and answered by one bitmap.
+#: Rows of a file that are coded together, and answered by one bitmap.
 BLOCK = 1 << 18
+#: Rows whose fingerprints an owner holds at most, on average.
+OWNER_ROWS = 1 << 22
 
 
 def golomb(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -48,11 +51,11 @@ def ungolomb(n: int, k: int, unary: bytes, rest: bytes) -> np.ndarray:
     return np.cumsum((quotient << np.uint64(k)) | bits @ (np.uint64(1) << np.arange(k - 1, -1, -1, dtype=np.uint64)))
 
 
-_SENT = "owner int, part int, block int, n int, k int, unary binary, rest binary, rows binary, at binary, twice binary"
+_SENT = "owner int, part string, block int, start long, n int, k int, unary binary, rest binary, rows binary, at binary, twice binary"
 
 
 def _coded(owners: int):
-    def send(part: int, block: int, seq: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def send(part: str, block: int, seq: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         owner = (fp % np.uint64(owners)).astype(np.int64)
         order = np.lexsort((fp, owner))
         edges = np.flatnonzero(np.diff(owner[order], prepend=-1))
@@ -60,25 +63,28 @@ def _coded(owners: int):
         for own in np.split(order, edges[1:]):
             values, at, counts = np.unique(fp[own], return_inverse=True, return_counts=True)
             k, unary, rest = golomb(values)
-            out.append((int(owner[own[0]]), part, block, len(values), k, unary, rest, (seq[own] % BLOCK).astype(np.int32).tobytes(), at.astype(np.int32).tobytes(), np.packbits(counts > 1).tobytes()))
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=[x.split()[0] for x in _SENT.split(", ")]).astype({c: "int32" for c in ("owner", "part", "block", "n", "k")}))
+            out.append((int(owner[own[0]]), part, block, int(seq[0]), len(values), k, unary, rest, (seq[own] % BLOCK).astype(np.int32).tobytes(), at.astype(np.int32).tobytes(), np.packbits(counts > 1).tobytes()))
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=[x.split()[0] for x in _SENT.split(", ")]).astype({c: "int32" for c in ("owner", "block", "n", "k")}))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        part = block = -1
+        at: tuple[str, int] | None = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            part = b.column("part")[0].as_py()
-            seq, fp = b.column("seq").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
-            for one in np.unique(seq // BLOCK):
-                if one != block and held:
-                    yield from send(part, block, *map(np.concatenate, zip(*held, strict=True)))
+            files = b.column("part").dictionary_encode()
+            names, of = files.dictionary.to_pylist(), np.asarray(files.indices)
+            every, prints = b.column("seq").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            block = every // BLOCK
+            for run in np.split(np.arange(len(every)), np.flatnonzero((np.diff(of) != 0) | (np.diff(block) != 0)) + 1):
+                if not len(run):
+                    continue
+                here = names[of[run[0]]], int(block[run[0]])
+                if here != at and held:
+                    yield from send(*at, *map(np.concatenate, zip(*held, strict=True)))
                     held = []
-                block = int(one)
-                held.append((seq[seq // BLOCK == one], fp[seq // BLOCK == one]))
+                at = here
+                held.append((every[run], prints[run]))
         if held:
-            yield from send(part, block, *map(np.concatenate, zip(*held, strict=True)))
+            yield from send(*at, *map(np.concatenate, zip(*held, strict=True)))
 
     return coded
 
@@ -88,7 +94,7 @@ def _answered(lists: pd.DataFrame) -> pd.DataFrame:
     decoded = [ungolomb(r.n, r.k, r.unary, r.rest) for r in lists.itertuples()]
     every = np.sort(np.concatenate(decoded))
     twice = every[1:][every[1:] == every[:-1]]
-    return lists[["owner", "part", "block"]].assign(bits=[np.packbits(np.isin(v, twice)).tobytes() for v in decoded])
+    return lists[["owner", "part", "block", "start"]].assign(bits=[np.packbits(np.isin(v, twice)).tobytes() for v in decoded])
 
 
 def _gathered(answers: pd.DataFrame) -> pd.DataFrame:
@@ -99,39 +105,40 @@ def _gathered(answers: pd.DataFrame) -> pd.DataFrame:
         rows = np.frombuffer(r.rows, np.int32)[suspect[np.frombuffer(r.at, np.int32)]].astype(np.uint64)
         np.bitwise_or.at(words, (rows >> np.uint64(6)).astype(np.int64), np.uint64(1) << (rows & np.uint64(63)))
     last = int(np.flatnonzero(words)[-1]) + 1 if words.any() else 0
-    return answers[["part", "block"]].head(int(words.any())).assign(words=[words[:last].view(np.int64)] * int(words.any()))
+    out = answers[["part", "block"]].head(int(words.any()))
+    return out.assign(words=pd.Series([words[:last].view(np.int64)] * len(out), index=out.index, dtype=object))
 
 
 def suspects(docs: DataFrame) -> DataFrame:
-    """doc_id, body, row (unique), and whether another row has the same fingerprint."""
-    owners = partitions(docs.sparkSession)
-    seq = F.monotonically_increasing_id()
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("body"), F.spark_partition_id().alias("part"), seq.alias("row"))
-    rows = rows.withColumn("seq", F.col("row").bitwiseAND(F.lit((1 << 33) - 1)))
+    """doc_id, body, part and seq (a row's file and number), and whether another row has the same fingerprint."""
+    rows = placed(docs.select("doc_id", "text"), "part", "seq").select(F.col("doc_id").cast("long"), text_of().alias("body"), "part", "seq")
+    owners = max(partitions(docs.sparkSession), rows.count() // OWNER_ROWS)
     prints = rows.select("part", "seq", F.shiftrightunsigned(F.xxhash64("body"), 64 - BITS).alias("fp"))
     sent = materialise(prints.mapInArrow(_coded(owners), _SENT), "exact-lists")
-    answers = sent.select("owner", "part", "block", "n", "k", "unary", "rest").groupBy("owner").applyInPandas(_answered, "owner int, part int, block int, bits binary")
-    back = sent.select("owner", "part", "block", "rows", "at", "twice").join(answers, ["owner", "part", "block"])
-    bitmaps = materialise(back.groupBy("part", "block").applyInPandas(_gathered, "part int, block int, words array<long>"), "exact-bitmaps")
+    answers = sent.select("owner", "part", "block", "start", "n", "k", "unary", "rest").groupBy("owner").applyInPandas(_answered, "owner int, part string, block int, start long, bits binary")
+    back = sent.select("owner", "part", "block", "start", "rows", "at", "twice").join(answers, ["owner", "part", "block", "start"])
+    bitmaps = materialise(back.groupBy("part", "block").applyInPandas(_gathered, "part string, block int, words array<long>"), "exact-bitmaps")
     at = F.col("seq") % BLOCK
     word = F.get("words", (at / 64).cast("int"))
     bit = F.coalesce(F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
     block = (F.col("seq") / BLOCK).cast("int")
     # small bitmaps are broadcast by Spark's own size check; larger ones are joined by a shuffle
-    return rows.withColumn("block", block).join(bitmaps, ["part", "block"], "left").select("doc_id", "body", "row", bit.alias("suspect"))
+    return rows.withColumn("block", block).join(bitmaps, ["part", "block"], "left").select("doc_id", "body", "part", "seq", bit.alias("suspect"))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
-    flagged = suspects(pinned(docs.select("doc_id", "text")))
+    flagged = suspects(docs)
     sha = F.sha2("body", 256).alias("text_sha256")
     alone = flagged.where(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     pairs = flagged.where("suspect")
-    rank = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    bodies = pairs.groupBy(sha, "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max_by("row", rank).alias("keep_row"))
+    row = F.struct("part", "seq")
+    last = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), "part", "seq")).alias("last")
+    bodies = pairs.groupBy(sha, "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), last)
     one = F.when(F.count("*") == 1, F.max("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256")).cast("long"))
-    groups = bodies.groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), one.alias("group_size"), F.max("keep_row").alias("keep_row"))
-    members = pairs.select("doc_id", "row", sha).join(groups, "text_sha256")
+    groups = bodies.groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), one.alias("group_size"), F.max("last").alias("last"))
+    groups = groups.select("text_sha256", "keep_id", "group_size", F.struct("last.part", "last.seq").alias("keep_row"))
+    members = pairs.select("doc_id", row.alias("row"), sha).join(groups, "text_sha256")
     return alone.unionByName(members.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"))
 
 

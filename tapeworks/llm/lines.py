@@ -20,19 +20,19 @@ Each row is a document of its own: it gets a number by its doc_id (nulls last),
 files. A table that is no plain scan of Parquet files is written first, so that every reading of it finds the same places.
 
 Defined results: null text counts as empty; rows that repeat a doc_id, or have none, are compared as any others; an empty
-table gives no rows; further columns are ignored by duplicate_lines() and returned by without_duplicates(); more than 2^32
-rows raise an error. A line's number takes 31 bits, as many as an array can have.
+table gives no rows; further columns are ignored by duplicate_lines() and returned by without_duplicates(); a line's
+number takes as many bits as the longest text could need and its row's number the rest of 63; tables beyond that raise an error
+(with texts of up to 16 million characters that is 2^39 rows).
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pinned, release, scratch, split_words, text_of, words_of
+from .common import materialise, pinned, placed, release, scratch, split_words, text_of, words_of
 
 THRESHOLD = 0.8
 WORD = r"[^\x20\x09-\x0D]"
@@ -41,36 +41,31 @@ LEAST_JOINED = 4
 SLOTS = 18
 LAST = 4
 MOST = 65535
-#: Line numbers within a row, in bits of a line's id.
-LINE_BITS = 31
-MOST_ROWS = 1 << 32
 #: Places within a file, in bits of a row's place.
 AT_BITS = 40
-#: A table of at most so many ids (16 MB) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: A table of at most so many ids (16 MB), or files, is broadcast; a larger one is joined by a shuffle.
+BROADCAST_IDS, BROADCAST_FILES = 2_000_000, 100_000
 
 
 def _placed(docs: DataFrame) -> DataFrame:
     """docs and __place, a number of each row's place in the files, the same at every reading."""
     spark = docs.sparkSession
-    docs = pinned(docs)
-    try:
-        docs.select(*_place_parts(docs))
-    except AnalysisException:  # no Parquet files
-        docs = materialise(docs, "docs")
-    paths = [r[0] for r in docs.select(_place_parts(docs)[0]).distinct().collect()]  # one row a file
+    docs = placed(docs, "__path", "__at")
+    paths = [r[0] for r in docs.select("__path").distinct().collect()]  # one row a file
     files = spark.createDataFrame([(x, k) for k, x in enumerate(sorted(paths))], "__path string, __file long")
     place = F.shiftleft("__file", AT_BITS).bitwiseOR(F.col("__at"))
-    return docs.select("*", *_place_parts(docs)).join(F.broadcast(files), "__path").withColumn("__place", place).drop("__path", "__file", "__at")
+    files = F.broadcast(files) if len(paths) <= BROADCAST_FILES else files
+    return docs.join(files, "__path").withColumn("__place", place).drop("__path", "__file", "__at")
 
 
-def _place_parts(docs: DataFrame) -> list[Column]:
-    return [docs.metadataColumn("_metadata")[x].alias(y) for x, y in (("file_path", "__path"), ("row_index", "__at"))]
+def _line_bits(rows: DataFrame) -> int:
+    """Bits that any line's number within its text fits into."""
+    return max(1, int(rows.agg(F.max(F.length("text"))).first()[0] or 0).bit_length())
 
 
-def _ranks(placed: DataFrame, folder: str) -> DataFrame:
-    """__place, doc: the rows' numbers from 0, by doc_id and place, nulls last."""
-    order = placed.select(F.col("doc_id").cast("long").alias("key"), "__place").orderBy(F.col("key").asc_nulls_last(), "__place")
+def _ranks(rows: DataFrame, folder: str, bits: int) -> DataFrame:
+    """__place, doc: the rows' numbers from 0, by doc_id and place, nulls last, with so many zero bits after them."""
+    order = rows.select(F.col("doc_id").cast("long").alias("key"), "__place").orderBy(F.col("key").asc_nulls_last(), "__place")
     dealt = materialise(order.select("__place", F.monotonically_increasing_id().alias("at")), "row-order", folder)
     task = F.shiftright("at", 33)
     sizes = sorted(dealt.groupBy(task.alias("task")).count().collect())  # one row a task
@@ -78,16 +73,16 @@ def _ranks(placed: DataFrame, folder: str) -> DataFrame:
     for k, n in sizes:
         starts.append((k, total))
         total += n
-    if total > MOST_ROWS:
-        raise ValueError("more than 2^32 rows")
-    starts = placed.sparkSession.createDataFrame(starts, "task long, start long")
+    if total > 1 << (63 - bits):
+        raise ValueError(f"more than 2^{63 - bits} rows, with lines of {bits} bits")
+    starts = rows.sparkSession.createDataFrame(starts, "task long, start long")
     within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return materialise(dealt.withColumn("task", task).join(F.broadcast(starts), "task").select("__place", (F.col("start") + within).alias("doc")), "row-ranks", folder)
+    return materialise(dealt.withColumn("task", task).join(F.broadcast(starts), "task").select("__place", F.shiftleft(F.col("start") + within, bits).alias("doc")), "row-ranks", folder)
 
 
 def _id(no: Column) -> Column:
     """A line's id, never negative: ids of later documents, and of later lines in one, are larger."""
-    return F.shiftleft("doc", LINE_BITS).bitwiseOR(no.cast("long"))
+    return F.col("doc").bitwiseOR(no.cast("long"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -244,27 +239,31 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     return every, settled.unionByName(_verified(met, _sets(_ends(met), docs, "line-more-sets", folder), "lines-met", folder)).distinct()
 
 
-def removed_lines(placed: DataFrame) -> DataFrame:
-    """Of a table with __place: __place and removed, the numbers of its lines to remove, ascending. A table in the shared folder."""
-    with scratch(placed.sparkSession) as folder:
-        ranks = _ranks(placed, folder)
-        docs = placed.select("__place", "text").join(_small(ranks), "__place").select("doc", "text")
-        lines = coded_lines(docs, rarity(placed), folder)
+def removed_lines(rows: DataFrame) -> DataFrame:
+    """Of rows (__place, doc_id, text): __place and removed, the numbers of its lines to remove, ascending. A table in the shared folder."""
+    with scratch(rows.sparkSession) as folder:
+        bits = _line_bits(rows)
+        ranks = _ranks(rows, folder, bits)
+        few = ranks.count() <= BROADCAST_IDS
+        docs = rows.select("__place", "text").join(F.broadcast(ranks) if few else ranks, "__place").select("doc", "text")
+        if not few:  # texts are shuffled to their numbers once, not at each reading
+            docs = materialise(docs, "numbered-docs", folder)
+        lines = coded_lines(docs, rarity(rows), folder)
         every, near = duplicate_classes(docs, lines, folder)
         gone = every.join(near.withColumn("gone", F.lit(True)), "id", "left").where(F.col("gone") | (F.col("copies") > 1))
         gone = gone.select("key1", "key2", F.when(F.col("gone"), F.lit(None)).otherwise(F.col("id")).alias("keep"))
         out = lines.select("id", "key1", "key2").join(gone, ["key1", "key2"]).where(F.col("keep").isNull() | (F.col("id") != F.col("keep")))
-        no = F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
-        by_row = out.groupBy(F.shiftright("id", LINE_BITS).alias("doc")).agg(F.sort_array(F.collect_list(no)).alias("removed"))
+        no = F.col("id").bitwiseAND(F.lit((1 << bits) - 1))
+        by_row = out.groupBy((F.col("id") - no).alias("doc")).agg(F.sort_array(F.collect_list(no.cast("int"))).alias("removed"))
         return materialise(by_row.join(ranks, "doc").select("__place", "removed"), "lines-removed")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (numbers from 0): one row for each row of docs."""
-    placed = _placed(docs.select("doc_id", "text"))
-    counted = placed.select(F.col("doc_id").cast("long"), "__place", F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines"))
+    rows = _placed(docs.select("doc_id", "text"))
+    counted = rows.select(F.col("doc_id").cast("long"), "__place", F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return counted.join(removed_lines(placed), "__place", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    return counted.join(removed_lines(rows), "__place", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
@@ -272,9 +271,9 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     names, own = docs.columns, [f"c{k}" for k in range(len(docs.columns))]  # helpers and columns can't clash
     at = {c.lower(): x for c, x in zip(names, own, strict=True)}
     docs = pinned(docs).toDF(*own)
-    placed = _placed(docs.select("*", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")))
-    gone = removed_lines(placed.select("__place", "doc_id", "text"))
+    rows = _placed(docs.select("*", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")))
+    gone = removed_lines(rows.select("__place", "doc_id", "text"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("removed", k)), "\n")
-    left = placed.join(gone, "__place", "left").withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
+    left = rows.join(gone, "__place", "left").withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
     left = left.where(F.col("removed").isNull() | F.col("text").rlike(WORD))
     return left.select(*[F.col("text" if x == at["text"] else x).alias(c) for c, x in zip(names, own, strict=True)])

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, pinned, text_of, words_of
+from .common import fresh, materialise, placed, text_of, words_of
 
 EPOCHS = 3
 #: Slices of a running sum over all rows, the least, and the rows that a slice of a larger table holds on average.
@@ -53,9 +53,15 @@ def _running(df: DataFrame, group: list[str], slice_of: Column, order: list[str]
     return df.withColumn("inside", inside).join(sums, [*group, "slice"]).withColumn(out, F.col("before") + F.col("inside")).drop("slice", "before", "inside")
 
 
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """row, doc_id, source, size and more. Written, so that a row keeps its number."""
+    row = F.monotonically_increasing_id().alias("row")
+    return materialise(docs.select(row, F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(words_of(text_of())).cast("long").alias("size"), *more), "mix-sizes")
+
+
 def _taken(sized: DataFrame, seed: str) -> DataFrame:
-    """sized (row, doc_id, source, size) with source_size, target and taken."""
-    sized = materialise(sized, "mix-sizes")
+    """sized (row, doc_id, source, size, a written table) with source_size, target and taken."""
+    sized = sized.select("row", "doc_id", "source", "size")
     targets = materialise(source_targets(sized), "mix-targets")
     few = F.broadcast(targets) if targets.count() <= BROADCAST_ROWS else targets
     docs = sized.join(few.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -78,18 +84,17 @@ def _taken(sized: DataFrame, seed: str) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, taken: how many words of each document the mix takes, repeats counted."""
-    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(words_of(text_of())).cast("long").alias("size"))
-    return _taken(sized, seed).drop("row")
+    return _taken(_sized(docs), seed).drop("row")
 
 
 def take(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mix itself: every document as many times as the mix takes it, with all its columns. What is no scan of files is written first."""
-    docs = pinned(docs)
-    own, times = fresh(docs, "row"), fresh(docs, "times")
-    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(words_of(text_of())).cast("long").alias("size"))
-    took = _taken(sized, seed).where("taken > 0").select(F.col("row").alias(own), F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")).alias(times))
-    rows = docs.select(F.monotonically_increasing_id().alias(own), "*").join(took, own)
-    return rows.withColumn(times, F.explode(times)).drop(own, times)
+    """The mix itself: every document as many times as the mix takes it, with all its columns. What is no scan of Parquet files is written first."""
+    file, at, times = (fresh(docs, c) for c in ("file", "at", "times"))
+    docs = placed(docs, file, at)
+    sized = _sized(docs, F.col(file).alias("file"), F.col(at).alias("at"))
+    took = _taken(sized, seed).where("taken > 0").select("row", F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    took = sized.select("row", "file", "at").join(took, "row").select(F.col("file").alias(file), F.col("at").alias(at), F.col("times").alias(times))
+    return docs.join(took, [file, at]).withColumn(times, F.explode(times)).drop(file, at, times)
 
 
 #: The same in DuckDB: running sums as plain windows.

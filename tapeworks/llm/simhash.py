@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, pinned
+from .common import fresh, materialise, placed
 from .graph import components
 from .textbatch import chunks, mixed
 
@@ -72,16 +72,18 @@ def _fingerprints(texts: list[bytes | None], words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """row (unique), doc_id, fp: the fingerprint's bits as a long."""
+    """doc_id, fp (the fingerprint's bits as a long) and any further columns of docs but text."""
+    own = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 fp = _fingerprints(pc.cast(part.column("text"), pa.binary()).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(fp.view(np.int64))], ["row", "doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), *map(part.column, own)], ["doc_id", "fp", *own])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(made, "row long, doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *own)
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in own)
+    return rows.mapInArrow(made, f"doc_id long, fp long{kinds}")
 
 
 def masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -234,7 +236,7 @@ def similar_links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 
 def _classified(docs: DataFrame, radius: int, words: int) -> DataFrame:
-    """row, doc_id, fp, component (a fingerprint), component_id."""
+    """doc_id, fp, component (a fingerprint), component_id, and any further columns of docs but text."""
     prints = materialise(fingerprints(docs, words), "fingerprints")
     points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
     reached = components(similar_links(points, radius))
@@ -246,12 +248,15 @@ def _classified(docs: DataFrame, radius: int, words: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of docs."""
-    return _classified(docs, radius, words).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _classified(docs.select("doc_id", "text"), radius, words).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """One document of each class, one with the smallest doc_id, with all columns. What is no scan of files is written first."""
-    docs = pinned(docs)
-    rank, own = F.coalesce("doc_id", F.lit((1 << 63) - 1)), fresh(docs, "row")
-    first = _classified(docs, radius, words).groupBy("component").agg(F.min_by("row", rank).alias(own)).select(own)
-    return docs.select(F.monotonically_increasing_id().alias(own), "*").join(first, own, "left_semi").drop(own)
+    """One document of each class, one with the smallest doc_id (of those the first by file and number), with all columns. What is
+    no scan of Parquet files is written first."""
+    file, at = fresh(docs, "file"), fresh(docs, "at")
+    docs = placed(docs, file, at)
+    own = docs.select("doc_id", "text", F.col(file).alias("file"), F.col(at).alias("at"))
+    rank = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank")
+    first = _classified(own, radius, words).groupBy("component").agg(F.min(F.struct(rank, "file", "at")).alias("first"))
+    return docs.join(first.select(F.col("first.file").alias(file), F.col("first.at").alias(at)), [file, at], "left_semi").drop(file, at)

@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import platt
+from .common import materialise, split_words, text_of
 from .textbatch import Texts, chunks, ragged
 
 #: Words in a window, and from one window to the next.
@@ -31,8 +32,7 @@ STEMS = (3, 4, 5, 6)
 #: Texts that must hold a slot before its share among label 1 is taken at face value.
 FAITH = 40
 INPUT, HIDDEN, ATTEND = 12, 8, 8
-#: Labelled rows trained on, the most, a third of them of label 1 if there are as many; and the words they have together, the
-#: most, as rows are taken whole in the order of a hash.
+#: Labelled rows trained on, the most, a third of them of label 1 if there are as many; and the words trained on, the most.
 TRAIN_ROWS, TRAIN_WORDS = 3600, 4_000_000
 THRESHOLD = 0.7
 FOLD = 3
@@ -242,16 +242,35 @@ def train(texts: pa.Array, y: np.ndarray, rounds: int = 5, seed: int = 5) -> Tox
     return ToxicityModel(p, *platt(out.astype(float), y[~learn]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Trained on at most `rows` labelled rows, and TRAIN_WORDS words, outside the held-out part, by hash of their id."""
+def _share(sizes: list[int], most: int) -> int:
+    """The largest share of words with which texts of these sizes, each cut down to it, hold `most` words in all."""
+    left, rest = most, sorted(sizes)
+    for k, n in enumerate(rest):
+        if n * (len(rest) - k) > left:
+            return left // (len(rest) - k)
+        left -= n
+    return max(rest, default=0)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_WORDS) -> ToxicityModel:
+    """Trained on at most `rows` labelled rows outside the held-out part, by hash of their id, and on at most `most` words.
+
+    Where the texts have more words, the longest give up some: they are trained on windows spread evenly over their whole length.
+    """
     some = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     ones = some.where("toxic = 1").orderBy(*first).limit(rows // 3)
     some = F.broadcast(ones.unionByName(some.where("toxic = 0").orderBy(*first).limit(rows - rows // 3)))
-    # one row an id, so that a repeated one comes to the driver once; the window is over at most `rows` rows
-    own = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    own = own.withColumn("words", F.sum(F.size(F.split("text", r"\s+"))).over(Window.orderBy(*first))).where(F.col("words") <= TRAIN_WORDS)
-    own = own.drop("words").toArrow().sort_by("doc_id").combine_chunks()
+    # one row an id, so that a repeated one comes to the driver once
+    own = materialise(docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id", "toxic").agg(F.min(text_of()).alias("text")), "toxic-train")
+    own = own.withColumn("words", split_words(F.col("text"))).withColumn("n", F.size("words"))
+    share = max(WINDOW, _share([n for (n,) in own.select("n").collect()], most))  # at most `rows` numbers
+    windows_ = F.lit(share // WINDOW - 1)
+    place = F.sequence(F.lit(0), windows_)
+    begin = lambda k: F.floor(k * (F.col("n") - WINDOW) / F.greatest(windows_, F.lit(1))).cast("int")
+    spread = F.array_join(F.flatten(F.transform(place, lambda k: F.slice("words", begin(k) + 1, F.lit(WINDOW)))), " ")
+    text = F.when(F.col("n") > share, spread).otherwise(F.col("text")).alias("text")
+    own = own.select("doc_id", "toxic", text).toArrow().sort_by("doc_id").combine_chunks()
     y = own["toxic"].to_numpy().astype(int)
     if len(set(y[np.arange(len(y)) % 5 != 0].tolist())) < 2:
         return ToxicityModel({}, constant=True)

@@ -500,3 +500,49 @@ def test_empty_tables(spark, empty):
     import public_tokenizers as public
 
     assert packing.pack(empty, public.path(packing.TOKENIZER)).count() == 0
+
+
+def dealt_anew(spark, df, cores=2):
+    """The rows of a planned df, read by another number of cores than it was planned with."""
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(cores))
+    try:
+        return df.collect()
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("files") / "documents.parquet")
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(12).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_rows_keep_their_identity_when_dealt_anew(spark, many_files):
+    for make in (exact.exact_duplicates, simhash.keep_first, mixing.take, mixing.mix, lines.without_duplicates):
+        here = sorted(map(str, make(many_files).collect()))
+        assert sorted(map(str, dealt_anew(spark, make(many_files)))) == here, make
+        assert sorted(map(str, dealt_anew(spark, make(many_files), 40))) == here, make
+    assert sum(r["kept"] for r in dealt_anew(spark, exact.exact_duplicates(many_files))) == many_files.select("text").distinct().count()
+
+
+def test_toxicity_learns_despite_one_long_text(spark, docs, monkeypatch):
+    base = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF[:-5]}0.01/labels.parquet")
+    first = labels.where("toxic = 0").where(~toxicity.held_out()).orderBy("doc_id").first()["doc_id"]
+    long = base.withColumn("text", toxicity.F.when(base["doc_id"] == first, toxicity.F.repeat(toxicity.F.lit("plain words again "), 1_700_000)).otherwise(base["text"]))
+    model = toxicity.fit_toxicity(long, labels)
+    assert not model.constant
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(base, model).where("held_out").collect()}
+    known = [(scored[r["doc_id"]], r["toxic"]) for r in labels.collect() if r["doc_id"] in scored and r["toxic"] is not None]
+    ones, zeros = [s for s, y in known if y == 1], [s for s, y in known if y == 0]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros]) > 0.9
+
+
+def test_share_of_words():
+    assert toxicity._share([5, 5], 100) == 5 and toxicity._share([10, 1000], 100) == 90 and toxicity._share([], 9) == 0
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        sizes, most = rng.integers(0, 500, 20).tolist(), int(rng.integers(1, 5000))
+        share = toxicity._share(sizes, most)
+        assert sum(min(n, share) for n in sizes) <= most and (share >= max(sizes) or sum(min(n, share + 1) for n in sizes) > most)
