@@ -150,7 +150,7 @@ class ReadBack:
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: one row a conversation. A SHA-256 runs over a
     conversation from end to end, so one that spans slices passes through one task, slice by slice."""
-    return folded(formatted.drop("n_turns"), ReadBack, _DIGESTS)
+    return folded([(formatted.select(_FORMATTED.names), iter)], _FORMATTED, ReadBack, _DIGESTS)
 
 
 #: Conversation -7 of the query: control strings in the texts of both sides.

@@ -69,7 +69,7 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.digests(repair.repair(repair.damaged(_table(spark, sf_dir, "conversations"))))
+    return repair.digests(repair.damaged(_table(spark, sf_dir, "conversations")))
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

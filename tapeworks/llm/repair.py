@@ -12,7 +12,7 @@ four states, so layers stay few and time is linear in the turns. One byte a turn
 
 Edits: Keep 0, Rerole 2, Delete 3, Insert 2; a truncated turn that isn't deleted adds 1; blank and duplicate turns are deleted.
 
-Defined results: a null role or text is one space; turns are ordered by turn (null first), then role, then text; of turns with
+Defined results: a null role or text is one space; turns are ordered by turn (null first, which counts as -2^63), then role, then text; of turns with
 equal role and text all but the first are duplicates; roles whose initial isn't s, u or a can't be kept; rows without conv_id form
 one conversation; a conversation without rows costs nothing and has an empty audit; an empty table gives no rows; further columns
 are ignored.
@@ -268,30 +268,34 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from in_batches(each(), _REPAIRED)
 
 
-def repair(turns: DataFrame) -> DataFrame:
-    """conv_id, part, seq, open, cost, the counts of faults and turns (edit, role, text; deleted ones too) of turns (conv_id, turn,
-    role, text, and optionally dropped: rows that only name their conversation). A conversation over several slices has several
-    rows in order of (part, seq), each with its own turns and the same counts."""
+def _sources(turns: DataFrame) -> list[tuple[DataFrame, Callable]]:
+    """Laid out turns, and what solves them: of conversations that lie in one slice, and of the others, codes before texts."""
     space = F.lit(" ")
     gone = F.col("dropped") if "dropped" in turns.columns else F.lit(False)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.when(gone, F.lit("")).otherwise(F.col(c)), space).alias(c) for c in ("role", "text")], gone.alias("dropped"))
-    number = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn"))
+    number = F.coalesce("turn", F.lit(-(1 << 63)))
     print_ = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
-    copies = rows.where("not dropped").groupBy("conv_id", "role", *print_).agg(F.min(number).alias("first"), F.max(number).alias("last"))
-    copies = copies.where("first < last").select(F.col("conv_id").alias("c"), F.col("role").alias("r"), "h1", "h2", "first")
-    own = rows.select("*", *print_, number.alias("number"))
-    met = own["conv_id"].eqNullSafe(copies["c"]) & (own["role"] == copies["r"]) & (own["h1"] == copies["h1"]) & (own["h2"] == copies["h2"])
+    copies = rows.where("not dropped").groupBy("conv_id", F.xxhash64("role").alias("r"), *print_).agg(F.min(number).alias("first"), F.max(number).alias("last"))
+    copies = copies.where("first < last").select(F.col("conv_id").alias("c"), "r", "h1", "h2", "first")
+    own = rows.select("*", *print_)
+    met = own["conv_id"].eqNullSafe(copies["c"]) & (F.xxhash64(own["role"]) == copies["r"]) & (own["h1"] == copies["h1"]) & (own["h2"] == copies["h2"])
     tail = F.rtrim(F.col("text"), F.lit(SPACE))
     marked = own.join(copies, met, "left").select(
-        own["conv_id"], "turn", "role", "text", "dropped", (tail == "").alias("blank"), F.coalesce(F.col("number") > F.col("first"), F.lit(False)).alias("earlier"), (~F.right(tail, F.lit(1)).isin(".", "!", "?")).alias("cut"),
+        own["conv_id"], "turn", "role", "text", "dropped", (tail == "").alias("blank"), F.coalesce(number > F.col("first"), F.lit(False)).alias("earlier"), (~F.right(tail, F.lit(1)).isin(".", "!", "?")).alias("cut"),
     )
     laid = materialise(in_order(marked).mapInArrow(_laid_out, from_arrow_schema(_LAID)), "turns")
-    out = from_arrow_schema(_REPAIRED)
     opened = laid.where("open")
     codes = opened.select(F.lit(0).alias("kind"), "conv_id", "part", "seq", "open", "codes", "low", "high", "days", *[F.lit(None).cast("array<string>").alias(c) for c in ("roles", "texts")])
     both = codes.unionByName(opened.withColumn("kind", F.lit(1)))
-    solved = both.repartition("conv_id").sortWithinPartitions("conv_id", "kind", "part", "seq").mapInArrow(_opened, out)
-    return laid.where("not open").mapInArrow(_whole, out).unionByName(solved)
+    return [(laid.where("not open"), _whole), (both.repartition("conv_id").sortWithinPartitions("conv_id", "kind", "part", "seq"), _opened)]
+
+
+def repair(turns: DataFrame) -> DataFrame:
+    """conv_id, part, seq, open, cost, the counts of faults and turns (edit, role, text; deleted ones too) of turns (conv_id, turn,
+    role, text, and optionally dropped: rows that only name their conversation). A conversation over several slices has several
+    rows in order of (part, seq), each with its own turns and the same counts."""
+    whole, opened = (df.mapInArrow(f, from_arrow_schema(_REPAIRED)) for df, f in _sources(turns))
+    return whole.unionByName(opened)
 
 
 class Digest:
@@ -312,9 +316,9 @@ class Digest:
         return self.counts | {"audit": "".join(self.audit), "repaired_sha256": self.sha.hexdigest()}
 
 
-def digests(repaired: DataFrame) -> DataFrame:
-    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256: one row a conversation."""
-    return folded(repaired, Digest, _DIGESTS)
+def digests(turns: DataFrame) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of what repair() makes of turns: one row a conversation."""
+    return folded(_sources(turns), _REPAIRED, Digest, _DIGESTS)
 
 
 def damaged(turns: DataFrame) -> DataFrame:

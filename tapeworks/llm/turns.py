@@ -8,6 +8,7 @@ whole, the first and the last one may go on in another slice and are marked open
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -16,8 +17,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from .textbatch import chunks
 
@@ -71,16 +71,21 @@ def in_batches(rows: Iterator[dict], schema: pa.Schema, most: int = 2000) -> Ite
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def folded(rows: DataFrame, make: Callable[[], Any], result: pa.Schema) -> DataFrame:
-    """One row (conv_id, result) a conversation of rows (conv_id, part, seq, open, ...).
+Batches = Iterator[pa.RecordBatch]
+
+
+def folded(sources: list[tuple[DataFrame, Callable[[Batches], Batches]]], schema: pa.Schema, make: Callable[[], Any], result: pa.Schema) -> DataFrame:
+    """One row (conv_id, result) a conversation of rows (conv_id, part, seq, open, ... by `schema`) that functions make of the sources.
 
     make() gives an object with add(row) and done(), a dict of the columns of `result`. Rows that aren't open are folded where
-    they are. The others are sent to one task a conversation and folded as they come by, in order; none is held.
+    they are, in the Python process that makes them. The others are sent to one task a conversation and folded as they come by,
+    in order; none is held.
     """
-    carried = [f for f in rows.schema if f.name != "open"]
-    names = [f.name for f in carried]
-    sent = StructType([*carried, StructField("done", from_arrow_schema(result))])
-    sent_arrow, result_arrow = to_arrow_schema(sent), pa.schema([pa.field("conv_id", pa.int64()), *result])
+    sent = pa.schema([*(f for f in schema if f.name != "open"), pa.field("done", pa.struct(list(result)))])
+    out = pa.schema([pa.field("conv_id", pa.int64()), *result])
+
+    def beside(source: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+        return lambda batches: near(source(batches))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[dict]:
@@ -94,7 +99,7 @@ def folded(rows: DataFrame, make: Callable[[], Any], result: pa.Schema) -> DataF
                             fold.add(r)
                             yield {"conv_id": r["conv_id"], "part": r["part"], "seq": r["seq"], "done": fold.done()}
 
-        yield from in_batches(each(), sent_arrow)
+        yield from in_batches(each(), sent)
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[dict]:
@@ -114,7 +119,7 @@ def folded(rows: DataFrame, make: Callable[[], Any], result: pa.Schema) -> DataF
             if fold is not None:
                 yield {"conv_id": at} | fold.done()
 
-        yield from in_batches(each(), result_arrow)
+        yield from in_batches(each(), out)
 
-    order = [n for n in ("kind", "part", "seq") if n in names]
-    return rows.mapInArrow(near, sent).repartition("conv_id").sortWithinPartitions("conv_id", *order).mapInArrow(far, from_arrow_schema(result_arrow))
+    parts = [df.mapInArrow(beside(f), from_arrow_schema(sent)) for df, f in sources]
+    return reduce(DataFrame.unionByName, parts).repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq").mapInArrow(far, from_arrow_schema(out))

@@ -161,13 +161,23 @@ def expected(rows, damage):
 def test_repair_is_cheapest_and_least(conversations, monkeypatch, size, damage):
     monkeypatch.setattr(turns, "SLICE", size)
     rows, df = conversations
-    got = repair.digests(repair.repair(repair.damaged(df) if damage else df)).collect()
+    got = repair.digests(repair.damaged(df) if damage else df).collect()
     want = expected(rows, damage)
     assert len(got) == len(want)
     for r in got:
         assert tuple(r)[1:] == want[r["conv_id"]], r["conv_id"]
 
 
+def test_repaired_turns(conversations, monkeypatch):
+    monkeypatch.setattr(turns, "SLICE", 300)
+    rows, df = conversations
+    said = collections.defaultdict(list)
+    for r in sorted(repair.repair(df).collect(), key=lambda r: (r["part"], r["seq"])):
+        said[r["conv_id"]] += [(t["edit"], t["role"], t["text"]) for t in r["turns"]]
+    for c, want in expected(rows, False).items():
+        assert "".join(e for e, _, _ in said[c]) == want[6] and sha("\n".join(f"{r}:{x}" for e, r, x in said[c] if e != "D")) == want[7]
+
+
 def test_query_tables(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
     from tapeworks.llm import queries
@@ -189,7 +199,7 @@ def test_audit_of_random_codes():
 
 def test_empty_tables(empty):
     assert chat.read_back(chat.format_chat(empty)).collect() == []
-    assert repair.digests(repair.repair(repair.damaged(empty))).collect() == []
+    assert repair.digests(repair.damaged(empty)).collect() == []
 
 
 def test_one_conversation_spreads_over_tasks(spark):
@@ -201,7 +211,7 @@ def test_one_conversation_spreads_over_tasks(spark):
     try:
         assert formatted.select("part").distinct().count() > 1
         got = chat.read_back(formatted).first()
-        one = repair.digests(repair.repair(df)).first()
+        one = repair.digests(df).first()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got["n_turns"] == 6000 and got["turns_sha256"] == plain_digests(rows)[7][1]
