@@ -17,8 +17,8 @@ def spread_bps(bid: Column, ask: Column) -> Column:
 
 
 def whole_days(opened: Column, closed: Column) -> Column:
-    """Whole days from opening to closing."""
-    return F.floor((F.unix_micros(closed.cast("timestamp")) - F.unix_micros(opened.cast("timestamp"))) / 86_400_000_000)
+    """Days from opening to closing, rounded to a whole number (halves to the even one), one at least."""
+    return F.greatest(F.lit(1), F.bround((F.unix_micros(closed.cast("timestamp")) - F.unix_micros(opened.cast("timestamp"))) / 86_400_000_000, 0).cast("long"))
 
 
 def open_amounts(orders: DataFrame, listed: DataFrame) -> DataFrame:
@@ -61,8 +61,15 @@ def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def latest_values(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """keys and of each column the latest value that isn't null: a later record replaces only what it states."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select(*keys, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns]).distinct()
+    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("__v"))))["__v"].alias(c) for c in columns])
+
+
+def latest_records(rows: DataFrame, keys: list[str], time: str, line: str) -> DataFrame:
+    """The whole record of each key that counts once all are read by line: one without a time gives way to any later line, one with
+    a time only to a time as late or later. So it is the latest by (time, line), a missing time before all others."""
+    rest = [c for c in rows.columns if c not in (*keys, time, line)]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(time, line, *rest)).alias("__last"))
+    return last.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rows.columns if c not in keys])
 
 
 def unlisted_gaps(candles: DataFrame, known: DataFrame, step: str = "INTERVAL 1 HOUR") -> DataFrame:

@@ -15,16 +15,28 @@ def numbered(returns: DataFrame, keys: list[str]) -> DataFrame:
     return returns.withColumns({"i": F.row_number().over(ordered(keys)) - 1, "n": F.count("*").over(Window.partitionBy(*keys))})
 
 
+#: Bins of the size of a return for each doubling, by which the largest are found before any are ranked.
+TAIL_BINS = 16
+
+
 def hill_tail(returns: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, k, left, right: Hill index of the max(20, 5 %) largest losses and gains; null where a tail is shorter."""
+    """keys, k, left, right: Hill index of the max(20, 5 %) largest losses and gains; null where a tail is shorter.
+
+    Counts by bins of the size tell which bins hold the k + 1 largest; only rows in those are ranked.
+    """
+    side = [*keys, "side"]
     size = returns.groupBy(*keys).agg(F.greatest(F.lit(20), F.floor(F.count("*") * 0.05)).alias("k"))
-    tails = returns.where("r <> 0").select(*keys, F.when(F.col("r") < 0, "left").otherwise("right").alias("side"), F.abs("r").alias("x"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "side").orderBy(F.desc("x")))
-    t = tails.withColumn("rank", rank).join(size, keys).where(F.col("rank") <= F.col("k") + 1)
+    x = F.abs("r")
+    tails = returns.where("r <> 0").select(*keys, F.when(F.col("r") < 0, "left").otherwise("right").alias("side"), x.alias("x"), F.floor(F.log2(x) * TAIL_BINS).alias("bin"))
+    above = F.sum("m").over(Window.partitionBy(*side).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1))
+    bins = tails.groupBy(*side, "bin").agg(F.count("*").alias("m")).withColumn("above", F.coalesce(above, F.lit(0)))
+    bins = bins.join(size, keys).where(F.col("above") <= F.col("k")).select(*side, "bin", "k", "above")
+    rank = F.col("above") + F.row_number().over(Window.partitionBy(*side, "bin").orderBy(F.desc("x")))
+    t = tails.join(bins, [*side, "bin"]).withColumn("rank", rank).where(F.col("rank") <= F.col("k") + 1)
     limit = F.max(F.when(F.col("rank") == F.col("k") + 1, F.col("x")))
-    logs = t.groupBy(*keys, "k", "side").agg(ratio(F.lit(1.0), F.sum(F.when(F.col("rank") <= F.col("k"), F.ln("x"))) / F.col("k") - F.ln(limit)).alias("alpha"))
-    side = [F.max(F.when(F.col("side") == s, F.col("alpha"))).alias(s) for s in ("left", "right")]
-    return size.join(logs.groupBy(*keys).agg(*side), keys, "left").select(*keys, F.col("k").cast("long").alias("k"), "left", "right")
+    logs = t.groupBy(*side, "k").agg(ratio(F.lit(1.0), F.sum(F.when(F.col("rank") <= F.col("k"), F.ln("x"))) / F.col("k") - F.ln(limit)).alias("alpha"))
+    each = [F.max(F.when(F.col("side") == s, F.col("alpha"))).alias(s) for s in ("left", "right")]
+    return size.join(logs.groupBy(*keys).agg(*each), keys, "left").select(*keys, F.col("k").cast("long").alias("k"), "left", "right")
 
 
 def acf(returns: DataFrame, keys: list[str], lags: list[int]) -> DataFrame:
@@ -43,53 +55,100 @@ def intermittency(returns: DataFrame, keys: list[str], max_lag: int) -> DataFram
     least = F.min(F.when(F.col("r") != 0, F.abs("r"))).over(all_)
     y = returns.withColumn("y", F.ln(F.when(F.col("r") != 0, F.abs("r")).otherwise(least)))
     d = y.withColumn("d", F.col("y") - F.avg("y").over(all_))
-    d = numbered(d, keys).select(*keys, "i", "n", "d")
-    later = d.select(*keys, "i", "d", F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")).select(*keys, (F.col("i") + F.col("lag")).alias("i"), "lag", F.col("d").alias("before"))
-    cov = d.join(later, [*keys, "i"]).groupBy(*keys, "lag", "n").agg((F.sum(F.col("d") * F.col("before")) / F.count("*")).alias("cov"))
+    lags = range(1, max_lag + 1)
+    d = d.select(*keys, "d", *[F.lag("d", k).over(ordered(keys)).alias(f"d{k}") for k in lags])
+    sums = d.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(F.col("d") * F.col(f"d{k}")).alias(f"d{k}") for k in lags])
+    cov = sums.select(*keys, "n", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"d{k}").alias("cov")) for k in lags])))
     x = -F.ln("lag")
     fit = cov.groupBy(*keys, "n").agg(F.regr_slope("cov", x).alias("lambda2"), F.regr_intercept("cov", x).alias("at"))
     scale = F.least(F.greatest(F.exp(F.least(F.col("at") / F.col("lambda2"), F.lit(700.0))), F.lit(float(max_lag))), 10.0 * F.col("n"))
     return fit.select(*keys, "lambda2", F.when(F.col("lambda2") > 0, scale).alias("integral_scale"))
 
 
-def scales(n: int, points: int = 12) -> list[int]:
+#: Sizes of boxes: the least, and how many there are up to a quarter of the series.
+LEAST_BOX, BOX_POINTS = 16, 12
+
+
+def scales(n: int, points: int = BOX_POINTS) -> list[int]:
     """Box sizes from 16 to a quarter of the series, evenly spaced in the logarithm."""
-    return sorted({round(16 * (n // 4 / 16) ** (k / (points - 1))) for k in range(points)})
+    return sorted({round(LEAST_BOX * (n // 4 / LEAST_BOX) ** (k / (points - 1))) for k in range(points)})
+
+
+def box_sizes(n: Column, points: int = BOX_POINTS) -> Column:
+    """scales() of a column of lengths."""
+    most = F.greatest(F.floor(n / 4), F.lit(1)) / LEAST_BOX
+    return F.array_distinct(F.array(*[F.bround(LEAST_BOX * F.pow(most, F.lit(k / (points - 1)))).cast("int") for k in range(points)]))
+
+
+def fluctuations(series: DataFrame, keys: list[str], sizes: Column | None = None) -> DataFrame:
+    """keys, hurst of series (keys, i from 0, n, x): detrended fluctuation analysis with straight lines, boxes laid from both ends.
+
+    Sums of the profile y, of i y and of y^2 run along the series. The line of a box, and what it leaves, follow from their
+    differences over it, so only rows at the boxes' ends go on: some 2 n / size for each size, not 2 n.
+    """
+    n = F.col("n").cast("int")
+    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    p = series.withColumn("y", F.sum(F.col("x") - F.avg("x").over(Window.partitionBy(*keys))).over(w))
+    i = F.col("i").cast("double")
+    p = p.select(*keys, (F.col("i") + 1).cast("int").alias("e"), n.alias("n"), F.sum("y").over(w).alias("s0"), F.sum(i * F.col("y")).over(w).alias("s1"), F.sum(F.col("y") * F.col("y")).over(w).alias("s2"))
+    sizes = box_sizes(F.col("n")) if sizes is None else sizes
+    p = p.where(F.col("n") >= 4 * LEAST_BOX).select("*", F.explode(sizes).alias("size"))
+    into = F.col("e") % F.col("size")
+    offs = F.array(F.when(into == 0, F.struct(F.lit(0).alias("end"), F.lit(0).alias("off"))), F.when(into == F.col("n") % F.col("size"), F.struct(F.lit(1).alias("end"), into.alias("off"))))
+    p = p.where((into == 0) | (into == F.col("n") % F.col("size"))).select(*keys, "n", "size", "e", "s0", "s1", "s2", F.inline(F.array_compact(offs)))
+    p = p.select(*keys, "n", "end", "size", "off", "s0", "s1", "s2", ((F.col("e") - F.col("off")) / F.col("size")).cast("int").alias("k"))
+    # a row ends box k - 1 and begins box k
+    sides = F.array(F.struct((F.col("k") - 1).alias("box"), F.lit(1.0).alias("sign")), F.struct(F.col("k").alias("box"), F.lit(-1.0).alias("sign")))
+    boxes = p.select(*keys, "n", "end", "size", "off", "s0", "s1", "s2", F.inline(sides)).where((F.col("box") >= 0) & ((F.col("box") + 1) * F.col("size") + F.col("off") <= F.col("n")))
+    sums = boxes.groupBy(*keys, "end", "size", "off", "box").agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in ("s0", "s1", "s2")])
+    size = F.col("size").cast("double")
+    middle = F.col("off") + F.col("box") * size + (size - 1) / 2
+    sxy = F.col("s1") - middle * F.col("s0")
+    rss = F.col("s2") - F.col("s0") * F.col("s0") / size - sxy * sxy / (size * (size * size - 1) / 12)
+    f = sums.groupBy(*keys, "size").agg(F.sqrt(F.greatest(F.sum(rss), F.lit(0.0)) / F.sum(size)).alias("f"))
+    return f.groupBy(*keys).agg(F.regr_slope(F.ln("f"), F.ln("size")).alias("hurst"))
 
 
 def dfa(returns: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """keys, hurst: detrended fluctuation analysis with straight lines, boxes laid from both ends."""
-    p = numbered(returns, keys).withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy(*keys)))
-    p = p.withColumn("y", F.sum("r").over(ordered(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # the same profile from its end is a second series; boxes are runs of `size` places in either
-    both = p.select(*keys, "y", "n", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("i").alias("i")), F.struct(F.lit(1).alias("end"), (F.col("n") - 1 - F.col("i")).alias("i")))).alias("x"))
-    each = both.select(*keys, "y", "n", "x.end", F.col("x.i").alias("i"), F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"))
-    each = each.where(F.col("i") < F.floor(F.col("n") / F.col("size")) * F.col("size")).withColumn("t", (F.col("i") % F.col("size")).cast("double"))
-    box = each.groupBy(*keys, "size", "end", F.floor(F.col("i") / F.col("size")).alias("box"))
-    rss = box.agg((F.regr_syy("y", "t") - F.pow(F.regr_sxy("y", "t"), F.lit(2.0)) / F.regr_sxx("y", "t")).alias("rss"), F.count("*").alias("m"))
-    f = rss.groupBy(*keys, "size").agg(F.sqrt(F.sum("rss") / F.sum("m")).alias("f"))
-    return f.groupBy(*keys).agg(F.regr_slope(F.ln("f"), F.ln("size")).alias("hurst"))
+    """keys, hurst of returns (keys, date, r) over boxes of these sizes."""
+    p = numbered(returns, keys).select(*keys, "i", "n", F.col("r").alias("x"))
+    return fluctuations(p, keys, F.array(*map(F.lit, sizes)))
 
 
-def permutation_entropy(returns: DataFrame, keys: list[str], order: int = 4) -> DataFrame:
-    """keys, entropy: of the ordinal patterns of `order` neighbours, over ln(order!); equal values rank by position."""
-    w = ordered(keys)
-    leads = [F.lead("r", k).over(w).alias(f"v{k}") for k in range(order)]
-    rows = returns.select(*keys, *leads).where(F.col(f"v{order - 1}").isNotNull())
-    pattern = F.transform(F.array_sort(F.array(*[F.struct(F.col(f"v{k}").alias("v"), F.lit(k).alias("at")) for k in range(order)])), lambda x: x["at"])
-    counts = rows.groupBy(*keys, F.concat_ws("", pattern.cast("array<string>")).alias("pattern")).agg(F.count("*").alias("c"))
-    share = F.col("c") / F.sum("c").over(Window.partitionBy(*keys))
-    return counts.withColumn("p", share).groupBy(*keys).agg((-F.sum(F.col("p") * F.ln("p")) / math.log(math.factorial(order))).alias("entropy"))
+def patterns(series: DataFrame, keys: list[str], order: int = 4) -> DataFrame:
+    """keys, entropy of series (keys, i, x): of the ordinal patterns of `order` neighbours, over ln(order!); equal values rank by position."""
+    w = Window.partitionBy(*keys).orderBy("i")
+    rows = series.select(*keys, *[F.lead("x", k).over(w).alias(f"v{k}") for k in range(order)]).where(F.col(f"v{order - 1}").isNotNull())
+    later = [(F.col(f"v{a}") > F.col(f"v{b}")).cast("int") * (1 << k) for k, (a, b) in enumerate((a, b) for b in range(order) for a in range(b))]
+    counts = rows.groupBy(*keys, sum(later[1:], later[0]).alias("pattern")).agg(F.count("*").alias("c"))
+    # -sum(p ln p) with p = c / n, from sums over the patterns
+    sums = counts.groupBy(*keys).agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.ln("c")).alias("own"))
+    return sums.select(*keys, ((F.ln("all") - F.col("own") / F.col("all")) / math.log(math.factorial(order))).alias("entropy"))
 
 
-def garch_variance(returns: DataFrame, keys: list[str], omega: float, alpha: float, beta: float) -> DataFrame:
-    """keys, date, variance: omega + alpha e^2 + beta variance of the step before, from the series' mean square. One series is folded in order."""
-    e2 = F.col("r") * F.col("r")
-    seq = returns.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", e2.alias("e2")))).alias("s"), F.avg(e2).alias("v0"))
+def permutation_entropy(returns: DataFrame, keys: list[str], order: int = 4) -> DataFrame:
+    """keys, entropy of returns (keys, date, r): see patterns()."""
+    return patterns(returns.select(*keys, F.col("date").alias("i"), F.col("r").alias("x")), keys, order)
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.concat(acc, F.array(F.lit(omega) + F.lit(alpha) * x["e2"] + F.lit(beta) * last))
 
-    folded = seq.select(*keys, "s", F.aggregate("s", F.array("v0"), step).alias("v"))
-    return folded.select(*keys, F.posexplode("s").alias("k", "x"), "v").select(*keys, "x.date", F.get("v", F.col("k")).alias("variance"))
+def garch_variance(returns: DataFrame, keys: list[str], omega: float, alpha: float, beta: float) -> DataFrame:
+    """keys, date, variance: omega + alpha e^2 + beta variance of the step before, from the series' mean square v0.
+
+    Linear in the rows: the variance is a sum of earlier terms that decay by beta a step. In a block of rows it is a running sum
+    of terms over beta^step, scaled back. Blocks are so long that what lies before the last one decays below the smallest double.
+    """
+    if not 0 < beta < 1:
+        raise ValueError("beta must lie between 0 and 1")
+    block = max(2, int(600 / -math.log(beta)))
+    rows = numbered(returns, keys).select(*keys, "date", "i", (F.col("r") * F.col("r")).alias("e2"), F.avg(F.col("r") * F.col("r")).over(Window.partitionBy(*keys)).alias("v0"))
+    rows = rows.withColumns({"block": F.floor(F.col("i") / block), "step": (F.col("i") % block).cast("double")})
+    b = F.lit(float(beta))
+    own = Window.partitionBy(*keys, "block").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    term = F.lit(omega) + F.lit(alpha) * F.col("e2")
+    # up to and with this row: the variance of the next one, without what came into the block
+    rows = rows.withColumn("after", F.sum(term * F.pow(b, -F.col("step") - 1)).over(own) * F.pow(b, F.col("step") + 1))
+    before = F.lag("after", 1, 0.0).over(Window.partitionBy(*keys, "block").orderBy("step"))
+    ends = rows.groupBy(*keys, (F.col("block") + 1).alias("block")).agg(F.max_by("after", "step").alias("carried"), F.max("step").alias("last"))
+    x = rows.withColumn("inside", before).join(ends, [*keys, "block"], "left")
+    start = F.when(F.col("block") == 0, F.col("v0")).when(F.col("block") == 1, F.col("carried") + F.pow(b, F.col("last") + 1) * F.col("v0")).otherwise(F.col("carried"))
+    return x.select(*keys, "date", (F.col("inside") + F.pow(b, F.col("step")) * start).alias("variance"))

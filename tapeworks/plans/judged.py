@@ -309,7 +309,7 @@ SQL: dict[str, str] = {
     "filtered_summary": sql.ctes(BARS, PAPER, FRAME, CANDIDATES, ASSESSMENTS, sql.LATEST, _matched_sql(), _frame_sql("alltrades", "fa"), _marked_sql("fa", "ma"), _frame_sql("oktrades", "fb"), _marked_sql("fb", "mb"))
     + " UNION ALL ".join(f"SELECT m.pair, '{k}' AS kind, coalesce(n.c, 0) AS trade_count, round(100 * ((1000 + coalesce(n.s, 0)) / 1000 - 1), 4) AS net_return_pct, round(1000 + coalesce(n.s, 0), 4) AS final_equity, round(m.mtm_max_drawdown_pct, 4) AS mtm_max_drawdown_pct FROM {m} m LEFT JOIN (SELECT pair, count(*) AS c, sum(profit_abs) AS s FROM {f} GROUP BY pair) n USING (pair)" for k, m, f in (("baseline", "ma", "fa"), ("filtered", "mb", "fb"))),
     "spread_bps": "WITH q AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN -o_totalprice ELSE o_totalprice END AS bid FROM orders), z AS (SELECT *, bid * (1 + (o_orderkey % 7) / 10000.0::DOUBLE) AS ask FROM q) SELECT o_orderkey, CASE WHEN (bid + ask) / 2 > 0 THEN round((ask - bid) / ((bid + ask) / 2) * 10000, 6) END AS bps FROM z",
-    "holding_days": sql.ctes(TRADES) + "SELECT run, trade_id, (epoch_us(close) - epoch_us(open)) // 86400000000 AS days FROM trades",
+    "holding_days": sql.ctes(TRADES) + "SELECT run, trade_id, greatest(1, CAST(round_even((epoch_us(close) - epoch_us(open)) / 86400000000, 0) AS BIGINT)) AS days FROM trades",
     "open_positions": "WITH p AS (SELECT DISTINCT o_orderpriority AS pair FROM orders UNION ALL SELECT 'none'), o AS (SELECT o_orderpriority AS pair, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS a, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' GROUP BY ALL) SELECT pair, CAST(coalesce(a, 0) AS BIGINT) AS open_amount, d AS oldest_open FROM p LEFT JOIN o USING (pair)",
     "run_stakes": sql.ctes(TRADES) + "SELECT CAST(run AS BIGINT) AS run, trade_id, CASE WHEN run < 7 THEN round(0.001::DOUBLE * run, 6) END AS fee, round(least(1000, greatest(250.0::DOUBLE, (trade_id % 13) / 10.0::DOUBLE * 1000)), 6) AS stake FROM trades",
     "daily_growth": sql.ctes(DAILY, sql.DAYR, "g AS (SELECT run, count(r) AS days, avg(r) * 36500 AS mean, avg(ln(1 + r)) * 36500 AS growth, ln(1 + avg(r)) * 36500 AS log_mean FROM dr GROUP BY run)", "y AS (SELECT run, datediff('day', min(date), max(date)) / 365.0::DOUBLE AS years FROM daily GROUP BY run)")

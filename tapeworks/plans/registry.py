@@ -14,7 +14,7 @@ from tapeworks.operators import matching, normal, resample, risk, rules, structu
 from tapeworks.operators import simulate as sim
 from tapeworks.sources import views
 
-from . import judged, sql
+from . import judged, sql, studies
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
@@ -406,8 +406,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _ALL | judged.QUERIES
+    return _ALL | judged.QUERIES | studies.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in sql.ALL.items() if k in _ALL} | judged.SQL
+    return {k: v for k, v in sql.ALL.items() if k in _ALL} | judged.SQL | studies.SQL

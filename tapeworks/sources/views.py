@@ -106,17 +106,18 @@ candidates AS (SELECT pair || '-' || seq AS candidate_id, pair, date AS signal_t
 
 
 def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """candidate_id, pair, signal_time, decision, available_at, line: one to three records a candidate, some without a time."""
-    c = candidates(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), (F.col("seq") % 3).cast("int"))).alias("k"))
-    mark = F.col("seq") * 5 + F.col("k") * 3
+    """candidate_id, pair, signal_time, decision, available_at, line: one to three records a candidate, some without a time, some equally late."""
+    c = candidates(spark, sf_dir).withColumn("third", F.expr("seq div 3"))
+    c = c.select("*", F.explode(F.sequence(F.lit(0), (F.col("third") % 3).cast("int"))).alias("k"))
+    mark = F.col("third") * 5 + F.col("k") * F.when(F.col("third") % 7 == 0, 400).otherwise(7)
     late = F.when(mark % 11 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("signal_time") + F.make_dt_interval(mins=((mark * 37) % 400).cast("int")))
     decision = F.element_at(F.array(F.lit("approve"), F.lit("reject"), F.lit("abstain")), (mark % 3 + 1).cast("int"))
     return c.select("candidate_id", "pair", "signal_time", decision.alias("decision"), late.alias("available_at"), (F.col("seq") * 10 + F.col("k")).alias("line"))
 
 
 ASSESSMENTS = """
-repeated AS (SELECT *, unnest(range(0, seq % 3 + 1)) AS k FROM candidates),
-marked AS (SELECT *, seq * 5 + k * 3 AS mark FROM repeated),
+repeated AS (SELECT *, seq // 3 AS third, unnest(range(0, seq // 3 % 3 + 1)) AS k FROM candidates),
+marked AS (SELECT *, third * 5 + k * CASE WHEN third % 7 = 0 THEN 400 ELSE 7 END AS mark FROM repeated),
 assessments AS (
   SELECT candidate_id, pair, signal_time, ['approve', 'reject', 'abstain'][mark % 3 + 1] AS decision,
     CASE WHEN mark % 11 = 0 THEN NULL ELSE signal_time + to_minutes((mark * 37) % 400) END AS available_at, seq * 10 + k AS line FROM marked
@@ -176,3 +177,70 @@ paper_priced AS (
 ), paper_sized AS (SELECT *, round(stake_amount / open_rate, 8) AS amount FROM paper_priced),
 paper_gain AS (SELECT *, round(amount * close_rate * 0.995::DOUBLE - amount * open_rate * 1.004::DOUBLE, 6) AS profit_abs FROM paper_sized),
 paper AS (SELECT *, round(profit_abs / (amount * open_rate * 1.004::DOUBLE), 8) AS profit_ratio FROM paper_gain)"""
+
+
+def fills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Trades with the precision of their exchange, and their orders; each number of o_orderkey % 31 up to 20 has a fault or oddity of its own."""
+    k, id_ = F.col("k"), F.col("trade_id")
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trade_id"), F.round(F.col("o_totalprice") / 1000, 3).alias("q"), F.to_date("o_orderdate").cast("timestamp_ntz").alias("day"), (F.col("o_orderkey") % 31).alias("k"))
+    mode = F.when(k == 5, 7).when(k == 6, 4).otherwise(2 + id_ % 3)
+    digits = F.when(k == 3, None).when(k == 4, -1.0).when(k == 6, 0.0).otherwise(F.when(mode == 2, 3.0).when(mode == 3, 5.0).otherwise(0.001))
+    unit = F.when(mode == 3, F.pow(F.lit(10.0), F.floor(F.log10("q")) - 4)).otherwise(0.001)
+    amount = F.when(k == 15, F.col("q") + 10 * unit).when(k == 18, F.col("q") + 0.9 * unit).otherwise(F.col("q"))
+    open_ = k.isin(12, 17, 19, 20)
+    trades = base.select("trade_id", open_.alias("is_open"), amount.alias("amount"), F.col("day").alias("open_date"), digits.alias("digits"), mode.cast("long").alias("mode"))
+
+    def order(side, filled, at, status=F.lit("closed"), pending=F.lit(False), fee=F.lit(0.0), undated=F.lit(False)):
+        placed = F.col("day") + F.make_dt_interval(hours=F.lit(at))
+        return F.struct(side.alias("side"), status.alias("status"), pending.alias("is_open"), filled.alias("filled"), fee.alias("fee_base"), placed.alias("order_date"), F.when(~undated, placed + F.expr("INTERVAL 5 MINUTE")).alias("filled_date"))
+
+    entry = order(F.lit("buy"), F.when(k == 17, 0.0).otherwise(F.col("q")), 1, F.when(k == 9, "open").when(k == 20, "canceled").otherwise("closed"), k == 8, F.when(k == 7, F.col("q")).otherwise(0.0), k == 10)
+    again = order(F.lit("buy"), F.lit(1.0), 2)
+    left = order(F.when(id_ % 2 == 1, "stoploss").otherwise("sell"), F.when(k == 16, F.col("q") - 10 * unit).otherwise(amount), 20)
+    other = order(F.lit("settle"), F.lit(1.0), 21)
+    every = F.array_compact(F.array(entry, F.when(k == 11, again), F.when((~open_ & (k != 13)) | (k == 12), left), F.when(k == 14, other)))
+    return trades, base.select("trade_id", F.inline(every))
+
+
+FILLS = """
+fill_base AS (SELECT o_orderkey AS trade_id, round(o_totalprice / 1000, 3) AS q, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day, o_orderkey % 31 AS k FROM orders),
+fill_modes AS (SELECT *, CAST(CASE WHEN k = 5 THEN 7 WHEN k = 6 THEN 4 ELSE 2 + trade_id % 3 END AS BIGINT) AS mode, k IN (12, 17, 19, 20) AS is_open FROM fill_base),
+fill_units AS (SELECT *, CASE WHEN mode = 3 THEN pow(10::DOUBLE, floor(log10(q)) - 4) ELSE 0.001::DOUBLE END AS u FROM fill_modes),
+fill_rows AS (SELECT *, CASE WHEN k = 15 THEN q + 10 * u WHEN k = 18 THEN q + 0.9::DOUBLE * u ELSE q END AS amount FROM fill_units),
+fill_trades AS (SELECT trade_id, is_open, amount, day AS open_date, CASE WHEN k = 3 THEN NULL WHEN k = 4 THEN -1.0::DOUBLE WHEN k = 6 THEN 0.0::DOUBLE WHEN mode = 2 THEN 3.0::DOUBLE WHEN mode = 3 THEN 5.0::DOUBLE ELSE 0.001::DOUBLE END AS digits, mode FROM fill_rows),
+fill_orders AS (
+  SELECT trade_id, 'buy' AS side, CASE k WHEN 9 THEN 'open' WHEN 20 THEN 'canceled' ELSE 'closed' END AS status, k = 8 AS is_open, CASE WHEN k = 17 THEN 0.0::DOUBLE ELSE q END AS filled, CASE WHEN k = 7 THEN q ELSE 0.0::DOUBLE END AS fee_base,
+    day + INTERVAL 1 HOUR AS order_date, CASE WHEN k <> 10 THEN day + INTERVAL 65 MINUTE END AS filled_date FROM fill_rows
+  UNION ALL SELECT trade_id, 'buy', 'closed', false, 1.0, 0.0, day + INTERVAL 2 HOUR, day + INTERVAL 125 MINUTE FROM fill_rows WHERE k = 11
+  UNION ALL SELECT trade_id, CASE WHEN trade_id % 2 = 1 THEN 'stoploss' ELSE 'sell' END, 'closed', false, CASE WHEN k = 16 THEN q - 10 * u ELSE amount END, 0.0, day + INTERVAL 20 HOUR, day + INTERVAL 1205 MINUTE FROM fill_rows WHERE (NOT is_open AND k <> 13) OR k = 12
+  UNION ALL SELECT trade_id, 'settle', 'closed', false, 1.0, 0.0, day + INTERVAL 21 HOUR, day + INTERVAL 1265 MINUTE FROM fill_rows WHERE k = 14
+)"""
+
+
+def trials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ledgers (an order priority each) of six trials over intervals, daily returns of the trials, and of the ledger as a whole.
+
+    A trial's value on a day is the mean order of its priority and part. Ledgers differ: in 2 trials follow each other in time,
+    in 3 one is counted, in 4 one never moves, in 5 they overlap; the sixth trial is a benchmark.
+    """
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("ledger"), (F.col("o_orderkey") % 6).alias("id"), F.to_date("o_orderdate").alias("date"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    no = F.substring("ledger", 1, 1).cast("int")
+    marks = o.groupBy("ledger", "id", "date").agg((F.sum("cents") / 100.0 / F.count("*")).alias("v")).withColumn("v", F.when((no == 4) & (F.col("id") == 1), 100.0).otherwise(F.col("v")))
+    r = F.round(F.ln(F.col("v") / F.lag("v").over(Window.partitionBy("ledger", "id").orderBy("date"))) / 100, 8)
+    returns = marks.withColumn("r", r).where("r is not null").select("ledger", "id", "date", "r")
+    shift = F.when(no == 2, 400).when(no == 5, 30).otherwise(0) * F.col("id")
+    start = F.date_add(F.lit("1992-01-01").cast("date"), shift.cast("int"))
+    rows = o.select("ledger", "id").distinct()
+    rows = rows.select("ledger", "id", F.when(F.col("id") == 5, "benchmark").otherwise("trial").alias("kind"), F.when(no == 3, F.col("id") == 0).otherwise(F.col("id") < 5).alias("counted"), start.alias("start"), F.date_add(start, F.when(no == 2, 400).otherwise(2000)).alias("end"))
+    day = daily(spark, sf_dir)
+    own = F.round(F.ln(F.col("strategy") / F.lag("strategy").over(Window.partitionBy("run").orderBy("date"))) / 100, 8)
+    return rows, returns, day.select(F.col("run").alias("ledger"), own.alias("r")).where("r is not null")
+
+
+TRIALS = DAILY + """,
+trial_orders AS (SELECT o_orderpriority AS ledger, o_orderkey % 6 AS id, CAST(o_orderdate AS DATE) AS date, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CAST(substr(o_orderpriority, 1, 1) AS INT) AS no FROM orders),
+trial_marks AS (SELECT ledger, id, date, CASE WHEN no = 4 AND id = 1 THEN 100.0::DOUBLE ELSE sum(cents) / 100.0::DOUBLE / count(*) END AS v FROM trial_orders GROUP BY ledger, id, date, no),
+trial_steps AS (SELECT ledger, id, date, round(ln(v / lag(v) OVER (PARTITION BY ledger, id ORDER BY date)) / 100, 8) AS r FROM trial_marks), trial_returns AS (SELECT * FROM trial_steps WHERE r IS NOT NULL),
+trial_ids AS (SELECT DISTINCT ledger, id, no, CAST(DATE '1992-01-01' + CAST(CASE no WHEN 2 THEN 400 WHEN 5 THEN 30 ELSE 0 END * id AS INT) AS DATE) AS start FROM trial_orders),
+trials AS (SELECT ledger, id, CASE WHEN id = 5 THEN 'benchmark' ELSE 'trial' END AS kind, CASE WHEN no = 3 THEN id = 0 ELSE id < 5 END AS counted, start, CAST(start + CASE WHEN no = 2 THEN 400 ELSE 2000 END AS DATE) AS "end" FROM trial_ids),
+observed0 AS (SELECT run AS ledger, round(ln(strategy / lag(strategy) OVER (PARTITION BY run ORDER BY date)) / 100, 8) AS r FROM daily), observed AS (SELECT * FROM observed0 WHERE r IS NOT NULL)"""
