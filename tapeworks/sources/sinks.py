@@ -7,8 +7,11 @@ import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeworks.operators.candles import archive_merge, assert_candles, check_immutable, settled
+from tapeworks.operators.candles import HOUR, archive_merge, assert_candles, check_immutable, settled
+
+from .shared import Versions
 
 
 def write_report(path: str, report: dict) -> None:
@@ -43,19 +46,31 @@ def publish(path: str, report: dict, stop: bool) -> dict:
 
 
 def update_archive(spark: SparkSession, path: str, incoming: DataFrame, now: Column, gaps_allowed: bool = False) -> DataFrame:
-    """Add settled candles to a Parquet archive by pair, as a new snapshot folder; contradictions, and gaps in the merged history, leave it as it was."""
+    """Add settled candles that an archive of candles doesn't have yet, and return the archive.
+
+    Only the new rows are written, as one commit (shared.Versions); of the archive only the stretch that the incoming candles
+    touch is read. A revised candle, a gap (in the new rows or to the archived ones) or a writer that was faster (shared.Conflict)
+    leaves the archive as it was.
+    """
+    table = Versions(spark, path)
+    on = table.version()
     new = assert_candles(settled(incoming, now), gaps_allowed=True)
-    current = os.path.join(path, "CURRENT")
-    if os.path.exists(current):
-        old = spark.read.parquet(os.path.join(path, open(current).read().strip()))
-        bad = check_immutable(old, new, ["pair", "date"], ["open", "high", "low", "close", "volume"]).first()
+    old = table.read(on)
+    if old is not None:
+        first = new.agg(F.min("date")).first()[0]
+        if first is None:
+            return old
+        keys = ["pair", "date"]
+        touched = old.where(F.col("date") >= F.lit(first).cast("timestamp_ntz") - F.expr(f"INTERVAL {HOUR} MICROSECOND"))
+        bad = check_immutable(touched, new, keys, ["open", "high", "low", "close", "volume"]).first()
         if bad is not None:
             raise ValueError(f"candle of {bad['pair']} at {bad['date']} was revised")
-        new = archive_merge(old, new, ["pair", "date"]).select(*old.columns)
-    assert_candles(new, gaps_allowed=gaps_allowed)
-    name = f"snapshot-{len([x for x in os.listdir(path) if x.startswith('snapshot-')]) if os.path.isdir(path) else 0:06d}"
-    new.write.partitionBy("pair").parquet(os.path.join(path, name))
-    with open(current + ".new", "w") as f:
-        f.write(name)
-    os.replace(current + ".new", current)
-    return spark.read.parquet(os.path.join(path, name))
+        last = old.groupBy("pair").agg(F.max("date").alias("date"))  # one row a pair; a pair that begins later than its end has a gap
+        seam = old.join(last, keys, "left_semi").unionByName(touched).distinct()
+        assert_candles(archive_merge(seam, new, keys).select(*old.columns), gaps_allowed=gaps_allowed)
+        new = new.select(*old.columns).join(old.select(*keys), keys, "left_anti").select(*old.columns)
+        if new.isEmpty():
+            return old
+    else:
+        assert_candles(new, gaps_allowed=gaps_allowed)
+    return table.read(table.commit(new, on))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapeworks.sources import files, sinks
+from tapeworks.sources import files, shared, sinks
 from tapeworks.sources import views
 from tapeworks.streaming import assess
 
@@ -124,4 +124,12 @@ def test_archive_refuses_gaps(spark, tmp_path):
     assert sinks.update_archive(spark, path, own.where("hour(date) < 3"), now).count() == 3
     with pytest.raises(ValueError, match="gaps"):
         sinks.update_archive(spark, path, own.where("hour(date) = 4"), now)
-    assert spark.read.parquet(f"{path}/{open(f'{path}/CURRENT').read()}").count() == 3
+    assert shared.Versions(spark, path).read().count() == 3
+    revised = own.where("hour(date) = 1").selectExpr("pair", "date", "open", "2d as high", "low", "close", "volume")
+    with pytest.raises(ValueError, match="revised"):
+        sinks.update_archive(spark, path, revised, now)
+    assert shared.Versions(spark, path).version() == 1
+    more = own.where("hour(date) between 1 and 2").unionByName(own.where("hour(date) = 2").selectExpr("pair", "date + interval 1 hour as date", "open", "high", "low", "close", "volume"))
+    assert sinks.update_archive(spark, path, more, now).count() == 4
+    assert shared.Versions(spark, path).version() == 2 and spark.read.parquet(f"{path}/data/{shared.Versions(spark, path).entries()[-1]['folder']}").count() == 1
+    assert sinks.update_archive(spark, path, more, now).count() == 4 and shared.Versions(spark, path).version() == 2
