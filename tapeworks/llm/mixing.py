@@ -66,7 +66,8 @@ def _taken(sized: DataFrame, seed: str) -> DataFrame:
     few = F.broadcast(targets) if targets.count() <= BROADCAST_ROWS else targets
     docs = sized.join(few.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     slices = max(SLICES, sized.count() // SLICE_ROWS)
-    repeated = sized.groupBy(F.col("doc_id").alias("other")).count().where("count > 1").select("other", F.lit(True).alias("again"))
+    # written, so that its size is known: a small one is broadcast by Spark's own check and the rows aren't shuffled to it
+    repeated = materialise(sized.groupBy(F.col("doc_id").alias("other")).count().where("count > 1").select("other", F.lit(True).alias("again")), "mix-repeated")
     live = docs.where("size > 0 and target > 0").join(repeated, F.col("doc_id").eqNullSafe(F.col("other")), "left").drop("other")
     # an id of one row only decides its place; rows without such an id are spread by their number
     own = F.when(F.col("again"), F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("row"), F.col("row").cast("string"))).otherwise(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
