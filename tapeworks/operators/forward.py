@@ -67,6 +67,14 @@ def normalised(trades: DataFrame, notional: float) -> DataFrame:
     return trades.withColumns({"amount": F.col("amount") * scale, "profit_abs": F.col("profit_abs") * scale, "stake_amount": F.lit(notional)})
 
 
+def at_cost(trades: DataFrame, fee: float) -> DataFrame:
+    """The trades as if each side had cost `fee`: what closed ones made follows from their rates."""
+    made = F.col("amount") * F.col("close_rate") * (1 - fee) - F.col("amount") * F.col("open_rate") * (1 + fee)
+    closed = F.col("close_date").isNotNull()
+    t = trades.withColumns({"fee_open": F.lit(fee), "fee_close": F.when(closed, fee), "profit_abs": F.when(closed, made)})
+    return t.withColumn("profit_ratio", ratio(F.col("profit_abs"), F.col("amount") * F.col("open_rate") * (1 + fee)))
+
+
 def marking_frame(trades: DataFrame, candles: DataFrame) -> DataFrame:
     """pair, trade_id, open_date, close_date (of candles), amount, open_rate, fee_open, fee_close, profit_abs.
 

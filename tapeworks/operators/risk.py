@@ -20,12 +20,12 @@ def daily_marks(values: DataFrame, keys: list[str], value: str, at: str = "date"
     return values.groupBy(*keys, F.to_date(at).alias("day")).agg(F.max_by(value, at).alias(value))
 
 
-def underwater(values: DataFrame, keys: list[str], value: str, initial: float) -> DataFrame:
+def underwater(values: DataFrame, keys: list[str], value: str, initial: float, start: str | None = None) -> DataFrame:
     """Per series: return, drawdowns, and calendar days below the last peak; equality ends an episode.
 
-    initial is the first peak, at the series' first day; a mark's boundary is the day after it.
+    initial is the first peak, at the day in `start` or else the series' first day; a mark's boundary is the day after it.
     """
-    first = F.min("date").over(Window.partitionBy(*keys))
+    first = F.min("date" if start is None else start).over(Window.partitionBy(*keys))
     d = drawdowns(values, keys, value, initial).withColumns({"first": first, "boundary": F.date_add("date", 1)})
     at_peak = F.last(F.when(F.col(value) >= F.col("peak"), F.col("boundary")), ignorenulls=True).over(so_far(keys))
     d = d.withColumn("days", F.when(F.col(value) < F.col("peak"), F.datediff("boundary", F.coalesce(at_peak, "first"))).otherwise(0))

@@ -126,9 +126,8 @@ def stylized_facts(candles: DataFrame, periods: list[tuple[str, str, str]], per_
     A period without enough losses or gains for the tail index has none of the facts, as a study of it would be refused. Nor has
     one that is too short for the largest lag or the scales.
     """
-    listed = [(n, a, b) for n, a, b in periods] + [("full", None, None)]
-    spans = candles.sparkSession.createDataFrame(listed, "period string, start string, end string")
-    every = candles.select("pair").distinct().crossJoin(F.broadcast(spans))  # a few periods for each pair
+    spans = F.array(*[F.struct(F.lit(n).alias("period"), F.lit(a).cast("string").alias("start"), F.lit(b).cast("string").alias("end")) for n, a, b in [*periods, ("full", None, None)]])
+    every = candles.select("pair").distinct().select("pair", F.inline(spans))
     returns = period_returns(candles, periods)
     counted = in_periods(candles.select("pair", "date"), periods).groupBy(*KEYS).agg(F.count("*").alias("candles"))
     facts = _one_pass(returns, KEYS, per_year).join(hill_tail(returns, KEYS), KEYS, "left").join(shuffle_ranges(returns, KEYS, reps), KEYS, "left")

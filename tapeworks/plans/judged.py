@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import rounded
 from tapeworks.operators import candles as cd
-from tapeworks.operators import forward, matching, records
+from tapeworks.operators import forward, matching, records, risk, rules
 from tapeworks.sources import views
 from tapeworks.sources.views import ASSESSMENTS, BARS, CANDIDATES, DAILY, PAPER, TRADES
 
 from . import sql
 
-START, END, HORIZON = "2024-01-05 00:00:00", "2024-01-25 00:00:00", "2024-01-20 00:00:00"
+START, END, HORIZON, MIDDLE = "2024-01-05 00:00:00", "2024-01-25 00:00:00", "2024-01-20 00:00:00", "2024-01-15 00:00:00"
 NOTIONAL, MIN_TRADES, MAX_DRAWDOWN, REPS = 1000.0, 30, 30.0, 200
 
 
+#: Pairs whose trades all act on a signal.
+STRICT = ["click", "error", "view"]
+
+
 def at(t: str):
     return F.lit(t).cast("timestamp_ntz")
 
@@ -52,21 +56,21 @@ RISING = "rising AS (SELECT pair, date, coalesce(close > lag(close) OVER w, fals
 
 
 def acting(spark: SparkSession, d: str) -> DataFrame:
-    """Paper trades, for pairs with names of odd length only those that act on a signal."""
+    """Paper trades, for some pairs only those that act on a signal."""
     s = rising(spark, d).where("enter").select("pair", F.col("date").alias("signal"), F.lit(True).alias("given"))
     t = views.paper_trades(spark, d).withColumn("signal", F.date_trunc("hour", F.coalesce("submitted_date", "open_date").cast("timestamp")).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR"))
-    return t.join(s, ["pair", "signal"], "left").where((F.length("pair") % 2 == 0) | F.col("given")).drop("signal", "given")
+    return t.join(s, ["pair", "signal"], "left").where(~F.col("pair").isin(STRICT) | F.col("given")).drop("signal", "given")
 
 
-ACTING = "acting AS (SELECT p.* FROM paper p LEFT JOIN rising r ON r.pair = p.pair AND r.enter AND r.date = date_trunc('hour', coalesce(submitted_date, open_date)) - INTERVAL 1 HOUR WHERE length(p.pair) % 2 = 0 OR r.pair IS NOT NULL)"
+ACTING = "acting AS (SELECT p.* FROM paper p LEFT JOIN rising r ON r.pair = p.pair AND r.enter AND r.date = date_trunc('hour', coalesce(submitted_date, open_date)) - INTERVAL 1 HOUR WHERE p.pair NOT IN ('click', 'error', 'view') OR r.pair IS NOT NULL)"
 
 
 def known(spark: SparkSession, d: str) -> DataFrame:
-    """Signals that the operator has acknowledged: all of the pairs with names of odd length, and every tenth hour of the others."""
-    return rising(spark, d).where("enter").where((F.length("pair") % 2 == 1) | (F.hour(F.col("date").cast("timestamp")) % 10 == 0)).select("pair", "date")
+    """Signals that the operator has acknowledged: all of the pairs that act on signals only, and every tenth hour of the others."""
+    return rising(spark, d).where("enter").where(F.col("pair").isin(STRICT) | (F.hour(F.col("date").cast("timestamp")) % 10 == 0)).select("pair", "date")
 
 
-KNOWN = "known AS (SELECT pair, date FROM rising WHERE enter AND (length(pair) % 2 = 1 OR hour(date) % 10 = 0))"
+KNOWN = "known AS (SELECT pair, date FROM rising WHERE enter AND (pair IN ('click', 'error', 'view') OR hour(date) % 10 = 0))"
 
 
 def trade_validation(spark, d):
@@ -159,7 +163,7 @@ faith AS (SELECT st.pair, coalesce(max(signals), 0) AS signals, {", ".join(f"cou
 def _judged(spark, d):
     """Criteria of a window that is covered: the first hours of the fidelity window are left out of the question."""
     costs = forward.execution_summary(forward.executions(acting(spark, d), views.bars(spark, d)))
-    faith = _fidelity(spark, d).withColumns({"complete": F.col("pair") != "click", "unverifiable": F.lit(0)})
+    faith = _fidelity(spark, d).withColumns({"complete": F.col("pair") != "view", "unverifiable": F.lit(0)})
     return forward.criteria(_performance(spark, d), costs, faith, MAX_DRAWDOWN, MIN_TRADES)
 
 
@@ -169,7 +173,7 @@ def forward_criteria(spark, d):
 
 CRITERIA = """
 costs AS (SELECT pair, count(round_trip_cost_pct) AS measured, round(avg(round_trip_cost_pct), 4) AS cost FROM executed GROUP BY pair),
-facts AS (SELECT p.pair, round(mtm_max_drawdown_pct, 4) AS dd, closed_trades, coalesce(measured, 0) AS measured, cost, coalesce(signals, 0) AS signals, coalesce(matched, 0) AS matched, coalesce(unexpected, 0) AS unexpected, coalesce(unexplained, 0) AS unexplained, f.pair IS NULL OR p.pair <> 'click' AS complete FROM performed p LEFT JOIN costs USING (pair) LEFT JOIN faith f USING (pair)),
+facts AS (SELECT p.pair, round(mtm_max_drawdown_pct, 4) AS dd, closed_trades, coalesce(measured, 0) AS measured, cost, coalesce(signals, 0) AS signals, coalesce(matched, 0) AS matched, coalesce(unexpected, 0) AS unexpected, coalesce(unexplained, 0) AS unexplained, f.pair IS NULL OR p.pair <> 'view' AS complete FROM performed p LEFT JOIN costs USING (pair) LEFT JOIN faith f USING (pair)),
 f14 AS (SELECT pair, CASE WHEN NOT complete AND unexpected = 0 AND unexplained = 0 OR signals = 0 AND matched = 0 AND unexpected = 0 THEN 'NOT_YET_TESTABLE' WHEN unexpected = 0 AND unexplained = 0 THEN 'PASS' ELSE 'FAIL' END AS f1,
   CASE WHEN measured = 0 THEN 'NOT_YET_TESTABLE' WHEN cost <= 2 THEN 'PASS' ELSE 'FAIL' END AS f2, cost <= 1 AS within_base, CASE WHEN dd <= 30 THEN 'PASS' ELSE 'FAIL' END AS f3, CASE WHEN closed_trades >= 30 THEN 'PASS' ELSE 'NOT_YET_TESTABLE' END AS f4, greatest(0, 30 - closed_trades) AS trades_remaining FROM facts),
 judged AS (SELECT *, CASE WHEN 'FAIL' IN (f1, f2, f3) THEN 'STOP' ELSE 'CONTINUE' END AS verdict, f1 = 'PASS' AND f4 = 'PASS' AS may_judge FROM f14)"""
@@ -199,7 +203,8 @@ def first_signal(spark, d):
 def paired_sizing(spark, d):
     frame = forward.marking_frame(forward.normalised(acting(spark, d), NOTIONAL), views.bars(spark, d))
     late = frame.where(F.col("open_date") >= at(START))
-    return rounded(forward.paired_sizing(late, cd.realized_volatility(views.bars(spark, d)), views.bars(spark, d), NOTIONAL, MIN_TRADES), 3)
+    wild = cd.realized_volatility(views.bars(spark, d)).withColumn("sigma", 2 * F.col("sigma"))  # so that stakes are cut
+    return rounded(forward.paired_sizing(late, wild, views.bars(spark, d), NOTIONAL, MIN_TRADES), 3)
 
 
 def filtered_summary(spark, d):
@@ -301,7 +306,7 @@ SQL: dict[str, str] = {
     + "SELECT p.pair, CASE WHEN NOT may_judge THEN 'NOT_YET_TESTABLE' WHEN round(net_return_pct, 4) > 0 THEN 'PASS' ELSE 'FAIL' END AS p1, CASE WHEN NOT may_judge THEN 'NOT_YET_TESTABLE' WHEN round(mtm_max_drawdown_pct, 4) <= round(0.6 * held.dd, 6) THEN 'PASS' ELSE 'FAIL' END AS p2, low, high, coalesce(may_judge AND low > 0, false) AS mean_supported FROM performed p JOIN held USING (pair) JOIN judged USING (pair) LEFT JOIN ci USING (pair)",
     "straddling_trades": sql.ctes(BARS, PAPER) + "SELECT pair, trade_id, open_date, close_date FROM paper WHERE open_date < '2024-01-10 12:00:00' AND (close_date IS NULL OR close_date > '2024-01-10 12:00:00')",
     "first_signal": sql.ctes(BARS, sql.SIGNALS) + "SELECT pair, min(date) AS valid_from FROM sig WHERE entry_high IS NOT NULL GROUP BY pair",
-    "paired_sizing": sql.ctes(*_BASE, sql.VOL, _frame_sql("acting", "every"), f"frame AS (SELECT * FROM every WHERE open_date >= '{START}')", "sized0 AS (SELECT f.*, v.sigma, CASE WHEN sigma IS NULL OR sigma <= 0 THEN 0.25::DOUBLE ELSE least(1, greatest(0.25::DOUBLE, 0.4::DOUBLE / sigma)) END AS fraction FROM frame f LEFT JOIN vol v ON v.pair = f.pair AND v.date = f.open_date - INTERVAL 1 HOUR)",
+    "paired_sizing": sql.ctes(*_BASE, sql.VOL, _frame_sql("acting", "every"), f"frame AS (SELECT * FROM every WHERE open_date >= '{START}')", "sized0 AS (SELECT f.*, v.sigma, CASE WHEN sigma IS NULL OR sigma <= 0 THEN 0.25::DOUBLE ELSE least(1, greatest(0.25::DOUBLE, 0.4::DOUBLE / (2 * sigma))) END AS fraction FROM frame f LEFT JOIN vol v ON v.pair = f.pair AND v.date = f.open_date - INTERVAL 1 HOUR)",
         "sized AS (SELECT * REPLACE (amount * fraction AS amount, profit_abs * fraction AS profit_abs) FROM sized0)", _marked_sql("frame", "a"), _marked_sql("sized", "b"), "n AS (SELECT pair, count(*) AS trades, count(*) FILTER (sigma IS NULL) AS missing FROM sized GROUP BY pair)",
         "x AS (SELECT a.pair, round(a.net_return_pct, 4) AS full_net, round(a.mtm_max_drawdown_pct, 4) AS full_dd, round(a.return_over_drawdown, 4) AS full_ratio, round(b.net_return_pct, 4) AS sized_net, round(b.mtm_max_drawdown_pct, 4) AS sized_dd, round(b.return_over_drawdown, 4) AS sized_ratio, coalesce(trades, 0) AS trades, coalesce(missing, 0) AS missing FROM a JOIN b USING (pair) LEFT JOIN n USING (pair))",
         "y AS (SELECT *, sized_dd <= full_dd AS less_drawdown, CASE WHEN sized_ratio IS NULL THEN full_ratio IS NOT NULL AND sized_net > 0 WHEN full_ratio IS NULL THEN sized_net > 0 ELSE sized_ratio >= full_ratio + 0.2 END AS better_ratio, sized_net > 0 AS gains FROM x)")
@@ -324,4 +329,26 @@ SQL: dict[str, str] = {
     "unseen_left": sql.ctes(BARS, CANDIDATES, ASSESSMENTS) + f"SELECT candidate_id, pair, signal_time FROM candidates WHERE candidate_id NOT IN (SELECT candidate_id FROM assessments WHERE available_at < '{HORIZON}')",
 }
 
+def decision_rule(spark, d):
+    """Four rules on paper trades: the second half of the window at their own fees and at stressed ones, the first half as validation."""
+    b, t = views.bars(spark, d), forward.normalised(views.paper_trades(spark, d), NOTIONAL)
+    late, early = t.where(F.col("open_date") >= at(MIDDLE)), t.where(F.col("open_date") < at(MIDDLE))
+    base, stress, first = (forward.marked(forward.marking_frame(x, b), b, NOTIONAL) for x in (late, forward.at_cost(late, forward.STRESS), early))
+    hold = risk.buy_and_hold(b, forward.ASSUMED).select("pair", F.col("max_drawdown_pct").alias("hold_drawdown_pct"))
+    runs = base.join(stress.select("pair", F.col("net_return_pct").alias("stress_pct")), "pair").join(first.select("pair", F.col("net_return_pct").alias("validation_pct")), "pair").join(hold, "pair")
+    runs = runs.select(F.col("pair").alias("run"), F.col("net_return_pct").alias("net_pct"), "stress_pct", "validation_pct", F.col("mtm_max_drawdown_pct").alias("drawdown_pct"), "hold_drawdown_pct")
+    return rounded(rules.decision(rounded(runs, 4)), 3)
+
+
+SQL["decision_rule"] = (
+    sql.ctes(
+        BARS, PAPER, FRAME, sql.HOLD, f"late AS (SELECT * FROM paper WHERE open_date >= '{MIDDLE}')", f"early AS (SELECT * FROM paper WHERE open_date < '{MIDDLE}')",
+        "costly AS (SELECT * REPLACE (0.01::DOUBLE AS fee_open, CASE WHEN close_date IS NOT NULL THEN 0.01::DOUBLE END AS fee_close, CASE WHEN close_date IS NOT NULL THEN amount * close_rate * 0.99::DOUBLE - amount * open_rate * 1.01::DOUBLE END AS profit_abs) FROM late)",
+        _frame_sql("late", "lf"), _marked_sql("lf", "lm"), _frame_sql("costly", "cf"), _marked_sql("cf", "cm"), _frame_sql("early", "ef"), _marked_sql("ef", "em"),
+        "x AS (SELECT lm.pair, round(lm.net_return_pct, 4) AS net, round(cm.net_return_pct, 4) AS stress, round(em.net_return_pct, 4) AS val, round(lm.mtm_max_drawdown_pct, 4) AS dd, round(hold.max_drawdown_pct, 4) AS hold FROM lm JOIN cm USING (pair) JOIN em USING (pair) JOIN hold USING (pair))",
+        "c AS (SELECT pair, 'K1' AS criterion, round(net, 4) AS margin, net > 0 AS passes FROM x UNION ALL SELECT pair, 'K2', round(0.6::DOUBLE * hold - dd, 4), 0.6::DOUBLE * hold - dd >= 0 FROM x UNION ALL SELECT pair, 'K3', round(stress, 4), stress > 0 FROM x UNION ALL SELECT pair, 'K4', round(val, 4), val > 0 FROM x)",
+    )
+    + "SELECT pair AS run, criterion, round(margin, 3) AS margin, passes, CASE WHEN bool_and(passes) OVER (PARTITION BY pair) THEN 'GO' ELSE 'NO-GO' END AS verdict, first(criterion) OVER (PARTITION BY pair ORDER BY margin, criterion ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS binding FROM c"
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: globals()[k] for k in SQL}

@@ -354,15 +354,6 @@ def block_shuffle_lcg(spark, d):
     return rounded(resample.block_shuffle(cd.log_returns(views.bars(spark, d)), PAIR, 30))
 
 
-@query
-def decision_rule(spark, d):
-    b, t = views.bars(spark, d), _simulated(spark, d)
-    base = sim.summary(t, sim.mark_to_market(t, b, PAIR, INITIAL, FEE), PAIR, INITIAL)
-    hold = risk.buy_and_hold(b, FEE).select("pair", F.col("max_drawdown_pct").alias("hold_drawdown_pct"))
-    runs = base.join(hold, "pair").select(F.col("pair").alias("run"), F.col("net_return_pct").alias("net_pct"), (F.col("net_return_pct") - 1).alias("stress_pct"), (F.col("net_return_pct") + 1).alias("validation_pct"), F.col("mtm_max_drawdown_pct").alias("drawdown_pct"), "hold_drawdown_pct")
-    return rounded(rules.decision(rounded(runs, 4)), 3)
-
-
 @query
 def order_feasibility(spark, d):
     o = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), (F.col("o_orderkey") % 97).cast("double").alias("stake"), F.round("o_totalprice", 2).alias("price"))
@@ -380,10 +371,15 @@ def redact(spark, d):
     return views.table(spark, d, "documents").select("doc_id", F.sha2(rules.redacted(F.col("text")), 256).alias("redacted_sha"))
 
 
+def _daily_log_returns(spark: SparkSession, d: str) -> DataFrame:
+    r = F.ln(F.col("strategy") / F.lag("strategy").over(cd.ordered(RUN)))
+    return views.daily(spark, d).withColumn("r", r).where("r is not null")
+
+
 @query
 def deflated_sharpe(spark, d):
     """Each run against the best Sharpe ratio that as many runs without skill would show."""
-    m = risk.moments(risk_returns(spark, d), RUN, 365).select("run", "n", (F.col("mean") / F.col("sd")).alias("sharpe"), "skewness", "excess_kurtosis")
+    m = risk.moments(_daily_log_returns(spark, d), RUN, 365).select("run", "n", (F.col("mean") / F.col("sd")).alias("sharpe"), "skewness", "excess_kurtosis")
     v, k, g = F.var_samp("sharpe"), F.count("*").cast("double"), 0.5772156649015329
     best = m.agg(v.alias("v"), k.alias("k"))  # one row
     best = best.select(F.sqrt("v").alias("root"), *[normal.normal_quantile(p).alias(c) for c, p in (("z1", 1 - 1 / F.col("k")), ("z2", 1 - 1 / (F.col("k") * math.e)))])
@@ -401,8 +397,8 @@ def stop_probability(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks to candles, channels, signals, trades, equity, and one summary row a pair."""
-    return backtest_summary(spark, sf_dir)
+    """Ticks to candles, signals, paper trades marked at each candle, and one row of performance a pair."""
+    return judged.forward_performance(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -195,9 +195,6 @@ ALL: dict[str, str] = {
     "in_position": ctes(BARS, SIGNALS, SIM, recursive=True) + "SELECT pair, date, EXISTS (SELECT 1 FROM trades0 t WHERE t.pair = s.pair AND t.open_date <= s.date AND t.close_date + INTERVAL 1 HOUR > s.date) AS busy FROM sig s WHERE enter",
     "mtm_equity": ctes(BARS, SIGNALS, SIM, EQUITY, recursive=True) + "SELECT pair, date, round(equity, 4) AS equity FROM equity",
     "backtest_summary": ctes(BARS, SIGNALS, SIM, EQUITY, SUMMARY, recursive=True) + "SELECT pair, round(net_return_pct, 4) AS net_return_pct, round(mtm_max_drawdown_pct, 4) AS mtm_max_drawdown_pct, trades, stop_exits FROM summary",
-    "decision_rule": ctes(BARS, SIGNALS, SIM, EQUITY, SUMMARY, HOLD, "x AS (SELECT pair, round(net_return_pct, 4) AS net, round(net_return_pct - 1, 4) AS stress, round(net_return_pct + 1, 4) AS val, round(mtm_max_drawdown_pct, 4) AS dd, round(max_drawdown_pct, 4) AS hold FROM summary JOIN hold USING (pair))",
-        "c AS (SELECT pair, 'K1' AS criterion, round(net, 4) AS margin, net > 0 AS passes FROM x UNION ALL SELECT pair, 'K2', round(0.6::DOUBLE * hold - dd, 4), 0.6::DOUBLE * hold - dd >= 0 FROM x UNION ALL SELECT pair, 'K3', round(stress, 4), stress > 0 FROM x UNION ALL SELECT pair, 'K4', round(val, 4), val > 0 FROM x)", recursive=True)
-    + "SELECT pair AS run, criterion, round(margin, 3) AS margin, passes, CASE WHEN bool_and(passes) OVER (PARTITION BY pair) THEN 'GO' ELSE 'NO-GO' END AS verdict, first(criterion) OVER (PARTITION BY pair ORDER BY margin, criterion ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS binding FROM c",
     "candidate_ids": ctes(BARS, CANDIDATES) + "SELECT candidate_id, sha256('walk|' || pair || '|' || strftime(signal_time, '%Y-%m-%d %H:%M:%S') || '|v1') AS sha FROM candidates",
     "redact": r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(bearer|token)\s+[A-Za-z0-9._-]+', '\1 ***', 'g'), '[\w.+-]+@[\w-]+\.[\w.]+', '***', 'g'), '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '***', 'g'), '\b(?:\d{1,3}\.){3}\d{1,3}\b', '***', 'g')) AS redacted_sha FROM documents",
 }
@@ -224,7 +221,7 @@ def cdf(x: str) -> str:
 
 
 _NEWTON = "x{1} AS (SELECT run1, root, p, x - ({0} - p) * sqrt(2 * pi()) * exp(x * x / 2) AS x FROM x{2})"
-ALL["deflated_sharpe"] = ctes(DAILY, DAYR, "m AS (SELECT run, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS sd, stddev_pop(r) AS sp FROM dayr GROUP BY run)",
+ALL["deflated_sharpe"] = ctes(DAILY, "dr AS (SELECT run, date, ln(strategy / lag(strategy) OVER (PARTITION BY run ORDER BY date)) AS r FROM daily), dayr AS (SELECT * FROM dr WHERE r IS NOT NULL)", "m AS (SELECT run, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS sd, stddev_pop(r) AS sp FROM dayr GROUP BY run)",
     "z AS (SELECT m.run, any_value(m.n) AS n, any_value(m.mean / m.sp) AS sharpe, avg(pow((r - m.mean) / m.sp, 3)) AS skew, avg(pow((r - m.mean) / m.sp, 4)) - 3 AS excess FROM dayr JOIN m USING (run) GROUP BY m.run)",
     "best AS (SELECT sqrt(var_samp(sharpe)) AS root, CAST(count(*) AS DOUBLE) AS k FROM z)", "ps AS (SELECT 1 AS run1, root, 1 - 1 / k AS p FROM best UNION ALL SELECT 2, root, 1 - 1 / (k * exp(1::DOUBLE)) FROM best)",
     "t AS (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM ps)", f"x0 AS (SELECT run1, root, p, (t - {_poly('t', TOP)} / {_poly('t', BOTTOM)}) * CASE WHEN p < 0.5 THEN -1 ELSE 1 END AS x FROM t)", _NEWTON.format(cdf("x"), 1, 0), _NEWTON.format(cdf("x"), 2, 1),

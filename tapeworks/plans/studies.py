@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import rounded
-from tapeworks.operators import ledger, orders, protection, records, stylized
+from tapeworks.operators import candles as cd
+from tapeworks.operators import documents, ledger, orders, protection, records, stylized, variants
 from tapeworks.operators.normal import BOTTOM, TOP
 from tapeworks.sources import views
-from tapeworks.sources.views import ASSESSMENTS, BARS, CANDIDATES, FILLS, TRADES, TRIALS
+from tapeworks.sources.views import ASSESSMENTS, BARS, CANDIDATES, DESK, FILLS, TRADES, TRIALS
 
 from . import sql
 
@@ -61,7 +62,28 @@ def latest_records(spark: SparkSession, d: str) -> DataFrame:
     return records.latest_records(rows, ["candidate_id"], "available_at", "line").select("candidate_id", "decision", "available_at", "line")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stylized_facts, ledger_common, ledger_recorded, drawdown_locks, order_checks, latest_records)}
+def desk_report(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(documents.desk_report(documents.bound_documents(*views.desk_documents(spark, d)), 1000.0), 4)
+
+
+#: Channels: name, rows of the entry, rows of the exit.
+VARIANTS = [("short", 10, 5), ("base", 24, 12), ("long", 55, 20), ("longer", 60, 30), ("longest", 330, 120), ("one", 1, 1), ("power", 64, 32)]
+CUTS = [f"2024-01-{k:02d} 07:30:00" for k in (3, 9, 16, 25)]
+
+
+def channel_variants(spark: SparkSession, d: str) -> DataFrame:
+    table = spark.createDataFrame(VARIANTS, "variant string, entry int, exit int")
+    return variants.channel_variants(views.bars(spark, d), table)
+
+
+def lookahead_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The audit of channel signals to which a look at the next candle is added: only that column comes back."""
+    ahead = F.lead("close").over(cd.ordered(["pair"])) > F.col("close")
+    query = lambda c: cd.signals(c).withColumn("ahead", F.coalesce(ahead, F.lit(False)))
+    return variants.prefix_audit(query, views.bars(spark, d), CUTS, ["entry_high", "exit_low", "enter", "exit", "ahead"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stylized_facts, ledger_common, ledger_recorded, drawdown_locks, order_checks, latest_records, desk_report, channel_variants, lookahead_audit)}
 
 _PERIODS = ", ".join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}', '{a}', '{b}')" for n, a, b in PERIODS)
 _KEEP = lambda c: f"CASE WHEN refused IS NULL THEN round({c}, 4) END AS {c}"
@@ -166,4 +188,28 @@ SQL: dict[str, str] = {
     )
     + "SELECT trade_id, reason, CASE WHEN reason IS NULL THEN open_date END AS submitted_date, CASE WHEN reason IS NULL THEN entered END AS open_date, CASE WHEN reason IS NULL THEN left_at END AS exit_submitted_date, CASE WHEN reason IS NULL THEN exited END AS close_date FROM z",
     "latest_records": sql.ctes(BARS, CANDIDATES, ASSESSMENTS, "numbered_records AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY available_at DESC NULLS LAST, line DESC) AS k FROM assessments)") + "SELECT candidate_id, decision, available_at, line FROM numbered_records WHERE k = 1",
+    "desk_report": sql.ctes(
+        DESK,
+        "j AS (SELECT coalesce(c.name, s.name) AS name, c.* EXCLUDE (name), s.source AS stats_source, mean_ci, sharpe_ci, timing, p.source AS physics_source, p.name AS physics_name, growth FROM curves c FULL JOIN stats s ON c.name = s.name LEFT JOIN physics p ON p.name = c.name)",
+        "ok AS (SELECT *, list_filter(list_concat(up, hold), lambda x: x IS NULL OR isnan(x) OR x < 0.000001 OR x > 1e15) AS bad_values, list_filter(trades, lambda x: x < -100) AS bad_trades, list_filter(range(1, len(days)), lambda i: days[i + 1] - days[i] <> 1) AS bad_days FROM j)",
+        "why AS (SELECT *, CASE WHEN sha256 IS NULL OR stats_source IS NULL THEN 'sets of runs differ' WHEN stats_source <> sha256 THEN 'statistics of other curves' WHEN physics_name IS NOT NULL AND physics_source <> sha256 THEN 'physics of other curves' WHEN physics_name IS NOT NULL AND growth IS NULL THEN 'no growth'"
+        " WHEN \"end\" - start < 1 THEN 'period' WHEN len(days) < 1 THEN 'number of days' WHEN days[1] < start OR days[-1] <> \"end\" - 1 THEN 'days outside the period' WHEN len(bad_days) > 0 THEN 'days not consecutive' WHEN len(up) <> len(days) OR len(hold) <> len(days) THEN 'series not aligned'"
+        " WHEN len(bad_values) > 0 THEN 'value out of bounds' WHEN dd > 100 THEN 'drawdown out of bounds' WHEN hr < -100 THEN 'return out of bounds' WHEN len(bad_trades) > 0 THEN 'trade out of bounds'"
+        " WHEN len(mean_ci) <> 2 THEN 'mean_ci: not two bounds' WHEN isinf(mean_ci[2]) THEN 'mean_ci: not finite' WHEN mean_ci[1] > mean_ci[2] THEN 'mean_ci: reversed' WHEN sharpe_ci[1] > sharpe_ci[2] THEN 'sharpe_ci: reversed' WHEN timing > 1 THEN 'timing out of bounds' END AS refused FROM ok)",
+        "flat AS (SELECT name, start, unnest(days) AS date, unnest(up) AS strategy, unnest(hold) AS hold FROM why WHERE refused IS NULL)",
+        "sides AS (SELECT name, 's' AS side, start, date, strategy AS v FROM flat UNION ALL SELECT name, 'h', start, date, hold FROM flat)",
+        "peaks AS (SELECT *, greatest(1000, max(v) OVER (PARTITION BY name, side ORDER BY date ROWS UNBOUNDED PRECEDING)) AS peak FROM sides)",
+        "since AS (SELECT *, coalesce(max(CASE WHEN v >= peak THEN date + 1 END) OVER (PARTITION BY name, side ORDER BY date ROWS UNBOUNDED PRECEDING), start) AS since FROM peaks)",
+        "und AS (SELECT name, side, 100 * (arg_max(v, date) / 1000 - 1) AS ret, max(100 * (peak - v) / peak) AS dd, max(CASE WHEN v < peak THEN date_diff('day', CAST(since AS DATE), CAST(date + 1 AS DATE)) ELSE 0 END) AS days FROM since GROUP BY name, side)",
+        "best AS (SELECT name, coalesce(list_sum(list_filter(list_reverse_sort(trades), lambda x: x > 0)[1:2]), 0) AS top, list_sum(trades) AS total FROM why)",
+    )
+    + "SELECT w.name, refused, CASE WHEN refused IS NULL THEN CAST(len(w.days) AS BIGINT) END AS days, CASE WHEN refused IS NULL THEN round(top, 4) END AS top_two_pp, CASE WHEN refused IS NULL THEN round(total - top, 4) END AS rest_pp, CASE WHEN refused IS NULL THEN mean_ci[1] <= 0 AND mean_ci[2] >= 0 END AS mean_ci_includes_zero,"
+    " CASE WHEN refused IS NULL THEN sharpe_ci[1] <= 0 AND sharpe_ci[2] >= 0 END AS sharpe_ci_includes_zero, CASE WHEN refused IS NULL THEN round(timing, 4) END AS timing, CASE WHEN refused IS NULL THEN round(growth, 4) END AS growth,"
+    " round(s.ret, 4) AS strategy_return_pct, round(s.dd, 4) AS strategy_max_drawdown_pct, s.days AS strategy_longest_underwater_days, round(h.ret, 4) AS hold_return_pct, round(h.dd, 4) AS hold_max_drawdown_pct, h.days AS hold_longest_underwater_days"
+    " FROM why w LEFT JOIN best USING (name) LEFT JOIN und s ON s.name = w.name AND s.side = 's' LEFT JOIN und h ON h.name = w.name AND h.side = 'h'",
+    "channel_variants": sql.ctes(BARS, "rows_ AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY date) AS i FROM bars)") + " UNION ALL ".join(
+        f"SELECT pair, date, '{n}' AS variant, CASE WHEN count(*) OVER e = {a} THEN max(high) OVER e END AS entry_high, CASE WHEN count(*) OVER x = {b} THEN min(low) OVER x END AS exit_low, coalesce(close > (CASE WHEN count(*) OVER e = {a} THEN max(high) OVER e END), false) AS enter, coalesce(close < (CASE WHEN count(*) OVER x = {b} THEN min(low) OVER x END), false) AS exit"
+        f" FROM rows_ WINDOW e AS (PARTITION BY pair ORDER BY date ROWS BETWEEN {a} PRECEDING AND 1 PRECEDING), x AS (PARTITION BY pair ORDER BY date ROWS BETWEEN {b} PRECEDING AND 1 PRECEDING)" for n, a, b in VARIANTS),
+    "lookahead_audit": sql.ctes(BARS, f"cuts AS (SELECT unnest({CUTS}) AS cut)", "ends AS (SELECT pair, cut, max(date) AS date FROM bars, cuts WHERE date < CAST(cut AS TIMESTAMP) GROUP BY pair, cut)", "n AS (SELECT pair, date, lead(close) OVER (PARTITION BY pair ORDER BY date) > close AS ahead FROM bars)")
+    + "SELECT pair, date, cut, 'ahead' AS \"column\" FROM ends JOIN n USING (pair, date) WHERE ahead",
 }

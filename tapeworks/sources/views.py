@@ -71,13 +71,13 @@ daily AS (SELECT run, date, strategy, buy_hold FROM own JOIN every USING (date))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run, trade_id, open, close, return_pct, exit: a user's 1st and 2nd, 3rd and 4th, ... purchase open and close a trade."""
+    """run, trade_id, open, close, return_pct, exit: a user's 1st and 2nd, 3rd and 4th, ... purchase open and close a trade; later runs earn less."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     buys = table(spark, sf_dir, "events").where((F.col("event_type") == "purchase") & (F.col("value") > 0))
     rows = buys.select("user_id", "event_id", "ts", "value", F.row_number().over(w).alias("n"), F.lead("ts").over(w).alias("close"), F.lead("value").over(w).alias("last"))
     rows = rows.where((F.col("n") % 2 == 1) & F.col("close").isNotNull())
     exit_ = F.element_at(F.array(F.lit("exit_signal"), F.lit("stop_loss"), F.lit("force_exit")), (F.col("event_id") % 3 + 1).cast("int"))
-    pct = F.round(F.least(F.greatest((F.col("last") / F.col("value") - 1) * 10, F.lit(-60.0)), F.lit(60.0)), 4)
+    pct = F.round(F.least(F.greatest((F.col("last") / F.col("value") - 1) * 10, F.lit(-60.0)), F.lit(60.0)) - 4.0 * (F.col("user_id") % 8), 4)
     return rows.select((F.col("user_id") % 8).alias("run"), F.col("event_id").alias("trade_id"), F.col("ts").alias("open"), "close", pct.alias("return_pct"), exit_.alias("exit"))
 
 
@@ -86,7 +86,7 @@ buys AS (
   SELECT user_id, event_id, ts, value, row_number() OVER w AS n, lead(ts) OVER w AS close, lead(value) OVER w AS last
   FROM events WHERE event_type = 'purchase' AND value > 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 ), trades AS (
-  SELECT user_id % 8 AS run, event_id AS trade_id, ts AS open, close, round(least(greatest((last / value - 1) * 10, -60.0::DOUBLE), 60.0::DOUBLE), 4) AS return_pct,
+  SELECT user_id % 8 AS run, event_id AS trade_id, ts AS open, close, round(least(greatest((last / value - 1) * 10, -60.0::DOUBLE), 60.0::DOUBLE) - 4.0::DOUBLE * (user_id % 8), 4) AS return_pct,
     ['exit_signal', 'stop_loss', 'force_exit'][event_id % 3 + 1] AS exit
   FROM buys WHERE n % 2 = 1 AND close IS NOT NULL
 )"""
@@ -152,14 +152,19 @@ exchange AS (SELECT order_id, amount, CASE WHEN k = 4 THEN round(amount * 0.004:
 
 
 def paper_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A paper trade at every fifth candle, closed three candles later; the last may be open. See operators/forward.py."""
+    """A paper trade at every fifth candle, closed three candles later; the last may be open. See operators/forward.py.
+
+    Pairs differ: view trades at every fiftieth candle only, purchase pays too much at the entry, error and signup get more at the exit.
+    """
     w = Window.partitionBy("pair").orderBy("date")
     b = bars(spark, sf_dir).select("pair", "date", "open", F.row_number().over(w).alias("seq"), F.lead("date", 3).over(w).alias("to_date"), F.lead("open", 3).over(w).alias("to_open"))
-    t = b.where("seq % 5 = 0").withColumn("j", F.expr("seq div 5"))
+    pair = F.col("pair")
+    t = b.where(F.col("seq") % F.when(pair == "view", 50).otherwise(5) == 0).withColumn("j", F.expr("seq div 5"))
+    dear, well = F.when(pair == "purchase", 1.02).otherwise(1.0), F.when(pair == "error", 1.02).when(pair == "signup", 1.011).otherwise(1.0)
     t = t.select(
         "pair", F.col("seq").cast("long").alias("trade_id"), "j", F.lit("walk").alias("strategy"), F.lit("1h").alias("timeframe"), F.when(F.col("j") % 2 == 0, F.col("date")).alias("submitted_date"),
         (F.col("date") + F.make_dt_interval(mins=((F.col("j") % 4) * 5).cast("int"))).alias("open_date"), (F.col("to_date") + F.expr("INTERVAL 2 MINUTE")).alias("close_date"),
-        (100.0 + F.col("j") % 3 * 50).alias("stake_amount"), F.round(F.col("open") * (1 + (F.col("j") % 7 - 3) / 10000.0), 6).alias("open_rate"), F.round(F.col("to_open") * (1 - (F.col("j") % 5 - 2) / 10000.0), 6).alias("close_rate"), F.lit(0.004).alias("fee_open"),
+        (100.0 + F.col("j") % 3 * 50).alias("stake_amount"), F.round(F.col("open") * (1 + (F.col("j") % 7 - 3) / 10000.0) * dear, 6).alias("open_rate"), F.round(F.col("to_open") * (1 - (F.col("j") % 5 - 2) / 10000.0) * well, 6).alias("close_rate"), F.lit(0.004).alias("fee_open"),
         F.when(F.col("to_date").isNotNull(), 0.005).alias("fee_close"), F.when(F.col("to_date").isNotNull(), F.element_at(F.array(F.lit("exit_signal"), F.lit("exit_signal"), F.lit("stop_loss"), F.lit("roi")), (F.col("j") % 4 + 1).cast("int"))).alias("exit_reason"),
     ).withColumn("amount", F.round(F.col("stake_amount") / F.col("open_rate"), 8))
     paid = F.col("amount") * F.col("open_rate") * 1.004
@@ -169,10 +174,10 @@ def paper_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAPER = """
 paper_rows AS (SELECT pair, date, open, row_number() OVER w AS seq, lead(date, 3) OVER w AS to_date, lead(open, 3) OVER w AS to_open FROM bars WINDOW w AS (PARTITION BY pair ORDER BY date)),
-paper_kept AS (SELECT *, seq // 5 AS j FROM paper_rows WHERE seq % 5 = 0),
+paper_kept AS (SELECT *, seq // 5 AS j, CASE pair WHEN 'purchase' THEN 1.02::DOUBLE ELSE 1 END AS dear, CASE pair WHEN 'error' THEN 1.02::DOUBLE WHEN 'signup' THEN 1.011::DOUBLE ELSE 1 END AS well FROM paper_rows WHERE seq % CASE pair WHEN 'view' THEN 50 ELSE 5 END = 0),
 paper_priced AS (
   SELECT pair, seq AS trade_id, 'walk' AS strategy, '1h' AS timeframe, CASE WHEN j % 2 = 0 THEN date END AS submitted_date, date + to_minutes((j % 4) * 5) AS open_date, to_date + INTERVAL 2 MINUTE AS close_date,
-    100.0::DOUBLE + j % 3 * 50 AS stake_amount, round(open * (1 + (j % 7 - 3) / 10000.0::DOUBLE), 6) AS open_rate, round(to_open * (1 - (j % 5 - 2) / 10000.0::DOUBLE), 6) AS close_rate, 0.004::DOUBLE AS fee_open,
+    100.0::DOUBLE + j % 3 * 50 AS stake_amount, round(open * (1 + (j % 7 - 3) / 10000.0::DOUBLE) * dear, 6) AS open_rate, round(to_open * (1 - (j % 5 - 2) / 10000.0::DOUBLE) * well, 6) AS close_rate, 0.004::DOUBLE AS fee_open,
     CASE WHEN to_date IS NOT NULL THEN 0.005::DOUBLE END AS fee_close, CASE WHEN to_date IS NOT NULL THEN ['exit_signal', 'exit_signal', 'stop_loss', 'roi'][j % 4 + 1] END AS exit_reason FROM paper_kept
 ), paper_sized AS (SELECT *, round(stake_amount / open_rate, 8) AS amount FROM paper_priced),
 paper_gain AS (SELECT *, round(amount * close_rate * 0.995::DOUBLE - amount * open_rate * 1.004::DOUBLE, 6) AS profit_abs FROM paper_sized),
@@ -244,3 +249,46 @@ trial_steps AS (SELECT ledger, id, date, round(ln(v / lag(v) OVER (PARTITION BY
 trial_ids AS (SELECT DISTINCT ledger, id, no, CAST(DATE '1992-01-01' + CAST(CASE no WHEN 2 THEN 400 WHEN 5 THEN 30 ELSE 0 END * id AS INT) AS DATE) AS start FROM trial_orders),
 trials AS (SELECT ledger, id, CASE WHEN id = 5 THEN 'benchmark' ELSE 'trial' END AS kind, CASE WHEN no = 3 THEN id = 0 ELSE id < 5 END AS counted, start, CAST(start + CASE WHEN no = 2 THEN 400 ELSE 2000 END AS DATE) AS "end" FROM trial_ids),
 observed0 AS (SELECT run AS ledger, round(ln(strategy / lag(strategy) OVER (PARTITION BY run ORDER BY date)) / 100, 8) AS r FROM daily), observed AS (SELECT * FROM observed0 WHERE r IS NOT NULL)"""
+
+
+def desk_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents of daily values, of statistics and of growth, one of each a customer; customers differ in what is wrong with them.
+
+    A customer's days begin at the first order and are three an order; values swing with the sum of the orders.
+    """
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("d0"), (3 * F.count("*")).cast("int").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    k, n, cents = F.col("k"), F.col("n"), F.col("cents")
+    o = o.withColumns({"k": F.col("o_custkey") % 29, "name": F.concat(F.lit("c"), F.col("o_custkey").cast("string")), "places": F.sequence(F.lit(0), n - 1)})
+    o = o.withColumn("sha256", F.sha2(F.concat_ws(":", "name", cents.cast("string")), 256))
+    days = F.transform("places", lambda i: F.date_format(F.date_add("d0", i), "yyyy-MM-dd"))
+    days = F.when(k == 2, F.array().cast("array<string>")).when(k == 5, F.filter(days, lambda d, i: i != 1)).when(k == 13, F.reverse(days)).otherwise(days)
+    up = F.transform("places", lambda i: 1000.0 + (cents + i * 37) % 500)
+    up = F.when(k == 6, F.slice(up, F.lit(1), n - 1)).when(k == 8, F.transform(up, lambda x, i: F.when(i == 1, float("nan")).otherwise(x))).when(k == 9, F.transform(up, lambda x, i: F.when(i == 1, 0.0).otherwise(x))).otherwise(up)
+    hold = F.transform("places", lambda i: F.when((k == 7) & (i == 0), None).otherwise(1000.0 + (cents + i * 11) % 300))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    curves = o.select(
+        "name", "sha256", day(F.date_add("d0", F.when(k == 3, 1).otherwise(0))).alias("start"), day(F.date_add("d0", F.when(k == 1, 0).when(k == 4, n + 1).otherwise(n))).alias("end"), days.alias("dates"), up.alias("strategy"), hold.alias("buy_hold"),
+        F.when(k == 10, 101.0).otherwise(12.5).alias("max_drawdown_pct"), F.lit(30.0).alias("hold_drawdown_pct"), F.when(k == 11, -150.0).otherwise(5.0).alias("hold_return_pct"),
+        F.transform("places", lambda i: F.when((k == 12) & (i == 0), -101.0).otherwise(((cents + i * 53) % 400).cast("double") / 10 - 20)).alias("trades"),
+    )
+    low = (cents % 100).cast("double") / 10 - 5
+    pair = F.array(low, low + 6)
+    mean = F.when(k == 16, F.array(low)).when(k == 17, F.array(low + 6, low)).when(k == 18, F.array(low, F.lit(float("inf")))).otherwise(pair)
+    other = F.sha2("name", 256)
+    stats = o.where("k <> 14").select("name", F.when(k == 15, other).otherwise(F.col("sha256")).alias("source_sha256"), mean.alias("mean_ci"), F.array(low / 2, low).alias("sharpe_ci"), F.when(k == 19, 1.5).otherwise((cents % 7).cast("double") / 7).alias("timing"))
+    stats = stats.withColumn("sharpe_ci", F.array_sort("sharpe_ci"))
+    physics = o.where("k <> 21").select("name", F.when(k == 20, other).otherwise(F.col("sha256")).alias("source_sha256"), F.when(k != 22, (cents % 13).cast("double")).alias("growth"))
+    return curves, stats, physics
+
+
+DESK = """
+desk AS (SELECT 'c' || o_custkey AS name, o_custkey % 29 AS k, CAST(min(o_orderdate) AS DATE) AS d0, CAST(3 * count(*) AS INT) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY o_custkey),
+desk_rows AS (SELECT *, sha256(name || ':' || cents) AS sha256, list_transform(range(n), lambda i: CAST(d0 + CAST(i AS INT) AS DATE)) AS days,
+  list_transform(range(n), lambda i: CASE WHEN k = 8 AND i = 1 THEN 'nan'::DOUBLE WHEN k = 9 AND i = 1 THEN 0::DOUBLE ELSE 1000::DOUBLE + (cents + i * 37) % 500 END) AS up,
+  list_transform(range(n), lambda i: CASE WHEN k = 7 AND i = 0 THEN NULL ELSE 1000::DOUBLE + (cents + i * 11) % 300 END) AS hold,
+  list_transform(range(n), lambda i: CASE WHEN k = 12 AND i = 0 THEN -101::DOUBLE ELSE CAST((cents + i * 53) % 400 AS DOUBLE) / 10 - 20 END) AS trades, CAST(cents % 100 AS DOUBLE) / 10 - 5 AS low FROM desk),
+curves AS (SELECT name, sha256, k, n, CASE WHEN k = 3 THEN d0 + 1 ELSE d0 END AS start, CASE WHEN k = 1 THEN d0 WHEN k = 4 THEN d0 + n + 1 ELSE d0 + n END AS "end",
+  CASE WHEN k = 2 THEN [] WHEN k = 5 THEN list_concat(days[1:1], days[3:]) WHEN k = 13 THEN list_reverse(days) ELSE days END AS days, CASE WHEN k = 6 THEN up[1:n - 1] ELSE up END AS up, hold, trades, CASE WHEN k = 10 THEN 101 ELSE 12.5 END AS dd, CASE WHEN k = 11 THEN -150 ELSE 5 END AS hr FROM desk_rows),
+stats AS (SELECT name, CASE WHEN k = 15 THEN sha256(name) ELSE sha256 END AS source, CASE WHEN k = 16 THEN [low] WHEN k = 17 THEN [low + 6, low] WHEN k = 18 THEN [low, 'inf'::DOUBLE] ELSE [low, low + 6] END AS mean_ci, list_sort([low / 2, low]) AS sharpe_ci,
+  CASE WHEN k = 19 THEN 1.5::DOUBLE ELSE CAST(cents % 7 AS DOUBLE) / 7 END AS timing FROM desk_rows WHERE k <> 14),
+physics AS (SELECT name, CASE WHEN k = 20 THEN sha256(name) ELSE sha256 END AS source, CASE WHEN k <> 22 THEN CAST(cents % 13 AS DOUBLE) END AS growth FROM desk_rows WHERE k <> 21)"""

@@ -5,9 +5,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapeworks.operators import ledger, orders, protection, records, structure, stylized
+from tapeworks.operators import candles as cd
+from tapeworks.operators import documents, ledger, orders, protection, records, structure, stylized, variants
 from tapeworks.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -213,3 +215,81 @@ def test_assessments_choose_reject_and_expire(spark):
     assert {r["decision"] for r in a.select("decision").distinct().collect()} == {"approve", "reject", "abstain"}
     per = {r["count"] for r in a.groupBy("candidate_id").count().collect()}
     assert per == {1, 2, 3}
+
+
+def test_documents_are_refused_for_every_reason(spark):
+    got = {r["refused"]: r["count"] for r in registry.queries()["desk_report"](spark, SF).groupBy("refused").count().collect()}
+    said = {
+        "sets of runs differ", "statistics of other curves", "physics of other curves", "no growth", "period", "number of days", "days outside the period", "days not consecutive", "series not aligned",
+        "value out of bounds", "drawdown out of bounds", "return out of bounds", "trade out of bounds", "mean_ci: not two bounds", "mean_ci: not finite", "mean_ci: reversed", "timing out of bounds",
+    }
+    assert set(got) == said | {None} and got[None] > 300
+
+
+def test_broken_documents(spark):
+    good = {"name": "a", "sha256": "h", "start": "2024-01-01", "end": "2024-01-04", "dates": ["2024-01-01", "2024-01-02", "2024-01-03"], "strategy": [1.0, 2.0, 1.5], "buy_hold": [1.0, 1.0, 1.0], "max_drawdown_pct": 25.0, "hold_drawdown_pct": 0.0, "hold_return_pct": 0.0, "trades": [5.0, -1.0, 2.0, 7.0]}
+    broken = [
+        ({}, None), ({"start": None}, "period"), ({"end": "2024-02-30"}, "period"), ({"dates": None}, "number of days"), ({"dates": ["2024-01-01", None, "2024-01-03"]}, "days not consecutive"), ({"dates": ["2024-01-01", "2024-01-01", "2024-01-03"]}, "days not consecutive"),
+        ({"dates": ["x", "2024-01-02", "2024-01-03"]}, "days outside the period"), ({"strategy": [1.0, 2.0]}, "series not aligned"), ({"strategy": None}, "series not aligned"), ({"buy_hold": [1.0, None, 1.0]}, "value out of bounds"), ({"buy_hold": [1.0, float("inf"), 1.0]}, "value out of bounds"),
+        ({"max_drawdown_pct": None}, "drawdown out of bounds"), ({"hold_return_pct": float("nan")}, "return out of bounds"), ({"trades": None}, "number of trades"), ({"trades": [None]}, "trade out of bounds"), ({"trades": []}, None),
+        ({"dates": ["2024-01-03"], "strategy": [1.0], "buy_hold": [2.0]}, None),
+    ]
+    schema = "name string, sha256 string, start string, end string, dates array<string>, strategy array<double>, buy_hold array<double>, max_drawdown_pct double, hold_drawdown_pct double, hold_return_pct double, trades array<double>"
+    rows = [good | {"name": f"{k:02d}"} | b for k, (b, _) in enumerate(broken)]
+    curves = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    assert [r["refused"] for r in documents.run_errors(curves).orderBy("name").collect()] == [why for _, why in broken]
+    stats = spark.createDataFrame([(r["name"], "h", [-1.0, 2.0], [0.5, 1.0], 0.5) for r in rows] + [("zz", "h", [0.0, 1.0], [0.0, 1.0], 0.0)], "name string, source_sha256 string, mean_ci array<double>, sharpe_ci array<double>, timing double")
+    physics = spark.createDataFrame([], "name string, source_sha256 string, growth double")
+    out = {r["name"]: r for r in documents.desk_report(documents.bound_documents(curves, stats, physics), 1.0).collect()}
+    assert out["zz"]["refused"] == "sets of runs differ" and len(out) == len(rows) + 1
+    a = out["00"]
+    assert (a["strategy_return_pct"], a["strategy_max_drawdown_pct"], a["top_two_pp"], a["rest_pp"], a["mean_ci_includes_zero"], a["sharpe_ci_includes_zero"]) == pytest.approx((50.0, 25.0, 12.0, 1.0, True, False))
+    assert out["03"]["strategy_return_pct"] is None and out["16"]["strategy_longest_underwater_days"] == 0 and out["15"]["top_two_pp"] == 0
+
+
+def test_channels_of_any_length(spark):
+    rng = np.random.default_rng(11)
+    rows = [(p, hours(k), *map(float, sorted(rng.uniform(90, 110, 2), reverse=True)), float(rng.uniform(85, 115))) for p, n in (("a", 80), ("b", 7)) for k in range(n)]
+    df = spark.createDataFrame(rows, "pair string, date timestamp_ntz, high double, low double, close double")
+    table = [(f"{a}/{b}", a, b) for a, b in ((1, 1), (2, 3), (7, 8), (16, 15), (31, 33), (79, 80), (200, 1))]
+    got = {(r["pair"], r["date"], r["variant"]): r for r in variants.channel_variants(df, spark.createDataFrame(table, "variant string, entry int, exit int")).collect()}
+    assert len(got) == len(rows) * len(table)
+    for p in "ab":
+        own = [r for r in rows if r[0] == p]
+        for i, (_, at, _, _, close) in enumerate(own):
+            for name, a, b in table:
+                high = max(r[2] for r in own[i - a : i]) if i >= a else None
+                low = min(r[3] for r in own[i - b : i]) if i >= b else None
+                r = got[p, at, name]
+                assert (r["entry_high"], r["exit_low"], r["enter"], r["exit"]) == (high, low, high is not None and close > high, low is not None and close < low)
+    with pytest.raises(ValueError, match="variants"):
+        variants.channel_variants(df, spark.createDataFrame([("x", 0, 1)], "variant string, entry int, exit int"))
+    assert variants.channel_variants(df, spark.createDataFrame([], "variant string, entry int, exit int")).collect() == []
+
+
+def test_audit_finds_only_a_look_ahead(spark):
+    df = candles(spark, 60)[1].withColumn("x", F.col("close"))
+    w = cd.ordered(["pair"])
+    cuts = ["2024-01-01 10:00:00", "2024-01-02 00:30:00", "2024-01-03 12:00:00", "2023-01-01 00:00:00"]
+    honest = lambda c: c.select("pair", "date", F.lag("close").over(w).alias("before"), F.avg("close").over(w.rowsBetween(-5, 0)).alias("mean"))
+    assert variants.prefix_audit(honest, df, cuts, ["before", "mean"]).collect() == []
+    whole = lambda c: c.select("pair", "date", (F.col("close") - F.avg("close").over(Window.partitionBy("pair"))).alias("off"), F.col("close").alias("kept"))
+    found = variants.prefix_audit(whole, df, cuts, ["off", "kept"]).collect()
+    assert {r["column"] for r in found} == {"off"} and {r["cut"] for r in found} == set(cuts[:2])  # the third cut is the whole
+    fewer = lambda c: c.withColumn("n", F.count("*").over(Window.partitionBy("pair"))).where("n > 30").select("pair", "date", "close")
+    assert {r["cut"] for r in variants.prefix_audit(fewer, df, cuts, ["close"]).collect()} == set(cuts[:2])
+
+
+def test_judging_shows_every_outcome(spark):
+    q = registry.queries()
+    f = q["forward_criteria"](spark, SF).collect()
+    assert {r["f1"] for r in f} == {"PASS", "FAIL", "NOT_YET_TESTABLE"} and {r["f2"] for r in f} == {r["f3"] for r in f} == {"PASS", "FAIL"}
+    assert {r["f4"] for r in f} == {"PASS", "NOT_YET_TESTABLE"} and {r["verdict"] for r in f} == {"STOP", "CONTINUE"} and {r["may_judge"] for r in f} == {True, False}
+    p = q["performance_decision"](spark, SF).collect()
+    assert {r["p1"] for r in p} == {r["p2"] for r in p} == {"PASS", "FAIL", "NOT_YET_TESTABLE"} and {r["mean_supported"] for r in p} == {True, False}
+    assert {r["verdict"] for r in q["paired_sizing"](spark, SF).collect()} >= {"GO", "INCONCLUSIVE"}
+    assert {r["verdict"] for r in q["decision_rule"](spark, SF).collect()} == {"GO", "NO-GO"}
+    k = [r["kelly_fraction"] for r in q["kelly_grid"](spark, SF).collect()]
+    assert min(k) == 0 and any(0 < x < 2 for x in k)
+    assert any(r["p5"] < r["p50"] < r["p95"] for r in q["kelly_bootstrap_lcg"](spark, SF).collect())
+    assert all(0.01 < r["probability"] < 0.99 for r in q["deflated_sharpe"](spark, SF).collect())
