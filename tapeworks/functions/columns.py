@@ -50,3 +50,18 @@ def differs(a: Column, b: Column, absolute: float, relative: float) -> Column:
 def islands(flag: Column, keys: list[str], order: str) -> Column:
     """A number for each run of rows since flag was last false; rows with flag true in one run share it."""
     return F.sum(F.when(flag, 0).otherwise(1)).over(so_far(keys, order))
+
+
+def timeframe(text: str) -> int:
+    """Microseconds of a timeframe such as 15m, 4h or 1d."""
+    units = {"m": 60, "h": 3600, "d": 86400}
+    if len(text) < 2 or text[-1] not in units or not text[:-1].isdigit() or int(text[:-1]) == 0:
+        raise ValueError(f"unknown timeframe {text!r}")
+    return int(text[:-1]) * units[text[-1]] * 1_000_000
+
+
+def utc(text: Column, strict: bool = False) -> Column:
+    """The UTC time of ISO text; without a zone it is UTC, or null if strict. Null where it is no time."""
+    zoned = F.regexp_like(F.trim(text), F.lit(r"([Zz]|[+-]\d{2}:?\d{2})$"))
+    at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(text).cast("timestamp_ntz"))
+    return F.when(zoned, at) if strict else F.when(zoned, at).otherwise(F.trim(text).try_cast("timestamp_ntz"))

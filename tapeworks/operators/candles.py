@@ -48,12 +48,6 @@ def assert_candles(candles: DataFrame, step: int = HOUR, gaps_allowed: bool = Fa
     return candles
 
 
-def candle_digest(candles: DataFrame) -> DataFrame:
-    """pair, digest: an order-free digest of each pair's candles that two archives can compare."""
-    mark = F.xxhash64("date", "open", "high", "low", "close", "volume")
-    return candles.groupBy("pair").agg(F.sha2(F.concat_ws(":", F.count("*"), F.bit_xor(mark), F.sum(mark.cast("decimal(20,0)"))), 256).alias("digest"))
-
-
 def require_fresh(candles: DataFrame, now: Column, step: int = HOUR) -> DataFrame:
     """pair, fresh: whether the last candle ended at most one step before now."""
     return candles.groupBy("pair").agg((micros(now) - (F.max(micros("date")) + step) <= step).alias("fresh"))
@@ -115,14 +109,6 @@ def target_fraction(sigma: Column, target: float = 0.40, floor: float = 0.25) ->
     return F.when(sigma.isNull() | F.isnan(sigma) | (sigma <= 0), floor).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(floor), target / sigma)))
 
 
-def assembled(returns: DataFrame, start: float) -> DataFrame:
-    """Candles from (pair, date, r, upper, lower): closes compound r from start, bodies open at the last close, wicks widen."""
-    close = start * F.exp(F.sum("r").over(so_far(PAIR)))
-    c = returns.withColumn("close", close).withColumn("open", F.coalesce(F.lag("close").over(ordered(PAIR)), F.lit(start)))
-    high, low = F.greatest("open", "close") * (1 + F.col("upper")), F.least("open", "close") * (1 - F.col("lower"))
-    return c.select("pair", "date", "open", high.alias("high"), low.alias("low"), "close", F.lit(1.0).alias("volume"))
-
-
 def archive_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Union of both; of equal keys the archived row stays. check_immutable() must find nothing first."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))

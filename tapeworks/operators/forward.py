@@ -14,7 +14,8 @@ from tapeworks.functions.columns import hour_of, micros, ratio, so_far
 
 from .candles import HOUR, target_fraction
 from .resample import bootstrap_mean
-from .risk import drawdowns
+from .risk import daily_marks, drawdowns
+from .trades import trade_statistics
 
 PAIR = ["pair"]
 STEP = "INTERVAL 1 HOUR"
@@ -123,10 +124,33 @@ def performance(trades: DataFrame, candles: DataFrame, notional: float) -> DataF
     return m.join(t, "pair", "left").select(*m.columns, *zero, "mean_pct")
 
 
+def daily_equity(trades: DataFrame, candles: DataFrame, notional: float) -> DataFrame:
+    """pair, day, equity: the last mark of each day."""
+    return daily_marks(equity(marking_frame(trades, candles), candles, notional), PAIR, "equity")
+
+
+def performance_report(trades: DataFrame, candles: DataFrame, notional: float) -> DataFrame:
+    """performance() with all figures of the closed trades, and `refused`: candles that begin after a pair's first trade can't mark
+    it, so such a pair has no figures."""
+    begin = candles.groupBy("pair").agg(F.min("date").alias("__begin"))
+    first = trades.groupBy("pair").agg(F.min("open_date").alias("__first"))
+    closed = trades.where("close_date is not null and profit_ratio is not null")
+    closed = closed.select(F.col("pair").alias("run"), "trade_id", F.col("open_date").alias("open"), F.col("close_date").alias("close"), (100 * F.col("profit_ratio")).alias("return_pct"), F.coalesce("exit_reason", F.lit("unknown")).alias("exit"))
+    figures = trade_statistics(closed).withColumnRenamed("run", "pair").drop("winners", "mean_pct")
+    x = performance(trades, candles, notional).join(figures, "pair", "left").join(begin.join(first, "pair", "left"), "pair")
+    refused = F.when(F.col("__first") < F.col("__begin"), "candles begin after the first trade")
+    shown = [c for c in x.columns if c not in ("pair", "__begin", "__first")]
+    return x.select("pair", refused.alias("refused"), *[F.when(refused.isNull(), F.col(c)).alias(c) for c in shown])
+
+
+def held_worth(candles: DataFrame, notional: float, fee: float = ASSUMED) -> DataFrame:
+    """candles with worth: of buying the first open, at each close after the exit fee."""
+    return candles.withColumn("worth", notional / (1 + fee) / F.first("open").over(so_far(PAIR)) * F.col("close") * (1 - fee))
+
+
 def holding(candles: DataFrame, notional: float, fee: float = ASSUMED) -> DataFrame:
     """pair, hold_return_pct, hold_drawdown_pct of buying the first open, each mark after the exit fee."""
-    worth = notional / (1 + fee) / F.first("open").over(so_far(PAIR)) * F.col("close") * (1 - fee)
-    d = drawdowns(candles.withColumn("worth", worth), PAIR, "worth", notional)
+    d = drawdowns(held_worth(candles, notional, fee), PAIR, "worth", notional)
     return d.groupBy("pair").agg((100 * (F.max_by("worth", "date") / notional - 1)).alias("hold_return_pct"), F.max("drawdown_pct").alias("hold_drawdown_pct"))
 
 

@@ -62,8 +62,7 @@ def ledger_report(trials: DataFrame, observed: DataFrame) -> DataFrame:
     flat = ~F.coalesce(F.col("sd") > 0, F.lit(False))
     m = m.select("ledger", "days", F.when(~flat, F.col("mean") / F.col("sd")).alias("sharpe_daily"), *[F.when(~flat, F.col(c)).alias(c) for c in ("skewness", "excess_kurtosis")])
     x = t.join(m, "ledger", "left")
-    spread = 1 - F.col("skewness") * F.col("sharpe_daily") + (F.col("excess_kurtosis") + 2) / 4 * F.col("sharpe_daily") * F.col("sharpe_daily")
-    p = F.when((spread > 0) & (F.col("days") > 1), deflated_sharpe(F.col("sharpe_daily"), F.col("expected_max"), F.col("days"), F.col("skewness"), F.col("excess_kurtosis")))
+    p = deflated_sharpe(F.col("sharpe_daily"), F.col("expected_max"), F.col("days"), F.col("skewness"), F.col("excess_kurtosis"))
     return x.select(
         "ledger", "trials_counted", "trials_with_sharpe", F.when(fine, "assumption_dependent").otherwise("unavailable").alias("status"), "reasons", F.coalesce("days", F.lit(0)).alias("days"), "sharpe_daily", (F.col("sharpe_daily") * ROOT).alias("sharpe_annual"),
         "skewness", "excess_kurtosis", "variance", F.col("expected_max").alias("expected_max_daily"), (F.col("expected_max") * ROOT).alias("expected_max_annual"), p.alias("probability"),

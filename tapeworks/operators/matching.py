@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import hour_of, micros, ordered, so_far
+from tapeworks.functions.columns import differs, hour_of, micros, ordered, so_far
 
 from .candles import HOUR, target_fraction
 
@@ -88,19 +90,6 @@ def in_position(signals: DataFrame, trades: DataFrame) -> DataFrame:
     return e.select("pair", "date", busy.alias("busy"))
 
 
-def signal_fidelity(signals: DataFrame, trades: DataFrame, start: Column, end: Column) -> DataFrame:
-    """pair and counts: matched, unexpected and unverifiable trades; expected signals explained by a position or an open window, or not."""
-    inside = trades.where((F.col("open_date") >= start) & (F.col("open_date") < end))
-    matched = signal_entries(signals, inside)
-    acted = matched.where("signal_time is not null").select("pair", F.col("signal_time").alias("date")).distinct()
-    expected = signals.where("enter").where((micros("date") >= micros(start) - HOUR) & (F.col("date") < end))
-    open_ = in_position(expected, trades).join(acted, ["pair", "date"], "left_anti")
-    state = F.when(F.col("busy"), "explained_position").when(micros("date") + 2 * HOUR > micros(end), "explained_window").otherwise("unexplained")
-    t = matched.select("pair", F.when(F.col("signal_time").isNotNull(), "matched").otherwise("unexpected").alias("state"))
-    every = t.unionByName(open_.select("pair", state.alias("state")))
-    return every.groupBy("pair").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("matched", "unexpected", "explained_position", "explained_window", "unexplained")])
-
-
 def order_rollup(lines: DataFrame) -> DataFrame:
     """o_orderkey, status and what its lines (returned, filled) add up to; ok if it has exactly one filled line."""
     filled = F.col("l_returnflag") != "R"
@@ -111,24 +100,38 @@ def unseen(candidates: DataFrame, assessed: DataFrame) -> DataFrame:
     return candidates.join(assessed.select("candidate_id").distinct(), "candidate_id", "left_anti")
 
 
-def reconcile(db: DataFrame, exchange: DataFrame, absolute: float = 1e-8, relative: float = 1e-6) -> DataFrame:
-    """order_id, issue: every way in which two books of orders disagree; an order may have several."""
-    d = db.toDF("order_id", "db_amount", "db_fee", "db_open")
-    e = exchange.toDF("order_id", "ex_amount", "ex_fee", "ex_open")
-    both = d.join(e, "order_id", "full_outer")
-
-    def off(c: str) -> Column:
-        return F.abs(F.col(f"db_{c}") - F.col(f"ex_{c}")) > absolute + relative * F.greatest(F.abs(f"db_{c}"), F.abs(f"ex_{c}"))
-
-    done = ~F.col("ex_open")
-    issues = [
-        F.when(F.col("db_amount").isNull() & done, "missing_db_order"),
-        F.when(done & off("amount"), "amount_mismatch"),
-        F.when(done & off("fee"), "fee_mismatch"),
-        F.when(F.col("db_open") & done, "stale_open_order"),
-        F.when(~F.col("db_open") & F.col("ex_amount").isNull() & (F.col("db_amount") > 0), "missing_exchange_order"),
-    ]
-    return both.select("order_id", F.explode(F.array_compact(F.array(*issues))).alias("issue"))
+def reconcile(db: DataFrame, exchange: DataFrame, base: Column, since: Column | None = None, absolute: float = 1e-8, relative: float = 1e-6) -> DataFrame:
+    """order_id, issue: every way in which two books of orders disagree; an order may have several.
+
+    db: order_id, filled, fee_base, is_open, order_date, line. exchange: order_id, filled, status, fee_cost, fee_currency, line.
+    Each row of a book is held against the last line of its id in the other one. Fees are compared where the exchange took them in
+    the base currency; with `since`, closed fills from then on must be on the exchange.
+    """
+    theirs = exchange.groupBy("order_id").agg(F.max_by("status", "line").alias("ex_status"))
+    ours = db.groupBy("order_id").agg(F.max_by(F.struct("filled", "fee_base"), "line").alias("db"))
+
+    def off(a: str, b: str) -> Column:
+        return differs(F.col(a), F.col(b), absolute, relative)
+
+    x = exchange.where("status = 'closed'").join(ours, "order_id", "left")
+    of_exchange = [F.when(F.col("db").isNull(), "missing_db_order"), F.when(off("db.filled", "filled"), "amount_mismatch"), F.when((F.col("fee_currency") == base) & off("db.fee_base", "fee_cost"), "fee_mismatch")]
+    d = db.join(theirs, "order_id", "left")
+    of_db = [F.when(F.col("is_open") & F.col("ex_status").isin("closed", "canceled"), "stale_open_order")]
+    if since is not None:
+        of_db.append(F.when(~F.col("is_open") & (F.col("filled") > 0) & (F.col("order_date") >= since) & F.col("ex_status").isNull(), "missing_exchange_order"))
+    return reduce(DataFrame.unionByName, [t.select("order_id", F.explode(F.array_compact(F.array(*issues))).alias("issue")) for t, issues in ((x, of_exchange), (d, of_db))])
+
+
+def lookback_since(orders: DataFrame, since: Column) -> DataFrame:
+    """One row, since: the earlier of `since` and the oldest order that is still open, so that a skipped run loses none."""
+    return orders.agg(F.least(since, F.coalesce(F.min(F.when(F.col("is_open"), F.col("order_date"))), since)).alias("since"))
+
+
+def dust(balances: DataFrame, positions: DataFrame, absolute: float, relative: float = 1e-3) -> DataFrame:
+    """currency, balance, held, dust: balances (currency, balance) that differ from what open positions (currency, amount) add up to."""
+    held = positions.groupBy("currency").agg(F.sum("amount").alias("held"))
+    x = balances.where("balance is not null").join(held, "currency", "left").withColumn("held", F.coalesce("held", F.lit(0.0)))
+    return x.where(differs(F.col("balance"), F.col("held"), absolute, relative)).select("currency", "balance", "held", (F.col("balance") - F.col("held")).alias("dust"))
 
 
 def execution_report(trades: DataFrame, candles: DataFrame, fee: float) -> DataFrame:

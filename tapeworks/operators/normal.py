@@ -45,9 +45,9 @@ def normal_quantile(p: Column) -> Column:
 
 
 def deflated_sharpe(sharpe: Column, benchmark: Column, n: Column, skewness: Column, excess: Column) -> Column:
-    """Probability that the Sharpe ratio of n marks beats the benchmark, given its moments."""
+    """Probability that the Sharpe ratio of n marks beats the benchmark, given its moments; null where they leave no variance, or below two marks."""
     variance = 1 - skewness * sharpe + (excess + 2) / 4 * sharpe * sharpe
-    return normal_cdf((sharpe - benchmark) * F.sqrt(n - 1) / F.sqrt(variance))
+    return F.when((variance > 0) & (n > 1), normal_cdf((sharpe - benchmark) * F.sqrt(n - 1) / F.sqrt(variance)))
 
 
 def stop_hit_probability(sigma: Column, days: int, stop: float = 0.2, drift: float = 0.0) -> Column:

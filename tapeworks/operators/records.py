@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import DAYS_A_YEAR, ordered
 
+from .resample import kelly_bootstrap
 from .trades import kelly
 
 
@@ -32,15 +33,33 @@ def stakes(trades: DataFrame, fee_by_run: DataFrame, share: Column, least: float
     return trades.join(fee_by_run, "run", "left").withColumn("stake", F.least(F.lit(most), F.greatest(F.lit(least), share * F.lit(most))))
 
 
+def sized_entries(entries: DataFrame, sized: DataFrame, floor: float = 0.25) -> DataFrame:
+    """entries (pair, trade_id, at, proposed, least, most) with fraction and stake: the proposed stake times the fraction of the
+    pair's last row of `sized` (pair, date, fraction) before `at`, the floor where there is none or it is undefined; within the
+    bounds, a missing lower one bounds nothing. Both sides are one stream in time order, entries before rows of equal times."""
+    null = F.lit(None)
+    kind = sized.schema["fraction"].dataType
+    held = F.struct(F.col("fraction").cast(kind).alias("fraction"))
+    left = entries.select("pair", F.col("at").alias("time"), F.lit(0).alias("kind"), "trade_id", null.cast(f"struct<fraction:{kind.simpleString()}>").alias("held"))
+    right = sized.select("pair", F.col("date").alias("time"), F.lit(1).alias("kind"), null.cast(entries.schema["trade_id"].dataType).alias("trade_id"), held.alias("held"))
+    w = Window.partitionBy("pair").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = left.unionByName(right).withColumn("held", F.last("held", ignorenulls=True).over(w)).where("kind = 0").select("pair", "trade_id", F.col("held.fraction").alias("__f"))
+    defined = F.col("__f").isNotNull() & ~F.isnan("__f")
+    x = entries.join(found, ["pair", "trade_id"]).withColumn("fraction", F.when(defined, F.col("__f")).otherwise(F.lit(floor))).drop("__f")
+    stake = F.col("proposed") * F.col("fraction")
+    return x.withColumn("stake", F.least("most", F.coalesce(F.greatest(stake, F.col("least")), stake)))
+
+
 def daily_growth(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, days, years, and in percent a year: mean, growth, growth of the mean, and what lies between them."""
+    """keys, days, years, and in percent a year: mean, growth (null after a day that loses all), growth of the mean, and what lies between them."""
     r = F.col(value) / F.lag(value).over(ordered(keys)) - 1
-    g = values.withColumn("r", r).groupBy(*keys).agg(F.count("r").alias("days"), (F.datediff(F.max("date"), F.min("date")) / 365).alias("years"), *[(f * DAYS_A_YEAR * 100).alias(k) for k, f in (("mean", F.avg("r")), ("growth", F.avg(F.log1p("r"))), ("log_mean", F.log1p(F.avg("r"))))])
+    g = values.withColumn("r", r).groupBy(*keys).agg(F.count("r").alias("days"), (F.datediff(F.max("date"), F.min("date")) / 365).alias("years"), *[(f * DAYS_A_YEAR * 100).alias(k) for k, f in (("mean", F.avg("r")), ("growth", F.when(F.min("r") > -1, F.avg(F.log1p("r")))), ("log_mean", F.log1p(F.avg("r"))))])
     return g.select(*keys, "days", "years", "mean", "growth", "log_mean", (F.col("mean") - F.col("growth")).alias("gap"), (F.col("log_mean") - F.col("growth")).alias("drag"))
 
 
-def kelly_report(trades: DataFrame, points: int = 401, wide: float = 5.0) -> DataFrame:
-    """run, n, the best fraction up to 1 and up to `wide`, and percent growth a trade at four fractions (null: ruin). Null below two trades."""
+def kelly_report(trades: DataFrame, points: int = 401, wide: float = 5.0, reps: int = 50, grid: int = 21) -> DataFrame:
+    """run, n, the best fraction up to 1 and up to `wide`, percent growth a trade at four fractions (null: ruin), and over `reps`
+    resamples the bounds of the best fraction up to 1 (of `grid` ones) and the share whose best is zero. Null below two trades."""
     r = F.col("return_pct") / 100
 
     def at(f: float) -> Column:
@@ -48,7 +67,8 @@ def kelly_report(trades: DataFrame, points: int = 401, wide: float = 5.0) -> Dat
 
     own = trades.groupBy("run").agg(F.count("*").alias("n"), *[at(f).alias(f"growth_{int(100 * f)}") for f in (0.25, 0.5, 0.75, 1.0)])
     best, far = (kelly(trades, f, points).select("run", F.col("kelly_fraction").alias(k)) for f, k in ((1.0, "kelly"), (wide, "kelly_wide")))
-    x = own.join(best, "run").join(far, "run")
+    spread = kelly_bootstrap(trades, reps, 1.0, grid).toDF("run", "kelly_p5", "kelly_p50", "kelly_p95", "share_zero")
+    x = own.join(best, "run").join(far, "run").join(spread, "run")
     return x.select("run", "n", *[F.when(F.col("n") >= 2, F.col(c)).alias(c) for c in x.columns if c not in ("run", "n")])
 
 

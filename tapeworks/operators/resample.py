@@ -1,4 +1,8 @@
-"""Bootstraps and surrogates. Indices come from a linear congruential generator, so any engine draws the same ones."""
+"""Bootstraps and surrogates. Indices come from a linear congruential generator, so any engine draws the same ones.
+
+The series is written once with its places, so its size is known: Spark broadcasts a small one to the draws, which then aren't
+shuffled, and only sums by key and replicate are; a large one meets them by a shuffle.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import DAYS_A_YEAR, ordered, ratio
+from tapeworks.functions.written import written
 
 #: Multiplier, increment and modulus of the generator.
 A, C, M = 1103515245, 12345, 1 << 31
@@ -22,7 +27,7 @@ def _indexed(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, order: list[str], reps: int) -> DataFrame:
     """keys, low and high 95 % bounds of the resampled mean, and the share of means of zero or less."""
-    own = _indexed(rows, keys, order).select(*keys, F.col("i").cast("long"), F.col("n").cast("long"), F.col(value).alias("x"))
+    own = written(_indexed(rows, keys, order).select(*keys, F.col("i").cast("long"), F.col("n").cast("long"), F.col(value).alias("x")), "series")
     draws = own.select(*keys, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     draws = draws.select(*keys, "rep", drawn(F.col("rep") * F.col("n") + F.col("i"), F.col("n")).alias("i"))
     means = draws.join(own, [*keys, "i"]).groupBy(*keys, "rep").agg(F.round(F.avg("x"), 9).alias("mean"))
@@ -32,7 +37,7 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, order: list[str
 
 def block_bootstrap_sharpe(returns: DataFrame, keys: list[str], block: int, reps: int) -> DataFrame:
     """keys, low and high 95 % bounds of the annual Sharpe ratio over circular blocks of daily r."""
-    own = _indexed(returns, keys, ["date"]).select(*keys, F.col("i").cast("long"), F.col("n").cast("long"), "r").where(F.col("n") >= 2 * block)
+    own = written(_indexed(returns, keys, ["date"]).select(*keys, F.col("i").cast("long"), F.col("n").cast("long"), "r").where(F.col("n") >= 2 * block), "series")
     draws = own.select(*keys, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     blocks = F.ceil(F.col("n") / block)
     start = drawn(F.col("rep") * blocks + F.floor(F.col("i") / block), F.col("n"))
@@ -43,17 +48,20 @@ def block_bootstrap_sharpe(returns: DataFrame, keys: list[str], block: int, reps
 
 
 def kelly_bootstrap(trades: DataFrame, reps: int, f_max: float = 2.0, points: int = 21) -> DataFrame:
-    """run, low, median and high bounds of the best fraction over resamples: how often each trade is drawn times its log growth."""
-    own = _indexed(trades, ["run"], ["open", "trade_id"]).select("run", F.col("i").cast("long"), F.col("n").cast("long"), (F.col("return_pct") / 100).alias("r"))
+    """run, low, median and high bounds of the best fraction over resamples, and the share of resamples whose best is zero.
+
+    A resample's mean log growth at every fraction of the grid is one sum over its draws: a column each, not a row each.
+    """
+    own = written(_indexed(trades, ["run"], ["open", "trade_id"]).select("run", F.col("i").cast("long"), F.col("n").cast("long"), (F.col("return_pct") / 100).alias("r")), "series")
     draws = own.select("run", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    counts = draws.groupBy("run", "rep", drawn(F.col("rep") * F.col("n") + F.col("i"), F.col("n")).alias("i")).agg(F.count("*").alias("c"))
-    grid = own.select("run", "i", "r", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).withColumn("f", F.col("k") * F.lit(f_max / (points - 1)))
-    growth = grid.withColumn("g", F.when(1 + F.col("f") * F.col("r") <= 0, -1e12).otherwise(F.log1p(F.col("f") * F.col("r"))))
-    sums = counts.join(growth, ["run", "i"]).groupBy("run", "rep", "k", "f").agg(F.round(F.sum(F.col("c") * F.col("g")), 7).alias("g"))
-    best = F.row_number().over(Window.partitionBy("run", "rep").orderBy(F.desc("g"), "k"))
-    top = sums.withColumn("best", best).where("best = 1")
+    drawn_ = draws.select("run", "rep", drawn(F.col("rep") * F.col("n") + F.col("i"), F.col("n")).alias("i")).join(own.select("run", "i", "r"), ["run", "i"])
+    grid = [k * (f_max / (points - 1)) for k in range(points)]
+    growth = [F.round(F.sum(F.when(1 + f * F.col("r") <= 0, -1e12).otherwise(F.log1p(f * F.col("r")))), 7) for f in grid]
+    sums = drawn_.groupBy("run", "rep").agg(*[g.alias(f"g{k}") for k, g in enumerate(growth)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"g{k}").alias("g"), F.lit(-k).alias("k")) for k in range(points)]))  # ties to the smallest
+    top = sums.select("run", (-best["k"] * F.lit(f_max / (points - 1))).alias("f"))
     b = F.percentile("f", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return top.groupBy("run").agg(b.alias("b")).select("run", F.col("b")[0].alias("p5"), F.col("b")[1].alias("p50"), F.col("b")[2].alias("p95"))
+    return top.groupBy("run").agg(b.alias("b"), F.avg((F.col("f") == 0).cast("double")).alias("share_zero")).select("run", F.col("b")[0].alias("p5"), F.col("b")[1].alias("p50"), F.col("b")[2].alias("p95"), "share_zero")
 
 
 def block_shuffle(returns: DataFrame, keys: list[str], block: int) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import so_far
-
 #: What a log line must not show, and what stands for it.
 SECRETS = [(r"(?i)(bearer|token)\s+[A-Za-z0-9._-]+", "$1 ***"), (r"[\w.+-]+@[\w-]+\.[\w.]+", "***"), (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "***"), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "***")]
 
@@ -50,10 +48,3 @@ def redacted(text: Column) -> Column:
     for pattern, mask in SECRETS:
         text = F.regexp_replace(text, pattern, mask)
     return text
-
-
-def latched(states: DataFrame, keys: list[str], order: str, stop: Column) -> DataFrame:
-    """states with stopped, which never clears once set."""
-    from tapeworks.functions.columns import so_far
-
-    return states.withColumn("stopped", F.bool_or(stop).over(so_far(keys, order)))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import micros, ordered, ratio
 
-from .risk import drawdowns, longest_run, underwater
+from .risk import drawdowns, underwater
+from .running import running_sum
 
 RUN = ["run"]
 HOUR = 3_600_000_000.0
@@ -48,8 +49,19 @@ def two_best(trades: DataFrame) -> DataFrame:
 
 
 def losing_streak(trades: DataFrame) -> DataFrame:
-    """run, longest_losing_streak: by opening; a trade of zero is a loss."""
-    return longest_run(trades.withColumn("at", F.struct("open", "trade_id")), RUN, F.col("return_pct") <= 0, "at", "longest_losing_streak")
+    """run, longest_losing_streak: by opening; a trade of zero is a loss. Gains are counted in slices of a day, so no window holds a run;
+    losses with equally many gains before them are a streak."""
+    won = trades.withColumns({"__won": F.when(F.col("return_pct") <= 0, 0).otherwise(1).cast("long"), "__day": F.to_date("open")})
+    streaks = running_sum(won.select("run", "open", "trade_id", "__day", "__won"), RUN, "__day", ["open", "trade_id"], "__won", "__gains")
+    return streaks.groupBy("run", "__gains").agg(F.count_if(F.col("__won") == 0).alias("n")).groupBy("run").agg(F.max("n").alias("longest_losing_streak"))
+
+
+def duration_exposure(trades: DataFrame, days: DataFrame) -> DataFrame:
+    """run, exposure_pct: minutes inside trades over those of the run's days (run, days); trades at the same time count each, and a
+    run without days has none."""
+    minutes = F.sum((micros("close") - micros("open")) / 60e6)
+    x = days.join(trades.groupBy("run").agg(minutes.alias("minutes")), "run", "left")
+    return x.select("run", F.when(F.col("days") > 0, 100 * F.coalesce("minutes", F.lit(0.0)) / (F.col("days") * 1440)).otherwise(0.0).alias("exposure_pct"))
 
 
 def exit_histogram(trades: DataFrame) -> DataFrame:
@@ -89,18 +101,14 @@ def trade_growth(trades: DataFrame) -> DataFrame:
     return g.select("run", "mean", "mean_log", F.log1p("mean").alias("log_mean"), (F.log1p("mean") - F.col("mean_log")).alias("gap"), "volatility_drag")
 
 
-def fraction_grid(spark: SparkSession, f_max: float, points: int) -> DataFrame:
-    return spark.range(points).select(F.col("id").alias("k"), (F.col("id") * (f_max / (points - 1))).alias("f"))
-
-
 def kelly(trades: DataFrame, f_max: float = 2.0, points: int = 41) -> DataFrame:
-    """Per run: the fraction of the grid with the highest mean ln(1 + f r), ties to the smallest; ruin counts as -1e12."""
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: k)).alias("k")
-    g = trades.select("run", (F.col("return_pct") / 100).alias("r"), grid).withColumn("f", F.col("k") * F.lit(f_max / (points - 1)))
+    """Per run: the fraction of the grid with the highest mean ln(1 + f r), ties to the smallest; ruin counts as -1e12. Equal returns are taken together."""
+    same = trades.groupBy("run", (F.col("return_pct") / 100).alias("r")).agg(F.count("*").alias("c"))
+    g = same.select("run", "r", "c", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).withColumn("f", F.col("k") * F.lit(f_max / (points - 1)))
     growth = F.when(1 + F.col("f") * F.col("r") <= 0, -1e12).otherwise(F.log1p(F.col("f") * F.col("r")))
-    mean = g.groupBy("run", "k", "f").agg(F.round(F.avg(growth), 9).alias("growth"))
-    best = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("growth"), "k"))
-    return mean.withColumn("best", best).where("best = 1").select("run", F.col("f").alias("kelly_fraction"), "growth")
+    mean = g.groupBy("run", "k", "f").agg(F.round(F.sum(F.col("c") * growth) / F.sum("c"), 9).alias("growth"))
+    best = F.max(F.struct("growth", (-F.col("k")).alias("k"), "f")).alias("best")
+    return mean.groupBy("run").agg(best).select("run", F.col("best.f").alias("kelly_fraction"), F.col("best.growth").alias("growth"))
 
 
 def frontier(values: DataFrame, keys: list[str], fractions: list[float], initial: float) -> DataFrame:

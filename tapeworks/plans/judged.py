@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import rounded
+from tapeworks.functions.written import written
 from tapeworks.operators import candles as cd
-from tapeworks.operators import forward, matching, records, risk, rules
+from tapeworks.operators import assessment, forward, matching, records, risk, rules
 from tapeworks.sources import views
 from tapeworks.sources.views import ASSESSMENTS, BARS, CANDIDATES, DAILY, PAPER, TRADES
 
@@ -112,6 +113,7 @@ def _marked_sql(frame: str, name: str) -> str:
 {name} AS (SELECT *, CASE WHEN mtm_max_drawdown_pct > 0 THEN net_return_pct / mtm_max_drawdown_pct END AS return_over_drawdown FROM {name}_s)"""
 
 
+@views.candles_once
 def forward_performance(spark, d):
     return rounded(_performance(spark, d), 4)
 
@@ -126,8 +128,34 @@ per AS (SELECT a.pair, 100.0::DOUBLE * sum(greatest(0, epoch_us(least(coalesce(c
 performed AS (SELECT r.*, coalesce(exposure_pct, 0) AS exposure_pct, coalesce(open_trades, 0) AS open_trades, coalesce(closed_trades, 0) AS closed_trades, coalesce(winners, 0) AS winners, mean_pct FROM run r LEFT JOIN per USING (pair))"""
 
 
+@views.candles_once
+def performance_report(spark, d):
+    """The candles of one pair begin too late for its trades."""
+    late = views.bars(spark, d).where((F.col("pair") != "signup") | (F.col("date") >= at("2024-01-03 00:00:00")))
+    x = forward.performance_report(forward.normalised(acting(spark, d), NOTIONAL), late, NOTIONAL)
+    return rounded(x.select(*[(F.col(c) + 1e-9).alias(c) if k == "double" else c for c, k in x.dtypes]), 4)  # off the ties
+
+
+@views.candles_once
+def equity_daily(spark, d):
+    return rounded(forward.daily_equity(forward.normalised(acting(spark, d), NOTIONAL), views.bars(spark, d), NOTIONAL), 4)
+
+
+@views.candles_once
+def run_assessment(spark, d):
+    """The pairs as runs: closed paper trades, and daily marks of their equity and of holding."""
+    t, b = forward.normalised(acting(spark, d), NOTIONAL), views.bars(spark, d)
+    closed = t.where("close_date is not null and profit_ratio is not null").select(F.col("pair").alias("run"), "trade_id", F.col("open_date").alias("open"), F.col("close_date").alias("close"), (100 * F.col("profit_ratio")).alias("return_pct"), F.coalesce("exit_reason", F.lit("unknown")).alias("exit"))
+    own = forward.daily_equity(t, b, NOTIONAL).select(F.col("pair").alias("run"), F.col("day").alias("date"), F.round("equity", 4).alias("strategy"))
+    held = risk.daily_marks(forward.held_worth(b, NOTIONAL), ["pair"], "worth").select(F.col("pair").alias("run"), F.col("day").alias("date"), F.round("worth", 4).alias("buy_hold"))
+    values = written(own.join(held, ["run", "date"]), "values")
+    parts = assessment.assess_parts(written(closed, "closed"), values, NOTIONAL, 2.0, REPS, 50, 5)
+    near = {k: rounded(v.select(*[(F.col(c) + 1e-9).alias(c) if t == "double" else c for c, t in v.dtypes]), 4) for k, v in parts.items()}  # off the ties
+    return assessment.assess_runs(near, values.select("run").distinct())
+
+
 def trade_executions(spark, d):
-    return rounded(forward.executions(views.paper_trades(spark, d), views.bars(spark, d)), 4)
+    return rounded(forward.executions(views.paper_trades(spark, d), views.bars(spark, d)), 6)
 
 
 def execution_summary(spark, d):
@@ -142,6 +170,7 @@ slipped AS (SELECT *, 10000 * (open_rate / entry_reference - 1) AS entry_slippag
 executed AS (SELECT *, (entry_slippage_bps + exit_slippage_bps + 10000 * (fee_open + fee_close)) / 100 AS round_trip_cost_pct, 100 * profit_ratio AS profit_pct FROM slipped)"""
 
 
+@views.candles_once
 def signal_fidelity(spark, d):
     return _fidelity(spark, d)
 
@@ -167,6 +196,7 @@ def _judged(spark, d):
     return forward.criteria(_performance(spark, d), costs, faith, MAX_DRAWDOWN, MIN_TRADES)
 
 
+@views.candles_once
 def forward_criteria(spark, d):
     return _judged(spark, d)
 
@@ -179,6 +209,7 @@ f14 AS (SELECT pair, CASE WHEN NOT complete AND unexpected = 0 AND unexplained =
 judged AS (SELECT *, CASE WHEN 'FAIL' IN (f1, f2, f3) THEN 'STOP' ELSE 'CONTINUE' END AS verdict, f1 = 'PASS' AND f4 = 'PASS' AS may_judge FROM f14)"""
 
 
+@views.candles_once
 def performance_decision(spark, d):
     held = forward.holding(views.bars(spark, d), NOTIONAL)
     return rounded(forward.performance_decision(_performance(spark, d), held, _judged(spark, d), acting(spark, d), reps=REPS))
@@ -200,6 +231,7 @@ def first_signal(spark, d):
     return forward.first_defined(cd.channels(views.bars(spark, d)), "entry_high")
 
 
+@views.candles_once
 def paired_sizing(spark, d):
     frame = forward.marking_frame(forward.normalised(acting(spark, d), NOTIONAL), views.bars(spark, d))
     late = frame.where(F.col("open_date") >= at(START))
@@ -207,6 +239,7 @@ def paired_sizing(spark, d):
     return rounded(forward.paired_sizing(late, wild, views.bars(spark, d), NOTIONAL, MIN_TRADES), 3)
 
 
+@views.candles_once
 def filtered_summary(spark, d):
     """Summaries of all trades and of those whose assessment approved them."""
     t, b = forward.normalised(views.paper_trades(spark, d), NOTIONAL), views.bars(spark, d)
@@ -244,6 +277,14 @@ def run_stakes(spark, d):
     return rounded(records.stakes(own, fees, F.col("share"), 250.0, 1000.0).select("run", "trade_id", "fee", "stake"))
 
 
+def entry_stakes(spark, d):
+    """Stakes of entries in the middle of candles, by the fraction for the volatility of the last candle before."""
+    v = cd.realized_volatility(views.bars(spark, d))
+    sized = v.select("pair", "date", F.when(F.col("sigma").isNotNull(), cd.target_fraction(2 * F.col("sigma"))).alias("fraction"))
+    e = views.entries(spark, d).select("pair", "trade_id", F.when(F.col("trade_id") % 2 == 0, F.col("open_date")).otherwise(F.date_trunc("hour", F.col("open_date").cast("timestamp")).cast("timestamp_ntz")).alias("at"), (100.0 + F.col("trade_id") % 9 * 50).alias("proposed"), F.when(F.col("trade_id") % 3 != 0, 90.0).alias("least"), F.lit(260.0).alias("most"))
+    return rounded(records.sized_entries(e, sized))
+
+
 def daily_growth(spark, d):
     return rounded(records.daily_growth(views.daily(spark, d), ["run"], "strategy"), 4)
 
@@ -298,7 +339,16 @@ SQL: dict[str, str] = {
     "trade_horizon": sql.ctes(BARS, PAPER, FRAME) + "SELECT pair, trade_id, open_date, close_date, exit_reason, round(profit_abs, 6) AS profit_abs FROM horizon",
     "marking_frame": sql.ctes(BARS, PAPER, FRAME, _frame_sql("horizon", "frame")) + f"SELECT pair, trade_id, open_date, close_date, {_r('amount open_rate fee_open fee_close profit_abs', 9)} FROM frame",
     "forward_performance": sql.ctes(*_BASE, PERFORMANCE) + f"SELECT pair, {_r('final_equity net_return_pct mtm_max_drawdown_pct return_over_drawdown exposure_pct mean_pct')}, open_trades, closed_trades, winners FROM performed",
-    "trade_executions": sql.ctes(BARS, PAPER, _executions_sql("paper")) + f"SELECT pair, trade_id, exit_reason, {_r('entry_reference entry_slippage_bps entry_delay_minutes exit_reference exit_slippage_bps round_trip_cost_pct profit_pct')} FROM executed",
+    "performance_report": sql.ctes(
+        *_BASE, PERFORMANCE, "trades AS (SELECT pair AS run, trade_id, open_date AS open, close_date AS close, 100 * profit_ratio AS return_pct, coalesce(exit_reason, 'unknown') AS exit FROM acting WHERE close_date IS NOT NULL AND profit_ratio IS NOT NULL)",
+        f"stats AS (WITH {sql.ALL['trade_stats'].removeprefix('WITH ' + TRADES + ', ')})",
+        "begins AS (SELECT pair, min(date) AS b FROM bars WHERE pair <> 'signup' OR date >= '2024-01-03' GROUP BY pair)", "firsts AS (SELECT pair, min(open_date) AS f FROM acting GROUP BY pair)",
+        "told AS (SELECT p.*, s.* EXCLUDE (run, winners, mean_pct), CASE WHEN f < b THEN 'candles begin after the first trade' END AS refused FROM performed p LEFT JOIN stats s ON s.run = p.pair JOIN begins USING (pair) LEFT JOIN firsts USING (pair))",
+    )
+    + "SELECT pair, refused, " + ", ".join(f"CASE WHEN refused IS NULL THEN round({c} + 1e-9, 4) END AS {c}" for c in "final_equity net_return_pct mtm_max_drawdown_pct return_over_drawdown exposure_pct mean_pct".split())
+    + ", " + ", ".join(f"CASE WHEN refused IS NULL THEN {c} END AS {c}" for c in "open_trades closed_trades winners count win_rate_pct sd_pct t_stat sum_pct profit_factor mean_win_pct mean_loss_pct payoff_ratio top2_pp rest_pp median_holding_days mean_holding_days exit_exit_signal exit_force_exit exit_stop_loss longest_losing_streak".split()) + " FROM told",
+    "equity_daily": sql.ctes(*_BASE, PERFORMANCE) + "SELECT pair, CAST(date AS DATE) AS day, round(arg_max(equity, date), 4) AS equity FROM run_e GROUP BY ALL",
+    "trade_executions": sql.ctes(BARS, PAPER, _executions_sql("paper")) + f"SELECT pair, trade_id, exit_reason, {_r('entry_reference entry_slippage_bps entry_delay_minutes exit_reference exit_slippage_bps round_trip_cost_pct profit_pct', 6)} FROM executed",
     "execution_summary": sql.ctes(BARS, PAPER, _executions_sql("paper")) + "SELECT pair, count(round_trip_cost_pct) AS measured, round(avg(round_trip_cost_pct), 4) AS cost_mean, round(quantile_cont(round_trip_cost_pct, 0.5), 4) AS cost_median, round(max(round_trip_cost_pct), 4) AS cost_max, round(avg(entry_slippage_bps), 4) AS entry_slippage_bps FROM executed GROUP BY pair",
     "signal_fidelity": sql.ctes(*_BASE, KNOWN, FIDELITY) + "SELECT * FROM faith",
     "forward_criteria": sql.ctes(*_BASE, KNOWN, FIDELITY, PERFORMANCE, _executions_sql("acting"), CRITERIA) + "SELECT * FROM judged",
@@ -317,11 +367,18 @@ SQL: dict[str, str] = {
     "holding_days": sql.ctes(TRADES) + "SELECT run, trade_id, greatest(1, CAST(round_even((epoch_us(close) - epoch_us(open)) / 86400000000, 0) AS BIGINT)) AS days FROM trades",
     "open_positions": "WITH p AS (SELECT DISTINCT o_orderpriority AS pair FROM orders UNION ALL SELECT 'none'), o AS (SELECT o_orderpriority AS pair, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS a, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' GROUP BY ALL) SELECT pair, CAST(coalesce(a, 0) AS BIGINT) AS open_amount, d AS oldest_open FROM p LEFT JOIN o USING (pair)",
     "run_stakes": sql.ctes(TRADES) + "SELECT CAST(run AS BIGINT) AS run, trade_id, CASE WHEN run < 7 THEN round(0.001::DOUBLE * run, 6) END AS fee, round(least(1000, greatest(250.0::DOUBLE, (trade_id % 13) / 10.0::DOUBLE * 1000)), 6) AS stake FROM trades",
+    "entry_stakes": sql.ctes(BARS, views.ENTRIES, sql.VOL, "f AS (SELECT pair, date, CASE WHEN sigma IS NULL THEN NULL WHEN sigma <= 0 THEN 0.25::DOUBLE ELSE least(1, greatest(0.25::DOUBLE, 0.4::DOUBLE / (2 * sigma))) END AS fraction FROM vol)",
+        "e AS (SELECT pair, trade_id, CASE WHEN trade_id % 2 = 0 THEN open_date ELSE date_trunc('hour', open_date) END AS at_, 100.0::DOUBLE + trade_id % 9 * 50 AS proposed, CASE WHEN trade_id % 3 <> 0 THEN 90.0::DOUBLE END AS least_, 260.0::DOUBLE AS most_ FROM entries)",
+        "j AS (SELECT e.*, coalesce(f.fraction, 0.25) AS fraction FROM e ASOF LEFT JOIN f ON f.pair = e.pair AND f.date < e.at_)")
+    + "SELECT pair, trade_id, at_ AS at, proposed, least_ AS least, most_ AS most, round(fraction, 6) AS fraction, round(least(most_, greatest(proposed * fraction, coalesce(least_, 0))), 6) AS stake FROM j",
     "daily_growth": sql.ctes(DAILY, sql.DAYR, "g AS (SELECT run, count(r) AS days, avg(r) * 36500 AS mean, avg(ln(1 + r)) * 36500 AS growth, ln(1 + avg(r)) * 36500 AS log_mean FROM dr GROUP BY run)", "y AS (SELECT run, datediff('day', min(date), max(date)) / 365.0::DOUBLE AS years FROM daily GROUP BY run)")
     + "SELECT run, days, round(years, 4) AS years, round(mean, 4) AS mean, round(growth, 4) AS growth, round(log_mean, 4) AS log_mean, round(mean - growth, 4) AS gap, round(log_mean - growth, 4) AS drag FROM g JOIN y USING (run)",
     "kelly_report": sql.ctes(TRADES, "t AS (SELECT run, return_pct / 100 AS r FROM trades)", *[f"{n} AS (SELECT run, arg_max(f, (g, -k)) AS {n} FROM (SELECT run, k, k * ({m}::DOUBLE / 400) AS f, round(avg(CASE WHEN 1 + k * ({m}::DOUBLE / 400) * r <= 0 THEN -1e12 ELSE ln(1 + k * ({m}::DOUBLE / 400) * r) END), 9) AS g FROM t, range(401) q(k) GROUP BY run, k) GROUP BY run)" for n, m in (("kelly", "1.0"), ("kelly_wide", "5.0"))],
-        "c AS (SELECT run, count(*) AS n, " + ", ".join(f"CASE WHEN NOT bool_or(1 + {f} * r <= 0) THEN round(100 * avg(CASE WHEN 1 + {f} * r > 0 THEN ln(1 + {f} * r) END), 4) END AS growth_{int(100 * f)}" for f in (0.25, 0.5, 0.75, 1.0)) + " FROM t GROUP BY run)")
-    + "SELECT run, n, " + ", ".join(f"CASE WHEN n >= 2 THEN {c} END AS {c}" for c in ("growth_25", "growth_50", "growth_75", "growth_100")) + ", CASE WHEN n >= 2 THEN round(kelly, 4) END AS kelly, CASE WHEN n >= 2 THEN round(kelly_wide, 4) END AS kelly_wide FROM c JOIN kelly USING (run) JOIN kelly_wide USING (run)",
+        "c AS (SELECT run, count(*) AS n, " + ", ".join(f"CASE WHEN NOT bool_or(1 + {f} * r <= 0) THEN round(100 * avg(CASE WHEN 1 + {f} * r > 0 THEN ln(1 + {f} * r) END), 4) END AS growth_{int(100 * f)}" for f in (0.25, 0.5, 0.75, 1.0)) + " FROM t GROUP BY run)",
+        "bt AS (SELECT run, return_pct / 100 AS r, row_number() OVER (PARTITION BY run ORDER BY open, trade_id) - 1 AS i, count(*) OVER (PARTITION BY run) AS m FROM trades)", "bd AS (SELECT run, rep, ((rep * m + i) * 1103515245 + 12345) % 2147483648 % m AS i FROM bt, range(50) q(rep))",
+        "bg AS (SELECT run, rep, k, round(sum(CASE WHEN 1 + k * 0.05::DOUBLE * r <= 0 THEN -1e12 ELSE ln(1 + k * 0.05::DOUBLE * r) END), 7) AS g FROM bd JOIN bt USING (run, i), range(21) q(k) GROUP BY run, rep, k)", "bb AS (SELECT run, rep, arg_max(k, (g, -k)) * 0.05::DOUBLE AS f FROM bg GROUP BY run, rep)",
+        "spread AS (SELECT run, quantile_cont(f, 0.05) AS kelly_p5, quantile_cont(f, 0.5) AS kelly_p50, quantile_cont(f, 0.95) AS kelly_p95, avg(CASE WHEN f = 0 THEN 1.0::DOUBLE ELSE 0 END) AS share_zero FROM bb GROUP BY run)")
+    + "SELECT run, n, " + ", ".join(f"CASE WHEN n >= 2 THEN {c} END AS {c}" for c in ("growth_25", "growth_50", "growth_75", "growth_100")) + ", CASE WHEN n >= 2 THEN round(kelly, 4) END AS kelly, CASE WHEN n >= 2 THEN round(kelly_wide, 4) END AS kelly_wide, " + ", ".join(f"CASE WHEN n >= 2 THEN round({c}, 4) END AS {c}" for c in ("kelly_p5", "kelly_p50", "kelly_p95", "share_zero")) + " FROM c JOIN kelly USING (run) JOIN kelly_wide USING (run) JOIN spread USING (run)",
     "key_sets": sql.ctes(BARS, views.FEED_B) + "SELECT pair, date, 'a' AS side FROM (SELECT pair, date FROM bars EXCEPT SELECT pair, date FROM feed_b) UNION ALL SELECT pair, date, 'b' FROM (SELECT pair, date FROM feed_b EXCEPT SELECT pair, date FROM bars)",
     "latest_values": sql.ctes(BARS, CANDIDATES, ASSESSMENTS) + "SELECT candidate_id, arg_max(available_at, line) FILTER (available_at IS NOT NULL) AS available_at, arg_max(decision, line) AS decision FROM assessments GROUP BY candidate_id",
     "gap_whitelist": sql.ctes(BARS, views.FEED_B, "g AS (SELECT pair, date AS after, lead(date) OVER (PARTITION BY pair ORDER BY date) AS before FROM feed_b)") + "SELECT * FROM g WHERE before > after + INTERVAL 1 HOUR AND day(after) % 2 <> 0",
@@ -329,6 +386,7 @@ SQL: dict[str, str] = {
     "unseen_left": sql.ctes(BARS, CANDIDATES, ASSESSMENTS) + f"SELECT candidate_id, pair, signal_time FROM candidates WHERE candidate_id NOT IN (SELECT candidate_id FROM assessments WHERE available_at < '{HORIZON}')",
 }
 
+@views.candles_once
 def decision_rule(spark, d):
     """Four rules on paper trades: the second half of the window at their own fees and at stressed ones, the first half as validation."""
     b, t = views.bars(spark, d), forward.normalised(views.paper_trades(spark, d), NOTIONAL)
@@ -340,6 +398,39 @@ def decision_rule(spark, d):
     return rounded(rules.decision(rounded(runs, 4)), 3)
 
 
+def _part(name: str, text: str, cte: str, digits: int) -> str:
+    """A registered query's SQL over other rows of the same name, without its rounding to so many digits: the parts of an assessment are rounded alike."""
+    body = text.removeprefix("WITH " + cte + ", ")
+    if body == text:
+        raise ValueError(name)
+    body = body.replace(f" + 1e-9, {digits}) AS", ", 12) AS").replace(f", {digits}) AS", ", 12) AS").replace(f", {digits}) END AS", ", 12) END AS")
+    return f"{name} AS (WITH {body})"
+
+
+def _assessment_sql() -> str:
+    own = sql.ALL
+    parts = {
+        "trades": _part("p_trades", own["trade_stats"], TRADES, 4), "mean": _part("p_mean", own["bootstrap_lcg"], TRADES, 6), "top": _part("p_top", own["concentration"], TRADES, 4), "power": _part("p_power", own["power"], TRADES, 4),
+        "kelly": _part("p_kelly", SQL["kelly_report"], TRADES, 4), "daily": _part("p_daily", own["sharpe_sortino"], DAILY, 6), "hold": _part("p_hold", own["sharpe_sortino"].replace("strategy / lag(strategy)", "buy_hold / lag(buy_hold)"), DAILY, 6),
+        "market": _part("p_market", own["beta_corr"], DAILY, 6), "sharpe": _part("p_sharpe", own["block_bootstrap_lcg"].replace("ceil(n / 20)", "ceil(n / 5)").replace("i // 20", "i // 5").replace("i % 20", "i % 5").replace("n >= 40", "n >= 10"), DAILY, 6),
+        "risk": _part("p_risk", own["underwater"].replace("150000", "1000"), DAILY, 4), "growth": _part("p_growth", SQL["daily_growth"], DAILY, 4),
+    }
+    kinds = {
+        "trades": "count:i winners:i win_rate_pct mean_pct sd_pct t_stat sum_pct profit_factor mean_win_pct mean_loss_pct payoff_ratio top2_pp rest_pp median_holding_days mean_holding_days exit_exit_signal:i exit_force_exit:i exit_stop_loss:i longest_losing_streak:i",
+        "mean": "low high p_mean_le_zero", "top": "trades:i top_winners:i sum_pp top_two_pp without_top_two_pp", "power": "trades_needed:i trades_per_year years_needed", "kelly": "n:i growth_25 growth_50 growth_75 growth_100 kelly kelly_wide kelly_p5 kelly_p50 kelly_p95 share_zero",
+        "daily": "volatility_pct sharpe sortino", "hold": "volatility_pct sharpe sortino", "market": "beta correlation", "sharpe": "low high p_sharpe_le_zero", "risk": "return_pct max_drawdown_pct current_drawdown_pct longest_underwater_days:i current_underwater_days:i", "growth": "days:i years mean growth log_mean gap drag",
+    }
+    shown = [f"p_{k}.{c[:-2]} AS {k}_{c[:-2]}" if c.endswith(":i") else f"round(p_{k}.{c} + 1e-9, 4) AS {k}_{c}" for k, cs in kinds.items() for c in cs.split()]
+    joins = " ".join(f"LEFT JOIN p_{k} ON p_{k}.run = r.run" for k in parts)
+    return sql.ctes(
+        *_BASE, PERFORMANCE, "trades AS (SELECT pair AS run, trade_id, open_date AS open, close_date AS close, 100 * profit_ratio AS return_pct, coalesce(exit_reason, 'unknown') AS exit FROM acting WHERE close_date IS NOT NULL AND profit_ratio IS NOT NULL)",
+        "worths AS (SELECT pair, date, 1000 / 1.005::DOUBLE / first(open) OVER o * close * 0.995::DOUBLE AS worth FROM bars WINDOW o AS (PARTITION BY pair ORDER BY date ROWS UNBOUNDED PRECEDING))",
+        "daily AS (SELECT e.pair AS run, CAST(e.date AS DATE) AS date, round(arg_max(equity, e.date), 4) AS strategy, round(arg_max(worth, e.date), 4) AS buy_hold FROM run_e e JOIN worths w ON w.pair = e.pair AND w.date = e.date GROUP BY ALL)",
+        *parts.values(),
+    ) + f"SELECT r.run, {', '.join(shown)} FROM (SELECT DISTINCT run FROM daily) r {joins}"
+
+
+SQL["run_assessment"] = _assessment_sql()
 SQL["decision_rule"] = (
     sql.ctes(
         BARS, PAPER, FRAME, sql.HOLD, f"late AS (SELECT * FROM paper WHERE open_date >= '{MIDDLE}')", f"early AS (SELECT * FROM paper WHERE open_date < '{MIDDLE}')",

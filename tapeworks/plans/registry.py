@@ -320,7 +320,7 @@ def order_counts(spark, d):
 
 @query
 def reconcile(spark, d):
-    return matching.reconcile(*views.books(spark, d))
+    return matching.reconcile(*views.books(spark, d), F.lit("BTC"), F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 @query

@@ -29,6 +29,7 @@ PER_YEAR, REPS = 24 * 365, 200
 STEP, LOOKBACK, LIMIT, DURATION = 3_600_000_000, 48, 0.25, 12
 
 
+@views.candles_once
 def stylized_facts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stylized.stylized_facts(views.bars(spark, d), PERIODS, PER_YEAR, REPS), 4)
 
@@ -76,6 +77,7 @@ def channel_variants(spark: SparkSession, d: str) -> DataFrame:
     return variants.channel_variants(views.bars(spark, d), table)
 
 
+@views.candles_once
 def lookahead_audit(spark: SparkSession, d: str) -> DataFrame:
     """The audit of channel signals to which a look at the next candle is added: only that column comes back."""
     ahead = F.lead("close").over(cd.ordered(["pair"])) > F.col("close")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+from tapeworks.functions.columns import utc
+from tapeworks.operators.candles import assert_candles
+
 CANDLES = "date timestamp_ntz, open double, high double, low double, close double, volume double"
 LEDGER = "id string, date string, kind string, description string, period string, sharpe_annualised double, counted boolean"
 #: The kinds of a ledger's trials.
@@ -20,8 +23,65 @@ KINDS = ["baseline", "benchmark", "parameter", "robustness", "rule", "variant"]
 
 
 def candles_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Candles of (gzipped) CSV files with a header. A gzipped file is one task; write large ones as Parquet once."""
-    return spark.read.schema(CANDLES).option("header", "true").csv(path)
+    """path and candles of (gzipped) CSV files with a header. A gzipped file is one task; write large ones as Parquet once."""
+    rows = spark.read.schema(CANDLES).option("header", "true").csv(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), *rows.columns)
+
+
+def candles_json(spark: SparkSession, path: str) -> DataFrame:
+    """path and candles of JSON documents that are arrays of positional rows [ms, open, high, low, close, volume]."""
+    docs = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.explode(F.from_json("value", "array<array<double>>", {"mode": "FAILFAST"})).alias("row"))
+    cols = [F.timestamp_millis(F.col("row")[0].cast("long")).cast("timestamp_ntz").alias("date"), *[F.col("row")[k].alias(c) for k, c in enumerate(("open", "high", "low", "close", "volume"), 1)]]
+    own = docs.select("path", *cols).dropDuplicates()
+    twice = own.groupBy("path", "date").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"conflicting candles at {twice['date']} in {twice['path']}")
+    return own
+
+
+def load_candles(spark: SparkSession, path: str, pair: str, start: str | None = None, end: str | None = None, gaps_allowed: bool = False) -> DataFrame:
+    """pair and the candles of a file or folder from `start` to `end`, both included, which keep the contract of candles: by its
+    suffix Feather (.feather), CSV (.csv, .csv.gz) or JSON (.json). None in the window is an error."""
+    readers = {".feather": candles_feather, ".csv": candles_csv, ".csv.gz": candles_csv, ".json": candles_json}
+    suffix = next((x for x in sorted(readers, key=len, reverse=True) if path.rstrip("/").endswith(x)), None)
+    if suffix is None:
+        raise ValueError(f"candles of an unknown kind: {path}")
+    own = readers[suffix](spark, path)
+    for t, later in ((start, True), (end, False)):
+        if t is not None:
+            at = F.lit(t).cast("timestamp_ntz")
+            own = own.where(F.col("date") >= at if later else F.col("date") <= at)
+    own = own.select(F.lit(pair).alias("pair"), "date", "open", "high", "low", "close", "volume")
+    if own.isEmpty():
+        raise ValueError(f"no candles of {pair} in the window")
+    return assert_candles(own, gaps_allowed=gaps_allowed)
+
+
+#: Columns of an export of trades, with their types; times are ISO text.
+EXPORT = "trade_id long, pair string, is_open boolean, open_date string, close_date string, open_rate double, close_rate double, amount double, stake_amount double, fee_open double, fee_close double, profit_abs double, profit_ratio double, exit_reason string, strategy string, timeframe string"
+
+
+def typed_trades(rows: DataFrame) -> DataFrame:
+    """Trades as operators/forward.py takes them, of rows with any of EXPORT's columns: types are cast, times are UTC, a missing entry
+    fee is zero, what is missing of a close stays null; a trade said to be open has no close."""
+    have = {c.lower(): c for c in rows.columns}
+    cols = []
+    for field in EXPORT.split(", "):
+        name, kind = field.split()
+        c = F.col(have[name]) if name in have else F.lit(None)
+        cols.append((utc(c.cast("string")) if name.endswith("_date") else c.cast(kind)).alias(name))
+    t = rows.select(*cols).withColumn("fee_open", F.coalesce("fee_open", F.lit(0.0)))
+    ended = ~F.coalesce("is_open", F.lit(False))
+    return t.select(*[F.when(ended, F.col(c)).alias(c) if c == "close_date" else F.col(c) for c in t.columns if c != "is_open"], F.lit(None).cast("timestamp_ntz").alias("submitted_date"))
+
+
+def trades_export(spark: SparkSession, path: str) -> DataFrame:
+    """typed_trades() of JSON exports: documents that are arrays of trades, or hold such an array as `trades`."""
+    item = "array<struct<" + ",".join(f.replace(" ", ":", 1) for f in EXPORT.split(", ")) + ">>"
+    text = spark.read.option("wholetext", "true").text(path)
+    bare = F.startswith(F.trim("value"), F.lit("["))
+    rows = F.when(bare, F.from_json("value", item, {"mode": "FAILFAST"})).otherwise(F.from_json("value", f"struct<trades:{item}>", {"mode": "FAILFAST"})["trades"])
+    return typed_trades(text.select(F.inline(rows)))
 
 
 def candles_feather(spark: SparkSession, path: str, pattern: str = "*.feather") -> DataFrame:
@@ -83,6 +143,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """Trials of a JSON ledger; an unknown kind, a bad date or a missing id is an error."""
     own = spark.read.schema(LEDGER).option("multiLine", "true").json(path)
+    twice = own.groupBy("id").count().where("id is not null and count > 1").first()
+    if twice is not None:
+        raise ValueError(f"ledger: trial {twice['id']} is there {twice['count']} times")
     bad = own.where(F.col("id").isNull() | ~F.col("kind").isin(KINDS) | F.try_to_timestamp(F.col("date"), F.lit("yyyy-MM-dd")).isNull() | F.col("counted").isNull()).first()
     if bad is not None:
         raise ValueError(f"ledger: bad trial {bad['id']}")

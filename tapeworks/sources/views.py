@@ -7,10 +7,15 @@ candidates, assessments: signups and clicks. db_orders, exchange_orders: orders
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import hour_of
+from tapeworks.functions.written import written
 from tapeworks.operators.running import running_sum
 
 
@@ -26,8 +31,35 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.select("pair", "ts", "event_id", "hour", F.round(1000 * F.exp(0.002 * F.col("level")), 6).alias("px"))
 
 
+#: Candles written for the query that is being put together, by folder; None where each use works them out.
+_once: ContextVar[dict[str, DataFrame] | None] = ContextVar("once", default=None)
+
+
+def candles_once(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query, with its candles written once for all its uses of them."""
+
+    @wraps(query)
+    def own(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _once.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _once.reset(token)
+
+    return own
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair, date, open, high, low, close, volume: hourly candles; hours without a tick are gaps."""
+    kept = _once.get()
+    if kept is None:
+        return _bars(spark, sf_dir)
+    if sf_dir not in kept:
+        kept[sf_dir] = written(_bars(spark, sf_dir), "candles")
+    return kept[sf_dir]
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir)
     return t.groupBy("pair", F.col("hour").alias("date")).agg(
         F.min_by("px", "ts").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "ts").alias("close"), F.count("*").cast("double").alias("volume")
@@ -137,18 +169,28 @@ entries AS (SELECT pair, seq AS trade_id, date + INTERVAL 25 MINUTE AS open_date
 
 
 def books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """db_orders and exchange_orders: order_id, amount, fee, is_open; some missing on a side, some amounts and fees off."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.round("o_totalprice", 2).alias("amount"), (F.col("o_orderkey") % 20).alias("k"))
+    """Two books of orders (see matching.reconcile) that disagree in places, by o_orderkey % 20.
+
+    1 is not in the first, 2 and 13 not in the second, 3 has another amount, 4 another fee, 8 another fee in another currency, 5
+    is open in the first only, 6 and 7 are open and canceled in the second, 9 has no fee there; 10 is twice in the first, with
+    the right amount in the later line, 12 twice in the second with a wrong one.
+    """
+    k, order = F.col("k"), F.col("order_id")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.round("o_totalprice", 2).alias("amount"), (F.col("o_orderkey") % 20).alias("k"), F.to_date("o_orderdate").cast("timestamp_ntz").alias("order_date"))
     fee = F.round(F.col("amount") * 0.004, 6)
-    db = o.where("k <> 1").select("order_id", F.when(F.col("k") == 3, F.col("amount") + 1).otherwise(F.col("amount")).alias("amount"), fee.alias("fee"), F.col("k").isin(5, 2).alias("is_open"))
-    exchange = o.where("k <> 2").select("order_id", "amount", F.when(F.col("k") == 4, fee * 2).otherwise(fee).alias("fee"), (F.col("k") == 6).alias("is_open"))
+    lines = lambda twice: F.explode(F.when(k == twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    off = (k == 3) | ((k == 10) & (F.col("copy") == 0))
+    db = o.where("k <> 1").select("*", lines(10)).select("order_id", F.when(off, F.col("amount") + 1).otherwise(F.col("amount")).alias("filled"), fee.alias("fee_base"), k.isin(5, 2, 7).alias("is_open"), "order_date", (order * 2 + F.col("copy")).alias("line"))
+    status = F.when(k == 6, "open").when(k == 7, "canceled").otherwise("closed")
+    exchange = o.where("k not in (2, 13)").select("*", lines(12)).select("order_id", F.when(k == 12, F.col("amount") - 1).otherwise(F.col("amount")).alias("filled"), status.alias("status"), F.when(k.isin(4, 8), fee * 2).when(k != 9, fee).alias("fee_cost"), F.when(k == 8, "EUR").otherwise("BTC").alias("fee_currency"), (order * 2 + F.col("copy")).alias("line"))
     return db, exchange
 
 
 BOOKS = """
-keyed AS (SELECT o_orderkey AS order_id, round(o_totalprice, 2) AS amount, o_orderkey % 20 AS k FROM orders),
-db AS (SELECT order_id, CASE WHEN k = 3 THEN amount + 1 ELSE amount END AS amount, round(amount * 0.004::DOUBLE, 6) AS fee, k IN (5, 2) AS is_open FROM keyed WHERE k <> 1),
-exchange AS (SELECT order_id, amount, CASE WHEN k = 4 THEN round(amount * 0.004::DOUBLE, 6) * 2 ELSE round(amount * 0.004::DOUBLE, 6) END AS fee, k = 6 AS is_open FROM keyed WHERE k <> 2)"""
+keyed AS (SELECT o_orderkey AS order_id, round(o_totalprice, 2) AS amount, o_orderkey % 20 AS k, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS order_date FROM orders),
+db AS (SELECT order_id, CASE WHEN k = 3 OR k = 10 AND copy = 0 THEN amount + 1 ELSE amount END AS filled, round(amount * 0.004::DOUBLE, 6) AS fee_base, k IN (5, 2, 7) AS is_open, order_date, order_id * 2 + copy AS line FROM (SELECT *, unnest(CASE WHEN k = 10 THEN [0, 1] ELSE [0] END) AS copy FROM keyed WHERE k <> 1)),
+exchange AS (SELECT order_id, CASE WHEN k = 12 THEN amount - 1 ELSE amount END AS filled, CASE k WHEN 6 THEN 'open' WHEN 7 THEN 'canceled' ELSE 'closed' END AS status, CASE WHEN k IN (4, 8) THEN round(amount * 0.004::DOUBLE, 6) * 2 WHEN k <> 9 THEN round(amount * 0.004::DOUBLE, 6) END AS fee_cost,
+  CASE WHEN k = 8 THEN 'EUR' ELSE 'BTC' END AS fee_currency, order_id * 2 + copy AS line FROM (SELECT *, unnest(CASE WHEN k = 12 THEN [0, 1] ELSE [0] END) AS copy FROM keyed WHERE k NOT IN (2, 13)))"""
 
 
 def paper_trades(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,27 +63,17 @@ def assessed(candidates: DataFrame, provider: Callable[[dict], str], seconds: fl
 
 
 def run(candidates: DataFrame, provider: Callable[[dict], str], out: str, checkpoint: str, seconds: float = 30.0, once: bool = True) -> StreamingQuery:
-    """Assess a stream into a Parquet folder. Ids already there are skipped, so a batch that runs again adds nothing."""
+    """Assess a stream into a Parquet folder, by batch. Ids seen before are known to the query's state, so the sink is never read;
+    a batch that runs again replaces what it wrote."""
 
-    def batch(own: DataFrame, _: int) -> None:
-        spark = own.sparkSession
-        new = own.where("candidate_id is not null").dropDuplicates(["candidate_id"])
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.parquet(out).select("candidate_id"), "candidate_id", "left_anti")
-        assessed(new, provider, seconds).write.mode("append").parquet(out)
+    def batch(own: DataFrame, number: int) -> None:
+        assessed(own, provider, seconds).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = candidates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    new = candidates.where("candidate_id is not null").dropDuplicates(["candidate_id"])
+    writer = new.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="15 seconds")).start()
 
 
-def gate(signals: DataFrame, assessments: DataFrame, now, ttl_minutes: float) -> DataFrame:
-    """signals with allowed: only an approval that came before now and within the time to live; anything else fails closed."""
-    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("available_at").cast("timestamp"))
-    ok = (F.col("decision") == "approve") & (age > 0) & (age <= ttl_minutes * 60_000_000)
-    return signals.join(assessments.select("candidate_id", "decision", "available_at"), "candidate_id", "left").withColumn("allowed", F.coalesce(ok, F.lit(False)))
-
-
 def bars_stream(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Hourly count and value of each event type, as events (ts timestamp) arrive; a window closes when the watermark passes."""
     hour = F.window("ts", "1 hour")
