@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.operators.candles import HOUR, archive_merge, assert_candles, check_immutable, settled
 
-from .shared import Versions
+from .shared import Versions, republish
 
 
 def write_report(path: str, report: dict) -> None:
@@ -37,14 +37,40 @@ def append_line(path: str, record: dict) -> None:
         os.fsync(f.fileno())
 
 
-def publish(path: str, report: dict, stop: bool) -> dict:
-    """Write a report whose stopped flag, once set in the file, stays set."""
+def publish(path: str, report: dict, stop: bool, identity: dict | None = None) -> dict:
+    """Write a report whose stopped flag, once set in the file, stays set. With an identity (what a window is measured by), a report
+    of another window is refused and the file stays as it is."""
     was = json.load(open(path)) if os.path.exists(path) else {}
-    own = report | {"stopped": bool(stop or was.get("stopped"))}
+    if identity is not None and was and was.get("identity") != identity:
+        changed = sorted(k for k in {*identity, *(was.get("identity") or {})} if identity.get(k) != (was.get("identity") or {}).get(k))
+        raise ValueError(f"the report is of another window: {', '.join(changed)}")
+    own = report | {"stopped": bool(stop or was.get("stopped"))} | ({"identity": identity} if identity is not None else {})
     write_report(path, own)
     return own
 
 
+def provenance(spark: SparkSession, inputs: dict[str, str], **facts) -> dict:
+    """What a result rests on: of each input (name: path of a file or folder) how many files and bytes it has and one digest over
+    their names and contents, and any facts. Files are hashed by tasks, each as a whole; only digests come back."""
+    known = {}
+    for name, path in sorted(inputs.items()):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        base = F.regexp_extract("path", r"([^/]+)$", 1)
+        each = files.select("length", F.sha2(F.concat_ws(":", base, F.sha2("content", 256)), 256).alias("one"))
+        # digests add up as numbers, so their order doesn't matter and they never meet in one list
+        parts = [F.sum(F.conv(F.substring("one", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")) for k in range(4)]
+        row = each.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(F.concat_ws(":", F.count("*"), *parts), 256).alias("sha256")).first()
+        if not row["files"]:
+            raise ValueError(f"{name}: no files in {path}")
+        known[name] = row.asDict()
+    return {"inputs": known} | facts
+
+
+def write_summary(spark: SparkSession, path: str, summary: DataFrame, keys: list[str], made: dict, tolerance: float = 0.01) -> int:
+    """Publish a summary as the next version of a table, with its provenance in the commit; drift from what is published is refused."""
+    return republish(spark, path, summary, keys, tolerance, {"provenance": made})
+
+
 def update_archive(spark: SparkSession, path: str, incoming: DataFrame, now: Column, gaps_allowed: bool = False) -> DataFrame:
     """Add settled candles that an archive of candles doesn't have yet, and return the archive.
 

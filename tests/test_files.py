@@ -12,7 +12,7 @@ from tapeworks.functions.columns import timeframe, utc
 from tapeworks.operators import candles as cd
 from tapeworks.operators import matching, normal, records, trades
 from tapeworks.plans import registry
-from tapeworks.sources import files
+from tapeworks.sources import files, shared, sinks
 from tapeworks.streaming import assess
 
 SF = "/root/testdata/sf0.001"
@@ -158,3 +158,40 @@ def test_hourly_bars_of_a_stream(spark, tmp_path):
     assert q.awaitTermination(120)
     got = {(r["event_type"], r["n"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 2, 3.0), ("b", 1, 4.0)}  # the last hour is still open
+
+
+def test_a_report_keeps_its_window(tmp_path):
+    path = str(tmp_path / "r.json")
+    sinks.publish(path, {"n": 1}, False, {"pair": "a", "notional": 1000})
+    assert sinks.publish(path, {"n": 2}, True, {"pair": "a", "notional": 1000})["stopped"]
+    with pytest.raises(ValueError, match="another window: notional"):
+        sinks.publish(path, {"n": 3}, False, {"pair": "a", "notional": 500})
+    assert json.load(open(path))["n"] == 2 and json.load(open(path))["stopped"]
+
+
+def test_summaries_carry_what_they_rest_on(spark, tmp_path):
+    data = tmp_path / "data"
+    data.mkdir()
+    for k in range(3):
+        (data / f"{k}.txt").write_text(f"row {k}")
+    made = sinks.provenance(spark, {"data": str(data)}, fee=0.005)
+    assert made["fee"] == 0.005 and made["inputs"]["data"]["files"] == 3 and made["inputs"]["data"]["bytes"] == 15
+    assert sinks.provenance(spark, {"data": str(data)}, fee=0.005) == made
+    (data / "1.txt").write_text("row X")
+    other = sinks.provenance(spark, {"data": str(data)}, fee=0.005)
+    assert other["inputs"]["data"]["sha256"] != made["inputs"]["data"]["sha256"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no files"):
+        sinks.provenance(spark, {"none": str(tmp_path / "none")})
+    rows = spark.createDataFrame([("a", 1.0)], "run string, net double")
+    where = str(tmp_path / "summary")
+    assert sinks.write_summary(spark, where, rows, ["run"], made) == 1
+    assert shared.Versions(spark, where).entries()[0]["provenance"]["fee"] == 0.005
+    with pytest.raises(shared.Drift):
+        sinks.write_summary(spark, where, rows.withColumn("net", F.lit(2.0)), ["run"], other)
+
+
+def test_a_pair_whose_candles_begin_late_is_refused(spark):
+    rows = {r["pair"]: r for r in registry.queries()["performance_report"](spark, SF).collect()}
+    assert rows["signup"]["refused"] and rows["signup"]["net_return_pct"] is None and rows["signup"]["count"] is None
+    assert all(r["refused"] is None and r["final_equity"] is not None for p, r in rows.items() if p != "signup")
