@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -65,3 +67,12 @@ def utc(text: Column, strict: bool = False) -> Column:
     zoned = F.regexp_like(F.trim(text), F.lit(r"([Zz]|[+-]\d{2}:?\d{2})$"))
     at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(text).cast("timestamp_ntz"))
     return F.when(zoned, at) if strict else F.when(zoned, at).otherwise(F.trim(text).try_cast("timestamp_ntz"))
+
+
+def stacked(by: list[str], *parts: DataFrame) -> DataFrame:
+    """The rows of all parts, dealt by keys for the window or aggregate that follows.
+
+    That deals them anyway. Said outright, the plan doesn't rest on parts that are dealt by the same keys already, which adaptive
+    plans may have changed by the time a join counts their partitions.
+    """
+    return reduce(DataFrame.unionByName, parts).repartition(*by)

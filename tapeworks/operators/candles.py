@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import differs, full, micros, ordered, so_far
+from tapeworks.functions.columns import differs, full, micros, ordered, so_far, stacked
 
 HOUR = 3_600_000_000
 PAIR = ["pair"]
@@ -111,7 +111,7 @@ def target_fraction(sigma: Column, target: float = 0.40, floor: float = 0.25) ->
 
 def archive_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Union of both; of equal keys the archived row stays. check_immutable() must find nothing first."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    both = stacked(keys, old.withColumn("__new", F.lit(0)), new.withColumn("__new", F.lit(1)))
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("__new"))
     return both.withColumn("__first", first).where("__first = 1").drop("__new", "__first")
 

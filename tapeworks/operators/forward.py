@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import hour_of, micros, ratio, so_far
+from tapeworks.functions.columns import hour_of, micros, ratio, so_far, stacked
 
 from .candles import HOUR, target_fraction
 from .resample import bootstrap_mean
@@ -97,7 +97,7 @@ def equity(frame: DataFrame, candles: DataFrame, notional: float) -> DataFrame:
     closes = frame.select("pair", F.col("close_date").alias("date"), F.lit(0).alias("kind"), F.col("profit_abs").alias("profit"), kind.alias("held"), none.alias("close"))
     opens = frame.select("pair", F.col("open_date").alias("date"), F.lit(1).alias("kind"), none.alias("profit"), held.alias("held"), none.alias("close"))
     marks = candles.select("pair", "date", F.lit(2).alias("kind"), none.alias("profit"), kind.alias("held"), "close")
-    e, w = closes.unionByName(opens).unionByName(marks).withColumn("order", F.struct("date", "kind")), so_far(PAIR, "order")
+    e, w = stacked(PAIR, closes, opens, marks).withColumn("order", F.struct("date", "kind")), so_far(PAIR, "order")
     e = e.withColumns({"realised": F.coalesce(F.sum("profit").over(w), F.lit(0.0)), "held": F.last("held", ignorenulls=True).over(w)})
     worth = F.when(F.col("date") < F.col("held.until"), F.col("held.amount") * F.col("close") * (1 - F.col("held.fee")) - F.col("held.paid"))
     return e.where("kind = 2").select("pair", "date", (notional + F.col("realised") + F.coalesce(worth, F.lit(0.0))).alias("equity"))
@@ -202,12 +202,14 @@ def fidelity(signals: DataFrame, trades: DataFrame, acknowledged: DataFrame, sta
     far = F.lit("9999-12-31").cast("timestamp_ntz")
     acts = left.select("pair", (F.col("date") + hour).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("until"), "known")
     held = trades.select("pair", F.col("open_date").alias("at"), F.lit(0).alias("kind"), F.coalesce("close_date", far).alias("until"), F.lit(None).cast("boolean").alias("known"))
-    both = acts.unionByName(held).withColumn("order", F.struct("at", "kind"))
+    both = stacked(PAIR, acts, held).withColumn("order", F.struct("at", "kind"))
     both = both.withColumn("busy", micros(F.max("until").over(so_far(PAIR, "order"))) + HOUR > micros("at")).where("kind = 1")
     state = F.when(F.col("known"), "acknowledged").when(F.col("busy"), "in_position").when(F.col("at") + hour > end, "window_open").otherwise("unexplained")
-    every = own.select("pair", "state").unionByName(both.select("pair", state.alias("state")))
+    # trades and signals are counted apart and meet as one row a pair
+    states = {"own": ("matched", "unexpected", "unverifiable"), "both": ("acknowledged", "in_position", "window_open", "unexplained")}
+    sides = [x.groupBy("pair").agg(*[F.count_if(F.col("state") == c).alias(c) for c in states[k]]) for k, x in (("own", own), ("both", both.select("pair", state.alias("state"))))]
+    counts = sides[0].join(sides[1], "pair", "full_outer").fillna(0)
     expected = s.where(F.col("date") >= start - hour).groupBy("pair").agg(F.count("*").alias("signals"))
-    counts = every.groupBy("pair").agg(*[F.count_if(F.col("state") == x).alias(x) for x in ("matched", "unexpected", "unverifiable", "acknowledged", "in_position", "window_open", "unexplained")])
     return counts.join(expected, "pair", "left").select("pair", F.coalesce("signals", F.lit(0)).alias("signals"), *counts.columns[1:], (valid + hour <= start).alias("complete"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import differs, hour_of, micros, ordered, so_far
+from tapeworks.functions.columns import differs, hour_of, micros, ordered, so_far, stacked
 
 from .candles import HOUR, target_fraction
 
@@ -42,7 +42,7 @@ def match_trades(trades: DataFrame, assessments: DataFrame, max_lag_hours: float
     match = F.struct("candidate_id", "signal_time", "available_at", "decision").alias("match")
     left = trades.select("pair", F.col("open_date").alias("at"), F.lit(1).alias("kind"), "trade_id", F.lit(None).cast(pool.select(match).schema[0].dataType).alias("match"))
     right = pool.select("pair", F.col("signal_time").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("trade_id"), match)
-    stream = left.unionByName(right).withColumn("order", F.struct("at", "kind", "trade_id"))
+    stream = stacked(["pair"], left, right).withColumn("order", F.struct("at", "kind", "trade_id"))
     found = stream.withColumn("match", F.last("match", ignorenulls=True).over(so_far(["pair"], "order"))).where("kind = 1")
     use = F.row_number().over(Window.partitionBy("pair", "match.candidate_id").orderBy("order"))
     found = found.withColumn("first", use == 1)
@@ -85,7 +85,7 @@ def in_position(signals: DataFrame, trades: DataFrame) -> DataFrame:
     s = signals.where("enter").select("pair", "date", F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("until"), F.lit(False).alias("opened"))
     t = trades.select("pair", F.col("open_date").alias("date"), F.lit(0).alias("kind"), F.col("close_date").alias("until"), F.lit(True).alias("opened"))
     last = F.last(F.when(F.col("opened"), F.struct("until")), ignorenulls=True).over(so_far(["pair"], "order"))
-    e = s.unionByName(t).withColumn("order", F.struct("date", "kind")).withColumn("last", last).where("kind = 1")
+    e = stacked(["pair"], s, t).withColumn("order", F.struct("date", "kind")).withColumn("last", last).where("kind = 1")
     busy = F.col("last").isNotNull() & (F.col("last.until").isNull() | (micros("last.until") + HOUR > micros("date")))
     return e.select("pair", "date", busy.alias("busy"))
 

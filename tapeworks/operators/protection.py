@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import micros
+from tapeworks.functions.columns import micros, stacked
 
 
 def recent_falls(trades: DataFrame, keys: list[str], at: str, order: list[str], value: str, lookback: int) -> DataFrame:
@@ -31,7 +31,7 @@ def recent_falls(trades: DataFrame, keys: list[str], at: str, order: list[str],
     end = F.struct((F.col("__end_fall")).alias("fall"), (F.col("__end_peak") - F.col("__total")).alias("peak"), F.col("__end_count").cast("long").alias("n"))
     have = t.select(*keys, *order, "__bucket", F.col("__t").alias("__at"), F.lit(1).alias("__kind"), end.alias("__end"))
     back = Window.partitionBy(*keys, "__bucket").orderBy(F.desc("__at"), "__kind", *[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    found = ask.unionByName(have).withColumn("__end", F.when(F.col("__kind") == 0, F.last("__end", ignorenulls=True).over(back))).where("__kind = 0").select(*keys, *order, "__end")
+    found = stacked([*keys, "__bucket"], ask, have).withColumn("__end", F.when(F.col("__kind") == 0, F.last("__end", ignorenulls=True).over(back))).where("__kind = 0").select(*keys, *order, "__end")
     x = t.join(found, [*keys, *order], "left")
     across = F.coalesce(F.col("__end.peak") - F.col("__least"), zero)
     return x.select(*trades.columns, (F.col("__k") + F.coalesce("__end.n", F.lit(0))).cast("long").alias("in_window"), F.greatest("__fall", F.coalesce("__end.fall", zero), across).alias("fall"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import DAYS_A_YEAR, ordered
+from tapeworks.functions.columns import DAYS_A_YEAR, ordered, stacked
 
 from .resample import kelly_bootstrap
 from .trades import kelly
@@ -43,7 +43,7 @@ def sized_entries(entries: DataFrame, sized: DataFrame, floor: float = 0.25) ->
     left = entries.select("pair", F.col("at").alias("time"), F.lit(0).alias("kind"), "trade_id", null.cast(f"struct<fraction:{kind.simpleString()}>").alias("held"))
     right = sized.select("pair", F.col("date").alias("time"), F.lit(1).alias("kind"), null.cast(entries.schema["trade_id"].dataType).alias("trade_id"), held.alias("held"))
     w = Window.partitionBy("pair").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = left.unionByName(right).withColumn("held", F.last("held", ignorenulls=True).over(w)).where("kind = 0").select("pair", "trade_id", F.col("held.fraction").alias("__f"))
+    found = stacked(["pair"], left, right).withColumn("held", F.last("held", ignorenulls=True).over(w)).where("kind = 0").select("pair", "trade_id", F.col("held.fraction").alias("__f"))
     defined = F.col("__f").isNotNull() & ~F.isnan("__f")
     x = entries.join(found, ["pair", "trade_id"]).withColumn("fraction", F.when(defined, F.col("__f")).otherwise(F.lit(floor))).drop("__f")
     stake = F.col("proposed") * F.col("fraction")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import micros, so_far
+from tapeworks.functions.columns import micros, so_far, stacked
 
 from .candles import HOUR, ChannelRules, signals
 from .risk import drawdowns
@@ -101,7 +101,7 @@ def mark_to_market(trades: DataFrame, candles: DataFrame, keys: list[str], walle
     opens = trades.select(*keys, F.col("open_date").alias("date"), F.lit(1).alias("kind"), none.alias("profit"), F.col("open_rate").alias("rate"), "amount", F.col("close_date").alias("until"), none.alias("close"))
     marks = candles.select(*keys, "date", F.lit(2).alias("kind"), none.alias("profit"), none.alias("rate"), none.alias("amount"), F.lit(None).cast("timestamp_ntz").alias("until"), "close")
     w = so_far(keys, "kind_at")
-    e = closes.unionByName(opens).unionByName(marks).withColumn("kind_at", F.struct("date", "kind"))
+    e = stacked(keys, closes, opens, marks).withColumn("kind_at", F.struct("date", "kind"))
     e = e.withColumns({"realised": F.coalesce(F.sum("profit").over(w), F.lit(0.0)), "held": F.last(F.when(F.col("kind") == 1, F.struct("rate", "amount", "until")), ignorenulls=True).over(w)})
     worth = F.when(F.col("date") < F.col("held.until"), F.col("held.amount") * (F.col("close") * (1 - fee) - F.col("held.rate") * (1 + fee)))
     return e.where("kind = 2").select(*keys, "date", (wallet + F.col("realised") + F.coalesce(worth, F.lit(0.0))).alias("equity"))
