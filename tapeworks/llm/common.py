@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,14 +16,18 @@ from pyspark.sql import functions as F
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Where a local session's own folder is noted.
+_OWN = "tapeworks.shared.dir"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where none is set and Spark is one local process."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not there:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = f"file://{tempfile.mkdtemp(prefix='tapeworks-')}"
-        spark.conf.set("spark.checkpoint.dir", there)
+        spark.conf.set(_OWN, there)
     return there.rstrip("/")
 
 
@@ -42,9 +47,11 @@ def release(spark: SparkSession) -> None:
     """Have the driver collect its garbage now: Spark then deletes the shuffle files of queries that nothing refers to any more.
 
     Left alone it does so every half hour (spark.cleaner.periodicGC.interval), and an operator's shuffles would add up on disk.
-    Call it once the results that rest on a large shuffle are written.
+    Call it once the results that rest on a large shuffle are written. What a finished query holds is let go in two collections.
     """
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
