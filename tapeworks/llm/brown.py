@@ -32,8 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .textbatch import chunks
+from .common import materialise, release, scratch
+from .textbatch import chunks, laid_out, span_hashes
 
 #: Words with a code of their own: the most frequent of at most HEAD_BYTES bytes. Bounds what the tasks are sent.
 HEAD = 65_536
@@ -78,7 +78,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _encoded(docs: DataFrame, head: dict[bytes, int]) -> DataFrame:
+def _encoded(docs: DataFrame, head: dict[bytes, int], folder: str | None = None) -> DataFrame:
     """row, doc_id, held_out, codes, tail: 0 is the end, head words follow by frequency, -1 - k is the k-th word of the row's tail."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,15 +96,22 @@ def _encoded(docs: DataFrame, head: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, ["row", "doc_id", "held_out", "codes", "tail"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
-    return materialise(rows.mapInArrow(coded, "row long, doc_id long, held_out boolean, codes array<int>, tail array<string>"), "codes")
+    return materialise(rows.mapInArrow(coded, "row long, doc_id long, held_out boolean, codes array<int>, tail array<string>"), "codes", folder)
 
 
-def _resolved(coded: DataFrame, lexicon: DataFrame) -> DataFrame:
+def _resolved(coded: DataFrame, lexicon: DataFrame, folder: str) -> DataFrame:
     """doc_id, held_out, codes, and of each word of the tail its count and class."""
+    tails = _found(coded, lexicon, folder)
+    release(coded.sparkSession)  # before the codes are shuffled
+    return materialise(coded.drop("tail").join(tails, "row", "left").drop("row"), "resolved")
+
+
+def _found(coded: DataFrame, lexicon: DataFrame, folder: str) -> DataFrame:
+    """row, and of each word of its tail the count and the class; written."""
     tails = coded.select("row", F.posexplode("tail").alias("at", "word")).join(lexicon, "word", "left")
     found = F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(UNKNOWN)).alias("cls"))))
     tails = tails.groupBy("row").agg(found.alias("found")).select("row", F.transform("found", lambda x: x["n"]).alias("tail_n"), F.transform("found", lambda x: x["cls"]).alias("tail_class"))
-    return materialise(coded.drop("tail").join(tails, "row", "left").drop("row"), "resolved")
+    return materialise(tails, "tails", folder)
 
 
 @dataclass(frozen=True)
@@ -194,13 +201,20 @@ def _transitions(pairs: np.ndarray) -> np.ndarray:
     return (pairs + n / max(1.0, n.sum())) / (pairs.sum(axis=1, keepdims=True) + 1)
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word, as longs."""
+    data, off = laid_out(words)
+    return span_hashes(data, off[:-1], off[1:]).view(np.int64)
+
+
 def assigned_words(coded: DataFrame, names: list[bytes], model: ClassModel, moved: int) -> DataFrame:
-    """word, cls of all training words with a code from `moved` on or none: the class that its neighbours make likeliest.
+    """hash, cls of all training words with a code from `moved` on or none: the class that its neighbours make likeliest.
 
-    A word sends one byte for itself and for each neighbour that has a class: which class it is, and on which side. names[k] is
-    the word of code k.
+    A word sends one byte for itself and for each neighbour that has a class: which class it is, and on which side. It goes by a
+    hash of 64 bits; two words of one hash would share a class. names[k] is the word of code k.
     """
     side, own = END_CLASS + 1, 2 * (END_CLASS + 1)
+    named = _word_hashes(pa.array(names, pa.binary()))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, 1 << 20):  # the more tokens, the fewer rows a word sends
@@ -213,10 +227,10 @@ def assigned_words(coded: DataFrame, names: list[bytes], model: ClassModel, move
             what = np.concatenate([np.full(len(at), own), left[left < side], side + right[right < side]]).astype(np.uint8)
             order = np.argsort(who, kind="stable")
             first = np.flatnonzero(np.diff(who[order], prepend=-1))
-            text = [tail.dictionary[int(k)].as_py() if k < len(tail.dictionary) else names[k - len(tail.dictionary)].decode() for k in who[order[first]]]
+            hashes = np.concatenate([_word_hashes(tail.dictionary), named])[who[order[first]]]
             off = pa.array(np.append(first, len(order)).astype(np.int32))
             told = pa.Array.from_buffers(pa.binary(), len(first), [None, off.buffers()[1], pa.py_buffer(what[order].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), told], ["word", "told"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), told], ["hash", "told"])
 
     with np.errstate(divide="ignore"):
         after = np.log(_transitions(model.pairs.astype(float)))
@@ -230,29 +244,31 @@ def assigned_words(coded: DataFrame, names: list[bytes], model: ClassModel, move
         for b in batches:
             if not b.num_rows:
                 continue
-            word, told = b.column("word").dictionary_encode(), b.column("told")
+            hashes, told = b.column("hash").to_numpy(), b.column("told")
+            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))  # they come in order
             size = np.asarray(pc.binary_length(told)).astype(np.int64)
-            what = np.frombuffer(b"".join(told.to_pylist()), np.uint8)
+            what = laid_out(told)[0]
+            word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
             # how often a word is told each thing, then one product with the table
-            cell = np.bincount(np.repeat(np.asarray(word.indices), size) * np.int64(own + 1) + what, minlength=len(word.dictionary) * (own + 1)).reshape(-1, own + 1)
-            scores, counts, names_here = cell @ table, cell[:, own], word.dictionary.to_pylist()
-            if name == names_here[0]:
+            cell = np.bincount(np.repeat(word, size) * np.int64(own + 1) + what, minlength=len(first) * (own + 1)).reshape(-1, own + 1)
+            scores, counts, here = cell @ table, cell[:, own], hashes[first]
+            if name is not None and name == here[0]:
                 scores[0] += score
                 counts[0] += count
             elif name is not None:
-                yield _chosen([name], score[None], np.array([count]))
-            name, score, count = names_here[-1], scores[-1], int(counts[-1])
-            yield _chosen(names_here[:-1], scores[:-1], counts[:-1])
+                yield _chosen(np.array([name]), score[None], np.array([count]))
+            name, score, count = here[-1], scores[-1], int(counts[-1])
+            yield _chosen(here[:-1], scores[:-1], counts[:-1])
         if name is not None:
-            yield _chosen([name], score[None], np.array([count]))
+            yield _chosen(np.array([name]), score[None], np.array([count]))
 
-    told = coded.where("not held_out").select("codes", "tail").mapInArrow(seen, "word string, told binary")
-    return told.repartition("word").sortWithinPartitions("word").mapInArrow(chosen, "word string, cls int")
+    told = coded.where("not held_out").select("codes", "tail").mapInArrow(seen, "hash long, told binary")
+    return told.repartition("hash").sortWithinPartitions("hash").mapInArrow(chosen, "hash long, cls int")
 
 
-def _chosen(names: list[str], scores: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _chosen(hashes: np.ndarray, scores: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     cls = np.where(counts > 1, scores.argmax(axis=1) if len(scores) else 0, ONCE).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cls[: len(names)])], ["word", "cls"])
+    return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(cls[: len(hashes)])], ["hash", "cls"])
 
 
 def exchanged(head_class: np.ndarray, pairs: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -294,7 +310,26 @@ def exchanged(head_class: np.ndarray, pairs: np.ndarray, own: np.ndarray) -> np.
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
     """The model of the training part, and all texts as codes."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts = materialise(word_counts(docs.where(~held_out())), "word-counts")
+    with scratch(docs.sparkSession) as folder:  # what is only needed until the texts are resolved
+        return _fitted(docs, rounds, folder)
+
+
+def _lexicon(counts: DataFrame, coded: DataFrame, names: list[bytes], model: ClassModel, moved: int, folder: str) -> DataFrame:
+    """word, n, cls of all training words, written. Nothing else refers to its shuffles when it returns, so they can be deleted."""
+    classes = assigned_words(coded, names, model, moved)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(_word_hashes(b.column("word")), pa.int64())], ["word", "n", "hash"])
+
+    words = counts.mapInArrow(hashed, "word string, n long, hash long")
+    return materialise(words.join(classes, "hash", "left").select("word", "n", F.coalesce("cls", F.lit(ONCE)).alias("cls")), "lexicon", folder)
+
+
+def _fitted(docs: DataFrame, rounds: int, folder: str) -> tuple[ClassModel, DataFrame]:
+    spark = docs.sparkSession
+    counts = materialise(word_counts(docs.where(~held_out())), "word-counts", folder)
+    release(spark)
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     ends = sum(r[0] for r in counts.where(F.col("word") == END).select("n").collect())
 
@@ -303,7 +338,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
 
     top = frequent(counts).collect()
     names = [b"", *(r[0].encode() for r in top)]
-    coded = _encoded(docs, {x: k for k, x in enumerate(names) if k})
+    coded = _encoded(docs, {x: k for k, x in enumerate(names) if k}, folder)
     moved = min(len(names), CLUSTER_WORDS + 1)
     cls = np.full(len(names), ONCE)
     cls[1:moved], cls[0] = np.arange(moved - 1) % CLASSES, END_CLASS
@@ -312,11 +347,12 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
         pairs, own = _gathered(coded, model, moved)
         model = replace(model, head_class=exchanged(model.head_class, pairs, own), pairs=pairs)
     model = replace(model, pairs=_gathered(coded, model, 0)[0])
-    classes = assigned_words(coded, names, model, moved)
-    lexicon = materialise(counts.join(classes, "word", "left").select("word", "n", F.coalesce("cls", F.lit(ONCE)).alias("cls")), "lexicon")
+    lexicon = _lexicon(counts, coded, names, model, moved, folder)
+    release(spark)
     others = [r["cls"] for r in frequent(lexicon).select("cls").collect()][moved - 1 :]
     model = replace(model, head_class=np.concatenate([model.head_class[:moved], np.array(others, np.int64)]))
-    resolved = _resolved(coded, lexicon)
+    resolved = _resolved(coded, lexicon, folder)
+    release(spark)
     return replace(model, pairs=_gathered(resolved, model, 0)[0]), resolved
 
 
