@@ -81,3 +81,29 @@ def test_packing_stage(written):
 
 def test_run_is_the_stages(spark, written):
     assert corpus_pipeline.run(spark, SF).count() == len(written[5])
+
+
+@pytest.mark.parametrize("kept", ["all", "none"])
+def test_odd_tables(spark, tmp_path, kept):
+    """Nulls in every column, repeated rows, names that the stages use themselves; and an empty table."""
+    from pyspark.sql import functions as F
+
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    long = base.where("n_chars > 600").orderBy("doc_id").limit(40)
+    odd = long.limit(6).withColumns({"doc_id": F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")), "source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")})
+    none = long.limit(2).withColumns({"doc_id": F.col("doc_id") + 10_000, "text": F.lit(None).cast("string")})
+    extra = {c: F.lit(k) for k, c in enumerate(("ROW", "file", "at", "times", "component", "__place", "__at", "kept", "toxic", "part"))}
+    docs = long.unionByName(long.limit(5)).unionByName(odd).unionByName(none).withColumns(extra)
+    docs = docs if kept == "all" else docs.where("false")
+    docs.repartition(3).write.parquet(str(tmp_path / "0"))
+    docs = spark.read.parquet(str(tmp_path / "0"))
+    names = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k < len(corpus_pipeline.STAGES):
+            assert sorted(docs.columns) == sorted(names), name
+            assert (docs.count() > 0) == (kept == "all"), name
+            if kept == "all":
+                assert all(r[c] == k for r in docs.collect() for k, c in enumerate(extra)), name
+    assert (docs.count() > 0) == (kept == "all")
