@@ -13,7 +13,7 @@ sys.path.insert(0, HERE)
 from tapeworks.plans import registry  # noqa: E402
 from tapeworks.session import local_session  # noqa: E402
 
-HEADLINE = ["candles_bars", "signals", "simulate", "mtm_equity", "backtest_summary", "trade_stats", "kelly_grid", "asof_match", "reconcile", "order_rollup", "bootstrap_lcg", "monthly_returns", "dfa_hurst", "feed_compare", "redact", "forward_performance", "signal_fidelity", "kelly_report"]
+HEADLINE = ["candles_bars", "signals", "simulate", "mtm_equity", "backtest_summary", "trade_stats", "kelly_grid", "asof_match", "reconcile", "order_rollup", "bootstrap_lcg", "monthly_returns", "dfa_hurst", "feed_compare", "redact", "forward_performance", "signal_fidelity", "kelly_report", "decision_rule", "channel_variants", "drawdown_locks", "desk_report", "order_checks", "stylized_facts"]
 
 
 def main() -> None:

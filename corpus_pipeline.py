@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing to target weights, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir), where docs is a scan of what the stage before has written, and returns a DataFrame;
-all but the last return the columns of documents.
+all but the last return the columns of documents, and further ones as they are, whatever their names.
+
+Defined results: a null or empty text has no words, so the quality rules reject it; a null doc_id is never labelled, comes last in
+line dedup and is kept by near-dedup only where its class has no other; repeated rows are documents of their own until near-dedup
+keeps one; ties are settled by doc_id, then by file and row number; a document that the mix takes twice is packed twice; an empty
+table, or one of which a stage keeps nothing, gives no rows.
 """
 
 from __future__ import annotations
