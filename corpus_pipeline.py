@@ -11,14 +11,13 @@ table, or one of which a stage keeps nothing, gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.llm import lines, mixing, packing, quality, simhash
-from tapeworks.llm.common import shared_dir
+from tapeworks.llm.common import materialise
 from tapeworks.llm.queries import tokenizer_path
 
 
@@ -69,7 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written as Parquet in the shared folder and read again as the next one's docs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/tapeworks/{spark.sparkContext.applicationId}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

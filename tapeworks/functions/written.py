@@ -23,9 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Whether Spark deletes a query's shuffle files at the query's end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table, read back: it is worked out once, and a lost executor costs no recomputation."""
+    """df as a Parquet table, read back: it is worked out once, and a lost executor costs no recomputation. The shuffle files behind
+    it are deleted once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tapeworks/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)

@@ -44,7 +44,7 @@ def block_bootstrap_sharpe(returns: DataFrame, keys: list[str], block: int, reps
     draws = draws.select(*keys, "rep", ((start + F.col("i") % block) % F.col("n")).alias("i"))
     each = draws.join(own, [*keys, "i"]).groupBy(*keys, "rep").agg(F.round(ratio(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.lit(float(DAYS_A_YEAR))), 9).alias("sharpe"))
     bounds = F.percentile("sharpe", F.array(F.lit(0.025), F.lit(0.975)))
-    return each.groupBy(*keys).agg(bounds.alias("b"), F.avg((F.col("sharpe") <= 0).cast("double")).alias("p_sharpe_le_zero")).select(*keys, F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), "p_sharpe_le_zero")
+    return each.groupBy(*keys).agg(bounds.alias("b"), F.avg(F.when(F.col("sharpe") <= 0, 1.0).otherwise(0.0)).alias("p_sharpe_le_zero")).select(*keys, F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), "p_sharpe_le_zero")
 
 
 def kelly_bootstrap(trades: DataFrame, reps: int, f_max: float = 2.0, points: int = 21) -> DataFrame:

@@ -86,7 +86,7 @@ def ratios(returns: DataFrame, keys: list[str]) -> DataFrame:
 
 def beta_and_correlation(returns: DataFrame, keys: list[str]) -> DataFrame:
     """Per series of r and benchmark b: beta and correlation; undefined ones are null."""
-    return returns.groupBy(*keys).agg(ratio(F.covar_samp("r", "b"), F.var_samp("b")).alias("beta"), F.when((F.stddev_samp("r") > 0) & (F.stddev_samp("b") > 0), F.corr("r", "b")).alias("correlation"))
+    return returns.groupBy(*keys).agg(ratio(F.covar_samp("r", "b"), F.var_samp("b")).alias("beta"), ratio(F.covar_pop("r", "b"), F.stddev_pop("r") * F.stddev_pop("b")).alias("correlation"))
 
 
 def buy_and_hold(candles: DataFrame, fee: float) -> DataFrame:

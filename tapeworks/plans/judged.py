@@ -138,7 +138,7 @@ def performance_report(spark, d):
 
 @views.candles_once
 def equity_daily(spark, d):
-    return rounded(forward.daily_equity(forward.normalised(acting(spark, d), NOTIONAL), views.bars(spark, d), NOTIONAL), 4)
+    return rounded(forward.daily_equity(forward.normalised(acting(spark, d), NOTIONAL), views.bars(spark, d), NOTIONAL), 6)
 
 
 @views.candles_once
@@ -146,8 +146,8 @@ def run_assessment(spark, d):
     """The pairs as runs: closed paper trades, and daily marks of their equity and of holding."""
     t, b = forward.normalised(acting(spark, d), NOTIONAL), views.bars(spark, d)
     closed = t.where("close_date is not null and profit_ratio is not null").select(F.col("pair").alias("run"), "trade_id", F.col("open_date").alias("open"), F.col("close_date").alias("close"), (100 * F.col("profit_ratio")).alias("return_pct"), F.coalesce("exit_reason", F.lit("unknown")).alias("exit"))
-    own = forward.daily_equity(t, b, NOTIONAL).select(F.col("pair").alias("run"), F.col("day").alias("date"), F.round("equity", 4).alias("strategy"))
-    held = risk.daily_marks(forward.held_worth(b, NOTIONAL), ["pair"], "worth").select(F.col("pair").alias("run"), F.col("day").alias("date"), F.round("worth", 4).alias("buy_hold"))
+    own = forward.daily_equity(t, b, NOTIONAL).select(F.col("pair").alias("run"), F.col("day").alias("date"), F.round("equity", 6).alias("strategy"))
+    held = risk.daily_marks(forward.held_worth(b, NOTIONAL), ["pair"], "worth").select(F.col("pair").alias("run"), F.col("day").alias("date"), F.round("worth", 6).alias("buy_hold"))
     values = written(own.join(held, ["run", "date"]), "values")
     parts = assessment.assess_parts(written(closed, "closed"), values, NOTIONAL, 2.0, REPS, 50, 5)
     near = {k: rounded(v.select(*[(F.col(c) + 1e-9).alias(c) if t == "double" else c for c, t in v.dtypes]), 4) for k, v in parts.items()}  # off the ties
@@ -347,7 +347,7 @@ SQL: dict[str, str] = {
     )
     + "SELECT pair, refused, " + ", ".join(f"CASE WHEN refused IS NULL THEN round({c} + 1e-9, 4) END AS {c}" for c in "final_equity net_return_pct mtm_max_drawdown_pct return_over_drawdown exposure_pct mean_pct".split())
     + ", " + ", ".join(f"CASE WHEN refused IS NULL THEN {c} END AS {c}" for c in "open_trades closed_trades winners count win_rate_pct sd_pct t_stat sum_pct profit_factor mean_win_pct mean_loss_pct payoff_ratio top2_pp rest_pp median_holding_days mean_holding_days exit_exit_signal exit_force_exit exit_stop_loss longest_losing_streak".split()) + " FROM told",
-    "equity_daily": sql.ctes(*_BASE, PERFORMANCE) + "SELECT pair, CAST(date AS DATE) AS day, round(arg_max(equity, date), 4) AS equity FROM run_e GROUP BY ALL",
+    "equity_daily": sql.ctes(*_BASE, PERFORMANCE) + "SELECT pair, CAST(date AS DATE) AS day, round(arg_max(equity, date), 6) AS equity FROM run_e GROUP BY ALL",
     "trade_executions": sql.ctes(BARS, PAPER, _executions_sql("paper")) + f"SELECT pair, trade_id, exit_reason, {_r('entry_reference entry_slippage_bps entry_delay_minutes exit_reference exit_slippage_bps round_trip_cost_pct profit_pct', 6)} FROM executed",
     "execution_summary": sql.ctes(BARS, PAPER, _executions_sql("paper")) + "SELECT pair, count(round_trip_cost_pct) AS measured, round(avg(round_trip_cost_pct), 4) AS cost_mean, round(quantile_cont(round_trip_cost_pct, 0.5), 4) AS cost_median, round(max(round_trip_cost_pct), 4) AS cost_max, round(avg(entry_slippage_bps), 4) AS entry_slippage_bps FROM executed GROUP BY pair",
     "signal_fidelity": sql.ctes(*_BASE, KNOWN, FIDELITY) + "SELECT * FROM faith",
@@ -425,7 +425,7 @@ def _assessment_sql() -> str:
     return sql.ctes(
         *_BASE, PERFORMANCE, "trades AS (SELECT pair AS run, trade_id, open_date AS open, close_date AS close, 100 * profit_ratio AS return_pct, coalesce(exit_reason, 'unknown') AS exit FROM acting WHERE close_date IS NOT NULL AND profit_ratio IS NOT NULL)",
         "worths AS (SELECT pair, date, 1000 / 1.005::DOUBLE / first(open) OVER o * close * 0.995::DOUBLE AS worth FROM bars WINDOW o AS (PARTITION BY pair ORDER BY date ROWS UNBOUNDED PRECEDING))",
-        "daily AS (SELECT e.pair AS run, CAST(e.date AS DATE) AS date, round(arg_max(equity, e.date), 4) AS strategy, round(arg_max(worth, e.date), 4) AS buy_hold FROM run_e e JOIN worths w ON w.pair = e.pair AND w.date = e.date GROUP BY ALL)",
+        "daily AS (SELECT e.pair AS run, CAST(e.date AS DATE) AS date, round(arg_max(equity, e.date), 6) AS strategy, round(arg_max(worth, e.date), 6) AS buy_hold FROM run_e e JOIN worths w ON w.pair = e.pair AND w.date = e.date GROUP BY ALL)",
         *parts.values(),
     ) + f"SELECT r.run, {', '.join(shown)} FROM (SELECT DISTINCT run FROM daily) r {joins}"
 
