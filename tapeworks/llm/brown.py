@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, scratch
+from .common import materialise, scratch
 from .textbatch import chunks, laid_out, span_hashes
 
 #: Words with a code of their own: the most frequent of at most HEAD_BYTES bytes. Bounds what the tasks are sent.
@@ -101,8 +101,7 @@ def _encoded(docs: DataFrame, head: dict[bytes, int], folder: str | None = None)
 
 def _resolved(coded: DataFrame, lexicon: DataFrame, folder: str) -> DataFrame:
     """doc_id, held_out, codes, and of each word of the tail its count and class."""
-    tails = _found(coded, lexicon, folder)
-    release(coded.sparkSession)  # before the codes are shuffled
+    tails = _found(coded, lexicon, folder)  # written, so that its shuffles are gone before the codes are shuffled
     return materialise(coded.drop("tail").join(tails, "row", "left").drop("row"), "resolved")
 
 
@@ -315,7 +314,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
 
 
 def _lexicon(counts: DataFrame, coded: DataFrame, names: list[bytes], model: ClassModel, moved: int, folder: str) -> DataFrame:
-    """word, n, cls of all training words, written. Nothing else refers to its shuffles when it returns, so they can be deleted."""
+    """word, n, cls of all training words, written."""
     classes = assigned_words(coded, names, model, moved)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +326,7 @@ def _lexicon(counts: DataFrame, coded: DataFrame, names: list[bytes], model: Cla
 
 
 def _fitted(docs: DataFrame, rounds: int, folder: str) -> tuple[ClassModel, DataFrame]:
-    spark = docs.sparkSession
     counts = materialise(word_counts(docs.where(~held_out())), "word-counts", folder)
-    release(spark)
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     ends = sum(r[0] for r in counts.where(F.col("word") == END).select("n").collect())
 
@@ -348,11 +345,9 @@ def _fitted(docs: DataFrame, rounds: int, folder: str) -> tuple[ClassModel, Data
         model = replace(model, head_class=exchanged(model.head_class, pairs, own), pairs=pairs)
     model = replace(model, pairs=_gathered(coded, model, 0)[0])
     lexicon = _lexicon(counts, coded, names, model, moved, folder)
-    release(spark)
     others = [r["cls"] for r in frequent(lexicon).select("cls").collect()][moved - 1 :]
     model = replace(model, head_class=np.concatenate([model.head_class[:moved], np.array(others, np.int64)]))
     resolved = _resolved(coded, lexicon, folder)
-    release(spark)
     return replace(model, pairs=_gathered(resolved, model, 0)[0]), resolved
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -35,25 +34,30 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tapeworks/{spark.sparkContext.applicationId}"
 
 
+#: Whether Spark deletes a query's shuffle files at the query's end; left alone, they stay until its driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was)
+
+
 def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage is cut, and a lost executor costs no recomputation."""
+    """df as a Parquet table in the shared folder, read back: lineage is cut, and a lost executor costs no recomputation. The
+    shuffle files behind it are deleted as soon as it is written, so those of an operator's steps don't add up on disk."""
     spark = df.sparkSession
     path = f"{folder or _own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the driver collect its garbage now: Spark then deletes the shuffle files of queries that nothing refers to any more.
-
-    Left alone it does so every half hour (spark.cleaner.periodicGC.interval), and an operator's shuffles would add up on disk.
-    Call it once the results that rest on a large shuffle are written. What a finished query holds is let go in two collections.
-    """
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def _delete(spark: SparkSession, folder: str) -> None:
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)

@@ -32,7 +32,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pinned, placed, release, scratch, split_words, text_of, words_of
+from .common import materialise, pinned, placed, scratch, split_words, text_of, words_of
 
 THRESHOLD = 0.8
 WORD = r"[^\x20\x09-\x0D]"
@@ -223,7 +223,6 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     tried = before.select(*rows.columns, F.inline("before")).where((F.col("a_id") < F.col("id")) & _passes("a_", ""))
     pairs = tried.select(F.col("a_id").alias("a"), F.col("id").alias("b"), _differ("a_", "").alias("differ")).groupBy("a", "b").agg(F.min("differ").alias("differ"))
     pairs = materialise(pairs, "line-pairs", folder)
-    release(docs.sparkSession)
     sets = _sets(_ends(pairs), docs, "line-sets", folder)
     closest = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")), sets, "lines-closest", folder)
     others = _verified(pairs.join(_small(closest), F.col("b") == closest["id"], "left_anti"), sets, "lines-others", folder)
