@@ -267,7 +267,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mos
     share = max(WINDOW, _share([n for (n,) in own.select("n").collect()], most))  # at most `rows` numbers
     windows_ = F.lit(share // WINDOW - 1)
     place = F.sequence(F.lit(0), windows_)
-    begin = lambda k: F.floor(k * (F.col("n") - WINDOW) / F.greatest(windows_, F.lit(1))).cast("int")
+    begin = lambda k: F.floor(k.cast("long") * (F.col("n") - WINDOW) / F.greatest(windows_, F.lit(1))).cast("int")
     spread = F.array_join(F.flatten(F.transform(place, lambda k: F.slice("words", begin(k) + 1, F.lit(WINDOW)))), " ")
     text = F.when(F.col("n") > share, spread).otherwise(F.col("text")).alias("text")
     own = own.select("doc_id", "toxic", text).toArrow().sort_by("doc_id").combine_chunks()

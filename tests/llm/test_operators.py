@@ -527,8 +527,8 @@ def test_rows_keep_their_identity_when_dealt_anew(spark, many_files):
 
 
 def test_toxicity_learns_despite_one_long_text(spark, docs, monkeypatch):
-    base = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{SF[:-5]}0.01/labels.parquet")
+    base = spark.read.parquet(f"{SF[:-5]}0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF[:-5]}0.1/labels.parquet")
     first = labels.where("toxic = 0").where(~toxicity.held_out()).orderBy("doc_id").first()["doc_id"]
     long = base.withColumn("text", toxicity.F.when(base["doc_id"] == first, toxicity.F.repeat(toxicity.F.lit("plain words again "), 1_700_000)).otherwise(base["text"]))
     model = toxicity.fit_toxicity(long, labels)
