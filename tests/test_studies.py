@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators import candles as cd
-from tapeworks.operators import documents, ledger, orders, protection, records, structure, stylized, variants
+from tapeworks.operators import documents, ledger, orders, protection, records, resample, structure, stylized, variants
 from tapeworks.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -293,3 +293,25 @@ def test_judging_shows_every_outcome(spark):
     assert min(k) == 0 and any(0 < x < 2 for x in k)
     assert any(r["p5"] < r["p50"] < r["p95"] for r in q["kelly_bootstrap_lcg"](spark, SF).collect())
     assert all(0.01 < r["probability"] < 0.99 for r in q["deflated_sharpe"](spark, SF).collect())
+
+
+def test_draws_are_never_broadcast(spark, monkeypatch):
+    n, reps = 500, 40
+    rows = [("ab"[k % 2], k, float((k * 7919) % 101) - 30 - k % 2) for k in range(2 * n)]
+    series = spark.createDataFrame(rows, "run string, k int, x double")
+    daily = series.select("run", F.col("k").alias("date"), (F.col("x") / 100).alias("r"))
+    queries = [lambda: resample.bootstrap_mean(series, ["run"], "x", ["k"], reps), lambda: resample.block_bootstrap_sharpe(daily, ["run"], 10, reps)]
+    found = []
+    for most, join in ((2 * n, "BroadcastHashJoin"), (2 * n - 1, "ShuffledHashJoin")):
+        monkeypatch.setattr(resample, "MOST_SENT", most, raising=False)
+        for q in queries:
+            df = q()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            met = [line for line in plan.splitlines() if "HashJoin [" in line and "i#" in line]  # joins by place
+            assert len(met) == 1 and join in met[0] and "BuildRight" in met[0]
+            found.append(sorted(map(tuple, df.collect())))
+    assert found[:2] == found[2:]
+    for run, low, high, share in found[0]:
+        own = np.array([x for r, _, x in rows if r == run])
+        means = [own[((rep * n + np.arange(n)) * resample.A + resample.C) % resample.M % n].mean() for rep in range(reps)]
+        assert (low, high, share) == pytest.approx((*np.quantile(means, [0.025, 0.975]), np.mean(np.array(means) <= 0)))
