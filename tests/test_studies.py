@@ -301,7 +301,7 @@ def test_draws_are_never_broadcast(spark, monkeypatch):
     series = spark.createDataFrame(rows, "run string, k int, x double")
     trades = series.select("run", F.col("k").alias("trade_id"), F.col("k").alias("open"), F.col("x").alias("return_pct"))
     daily = series.select("run", F.col("k").alias("date"), (F.col("x") / 100).alias("r"))
-    queries = [lambda: resample.bootstrap_mean(series, ["run"], "x", ["k"], reps), lambda: resample.kelly_bootstrap(trades, reps), lambda: resample.block_bootstrap_sharpe(daily, ["run"], 10, reps)]
+    queries = [lambda: resample.bootstrap_mean(series, ["run"], "x", ["k"], reps), lambda: resample.kelly_bootstrap(trades, reps), lambda: records.kelly_report(trades, points=5, reps=reps), lambda: resample.block_bootstrap_sharpe(daily, ["run"], 10, reps)]
     found = []
     for most, join in ((2 * n, "BroadcastHashJoin"), (2 * n - 1, "ShuffledHashJoin")):
         monkeypatch.setattr(resample, "MOST_SENT", most, raising=False)
@@ -311,7 +311,7 @@ def test_draws_are_never_broadcast(spark, monkeypatch):
             met = [line for line in plan.splitlines() if "HashJoin [" in line and "i#" in line]  # joins by place
             assert len(met) == 1 and join in met[0] and "BuildRight" in met[0]
             found.append(sorted(map(tuple, df.collect())))
-    assert found[:3] == found[3:]
+    assert found[:4] == found[4:]
     for run, low, high, share in found[0]:
         own = np.array([x for r, _, x in rows if r == run])
         means = [own[((rep * n + np.arange(n)) * resample.A + resample.C) % resample.M % n].mean() for rep in range(reps)]
