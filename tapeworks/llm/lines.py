@@ -47,12 +47,23 @@ AT_BITS = 40
 BROADCAST_IDS, BROADCAST_FILES = 2_000_000, 100_000
 
 
+def path_hash(path: Column) -> Column:
+    return F.xxhash64(path)
+
+
 def _placed(docs: DataFrame) -> DataFrame:
-    """docs and __place, a number of each row's place in the files, the same at every reading."""
+    """docs and __place, a number of each row's place in the files, the same at every reading.
+
+    Files are known by a hash of their path, or by the path itself if two share a hash: for a broadcast whose key is no long the
+    driver takes 64 MB, and the files are broadcast at each reading.
+    """
     spark = docs.sparkSession
     docs = placed(docs, "__path", "__at")
-    paths = [r[0] for r in docs.select("__path").distinct().collect()]  # one row a file
-    files = spark.createDataFrame([(x, k) for k, x in enumerate(sorted(paths))], "__path string, __file long")
+    paths = sorted(map(tuple, docs.select("__path", path_hash(F.col("__path"))).distinct().collect()))  # one row a file
+    kind, keys = "string", [x for x, _ in paths]
+    if len({h for _, h in paths}) == len(paths):
+        docs, kind, keys = docs.withColumn("__path", path_hash(F.col("__path"))), "long", [h for _, h in paths]
+    files = spark.createDataFrame([(x, k) for k, x in enumerate(keys)], f"__path {kind}, __file long")
     place = F.shiftleft("__file", AT_BITS).bitwiseOR(F.col("__at"))
     files = F.broadcast(files) if len(paths) <= BROADCAST_FILES else files
     return docs.join(files, "__path").withColumn("__place", place).drop("__path", "__file", "__at")
@@ -222,10 +233,11 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     before = rows.select("*", F.array(first, *[F.lag(own, k).over(by_word) for k in range(1, LAST + 1)]).alias("before"))
     tried = before.select(*rows.columns, F.inline("before")).where((F.col("a_id") < F.col("id")) & _passes("a_", ""))
     pairs = tried.select(F.col("a_id").alias("a"), F.col("id").alias("b"), _differ("a_", "").alias("differ")).groupBy("a", "b").agg(F.min("differ").alias("differ"))
-    pairs = materialise(pairs, "line-pairs", folder)
-    sets = _sets(_ends(pairs), docs, "line-sets", folder)
-    closest = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")), sets, "lines-closest", folder)
-    others = _verified(pairs.join(_small(closest), F.col("b") == closest["id"], "left_anti"), sets, "lines-others", folder)
+    with scratch(docs.sparkSession) as till_settled:  # these tables go before the larger join
+        pairs = materialise(pairs, "line-pairs", till_settled)
+        sets = _sets(_ends(pairs), docs, "line-sets", till_settled)
+        closest = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")), sets, "lines-closest", folder)
+        others = _verified(pairs.join(_small(closest), F.col("b") == closest["id"], "left_anti"), sets, "lines-others", folder)
     settled = closest.unionByName(others)
 
     # settled lines have their id as -1 - id and seek no more. Both sides of the join are the same rows, so they are shuffled once

@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tapeworks.llm import brown, exact, graph, licenses, lines, mixing, packing, quality, simhash, toxicity, warc
+from tapeworks.llm.common import materialise
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, component string"
@@ -546,3 +548,27 @@ def test_share_of_words():
         sizes, most = rng.integers(0, 500, 20).tolist(), int(rng.integers(1, 5000))
         share = toxicity._share(sizes, most)
         assert sum(min(n, share) for n in sizes) <= most and (share >= max(sizes) or sum(min(n, share + 1) for n in sizes) > most)
+
+
+def test_line_dedup_sends_files_by_a_long(spark, tmp_path, monkeypatch):
+    texts = ["one two three four five six", "one two three four five six", "seven eight nine ten eleven", None, "one two three four five six seven"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def found():
+        plan = lines._placed(docs)._jdf.queryExecution().executedPlan().toString()
+        return "input[0, bigint" in plan.split("HashedRelationBroadcastMode(List(")[1][:20], sorted(map(tuple, lines.duplicate_lines(docs).collect()))
+
+    by_hash, got = found()
+    assert by_hash and [r[2] for r in got] == [0, 1, 0, 0, 1]
+    monkeypatch.setattr(lines, "path_hash", lambda path: F.length(path).cast("long"))  # files of one hash are known by their paths
+    assert found() == (False, got)
+
+
+def test_written_tables_keep_short_plans(spark):
+    keys = "spark.sql.maxPlanStringLength", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = [spark.conf.get(k, None) for k in keys]
+    materialise(spark.range(3).select("id", F.concat(F.col("id").cast("string"), F.lit("x" * 300_000)).alias("x")), "short-plan")
+    assert [spark.conf.get(k, None) for k in keys] == was
+    ran = spark._jsparkSession.sharedState().statusStore().executionsList()
+    assert ran.last().physicalPlanDescription().__len__() < 100_000
