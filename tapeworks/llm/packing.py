@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .textbatch import chunks, laid_out, ragged, span_hashes
+from .textbatch import FEW, chunks, laid_out, ragged, span_hashes
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -130,7 +130,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bo
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = TextEncoder(path)
         for batch in batches:
-            for part in chunks(batch, most=1 << 20):
+            for part in chunks(batch, most=FEW):
                 rows: list[tuple] = []
                 for doc_id, own in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True):
                     ids = own.astype("<u4").tobytes() + np.uint32(END_ID).tobytes()

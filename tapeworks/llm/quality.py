@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import platt
-from .textbatch import Texts, chunks, mixed
+from .textbatch import FEW, Texts, chunks, mixed
 
 BITS = 15
 #: Labelled rows the model is fitted on, the most; a fifth of them calibrates.
@@ -128,7 +128,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, roun
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=FEW):
                 t = Texts(part.column("text"))
                 grams = [(s, np.concatenate([[0], np.cumsum(c)])) for s, c in _grams(t)]
                 slots, values = [], []
@@ -184,7 +184,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=FEW):
                 got = _columns(Texts(part.column("text")), model)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, got)], ["doc_id", *(x.split()[0] for x in DIGEST.split(", "))])
 
@@ -196,7 +196,7 @@ def filter_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=FEW):
                 yield part.filter(pa.array(_columns(Texts(part.column("text")), model)[-1]))
 
     return docs.mapInArrow(kept, docs.schema)

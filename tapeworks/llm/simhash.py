@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialise, placed
 from .graph import components
-from .textbatch import chunks, mixed
+from .textbatch import FEW, chunks, mixed
 
 RADIUS = 4
 WORDS = 4
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=FEW):
                 fp = _fingerprints(pc.cast(part.column("text"), pa.binary()).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), *map(part.column, own)], ["doc_id", "fp", *own])
 

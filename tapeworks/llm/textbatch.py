@@ -20,6 +20,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of text for which a worker's arrays, some 60 bytes for each, take little beside its libraries.
+FEW = 1 << 19
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, so that memory follows the longest text and not the batch."""
     if not batch.num_rows:

@@ -572,3 +572,34 @@ def test_written_tables_keep_short_plans(spark):
     assert [spark.conf.get(k, None) for k in keys] == was
     ran = spark._jsparkSession.sharedState().statusStore().executionsList()
     assert ran.last().physicalPlanDescription().__len__() < 100_000
+
+
+@pytest.mark.parametrize("name", ["quality", "simhash", "packing"])
+def test_workers_hold_arrays_of_small_slices(monkeypatch, name):
+    seen = []
+
+    class Docs:  # takes the function of a task out of its plan
+        columns, schema = ["doc_id", "text"], None
+
+        def select(self, *cols):
+            return self
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    module = {"quality": quality, "simhash": simhash, "packing": packing}[name]
+    sliced = module.chunks
+    monkeypatch.setattr(module, "chunks", lambda batch, *a, **k: [seen.append(x) or x for x in sliced(batch, *a, **k)])
+    monkeypatch.setattr(module, "F", type("F", (), {"col": staticmethod(lambda c: type("C", (), {"cast": lambda self, kind: c})())}))
+    if name == "quality":
+        task = quality.filter_quality(Docs(), quality.QualityModel(np.zeros((4, 1 << quality.BITS), np.float32), 1.0, 60.0))
+    elif name == "simhash":
+        monkeypatch.setattr(simhash, "_fingerprints", lambda texts, words: np.zeros(len(texts), np.uint64))
+        task = simhash.fingerprints(Docs())
+    else:
+        monkeypatch.setattr(packing, "TextEncoder", lambda path: lambda column: [np.zeros(3, np.uint32)] * len(column))
+        task = packing.tokenised(Docs(), "")
+    texts = [f"{k} " + "some words of a text " * 100 for k in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1500)), "text": texts})
+    list(task([batch]))
+    assert sum(x.num_rows for x in seen) == 1500 and max(x.nbytes for x in seen) < 600_000
