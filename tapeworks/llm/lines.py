@@ -159,14 +159,21 @@ def _parity(half: bool) -> Column:
 
 
 def _prefix_rows(lines: DataFrame) -> DataFrame:
-    """id, bits, wide, at, word: a row for each prefix word; at has n, then the place in the prefix (16 bits each)."""
+    """id, bits, wide, at: a row for each prefix word; at has the word, then n (16 bits), then the place in the prefix (16 bits).
+
+    One long for all three: these rows are shuffled twice, and a column of its own takes eight bytes of each.
+    """
     rows = lines.select("id", "bits", "wide", "n", F.posexplode("prefix").alias("place", "word"))
-    at = F.shiftleft(F.col("n").cast("int"), 16).bitwiseOR(F.least("place", F.lit(MOST)))
-    return rows.select("id", "bits", "wide", at.alias("at"), "word")
+    place = F.shiftleft(F.col("n").cast("long"), 16).bitwiseOR(F.least("place", F.lit(MOST)).cast("long"))
+    return rows.select("id", "bits", "wide", F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(place).alias("at"))
+
+
+def _word(at: str) -> Column:
+    return F.shiftright(at, 32)
 
 
 def _length(at: str) -> Column:
-    return F.shiftrightunsigned(at, 16)
+    return F.shiftright(at, 16).bitwiseAND(F.lit(MOST).cast("long")).cast("int")
 
 
 def _differ(a: str, b: str) -> Column:
@@ -177,7 +184,7 @@ def _differ(a: str, b: str) -> Column:
 def _passes(a: str, b: str) -> Column:
     """Length, positional and bitmap filter for prefix rows a and b; lines of MOST words or more always pass."""
     n, m = _length(f"{a}at"), _length(f"{b}at")
-    i, j = (F.col(f"{x}at").bitwiseAND(F.lit(MOST)) for x in (a, b))
+    i, j = (F.col(f"{x}at").bitwiseAND(F.lit(MOST).cast("long")).cast("int") for x in (a, b))
     share = (n + m) * F.lit(THRESHOLD / (1 + THRESHOLD)) - F.lit(1e-9)
     length = (n >= m * F.lit(THRESHOLD) - F.lit(1e-9)) & (m >= n * F.lit(THRESHOLD) - F.lit(1e-9))
     position = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= share
@@ -228,9 +235,10 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     firsts = lines.join(_small(copies), "id", "left_anti")
 
     rows, by_word = _prefix_rows(firsts), Window.partitionBy("word").orderBy("id")
-    own, rank = F.struct(*[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "word"]), F.row_number().over(by_word)
+    own, rank = F.struct(*[F.col(c).alias(f"a_{c}") for c in rows.columns]), F.row_number().over(by_word)
+    by_words = rows.repartition(_word("at")).withColumn("word", _word("at"))  # the word is taken out after the shuffle
     first = F.when(rank > LAST + 1, F.first(own).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    before = rows.select("*", F.array(first, *[F.lag(own, k).over(by_word) for k in range(1, LAST + 1)]).alias("before"))
+    before = by_words.select("*", F.array(first, *[F.lag(own, k).over(by_word) for k in range(1, LAST + 1)]).alias("before"))
     tried = before.select(*rows.columns, F.inline("before")).where((F.col("a_id") < F.col("id")) & _passes("a_", ""))
     pairs = tried.select(F.col("a_id").alias("a"), F.col("id").alias("b"), _differ("a_", "").alias("differ")).groupBy("a", "b").agg(F.min("differ").alias("differ"))
     with scratch(docs.sparkSession) as till_settled:  # these tables go before the larger join
@@ -245,7 +253,7 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     rows = _prefix_rows(marked.withColumn("id", F.when(F.col("settled"), -1 - F.col("id")).otherwise(F.col("id"))))
     a, b = rows.toDF(*[f"a_{c}" for c in rows.columns]), rows.toDF(*[f"b_{c}" for c in rows.columns])
     early = F.when(F.col("a_id") < 0, -1 - F.col("a_id")).otherwise(F.col("a_id"))
-    met = a.join(b, (F.col("a_word") == F.col("b_word")) & (early < F.col("b_id")) & _passes("a_", "b_")).withColumn("a_id", early)
+    met = a.join(b, (_word("a_at") == _word("b_at")) & (early < F.col("b_id")) & _passes("a_", "b_")).withColumn("a_id", early)
     met = materialise(_enough(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), _length("a_at").alias("n"), _length("b_at").alias("m"))), "line-met", folder)
     return every, settled.unionByName(_verified(met, _sets(_ends(met), docs, "line-more-sets", folder), "lines-met", folder)).distinct()
 

@@ -603,3 +603,12 @@ def test_workers_hold_arrays_of_small_slices(monkeypatch, name):
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1500)), "text": texts})
     list(task([batch]))
     assert sum(x.num_rows for x in seen) == 1500 and max(x.nbytes for x in seen) < 600_000
+
+
+def test_prefix_rows_are_shuffled_as_four_longs(spark):
+    words = [-(2**31), -1, 0, 7, 2**31 - 1]
+    made = spark.createDataFrame([(5, 1, 2, lines.MOST, words), (6, 3, 4, 9, words[:2])], "id long, bits long, wide long, n int, prefix array<int>")
+    rows = lines._prefix_rows(made)
+    assert [kind for _, kind in rows.dtypes] == ["bigint"] * 4
+    got = rows.select("id", "bits", "wide", lines._word("at"), lines._length("at"), F.col("at").bitwiseAND(F.lit(lines.MOST).cast("long"))).collect()
+    assert sorted(map(tuple, got)) == sorted([(5, 1, 2, w, lines.MOST, k) for k, w in enumerate(words)] + [(6, 3, 4, w, 9, k) for k, w in enumerate(words[:2])])
