@@ -101,11 +101,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.posexplode(F.split(text_of(), "\n")).alias("no", "line")).select(_id(F.col("no")).alias("id"), "line")
 
 
+def _all_words(docs: DataFrame) -> DataFrame:
+    """word: every word of every text, and empty ones, which no other word minds."""
+    texts = docs.select(F.replace(text_of(), F.lit("\n"), F.lit(" ")).alias("text"))  # by itself: explode() would replace once for each mention
+    return texts.select(F.explode(split_words(F.col("text"))).alias("word"))
+
+
 def rarity(docs: DataFrame) -> Column:
     """array<tinyint>, a constant: for each slot a level that grows with the count of its words."""
-    text = F.replace(text_of(), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode(split_words(text)).alias("word"))  # an empty one is counted too, which no other word minds
-    counts = words.select(F.xxhash64("word").bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("slot")).groupBy("slot").count()
+    counts = _all_words(docs).select(F.xxhash64("word").bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("slot")).groupBy("slot").count()
     # slots of a block in one row each, its slot above the seven bits of its level
     packed = F.shiftleft("slot", 7).bitwiseOR(F.floor(F.log2(F.col("count") + 1) * 3).cast("long"))
     level = [0] * (1 << SLOTS)
@@ -115,14 +119,19 @@ def rarity(docs: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(level, separators=(",", ":"))), "array<tinyint>")
 
 
-def _ranked(words: Column, rare: Column) -> Column:
+def _hashes(line: Column) -> Column:
+    """The line's set as its words' hashes. Empty words are removed as longs, which is faster than as strings."""
+    return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _ranked(line: Column, rare: Column) -> Column:
     """The line's set as longs, rarest first: 7 bits of rarity over 56 bits of the word's hash."""
 
     def code(h: Column) -> Column:
         level = F.coalesce(F.get(rare, h.bitwiseAND(F.lit((1 << SLOTS) - 1)).cast("int")), F.lit(0).cast("tinyint"))  # never null: longs sort faster so
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), code)))
+    return F.sort_array(F.transform(_hashes(line), code))
 
 
 def _least_common(n: Column) -> Column:
@@ -137,7 +146,7 @@ def coded_lines(docs: DataFrame, rare: Column, folder: str | None = None) -> Dat
     as many or more), prefix the prefix words as 32 bits of their hashes, none for sets under LEAST_JOINED words.
     """
     lines = _lines(docs).where(F.col("line").rlike(WORD))  # a condition on the set would have it worked out twice
-    lines = lines.select("id", "line", _ranked(words_of(F.col("line")), rare).alias("set")).select("*", F.size("set").alias("n"))
+    lines = lines.select("id", "line", _ranked(F.col("line"), rare).alias("set")).select("*", F.size("set").alias("n"))
     prefix = F.slice("set", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(THRESHOLD) - F.lit(1e-9)) + 1).cast("int"))
     short = F.col("n") < LEAST_JOINED
     prefix = F.when(short, F.array().cast("array<int>")).otherwise(F.transform(prefix, lambda w: F.shiftright(F.shiftleft(w, 32), 32).cast("int")))
@@ -212,8 +221,7 @@ def _small(ids: DataFrame) -> DataFrame:
 
 def _sets(ids: DataFrame, docs: DataFrame, name: str, folder: str) -> DataFrame:
     """id, set: the hashes of the words of lines."""
-    words = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
-    return materialise(_lines(docs).join(_small(ids), "id").select("id", words.alias("set")), name, folder)
+    return materialise(_lines(docs).join(_small(ids), "id").select("id", _hashes(F.col("line")).alias("set")), name, folder)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, name: str, folder: str) -> DataFrame:
@@ -238,7 +246,7 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     own, rank = F.struct(*[F.col(c).alias(f"a_{c}") for c in rows.columns]), F.row_number().over(by_word)
     by_words = rows.repartition(_word("at")).withColumn("word", _word("at"))  # the word is taken out after the shuffle
     first = F.when(rank > LAST + 1, F.first(own).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    before = by_words.select("*", F.array(first, *[F.lag(own, k).over(by_word) for k in range(1, LAST + 1)]).alias("before"))
+    before = by_words.select("*", rank.alias("rank"), F.array(first, *[F.lag(own, k).over(by_word) for k in range(1, LAST + 1)]).alias("before")).where("rank > 1")
     tried = before.select(*rows.columns, F.inline("before")).where((F.col("a_id") < F.col("id")) & _passes("a_", ""))
     pairs = tried.select(F.col("a_id").alias("a"), F.col("id").alias("b"), _differ("a_", "").alias("differ")).groupBy("a", "b").agg(F.min("differ").alias("differ"))
     with scratch(docs.sparkSession) as till_settled:  # these tables go before the larger join
@@ -251,6 +259,8 @@ def duplicate_classes(docs: DataFrame, lines: DataFrame, folder: str) -> tuple[D
     # settled lines have their id as -1 - id and seek no more. Both sides of the join are the same rows, so they are shuffled once
     marked = firsts.join(_small(settled.withColumn("settled", F.lit(True))), "id", "left")
     rows = _prefix_rows(marked.withColumn("id", F.when(F.col("settled"), -1 - F.col("id")).otherwise(F.col("id"))))
+    for c in rows.columns:  # none is null; left to Spark, it asks that of other columns on each side and shuffles both
+        rows = rows.where(F.col(c).isNotNull())
     a, b = rows.toDF(*[f"a_{c}" for c in rows.columns]), rows.toDF(*[f"b_{c}" for c in rows.columns])
     early = F.when(F.col("a_id") < 0, -1 - F.col("a_id")).otherwise(F.col("a_id"))
     met = a.join(b, (_word("a_at") == _word("b_at")) & (early < F.col("b_id")) & _passes("a_", "b_")).withColumn("a_id", early)

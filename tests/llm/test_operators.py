@@ -612,3 +612,33 @@ def test_prefix_rows_are_shuffled_as_four_longs(spark):
     assert [kind for _, kind in rows.dtypes] == ["bigint"] * 4
     got = rows.select("id", "bits", "wide", lines._word("at"), lines._length("at"), F.col("at").bitwiseAND(F.lit(lines.MOST).cast("long"))).collect()
     assert sorted(map(tuple, got)) == sorted([(5, 1, 2, w, lines.MOST, k) for k, w in enumerate(words)] + [(6, 3, 4, w, 9, k) for k, w in enumerate(words[:2])])
+
+
+def test_line_dedup_replaces_once_and_removes_empty_words_as_hashes(spark):
+    texts = ["a  b\n\tc a", " ", None, "\x0bb\r\n"]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    found = lines._all_words(docs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("replace(") == 1
+    assert sorted(r[0] for r in found.collect() if r[0]) == ["a", "a", "b", "b", "c"]
+    hashed = docs.select("text", lines._hashes(F.col("text")).alias("set"))
+    want = {x: {r[0] for r in spark.createDataFrame([(w,) for w in set((x or "").split())], "w string").select(F.xxhash64("w")).collect()} for x in texts if x}
+    got = {r[0]: r[1] for r in hashed.where("text is not null").collect()}
+    assert {x: set(v) for x, v in got.items()} == want and all(len(v) == len(set(v)) for v in got.values())
+
+
+def test_line_dedup_shuffles_rows_of_the_second_join_once(docs, spark, monkeypatch):
+    plans, write = {}, lines.materialise
+
+    def kept(df, name, folder=None):
+        if name == "line-met":
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, folder)
+
+    monkeypatch.setattr(lines, "materialise", kept)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else a plan shows reuse only once it runs
+    try:
+        lines.duplicate_lines(docs)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert "ReusedExchange [b_id" in plans["line-met"]
