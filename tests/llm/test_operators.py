@@ -635,10 +635,14 @@ def test_line_dedup_shuffles_rows_of_the_second_join_once(docs, spark, monkeypat
         return write(df, name, folder)
 
     monkeypatch.setattr(lines, "materialise", kept)
-    was = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else a plan shows reuse only once it runs
+    # else a plan shows reuse only once it runs, and small tables are broadcast
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in conf}
     try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         lines.duplicate_lines(docs)
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
     assert "ReusedExchange [b_id" in plans["line-met"]
